@@ -25,16 +25,26 @@ def section_name(text: Column) -> Column:
     return F.when(found != "", found).otherwise(F.lit(DEFAULT_SECTION))
 
 
+def _decimals(value: Column, pattern: str) -> Column:
+    """Formatted from the exact binary value, ties to even, like C and Python do.
+
+    ``format_string`` would round the shortest decimal form half up: 0.735 becomes 0.74
+    although the stored number lies just below 0.735.
+    """
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", value * 100)
+    return F.concat(_decimals(value * 100, "0." + "0" * digits), F.lit("%"))
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    return _decimals(value, "0." + "0" * digits if digits else "0")
 
 
 def signed(value: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%+.{digits}f", value.cast("double"))
+    places = "0." + "0" * digits
+    return _decimals(value, f"+{places};-{places}")
 
 
 def words(identifier: Column) -> Column:

@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def customer_key(key: Column) -> Column:
-    return F.concat(F.lit("CUST"), F.lpad(key.cast("string"), 6, "0"))
+    return F.concat(F.lit("CUST"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def application_key(key: Column) -> Column:
-    return F.concat(F.lit("APP"), F.lpad(key.cast("string"), 8, "0"))
+    return F.concat(F.lit("APP"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def _rupees(amount: Column) -> Column:
