@@ -19,3 +19,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
     model relies on that.
     """
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def round_binary(value: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to even, as C and Python do.
+
+    ``F.round`` works on the shortest decimal form and rounds its ties up.
+    """
+    pattern = F.lit("0." + "0" * digits)
+    return F.call_function("format_number", value.cast("double"), pattern).cast("double")

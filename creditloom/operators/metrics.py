@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.ordering import with_running_sums
 
 
-def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score; ties collapse before the shuffle."""
     return (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),
             F.count_if(F.col(label) != 1).alias("neg"),
@@ -20,25 +22,34 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def _descending(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Score counts with true and false positives at each threshold ``score >= s``."""
-    counts = score_counts(df, score, label)
-    return with_running_sums(counts, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
+def _descending(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Score counts with true and false positives at each threshold ``score >= s``.
 
+    With groups the sums run on from one group to the next; the value a group starts from is
+    the smallest ``fp - neg`` (or ``tp - pos``) in it.
+    """
+    counts = score_counts(df, score, label, by)
+    order = [*[F.col(c) for c in by], F.col("score").desc()]
+    return with_running_sums(counts, order, {"tp": "pos", "fp": "neg"})
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve; tied scores count half (the rank-sum definition)."""
-    ranked = _descending(df, score, label)
-    # a positive beats every negative with a lower score: all negatives minus those at or above
-    higher = F.col("fp").cast("double") - F.col("neg") / F.lit(2.0)
-    sums = ranked.agg(
+
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve, one row (per group); tied scores count half.
+
+    A positive loses to every negative with a higher score and draws with equal ones.
+    """
+    ranked = _descending(df, score, label, by)
+    above = F.col("fp").cast("double") - F.col("neg") / F.lit(2.0)
+    sums = ranked.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
-        F.sum(F.col("pos") * higher).alias("_lost"),
+        F.sum(F.col("pos") * above).alias("_above"),
+        F.min(F.col("fp") - F.col("neg")).alias("_start"),
     )
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    auc = F.when((p > 0) & (n > 0), F.round(1 - F.col("_lost") / (p * n), 8))
-    return sums.select("positives", "negatives", auc.alias("auc"))
+    lost = F.col("_above") - F.col("_start") * p
+    auc = F.when((p > 0) & (n > 0), F.round(1 - lost / (p * n), 8))
+    return sums.select(*by, "positives", "negatives", auc.alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:

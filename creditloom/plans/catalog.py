@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import bands
+from creditloom.functions.text import section_name
 from creditloom.operators import (
     decisions,
     drift,
+    drivers,
     features,
     latest,
     metrics,
+    model,
     portfolio,
     quality,
+    registry,
+    retrieval,
     staging,
     training_set,
 )
 from creditloom.plans.given_lake import GivenLake, lake
-from creditloom.plans.silver import COMPUTED_AT, PROCESSED_AT
-from creditloom.session import write_stage
+from creditloom.session import stage_path, write_stage
+from creditloom.sources import audit, landing
+from creditloom.sources.given_tables import application_key
 
 _QUERIES: dict[str, Callable[[GivenLake], DataFrame]] = {}
 
@@ -108,12 +116,7 @@ def _silver_report(gl: GivenLake) -> DataFrame:
 
 @query
 def dq_report(gl: GivenLake) -> DataFrame:
-    bronze = {
-        "loan_applications": gl.silver.bronze_loans,
-        "credit_bureau": gl.silver.bronze_bureau,
-        "transactions": gl.silver.bronze_transactions,
-    }
-    bronze_report = quality.run_suite(bronze, quality.BRONZE_CHECKS)
+    bronze_report = quality.run_suite(_bronze(gl), quality.BRONZE_CHECKS)
     return _silver_report(gl).unionByName(bronze_report)
 
 
@@ -350,3 +353,360 @@ def upsert_latest(gl: GivenLake) -> DataFrame:
     )
     rerun = rerun.withColumn("risk_grade", bands.risk_grade(F.col(_ENS)))
     return latest.upsert(target, rerun, keys, update_columns=[_ENS, "risk_grade"])
+
+
+@query
+def monitoring_history(gl: GivenLake) -> DataFrame:
+    """One snapshot per model version, newest first."""
+    snapshots = [
+        drift.drift_snapshot(gl.predictions, gl.as_of, grain="year", model_version=v)
+        for v in VERSIONS
+    ]
+    return portfolio.monitoring_history(reduce(DataFrame.unionByName, snapshots))
+
+
+# --------------------------------------------------------------------------- landing, audit
+
+
+def _year_end(text_date: str) -> Column:
+    return F.make_date(F.year(F.col(text_date).cast("date")), F.lit(12), F.lit(31))
+
+
+_LANDED_AT = dt.datetime(2002, 1, 1)
+_SOURCE_DATES = {
+    "loan_applications": "application_date",
+    "credit_bureau": "bureau_pull_date",
+    "transactions": "transaction_date",
+}
+
+
+def _bronze(gl: GivenLake) -> dict[str, DataFrame]:
+    return {
+        "loan_applications": gl.silver.bronze_loans,
+        "credit_bureau": gl.silver.bronze_bureau,
+        "transactions": gl.silver.bronze_transactions,
+    }
+
+
+def _landed_loans(gl: GivenLake) -> DataFrame:
+    """Loans as landed by one run per year."""
+    return landing.with_ingest_metadata(
+        gl.silver.bronze_loans,
+        _year_end("application_date"),
+        ingested_at=_LANDED_AT,
+        source_file="loan_applications.csv",
+    )
+
+
+@query
+def bronze_metadata(gl: GivenLake) -> DataFrame:
+    landed = _landed_loans(gl)
+    return landed.withColumn(
+        "_bronze_ingested_at", F.col("_bronze_ingested_at").cast("timestamp_ntz")
+    )
+
+
+@query
+def bronze_partition_read(gl: GivenLake) -> DataFrame:
+    base = stage_path(gl.spark, "bronze")
+    landing.write_bronze(
+        _landed_loans(gl), base, "loan_applications", F.col("_bronze_execution_date")
+    )
+    day = dt.date(1998, 12, 31)
+    landed = landing.read_bronze(gl.spark, base, "loan_applications", day)
+    return landed.select("application_id", "loan_amount_inr", "_bronze_execution_date")
+
+
+@query
+def ingest_profile(gl: GivenLake) -> DataFrame:
+    profiles = [audit.profile_ingest(df, name) for name, df in _bronze(gl).items()]
+    return reduce(DataFrame.unionByName, profiles).select(
+        "source_name",
+        "row_count",
+        F.size("column_names").alias("columns"),
+        F.element_at("column_dtypes", "customer_id").alias("customer_id_type"),
+        "row_hash",
+    )
+
+
+def _audit_events(gl: GivenLake) -> DataFrame:
+    """A run per source and year logs that it started and then how many rows it landed."""
+    parts = []
+    for source, df in _bronze(gl).items():
+        day = _year_end(_SOURCE_DATES[source]).alias("execution_date")
+        counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
+        started = F.col("execution_date").cast("timestamp_ntz")
+        events = F.array(
+            F.struct(
+                F.lit("running").alias("status"),
+                F.lit(None).cast("bigint").alias("row_count"),
+                started.alias("ingested_at"),
+            ),
+            F.struct(
+                F.lit("success").alias("status"),
+                F.col("rows").alias("row_count"),
+                (started + F.expr("interval 1 minute")).alias("ingested_at"),
+            ),
+        )
+        run = F.concat(F.lit("run-"), F.col("execution_date").cast("string"))
+        parts.append(
+            counts.select(
+                run.alias("run_id"),
+                F.lit(source).alias("source_name"),
+                "execution_date",
+                F.inline(events),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def audit_latest(gl: GivenLake) -> DataFrame:
+    return audit.latest_audit(_audit_events(gl))
+
+
+def _snapshots(gl: GivenLake) -> DataFrame:
+    parts = [
+        audit.schema_snapshot(df, source, _year_end(_SOURCE_DATES[source]))
+        for source, df in _bronze(gl).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def schema_snapshot(gl: GivenLake) -> DataFrame:
+    return _snapshots(gl).select(
+        "source_name",
+        "snapshot_date",
+        audit.schema_json(F.col("column_dtypes")).alias("column_dtypes"),
+        "schema_hash",
+    )
+
+
+@query
+def schema_drift(gl: GivenLake) -> DataFrame:
+    compared = audit.schema_drift(_snapshots(gl))
+    listed = {c: F.concat_ws(",", c) for c in ("added", "removed", "retyped")}
+    return compared.withColumns(listed)
+
+
+# --------------------------------------------------------------------------- registry
+
+VERSIONS = ["v0", "v1", "v2"]
+
+
+def _model_rows(gl: GivenLake) -> DataFrame:
+    """One row per scored model version with its metrics, ready to be registered."""
+    scores = {
+        "rf_auc": "pd_probability_rf",
+        "lr_auc": "pd_probability_lr",
+        "ensemble_auc": "pd_probability_ens",
+    }
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("score")) for m, c in scores.items()]
+    long = gl.labelled_scores.select(
+        "model_version", "default_flag", F.inline(F.array(*cells))
+    )
+    aucs = metrics.roc_auc(long, "score", "default_flag", by=["model_version", "metric"])
+    wide = aucs.groupBy("model_version").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("auc"))).alias(m) for m in scores],
+        F.max(F.col("positives") + F.col("negatives")).alias("test_rows"),
+    )
+    number = F.substring("model_version", 2, 10).cast("int")
+    registered = F.timestamp_add("DAY", number, F.lit(str(_LANDED_AT)).cast("timestamp"))
+    rows = wide.withColumns(
+        {
+            "avg_precision": F.lit(None).cast("double"),
+            "feature_count": F.lit(22),
+            "train_rows": F.lit(0).cast("bigint"),
+            "trained_at": registered,
+            "registered_at": registered,
+            "notes": F.lit(None).cast("string"),
+        }
+    )
+    return write_stage(rows, "model_rows")
+
+
+def _registry(gl: GivenLake) -> DataFrame:
+    models = _model_rows(gl)
+    table = gl.spark.createDataFrame([], registry.REGISTRY_SCHEMA)
+    for v in VERSIONS:
+        table = registry.register(table, models.where(F.col("model_version") == v), promote=True)
+    return table
+
+
+def _registry_view(table: DataFrame) -> DataFrame:
+    at = F.col("registered_at").cast("timestamp_ntz").alias("registered_at")
+    return table.select("model_version", "ensemble_auc", "test_rows", "status", at)
+
+
+@query
+def registry_transition(gl: GivenLake) -> DataFrame:
+    return _registry_view(_registry(gl))
+
+
+@query
+def model_registry(gl: GivenLake) -> DataFrame:
+    """The listing after version v0 was promoted by hand."""
+    promoted = registry.promote(_registry(gl), "v0")
+    return _registry_view(registry.list_models(promoted))
+
+
+# --------------------------------------------------------------------------- live scoring, drivers
+
+#: Given coefficients, so that scores and drivers can be restated in SQL: (weight, centre).
+WEIGHTS = {
+    "annual_income_inr": (-0.000001, 300000.0),
+    "loan_term_months": (0.002, 48.0),
+    "credit_score": (-0.004, 600.0),
+    "loan_to_income_ratio": (0.35, 1.5),
+    "collateral_coverage_ratio": (-0.01, 5.0),
+    "dti_ratio": (0.8, 0.4),
+    "delinquency_rate": (0.7, 0.1),
+    "hard_inquiries_6m": (0.05, 2.0),
+    "bureau_utilisation_pct": (0.6, 0.5),
+    "emi_regularity_score": (-0.3, 0.5),
+    "credit_stress_score": (0.25, 1.0),
+    "total_txns_12m": (-0.01, 5.0),
+}
+
+
+@query
+def score_missing(gl: GivenLake) -> DataFrame:
+    """Applications last scored before 2000 keep their score, all others are scored now."""
+    old = gl.predictions.where(F.col("scored_at") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    cached = decisions.latest_prediction(old)
+    scorer = model.logistic_scorer(WEIGHTS, intercept=-0.2, version="live")
+    return model.score_missing(gl.scoring, cached, scorer)
+
+
+def _given_drivers(gl: GivenLake) -> DataFrame:
+    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
+    return drivers.ranked_drivers(parts, list(WEIGHTS))
+
+
+@query
+def linear_drivers(gl: GivenLake) -> DataFrame:
+    return _given_drivers(gl)
+
+
+@query
+def driver_explanation(gl: GivenLake) -> DataFrame:
+    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
+    return drivers.explanation_rows(parts, list(WEIGHTS))
+
+
+@query
+def driver_narrative(gl: GivenLake) -> DataFrame:
+    return drivers.driver_narrative(_given_drivers(gl))
+
+
+@query
+def driver_text(gl: GivenLake) -> DataFrame:
+    return drivers.driver_text(_given_drivers(gl))
+
+
+@query
+def pd_scores(gl: GivenLake) -> DataFrame:
+    """Fit on the labelled applications, score all of them."""
+    return model.score(gl.scoring, gl.trained.model, "v1", _LANDED_AT)
+
+
+@query
+def model_metrics(gl: GivenLake) -> DataFrame:
+    run = gl.trained
+    rows = [(m, v) for m, v in run.metrics.items()]
+    sizes = [("train_rows", float(run.train_rows)), ("test_rows", float(run.test_rows))]
+    return gl.spark.createDataFrame(rows + sizes, "metric string, value double")
+
+
+@query
+def risk_drivers(gl: GivenLake) -> DataFrame:
+    """Forest drivers of every application."""
+    fitted = gl.trained.model
+    parts = drivers.tree_contributions(gl.scoring, fitted)
+    return drivers.ranked_drivers(parts, fitted.spec.columns)
+
+
+# --------------------------------------------------------------------------- retrieval
+
+
+@query
+def chunk_documents(gl: GivenLake) -> DataFrame:
+    chunks = retrieval.chunk_documents(gl.table("documents"), source="doc_id")
+    return chunks.select("id", "text", "metadata.*")
+
+
+@query
+def chunk_stats(gl: GivenLake) -> DataFrame:
+    chunks = retrieval.chunk_documents(gl.table("documents"), source="doc_id")
+    return retrieval.chunk_stats(chunks)
+
+
+def _topic_hits(gl: GivenLake) -> DataFrame:
+    """For every label the vectors nearest to the label's mean vector."""
+    vectors = gl.table("embeddings")
+    topics = retrieval.centroids(vectors, "label").withColumnRenamed("label", "query_id")
+    return retrieval.vector_topk(topics, vectors)
+
+
+@query
+def vector_topk(gl: GivenLake) -> DataFrame:
+    return _topic_hits(gl).withColumn("distance", F.round("distance", 4))
+
+
+def _passages(gl: GivenLake) -> DataFrame:
+    """Every document as a passage; document and vector share their number."""
+    return gl.table("documents").select(
+        F.col("doc_id").alias("vec_id"),
+        "source",
+        section_name(F.col("text")).alias("section"),
+        "text",
+    )
+
+
+@query
+def cited_sources(gl: GivenLake) -> DataFrame:
+    cited = retrieval.cited_hits(_topic_hits(gl), _passages(gl))
+    return cited.select("query_id", "rank", "source", "section", "excerpt", "distance")
+
+
+@query
+def cited_context(gl: GivenLake) -> DataFrame:
+    return retrieval.context_blocks(retrieval.cited_hits(_topic_hits(gl), _passages(gl)))
+
+
+def _questions(gl: GivenLake) -> DataFrame:
+    """Every user turn asks about one application and one topic."""
+    conv = F.col("conv_id")
+    turns = gl.table("conversations").where(F.col("role") == "user")
+    return turns.select(
+        F.concat_ws("-", conv.cast("string"), F.col("turn").cast("string")).alias("question_id"),
+        F.col("text").alias("question"),
+        (conv % 10).cast("int").alias("query_id"),
+        F.lower(application_key(conv)).alias("application_id"),
+    )
+
+
+@query
+def analyst_prompts(gl: GivenLake) -> DataFrame:
+    contexts = retrieval.context_blocks(retrieval.cited_hits(_topic_hits(gl), _passages(gl)))
+    texts = drivers.driver_text(_given_drivers(gl))
+    return retrieval.prompt_rows(_questions(gl), contexts, gl.decided, texts)
+
+
+@query
+def tfidf_topk(gl: GivenLake) -> DataFrame:
+    """Nearest chunks of every user question, over all chunks of all documents."""
+    chunks = write_stage(
+        retrieval.chunk_documents(gl.table("documents"), source="doc_id").select("id", "text"),
+        "chunks",
+    )
+    weights = retrieval.fit_embedding(chunks)
+    corpus = retrieval.embed(chunks, weights).select("id", "embedding")
+    asked = retrieval.embed(
+        _questions(gl).select(F.col("question_id").alias("query_id"), "question"),
+        weights,
+        text="question",
+    )
+    queries_ = asked.select("query_id", "embedding")
+    return retrieval.vector_topk(queries_, corpus, vector_id="id")

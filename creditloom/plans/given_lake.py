@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators import decisions, training_set
+from creditloom.operators import decisions, model, training_set
 from creditloom.plans.silver import Silver
 from creditloom.session import configure, write_stage
 from creditloom.sources import given_tables as given
@@ -41,6 +41,10 @@ class GivenLake:
     def training(self) -> DataFrame:
         return self.scoring.where(F.col(training_set.LABEL).isNotNull())
 
+    @cached_property
+    def trained(self) -> model.TrainingRun:
+        return model.train(self.training)
+
     @cached_property
     def decided(self) -> DataFrame:
         decided = decisions.decide_applications(self.predictions, self.silver.feat_dti_ratio)

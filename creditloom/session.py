@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import creditloom
+
+# Functions that run inside tasks travel with the task, so executors need no installation.
+cloudpickle.register_pickle_by_value(creditloom)
+
 #: SQL settings every plan in this package assumes.  All are runtime settings, so they can
 #: be applied to a session that somebody else created.
 RUNTIME_CONF = {

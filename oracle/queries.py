@@ -467,3 +467,370 @@ ORACLE["upsert_latest"] = sql(
        from t full join u on u.application_id = t.application_id
                           and u.model_version = t.model_version)"""
 )
+
+
+def _version_snapshot(version: str) -> str:
+    """The yearly drift snapshot of one model version."""
+    mine = f"(select * from predictions where model_version = '{version}')"
+    years = f"select %s(year(scored_at)) from {mine}"
+    first, last = (f"year(scored_at) = ({years % f})" for f in ("min", "max"))
+    ks = _ks(first, last).replace("from predictions where", f"from {mine} where")
+    return f"""
+        select max(model_version) as model_version, DATE '2001-08-01' as snapshot_date,
+               count(*) as total_scored, round(avg(pd_probability_ens), 6) as avg_pd,
+               round(stddev_pop(pd_probability_ens), 6) as std_pd, {_SHARES},
+               any_value(ks) as ks_statistic, any_value(p) as ks_pvalue,
+               any_value(p) <= 0.05 and any_value(ks) >= 0.05 as drift_detected,
+               if(any_value(p) > 0.05 or any_value(ks) < 0.05, 'none',
+                  if(any_value(ks) < 0.1, 'minor',
+                     if(any_value(ks) < 0.2, 'moderate', 'severe'))) as drift_severity
+        from {mine}, (select round(d, 6) as ks, round({_P_VALUE}, 6) as p from ({ks}))
+        where {last}"""
+
+
+ORACLE["monitoring_history"] = sql(
+    " union all ".join(_version_snapshot(v) for v in ("v0", "v1", "v2"))
+)
+
+# --------------------------------------------------------------------------- landing, audit
+
+FRAGMENTS["landed_loans"] = """
+select *, TIMESTAMP '2002-01-01 00:00:00' as _bronze_ingested_at,
+       'loan_applications.csv' as _bronze_source_file,
+       concat(substr(application_date, 1, 4), '-12-31') as _bronze_execution_date
+from bronze_loans
+"""
+ORACLE["bronze_metadata"] = sql("select * from landed_loans")
+ORACLE["bronze_partition_read"] = sql(
+    """select application_id, loan_amount_inr, _bronze_execution_date
+       from landed_loans where _bronze_execution_date = '1998-12-31'"""
+)
+_BRONZE_TABLES = {
+    "loan_applications": (
+        "bronze_loans",
+        "application_date",
+        "application_id customer_id application_date loan_amount_inr loan_term_months "
+        "annual_income_inr employment_type loan_purpose existing_loans credit_score "
+        "collateral_value default_flag",
+    ),
+    "credit_bureau": (
+        "bronze_bureau",
+        "bureau_pull_date",
+        "customer_id bureau_pull_date credit_score total_accounts open_accounts "
+        "delinquent_accounts credit_utilisation_pct oldest_account_months hard_inquiries_6m "
+        "total_credit_limit_inr total_balance_inr",
+    ),
+    "transactions": (
+        "bronze_txn",
+        "transaction_date",
+        "transaction_id customer_id transaction_date amount_inr transaction_type "
+        "balance_after_inr is_flagged",
+    ),
+}
+
+
+def _profile(source: str) -> str:
+    table, _, columns = _BRONZE_TABLES[source]
+    names = columns.split()
+    listed = str(sorted(names)).replace("'", "''")
+    return f"""select '{source}' as source_name, count(*) as row_count,
+                      {len(names)} as columns, 'string' as customer_id_type,
+                      substr(sha256('{listed}|' || count(*)), 1, 16) as row_hash from {table}"""
+
+
+ORACLE["ingest_profile"] = sql(" union all ".join(_profile(s) for s in _BRONZE_TABLES))
+
+
+def _runs(source: str) -> str:
+    table, day, _ = _BRONZE_TABLES[source]
+    return f"""select concat('run-', y, '-12-31') as run_id, '{source}' as source_name,
+                      cast(concat(y, '-12-31') as date) as execution_date, 'success' as status,
+                      n as row_count,
+                      cast(concat(y, '-12-31') as timestamp) + interval 1 minute as ingested_at
+               from (select substr({day}, 1, 4) as y, count(*) as n from {table} group by 1)"""
+
+
+ORACLE["audit_latest"] = sql(" union all ".join(_runs(s) for s in _BRONZE_TABLES))
+
+
+def _snapshot(source: str) -> str:
+    table, day, columns = _BRONZE_TABLES[source]
+
+    def entry(c: str) -> str:
+        text = f"trim(cast({c} as varchar))"
+        whole = f"count(*) filter (where regexp_matches({text}, '^[+-]?\\d+$'))"
+        number = (
+            f"count(*) filter (where regexp_matches({text}, "
+            f"'^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$'))"
+        )
+        kind = (
+            f"case when {whole} = count(*) then 'int64' when {number} = count({c}) "
+            "then 'float64' else 'object' end"
+        )
+        return f"'\"{c}\": \"' || {kind} || '\"'"
+
+    entries = " || ', ' || ".join(entry(c) for c in sorted(columns.split()))
+    return f"""select '{source}' as source_name,
+                      cast(concat(substr({day}, 1, 4), '-12-31') as date) as snapshot_date,
+                      '{{' || {entries} || '}}' as column_dtypes
+               from {table} group by substr({day}, 1, 4)"""
+
+
+FRAGMENTS["snapshots"] = (
+    "select *, substr(sha256(column_dtypes), 1, 16) as schema_hash from ("
+    + " union all ".join(_snapshot(s) for s in _BRONZE_TABLES)
+    + ")"
+)
+ORACLE["schema_snapshot"] = sql("select * from snapshots")
+ORACLE["schema_drift"] = sql(
+    """select source_name, snapshot_date, schema_hash, previous_hash,
+              previous_hash is not null and previous_hash <> schema_hash as changed,
+              '' as added, '' as removed,
+              ifnull(list_aggregate(list_sort(list_filter(json_keys(column_dtypes), lambda c:
+                  json_extract_string(column_dtypes, c)
+                  <> json_extract_string(ifnull(was, column_dtypes), c))), 'string_agg', ','), '')
+                  as retyped
+       from (select *, lag(schema_hash) over w as previous_hash, lag(column_dtypes) over w as was
+             from snapshots window w as (partition by source_name order by snapshot_date))"""
+)
+
+# --------------------------------------------------------------------------- registry
+
+FRAGMENTS["version_auc"] = """
+select model_version, sum(pos * (below + neg / 2.0::double)) / (sum(pos)::double * sum(neg)) as auc,
+       cast(sum(pos) + sum(neg) as bigint) as test_rows
+from (select *, coalesce(sum(neg) over (partition by model_version order by score
+                    rows between unbounded preceding and 1 preceding), 0)::double as below
+      from (select model_version, pd_probability_ens as score,
+                   count(*) filter (where default_flag = 1) as pos,
+                   count(*) filter (where default_flag = 0) as neg
+            from labelled_scores group by 1, 2))
+group by model_version
+"""
+FRAGMENTS["registered"] = """
+select model_version, round(auc, 8) as ensemble_auc, test_rows,
+       TIMESTAMP '2002-01-01' + to_days(cast(substr(model_version, 2) as integer))
+           as registered_at,
+       -- a version takes over when it beats every version that was active before it
+       auc > coalesce(max(auc) over (order by model_version
+                      rows between unbounded preceding and 1 preceding), -1) as took_over
+from version_auc
+"""
+ORACLE["registry_transition"] = sql(
+    """select model_version, ensemble_auc, test_rows,
+              if(not took_over, 'candidate', if(model_version =
+                 (select max(model_version) from registered where took_over),
+                 'active', 'retired')) as status, registered_at
+       from registered"""
+)
+ORACLE["model_registry"] = sql(
+    """select model_version, ensemble_auc, test_rows,
+              if(model_version = 'v0', 'active', if(took_over, 'retired', 'candidate'))
+                  as status, registered_at
+       from registered"""
+)
+
+# --------------------------------------------------------------------------- live scoring, drivers
+
+WEIGHTS = {
+    "annual_income_inr": (-0.000001, 300000.0),
+    "loan_term_months": (0.002, 48.0),
+    "credit_score": (-0.004, 600.0),
+    "loan_to_income_ratio": (0.35, 1.5),
+    "collateral_coverage_ratio": (-0.01, 5.0),
+    "dti_ratio": (0.8, 0.4),
+    "delinquency_rate": (0.7, 0.1),
+    "hard_inquiries_6m": (0.05, 2.0),
+    "bureau_utilisation_pct": (0.6, 0.5),
+    "emi_regularity_score": (-0.3, 0.5),
+    "credit_stress_score": (0.25, 1.0),
+    "total_txns_12m": (-0.01, 5.0),
+}
+
+
+def _part(c: str) -> str:
+    w, centre = WEIGHTS[c]
+    return f"coalesce(({c}::double - {centre}::double) * {w!r}::double, 0::double)"
+
+
+_SCORE = " + ".join(["(-0.2::double)", *[_part(c) for c in WEIGHTS]])
+_COLUMNS = (
+    "application_id, customer_id, pd_probability_rf, pd_probability_lr, pd_probability_ens, "
+    "pd_prediction, risk_grade, model_version"
+)
+ORACLE["score_missing"] = sql(
+    f"""select * from (with stored as (
+           select * from predictions where scored_at < TIMESTAMP '2000-01-01'
+           qualify row_number() over (partition by application_id order by scored_at desc) = 1),
+       live as (
+           select application_id, customer_id, round(1 / (1 + exp(-({_SCORE}))), 6) as p
+           from scoring_frame where application_id not in (select application_id from stored))
+       select {_COLUMNS}, 'cache' as source from stored
+       union all
+       select application_id, customer_id, p, p, round(p, 6), if(p >= 0.5, 1, 0),
+              if(p < 0.05, 'A', if(p < 0.15, 'B', if(p < 0.3, 'C', if(p < 0.5, 'D', 'E')))),
+              'live', 'live_inference'
+       from (select *  replace (round(0.7::double * p + 0.3::double * p, 6) as p) from live))"""
+)
+FRAGMENTS["driver_cells"] = " union all ".join(
+    f"select application_id, customer_id, {i} as place, '{c}' as feature_name, "
+    f"{c}::double as v, {_part(c)} as part from scoring_frame"
+    for i, c in enumerate(WEIGHTS)
+)
+
+
+def _drivers(digits: int, down: str, smallest: str) -> str:
+    return f"""
+    select application_id, customer_id, cast(place as integer) as rank, feature_name,
+           cast(printf('%.4f', v) as double) as feature_value,
+           cast(printf('%.{digits}f', part) as double) as shap_value,
+           if(part > 0, 'increases_risk', '{down}') as direction,
+           replace(feature_name, '_', ' ') as label
+    from (select * replace (row_number() over (partition by application_id
+                                order by abs(part) desc, place) as place)
+          from driver_cells where abs(part) >= {smallest})
+    where place <= 10"""
+
+
+FRAGMENTS["top_drivers"] = _drivers(6, "decreases_risk", "0")
+ORACLE["linear_drivers"] = sql("select * from top_drivers")
+ORACLE["driver_explanation"] = sql(_drivers(5, "reduces_risk", "0.000001"))
+ORACLE["driver_narrative"] = sql(
+    """select application_id, concat('The primary factors increasing default risk are: ',
+              coalesce(array_to_string(list(t order by rank) filter (where up)[1:3], ', '),
+                       'no dominant risk factors'),
+              '. Protective factors include: ',
+              coalesce(array_to_string(list(t order by rank) filter (where not up)[1:2], ', '),
+                       'no significant protective factors'), '.') as narrative
+       from (select *, direction = 'increases_risk' as up,
+                    label || ' (' || cast(feature_value as varchar) || ')' as t from top_drivers)
+       group by application_id"""
+)
+FRAGMENTS["driver_texts"] = """
+select application_id, concat('Top risk drivers for ', application_id, ':', chr(10),
+       string_agg(concat('  ', rank, '. ', feature_name, ' (SHAP=', printf('%+.4f', shap_value),
+           ') → ', if(direction = 'increases_risk', 'INCREASES default risk',
+                      'DECREASES default risk (protective factor)')),
+           chr(10) order by rank)) as driver_text
+from top_drivers where rank <= 5 group by application_id
+"""
+ORACLE["driver_text"] = sql("select * from driver_texts")
+
+# --------------------------------------------------------------------------- retrieval
+
+_TRIM = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"
+FRAGMENTS["chunks"] = f"""
+with recursive paragraphs as (
+    select doc_id, p, {_TRIM % "body"} as body from (
+        select doc_id, unnest(string_split(text, chr(10) || chr(10))) as body,
+               generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as p
+        from documents)
+), lines as (
+    select doc_id, p, row_number() over (partition by doc_id, p order by i) as i, line from (
+        select doc_id, p, {_TRIM % "piece"} as line, i from (
+            select doc_id, p, unnest(string_split(body, chr(10))) as piece,
+                   generate_subscripts(string_split(body, chr(10)), 1) as i
+            from paragraphs where length(body) > 800))
+    where line <> ''
+), packed as (
+    select doc_id, p, i, line as current, cast(null as varchar) as done from lines where i = 1
+    union all
+    select l.doc_id, l.p, l.i,
+           if(length(k.current) + length(l.line) + 1 <= 800,
+              k.current || chr(10) || l.line, l.line),
+           if(length(k.current) + length(l.line) + 1 <= 800, null, k.current)
+    from packed k join lines l on l.doc_id = k.doc_id and l.p = k.p and l.i = k.i + 1
+), pieces as (
+    select doc_id, p, 0::bigint as i, body as text from paragraphs
+    where length(body) between 1 and 800
+    union all select doc_id, p, i, done from packed where done is not null
+    union all select doc_id, p, i + 1, current from packed
+    qualify row_number() over (partition by doc_id, p order by i desc) = 1
+)
+select cast(doc_id as varchar) as source, text,
+       cast(row_number() over (partition by doc_id order by p, i) - 1 as integer) as chunk_index,
+       cast(count(*) over (partition by doc_id) as integer) as total_chunks
+from pieces where length(text) > 30
+"""
+ORACLE["chunk_documents"] = sql(
+    """select substr(sha256(concat(source, '::', chunk_index, '::', substr(text, 1, 50))), 1, 16)
+                  as id, text, source, source || '.txt' as filename,
+              coalesce(nullif(lower(trim(regexp_extract(text,
+                  'SECTION\\s+\\d+[:\\s]+([^\\n]+)', 1))), ''), 'general') as section,
+              chunk_index, cast(length(text) as integer) as char_count, total_chunks
+       from chunks"""
+)
+ORACLE["chunk_stats"] = sql(
+    """select source, count(*) as chunks, cast(sum(length(text)) as bigint) as chars,
+              cast(min(length(text)) as integer) as shortest,
+              cast(max(length(text)) as integer) as longest
+       from chunks group by source"""
+)
+FRAGMENTS["topic_hits"] = """
+with cells as (
+    select label, unnest(embedding)::double as x,
+           generate_subscripts(embedding, 1) as pos from embeddings
+), topics as (
+    select label, list(m order by pos) as centre
+    from (select label, pos, avg(x) as m from cells group by label, pos) group by label
+), pairs as (
+    select t.label as query_id, e.vec_id,
+           1 - list_cosine_similarity(t.centre, e.embedding::double[]) as distance
+    from topics t, embeddings e
+)
+select query_id, cast(place as integer) as rank, vec_id, distance
+from (select *, row_number() over (partition by query_id
+                    order by round(distance, 6), vec_id) as place from pairs)
+where place <= 5
+"""
+ORACLE["vector_topk"] = sql(
+    "select query_id, rank, vec_id, round(distance, 4) as distance from topic_hits"
+)
+FRAGMENTS["cited"] = """
+select h.query_id, h.rank, d.source,
+       coalesce(nullif(lower(trim(regexp_extract(d.text,
+           'SECTION\\s+\\d+[:\\s]+([^\\n]+)', 1))), ''), 'general') as section,
+       d.text, round(h.distance, 4) as distance
+from topic_hits h join documents d on d.doc_id = h.vec_id
+"""
+ORACLE["cited_sources"] = sql(
+    """select query_id, rank, source, section, substr(text, 1, 200) as excerpt, distance
+       from cited"""
+)
+FRAGMENTS["contexts"] = """
+select query_id, count(*) as n_sources,
+       string_agg(concat('[Source ', rank, ': ', source, ' — ', section, ']', chr(10), text),
+                  chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)
+           as policy_context
+from cited group by query_id
+"""
+ORACLE["cited_context"] = sql("select * from contexts")
+_INSTRUCTIONS = (
+    "You assist a retail credit officer. Answer from the numbered policy passages and cite "
+    "them as [Source N]. Use the customer''s default probability and risk drivers when they "
+    "are given. If the passages do not settle the question, say so; do not invent thresholds. "
+    "Give the answer, its policy basis and a recommendation."
+)
+ORACLE["analyst_prompts"] = sql(
+    f"""select question_id, id as application_id,
+              concat_ws(chr(10) || chr(10), '{_INSTRUCTIONS}',
+                 concat('RELEVANT POLICY CONTEXT:', chr(10), chr(10), ifnull(policy_context, '')),
+                 chr(10) || 'CUSTOMER RISK PROFILE:' || chr(10)
+                     || '  Application ID : ' || p.application_id || chr(10)
+                     || '  Customer ID    : ' || p.customer_id || chr(10)
+                     || '  PD Probability : ' || printf('%.2f%%', pd_probability_ens * 100)
+                     || chr(10)
+                     || '  Risk Grade     : ' || risk_grade || '  (A=lowest, E=highest)' || chr(10)
+                     || '  Model Version  : ' || model_version,
+                 if(p.application_id is null, null,
+                    chr(10) || 'SHAP RISK DRIVERS:' || chr(10) || driver_text),
+                 chr(10) || 'CREDIT ANALYST QUESTION:' || chr(10) || q.text || chr(10) || chr(10)
+                     || 'Provide a thorough, policy-grounded answer with source citations.')
+              as prompt
+       from (select *, concat(conv_id, '-', turn) as question_id, conv_id % 10 as topic,
+                    concat('APP', lpad(cast(conv_id as varchar), 12, '0')) as id
+             from conversations where role = 'user') q
+       left join latest p on p.application_id = q.id
+       left join driver_texts t on t.application_id = q.id
+       left join contexts c on c.query_id = q.topic"""
+)
