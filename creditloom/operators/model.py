@@ -33,7 +33,7 @@ from creditloom.operators.training_set import (
     time_split,
     with_class_weight,
 )
-from creditloom.session import write_stage
+from creditloom.session import side_by_side, write_stage
 
 # Weights of the blend and the class threshold.
 RF_WEIGHT, LR_WEIGHT = 0.70, 0.30
@@ -117,12 +117,21 @@ def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
     # both fits pass over the encoded rows several times
     rows = write_stage(weighted, "encoded")
     vectors = _vectors(rows, spec.columns).select(LABEL, "class_weight", "features")
-    rf = _forest(profile).fit(vectors)
+    rf, (scaler, lr) = side_by_side(
+        lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)
+    )
+    return PdModel(spec, scaler, rf, lr)
+
+
+def _regression(
+    vectors: DataFrame, profile: Profile
+) -> tuple[StandardScalerModel, LogisticRegressionModel]:
+    """Standardise, then fit; L2 strength is given as C, the weight of the summed loss."""
     scaler = StandardScaler(
         inputCol="features", outputCol="scaled", withMean=True, withStd=True
     ).fit(vectors)
-    # C weighs the summed loss against the penalty; here the loss is an average over the weights
-    total = rows.agg(F.sum("class_weight")).first()[0]
+    # the loss minimised here is an average over the weights, hence the division
+    total = vectors.agg(F.sum("class_weight")).first()[0]
     lr = LogisticRegression(
         labelCol=LABEL,
         featuresCol="scaled",
@@ -131,8 +140,8 @@ def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
         elasticNetParam=0.0,
         standardization=False,
         maxIter=1000,
-    ).fit(scaler.transform(vectors))
-    return PdModel(spec, scaler, rf, lr)
+    )
+    return scaler, lr.fit(scaler.transform(vectors))
 
 
 def _probability(model, df: DataFrame, features: str, name: str) -> DataFrame:

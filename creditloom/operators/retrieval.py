@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from creditloom.functions.text import percent, section_name, short_hash, strip
 from creditloom.operators.latest import upsert
+from creditloom.session import spread
 
 # Chunk sizes, id layout, result size, separators and headings.
 MAX_CHUNK_CHARS = 800
@@ -89,9 +90,9 @@ def chunk_texts(
 def chunk_documents(
     docs: DataFrame, source: str = "source", text: str = "text", filename: str | None = None
 ) -> DataFrame:
-    """One row per chunk: id, text and a metadata struct.  No shuffle: a document is one row."""
+    """One row per chunk: id, text and a metadata struct; every document is chunked in its row."""
     file = F.concat(F.col(source).cast("string"), F.lit(".txt")) if filename is None else filename
-    split = docs.select(
+    split = spread(docs).select(
         F.col(source).cast("string").alias("_source"),
         (file if isinstance(file, Column) else F.col(file)).alias("_file"),
         chunk_texts(F.col(text)).alias("_chunks"),
@@ -212,7 +213,7 @@ def vector_topk(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    corpus = vectors.select(vector_id, embedding)
+    corpus = spread(vectors.select(vector_id, embedding))
     best = None
     for b in range(blocks):
         block = queries.select(query_id, embedding).where(block_of == b).toPandas()

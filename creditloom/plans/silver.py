@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from creditloom.operators import features, staging
-from creditloom.session import write_stage
+from creditloom.session import side_by_side, write_stage
 
 PROCESSED_AT = "silver_processed_at"
 COMPUTED_AT = "feature_computed_at"
@@ -61,5 +61,8 @@ class Silver:
         return self._built(util, "feat_credit_util", COMPUTED_AT)
 
     def tables(self) -> dict[str, DataFrame]:
+        """All tables; models that do not depend on each other are built side by side."""
+        side_by_side(lambda: self.stg_loans, lambda: self.stg_credit)
+        side_by_side(lambda: self.feat_dti_ratio, lambda: self.feat_credit_util)
         names = ("stg_loans", "stg_credit", "feat_dti_ratio", "feat_credit_util")
         return {name: getattr(self, name) for name in names}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +89,20 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer tasks than cores one task per core before heavy per-row work.
+
+    A table with at least as many scan tasks as cores is left alone, so a large table is
+    never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def side_by_side(*steps: Callable) -> list:
+    """Run independent driver steps at once, so that their jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        jobs = [pool.submit(step) for step in steps]
+    return [job.result() for job in jobs]

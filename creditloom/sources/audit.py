@@ -64,9 +64,14 @@ def audit_event(
     return spark.createDataFrame([tuple(row[n] for n in names)], AUDIT_SCHEMA)
 
 
-def append_audit(event: DataFrame, path: str) -> None:
-    """The log is append-only; the current state of a run is :func:`latest_audit`."""
-    event.coalesce(1).write.mode("append").parquet(path)
+def append_audit(event: DataFrame, path: str, source: str) -> None:
+    """The log is append-only; the current state of a run is :func:`latest_audit`.
+
+    Each source has its own folder, so sources that land side by side do not share a
+    commit directory.
+    """
+    rows = event.drop("source_name").coalesce(1)
+    rows.write.mode("append").parquet(f"{path}/source_name={source}")
 
 
 def latest_audit(events: DataFrame) -> DataFrame:

@@ -1,0 +1,5 @@
+"""Incremental landing.
+
+The work itself is a daily batch, so there are no event-time windows here: the one streaming
+job picks up source files that arrived since the last run, each exactly once.
+"""
