@@ -30,26 +30,27 @@ class Period:
         return (F.col(self.column) >= start) & (F.col(self.column) < end)
 
 
-def extreme_period(
-    predictions: DataFrame, which: str, grain: str = "day", at: str = "scored_at"
-) -> Period | None:
-    """The first ('min') or last ('max') scoring day (or month, or year); one row is read."""
-    pick = {"min": F.min, "max": F.max}[which]
-    row = (
-        predictions.agg(F.date_trunc(grain, pick(at)).alias("start"))
-        .withColumn("end", F.expr(f"timestampadd({grain.upper()}, 1, start)"))
-        .select(F.col("start").cast("string"), F.col("end").cast("string"))
-        .first()
+def scoring_periods(
+    predictions: DataFrame, grain: str = "day", at: str = "scored_at"
+) -> tuple[Period, Period] | None:
+    """The first and the last scoring day (or month, or year); one row is read."""
+    starts = predictions.agg(
+        F.date_trunc(grain, F.min(at)).alias("first"), F.date_trunc(grain, F.max(at)).alias("last")
     )
-    if row["start"] is None:
+    ends = [F.expr(f"cast(timestampadd({grain.upper()}, 1, {c}) as string)") for c in starts.columns]
+    row = starts.select(*[F.col(c).cast("string") for c in starts.columns], *ends).first()
+    if row[0] is None:
         return None
-    return Period(at, predictions.schema[at].dataType.simpleString(), row["start"], row["end"])
+    kind = predictions.schema[at].dataType.simpleString()
+    return Period(at, kind, row[0], row[2]), Period(at, kind, row[1], row[3])
 
 
 def on_extreme_day(predictions: DataFrame, which: str, grain: str = "day") -> DataFrame:
-    """Rows of the first or last scoring day."""
-    period = extreme_period(predictions, which, grain)
-    return predictions.where(F.lit(False) if period is None else period.holds())
+    """Rows of the first ('min') or last ('max') scoring day."""
+    periods = scoring_periods(predictions, grain)
+    if periods is None:
+        return predictions.where(F.lit(False))
+    return predictions.where(periods[{"min": 0, "max": 1}[which]].holds())
 
 
 def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
@@ -105,9 +106,10 @@ def drift_snapshot(
     """
     if model_version is not None:
         predictions = predictions.where(F.col("model_version") == model_version)
-    first, last = (extreme_period(predictions, w, grain) for w in ("min", "max"))
-    if first is None:
+    periods = scoring_periods(predictions, grain)
+    if periods is None:
         raise ValueError("no predictions to compare")
+    first, last = periods
     ks = ks_two_sample(predictions, "pd_probability_ens", first.holds(), last.holds()).first()
     row = predictions.where(last.holds()).agg(
         F.max("model_version").alias("model_version"),

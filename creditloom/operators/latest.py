@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``; full-row hash settles remaining ties."""
-    tie_break = F.xxhash64(*[F.col(c) for c in df.columns]).desc()
+    tie_break = F.xxhash64(*[_hashable(f) for f in df.schema.fields]).desc()
     window = W.partitionBy(*keys).orderBy(*order, tie_break)
     return (
         df.withColumn("_place", F.row_number().over(window))
@@ -25,6 +26,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     )
 
 
+def _hashable(field: T.StructField) -> Column:
+    """Maps have no defined order and cannot be hashed; their sorted entries can."""
+    value = F.col(field.name)
+    is_map = isinstance(field.dataType, T.MapType)
+    return F.array_sort(F.map_entries(value)) if is_map else value
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,

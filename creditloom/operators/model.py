@@ -203,11 +203,15 @@ def evaluate(scored: DataFrame, label: str = LABEL) -> dict[str, float]:
             )
         ),
     )
-    aucs = metrics.roc_auc(long, "score", label, by=["metric"]).collect()  # one row per metric
-    out = {r["metric"]: None if r["auc"] is None else round(r["auc"], 4) for r in aucs}
-    ap = metrics.average_precision(scored, "pd_probability_ens", label).first()
-    out["avg_precision"] = None if ap[1] is None else round(ap[1], 4)
-    return out
+    aucs, ap = side_by_side(
+        # one row per metric
+        lambda: metrics.roc_auc(long, "score", label, by=["metric"]).collect(),
+        lambda: metrics.average_precision(scored, "pd_probability_ens", label).first(),
+    )
+    found = {r["metric"]: r["auc"] for r in aucs}
+    found["avg_precision"] = ap["average_precision"]
+    order = [*names, "avg_precision"]
+    return {m: None if found.get(m) is None else round(found[m], 4) for m in order}
 
 
 @dataclass

@@ -220,15 +220,19 @@ class FeatureSpec:
 def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Alphabetical levels of each category column, missing values counted as ``unknown``.
 
-    ``take`` with one row over the bound keeps the result small even on a dirty column.
+    One pass for all columns.  ``take`` with one row over the bound keeps the result small
+    even when a column is dirty.
     """
-    out = {}
-    for c in columns:
-        value = F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)).alias("level")
-        rows = df.select(value).distinct().take(MAX_LEVELS + 1)
-        if len(rows) > MAX_LEVELS:
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)).alias("level"))
+        for c in columns
+    ]
+    pairs = df.select(F.inline(F.array(*cells))).distinct()
+    rows = pairs.take(MAX_LEVELS * len(columns) + 1)
+    out = {c: sorted(r["level"] for r in rows if r["name"] == c) for c in columns}
+    for c, found in out.items():
+        if len(found) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        out[c] = sorted(r["level"] for r in rows)
     return out
 
 
@@ -306,32 +310,30 @@ def time_split(
 ) -> DataFrame:
     """Add ``split``: the earliest ``floor(train_share * n)`` rows are ``train``.
 
-    Day counts show on which day the cut falls.  Rows of other days are labelled by their
-    date alone; only the rows of that one day are put in order (by key) to find the last
-    training row.  Undated rows sort last.
+    Rows are ordered by date, then by the unique ``key``; undated rows come last.  Day counts
+    show on which day the cut falls, and only the keys of that day are put in order to find
+    the last training row.  The split itself is then a plain column expression.
     """
     days = df.groupBy(date).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col(date).asc_nulls_last())
     counts = days.collect()  # one row per calendar day
-    cut = int(sum(r["n"] for r in counts) * train_share)
-    seen = 0
+    cut, seen = int(sum(r["n"] for r in counts) * train_share), 0
     for r in counts:
         if seen + r["n"] > cut:
             break
         seen += r["n"]
     else:
         return df.withColumn("split", F.lit("train"))
-    cut_day, quota = r[date], cut - seen
-    if cut_day is None:
+    if r[date] is None:
         on_day, earlier = F.col(date).isNull(), F.col(date).isNotNull()
     else:
-        on_day, earlier = F.col(date).eqNullSafe(F.lit(cut_day)), F.col(date) < F.lit(cut_day)
-    by_date = F.when(F.coalesce(earlier, F.lit(False)), "train").otherwise("test")
-    rest = df.where(~on_day).withColumn("split", by_date)
-    ordered = with_position(df.where(on_day), [F.col(key)], "_place")
-    day_rows = ordered.withColumn(
-        "split", F.when(F.col("_place") <= quota, "train").otherwise("test")
-    ).drop("_place")
-    return rest.unionByName(day_rows)
+        on_day = F.col(date).eqNullSafe(F.lit(r[date]))
+        earlier = F.coalesce(F.col(date) < F.lit(r[date]), F.lit(False))
+    is_train = earlier
+    if cut > seen:
+        keys = with_position(df.where(on_day).select(key), [F.col(key)], "_place")
+        last_key = keys.where(F.col("_place") == cut - seen).first()[key]
+        is_train = earlier | (on_day & (F.col(key) <= F.lit(last_key)))
+    return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
 
 
 def cv_folds(
