@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +67,41 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     return F.when(statistic <= 0, F.lit(1.0)).otherwise(clipped)
 
 
-def ks_two_sample(df: DataFrame, value: str, in_a: Column, in_b: Column) -> DataFrame:
+#: Up to this sample size the exact p-value is used by default.
+EXACT_SIZE = 10_000
+
+
+def exact_p(statistic: float, n: int, m: int) -> float:
+    """Exact two-sided p-value: share of the orders of n + m values whose gap is as large.
+
+    An order is a walk from (0, 0) to (n, m).  The chance of being at (i, j) without having
+    reached the gap is carried on one step at a time, over all i at once.  Needs three numbers
+    only; the walk has n + m steps of at most n + 1 cells.
+    """
+    limit = round(statistic * n * m)
+    if limit <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    alive = np.zeros(n + 1)
+    alive[0] = 1.0
+    for step in range(1, n + m + 1):
+        left = n + m - step + 1
+        came_from_b = alive * (m - (step - 1 - i)) / left
+        came_from_a = np.zeros(n + 1)
+        came_from_a[1:] = alive[:-1] * (n - i[:-1]) / left
+        j = step - i
+        gap = np.abs(i * m - j * n)
+        alive = np.where((j >= 0) & (j <= m) & (gap < limit), came_from_a + came_from_b, 0.0)
+    return float(min(1.0, max(0.0, 1.0 - alive[n])))
+
+
+def ks_two_sample(
+    df: DataFrame, value: str, in_a: Column, in_b: Column, method: str = "auto"
+) -> DataFrame:
     """One row: sample sizes, largest gap between the two distribution functions, p-value.
 
     Values are counted per sample first; only distinct values take part in the ordering.
+    ``method``: ``exact``, ``asymptotic``, or ``auto`` (exact for samples up to 10,000).
     """
     counts = (
         df.where((in_a | in_b) & F.col(value).isNotNull())
@@ -85,6 +117,8 @@ def ks_two_sample(df: DataFrame, value: str, in_a: Column, in_b: Column) -> Data
     )
     stat = running.agg(F.max(gap).alias("_d"))
     p = kolmogorov_p(F.col("_d"), F.lit(n), F.lit(m))
+    if min(n, m) > 0 and (method == "exact" or (method == "auto" and max(n, m) <= EXACT_SIZE)):
+        p = F.lit(exact_p(stat.first()["_d"], int(n), int(m)))
     return stat.select(
         F.lit(int(n)).cast("bigint").alias("n_baseline"),
         F.lit(int(m)).cast("bigint").alias("n_current"),
@@ -98,6 +132,7 @@ def drift_snapshot(
     snapshot_date: dt.date,
     grain: str = "day",
     model_version: str | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """Monitoring row: the last scoring day compared with the first one.
 
@@ -110,7 +145,9 @@ def drift_snapshot(
     if periods is None:
         raise ValueError("no predictions to compare")
     first, last = periods
-    ks = ks_two_sample(predictions, "pd_probability_ens", first.holds(), last.holds()).first()
+    ks = ks_two_sample(
+        predictions, "pd_probability_ens", first.holds(), last.holds(), method
+    ).first()
     row = predictions.where(last.holds()).agg(
         F.max("model_version").alias("model_version"),
         F.lit(snapshot_date).alias("snapshot_date"),

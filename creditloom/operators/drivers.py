@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditloom.functions import bands
 from creditloom.functions.numbers import round_binary
 from creditloom.functions.text import signed, words
-from creditloom.operators.model import PdModel
+from creditloom.operators.model import PdModel, predict
 from creditloom.operators.training_set import encode
-from creditloom.session import stage_path
+from creditloom.session import spread, stage_path
 
 # List sizes, smallest reported value, directions and wording.
 TOP_DRIVERS = 10
@@ -59,7 +60,10 @@ def regression_weights(model: PdModel) -> dict[str, tuple[float, float]]:
 
 @dataclass(frozen=True)
 class ForestTable:
-    """All trees of a forest as flat arrays; a leaf has feature -1 and points to itself."""
+    """All trees of a forest as flat arrays; a leaf has feature -1 and points to itself.
+
+    ``value`` is the share of defaults at a node and ``cover`` the weight of its training rows.
+    """
 
     roots: np.ndarray
     feature: np.ndarray
@@ -67,6 +71,7 @@ class ForestTable:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    cover: np.ndarray
     depth: int
 
 
@@ -89,9 +94,8 @@ def forest_table(model: RandomForestClassificationModel) -> ForestTable:
             "nodeData.rightChild",
             "nodeData.split.featureIndex",
             F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-            (F.col("nodeData.impurityStats")[1] / F.aggregate(
-                "nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x
-            )).alias("value"),
+            F.col("nodeData.impurityStats")[1].alias("defaults"),
+            F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).alias("cover"),
         )
         .orderBy("treeID", "id")
         .toPandas()
@@ -107,7 +111,8 @@ def forest_table(model: RandomForestClassificationModel) -> ForestTable:
         threshold=nodes["threshold"].fillna(0.0).to_numpy(dtype=np.float64),
         left=np.where(leaf, own, offset + nodes["leftChild"].to_numpy()),
         right=np.where(leaf, own, offset + nodes["rightChild"].to_numpy()),
-        value=nodes["value"].to_numpy(dtype=np.float64),
+        value=(nodes["defaults"] / nodes["cover"]).to_numpy(dtype=np.float64),
+        cover=nodes["cover"].to_numpy(dtype=np.float64),
         depth=model.getOrDefault("maxDepth"),
     )
 
@@ -133,26 +138,122 @@ def base_value(forest: ForestTable) -> float:
     return float(forest.value[forest.roots].mean())
 
 
-def tree_contributions(frame: DataFrame, model: PdModel) -> DataFrame:
+@dataclass(frozen=True)
+class LeafTable:
+    """The leaves of one tree: value, and per feature on the way there the interval that leads
+    to the leaf and the share of training weight inside it.  Short paths are padded with
+    slots that change nothing."""
+
+    value: np.ndarray
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+
+
+def leaf_tables(forest: ForestTable) -> list[LeafTable]:
+    """One leaf table per tree of the forest."""
+    out = []
+    for root in forest.roots:
+        leaves, open_nodes = [], [(root, {})]
+        while open_nodes:
+            node, path = open_nodes.pop()
+            feature = forest.feature[node]
+            if feature < 0:
+                leaves.append((forest.value[node], path))
+                continue
+            low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
+            cut, weight = forest.threshold[node], forest.cover[node]
+            for child, lo, hi in (
+                (forest.left[node], low, min(high, cut)),
+                (forest.right[node], max(low, cut), high),
+            ):
+                step = (lo, hi, share * forest.cover[child] / weight)
+                open_nodes.append((child, {**path, feature: step}))
+        width = max(1, *(len(path) for _, path in leaves))
+        neutral = (0, -np.inf, np.inf, 1.0)
+        cells = [
+            [(f, *step) for f, step in path.items()] + [neutral] * (width - len(path))
+            for _, path in leaves
+        ]
+        table = np.array(cells, dtype=np.float64)
+        out.append(
+            LeafTable(
+                np.array([v for v, _ in leaves]),
+                table[:, :, 0].astype(np.int64),
+                table[:, :, 1],
+                table[:, :, 2],
+                table[:, :, 3],
+            )
+        )
+    return out
+
+
+def _shapley_contributions(leaves: Sequence[LeafTable], x: np.ndarray) -> np.ndarray:
+    """Shapley values of the forest, features left out being averaged by training weight.
+
+    A leaf with value v is reached with probability prod_k(o_k or z_k): o_k says whether the
+    row lies in the interval of feature k, z_k is the share used when k is left out.  Averaging
+    over all orders of adding features equals the integral over t in [0, 1] of
+
+        v * (o_j - z_j) * prod_{k != j} (z_k * (1 - t) + o_k * t)
+
+    a polynomial in t, which Gauss-Legendre points integrate exactly.
+    """
+    out = np.zeros_like(x)
+    for leaf in leaves:
+        width = leaf.feature.shape[1]
+        points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+        value = x[:, leaf.feature]
+        inside = ((value > leaf.low) & (value <= leaf.high)).astype(np.float64)
+        total = np.zeros_like(inside)
+        for t, w in zip((points + 1) / 2, weights / 2):
+            factor = leaf.share * (1 - t) + inside * t
+            total += w * factor.prod(axis=2, keepdims=True) / factor
+        total *= (inside - leaf.share) * leaf.value[:, None]
+        slots = np.zeros((leaf.feature.size, x.shape[1]))
+        slots[np.arange(leaf.feature.size), leaf.feature.ravel()] = 1.0
+        out += total.reshape(len(x), -1) @ slots
+    return out / len(leaves)
+
+
+#: Rows handled at once by the Shapley computation, so that its work arrays stay small.
+_SHAPLEY_ROWS = 256
+
+
+def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley") -> DataFrame:
     """Additive attribution of the forest: base value + contributions = forest probability.
 
-    The node table is broadcast once; every Arrow batch walks all its rows down the trees
-    level by level.
+    ``shapley`` gives Shapley values; ``path`` credits each split on the way down to its
+    feature, which is much cheaper.  The node table, whose size is set by the training profile,
+    is broadcast once; Spark spreads the rows and every Arrow batch is computed as a whole.
     """
-    columns = model.spec.columns
-    forest = frame.sparkSession.sparkContext.broadcast(vars(forest_table(model.rf)))
-    encoded = encode(frame, model.spec, keep=_KEYS).select(
-        *_KEYS, F.array(*columns).alias("values")
+    forest = forest_table(model.rf)
+    if method == "path":
+        work = vars(forest)
+    elif method == "shapley":
+        work = [vars(t) for t in leaf_tables(forest)]
+    else:
+        raise ValueError(f"method must be 'shapley' or 'path', not {method!r}")
+    shared = frame.sparkSession.sparkContext.broadcast(work)
+    encoded = encode(spread(frame), model.spec, keep=_KEYS).select(
+        *_KEYS, F.array(*model.spec.columns).alias("values")
     )
     schema = T.StructType(
         [*encoded.schema.fields, T.StructField("contributions", T.ArrayType(T.DoubleType()))]
     )
 
+    def attribute(x: np.ndarray) -> np.ndarray:
+        if method == "path":
+            return _path_contributions(ForestTable(**shared.value), x)
+        leaves = [LeafTable(**t) for t in shared.value]
+        blocks = [x[i : i + _SHAPLEY_ROWS] for i in range(0, len(x), _SHAPLEY_ROWS)]
+        return np.concatenate([_shapley_contributions(leaves, b) for b in blocks])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["values"].to_numpy())
-                parts = _path_contributions(ForestTable(**forest.value), x)
+                parts = attribute(np.stack(batch["values"].to_numpy()))
                 yield batch.assign(contributions=list(parts))
 
     return encoded.mapInPandas(run, schema)
@@ -213,6 +314,27 @@ def explanation_rows(
     )
 
 
+def explain_applications(
+    frame: DataFrame, model: PdModel, method: str = "shapley", n: int = TOP_DRIVERS
+) -> DataFrame:
+    """One row per application: score, label, base value, its drivers and a narrative."""
+    base = base_value(forest_table(model.rf))
+    parts = tree_contributions(frame, model, method)
+    rows = explanation_rows(parts, model.spec.columns, n)
+    entry = F.struct("rank", "feature_name", "feature_value", "shap_value", "direction")
+    gathered = rows.groupBy("application_id").agg(  # at most n rows per application
+        F.array_sort(F.collect_list(entry)).alias("top_drivers"), *_narrative_lists()
+    )
+    scores = predict(frame, model).select(
+        "application_id",
+        round_binary(F.col("pd_probability_ens"), 4).alias("pd_score"),
+        bands.pd_label(F.col("pd_probability_ens")).alias("pd_label"),
+        round_binary(F.lit(base), 5).alias("base_value"),
+    )
+    explained = gathered.select("application_id", "top_drivers", _narrative(3, 2))
+    return scores.join(explained, "application_id", "left")
+
+
 # --------------------------------------------------------------------------- wording
 
 
@@ -222,26 +344,31 @@ def _in_rank_order(value: Column) -> Column:
     return F.transform(gathered, lambda x: x["text"])
 
 
-def driver_narrative(drivers: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
-    """Two sentences per application: strongest rising and strongest protective factors."""
+def _narrative_lists() -> list[Column]:
+    """Aggregates: wording of the rising and of the protective factors, in rank order."""
     number = F.call_function("format_number", F.col("feature_value"), F.lit("0.0###"))
-    text = F.concat(F.col("label"), F.lit(" ("), number, F.lit(")"))
+    text = F.concat(words(F.col("feature_name")), F.lit(" ("), number, F.lit(")"))
     rising = F.col("direction") == INCREASES
-    grouped = drivers.groupBy("application_id").agg(
+    return [
         _in_rank_order(F.when(rising, text)).alias("_up"),
         _in_rank_order(F.when(~rising, text)).alias("_down"),
-    )
+    ]
+
 
+def _narrative(up: int, down: int) -> Column:
     def listed(parts: str, count: int, none: str) -> Column:
         first = F.array_join(F.slice(F.array_compact(parts), 1, count), ", ")
         return F.when(first != "", first).otherwise(none)
 
-    return grouped.select(
-        "application_id",
-        F.format_string(
-            NARRATIVE, listed("_up", up, NO_RISK_FACTORS), listed("_down", down, NO_PROTECTION)
-        ).alias("narrative"),
-    )
+    return F.format_string(
+        NARRATIVE, listed("_up", up, NO_RISK_FACTORS), listed("_down", down, NO_PROTECTION)
+    ).alias("narrative")
+
+
+def driver_narrative(drivers: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
+    """Two sentences per application: strongest rising and strongest protective factors."""
+    grouped = drivers.groupBy("application_id").agg(*_narrative_lists())
+    return grouped.select("application_id", _narrative(up, down))
 
 
 def driver_text(

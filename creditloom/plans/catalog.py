@@ -325,6 +325,15 @@ def classification_report(gl: GivenLake) -> DataFrame:
 
 @query
 def ks_two_sample(gl: GivenLake) -> DataFrame:
+    scored_year = F.year("scored_at")
+    return drift.ks_two_sample(
+        gl.predictions, _ENS, scored_year == 1995, scored_year == 2001, method="asymptotic"
+    )
+
+
+@query
+def ks_exact(gl: GivenLake) -> DataFrame:
+    """Exact p-value where the samples are small enough for the library default."""
     scored_year = F.year("scored_at")
     return drift.ks_two_sample(gl.predictions, _ENS, scored_year == 1995, scored_year == 2001)
 
@@ -336,7 +345,7 @@ def drift_baseline(gl: GivenLake) -> DataFrame:
 
 @query
 def drift_snapshot(gl: GivenLake) -> DataFrame:
-    return drift.drift_snapshot(gl.predictions, gl.as_of, grain="year")
+    return drift.drift_snapshot(gl.predictions, gl.as_of, grain="year", method="asymptotic")
 
 
 # --------------------------------------------------------------------------- upsert
@@ -359,7 +368,9 @@ def upsert_latest(gl: GivenLake) -> DataFrame:
 def monitoring_history(gl: GivenLake) -> DataFrame:
     """One snapshot per model version, newest first."""
     snapshots = [
-        drift.drift_snapshot(gl.predictions, gl.as_of, grain="year", model_version=v)
+        drift.drift_snapshot(
+            gl.predictions, gl.as_of, grain="year", model_version=v, method="asymptotic"
+        )
         for v in VERSIONS
     ]
     return portfolio.monitoring_history(reduce(DataFrame.unionByName, snapshots))
@@ -621,12 +632,26 @@ def model_metrics(gl: GivenLake) -> DataFrame:
 
 @query
 def risk_drivers(gl: GivenLake) -> DataFrame:
-    """Forest drivers of every application."""
+    """Forest drivers of every application by Shapley value."""
     fitted = gl.trained.model
     parts = drivers.tree_contributions(gl.scoring, fitted)
     return drivers.ranked_drivers(parts, fitted.spec.columns)
 
 
+@query
+def path_drivers(gl: GivenLake) -> DataFrame:
+    """Forest drivers of every application by decision path."""
+    fitted = gl.trained.model
+    parts = drivers.tree_contributions(gl.scoring, fitted, method="path")
+    return drivers.ranked_drivers(parts, fitted.spec.columns)
+
+
+@query
+def explanations(gl: GivenLake) -> DataFrame:
+    found = drivers.explain_applications(gl.scoring, gl.trained.model)
+    return found.withColumn("top_drivers", F.to_json("top_drivers"))
+
+
 # --------------------------------------------------------------------------- retrieval
 
 

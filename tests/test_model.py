@@ -51,9 +51,10 @@ def test_saved_model_scores_the_same(spark, sf, run):
     assert both.count() == 0
 
 
-def test_forest_contributions_add_up(spark, sf, run):
+@pytest.mark.parametrize("method", ["shapley", "path"])
+def test_forest_contributions_add_up(spark, sf, run, method):
     frame = lake(spark, sf).scoring
-    parts = drivers.tree_contributions(frame, run.model)
+    parts = drivers.tree_contributions(frame, run.model, method)
     base = drivers.base_value(drivers.forest_table(run.model.rf))
     total = F.aggregate("contributions", F.lit(base), lambda a, x: a + x)
     scores = model.predict(frame, run.model).select("application_id", "pd_probability_rf")
@@ -171,3 +172,14 @@ def test_failed_landing_is_logged(spark, tmp_path):
         )
     row = audit.latest_audit(spark.read.parquet(paths.audit_log)).first()
     assert row.status == "failed" and "PATH_NOT_FOUND" in row.error_message
+
+
+def test_explanations(spark, sf, run):
+    frame = lake(spark, sf).scoring
+    rows = drivers.explain_applications(frame, run.model)
+    assert rows.count() == frame.count()
+    row = rows.first()
+    strengths = [abs(d.shap_value) for d in row.top_drivers]
+    assert len(strengths) <= 10 and strengths == sorted(strengths, reverse=True)
+    assert row.narrative.startswith("The primary factors increasing default risk are: ")
+    assert row.pd_label in ("LOW", "MEDIUM", "HIGH", "VERY HIGH")
