@@ -288,10 +288,12 @@ def encode(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFr
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced class weight n / (classes * n_class); one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes")).first()
-    total, classes = (totals["_all"] or 0), max(totals["_classes"], 1)
-    return counts.withColumn(
-        "class_weight", F.lit(float(total)) / (F.lit(classes) * F.col("n"))
+    classes = counts.agg(  # one entry per class
+        F.collect_list(F.struct(label, "n")).alias("_classes"), F.sum("n").alias("_all")
+    )
+    rows = classes.select("_all", F.size("_classes").alias("_k"), F.inline("_classes"))
+    return rows.select(
+        label, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("class_weight")
     )
 
 
@@ -330,12 +332,23 @@ def time_split(
         earlier = F.coalesce(F.col(date) < F.lit(r[date]), F.lit(False))
     is_train = earlier
     if cut > seen:
-        keys = with_position(df.where(on_day).select(key), [F.col(key)], "_place")
-        last_key = keys.where(F.col("_place") == cut - seen).first()[key]
+        last_key = _nth_key(df.where(on_day).select(key), key, cut - seen, r["n"])
         is_train = earlier | (on_day & (F.col(key) <= F.lit(last_key)))
     return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
 
 
+#: A day with at most this many rows is small enough to take its first keys by one sort.
+SMALL_DAY = 100_000
+
+
+def _nth_key(keys: DataFrame, key: str, n: int, size: int):
+    """The n-th smallest of ``size`` unique keys."""
+    if size <= SMALL_DAY:
+        return keys.orderBy(key).offset(n - 1).first()[key]
+    placed = with_position(keys, [F.col(key)], "_place")
+    return placed.where(F.col("_place") == n).first()[key]
+
+
 def cv_folds(
     df: DataFrame,
     k: int = 5,

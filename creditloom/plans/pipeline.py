@@ -19,7 +19,6 @@ from creditloom.session import configure, side_by_side, write_stage
 from creditloom.sources import audit, landing
 
 PREDICTION_KEYS = ["application_id", "model_version"]
-SNAPSHOT_KEYS = ["source_name", "snapshot_date"]
 MONITORING_KEYS = ["model_version", "snapshot_date"]
 EXPLAIN_SAMPLE = 200
 
@@ -98,8 +97,7 @@ def land_source(
         profile = audit.profile_ingest(day_rows, source).first()
         size = audit.file_bytes(spark.read.parquet(path).where(_on_day(day))).first()
         snapshot = audit.schema_snapshot(day_rows, source, F.lit(day))
-        known = f"{paths.schema_snapshots}/{source}"
-        _merge(read_table(spark, known), snapshot, known, SNAPSHOT_KEYS)
+        audit.write_snapshot(snapshot, paths.schema_snapshots, source, day)
         log(
             "success",
             row_count=profile["row_count"],
@@ -248,11 +246,13 @@ def run_pipeline(
     scores = model.score(frame, run.model, version)
     def watch() -> dict:
         predictions = read_table(spark, paths.pd_predictions)
-        snapshot = drift.drift_snapshot(predictions, execution_date)
+        found = drift.drift_snapshot(predictions, execution_date)
+        row = found.first()
+        snapshot = spark.createDataFrame([row], found.schema)
         columns = drift.SNAPSHOT_UPDATES
         path = paths.model_monitoring
         _merge(read_table(spark, path), snapshot, path, MONITORING_KEYS, columns)
-        return snapshot.first().asDict()
+        return row.asDict()
 
     def score_and_watch() -> dict:
         timed("score", lambda: write_scores(spark, paths, scores, version))

@@ -126,6 +126,13 @@ def schema_snapshot(
     return typed.withColumn("schema_hash", short_hash(schema_json(F.col("column_dtypes"))))
 
 
+def write_snapshot(snapshot: DataFrame, path: str, source: str, day: dt.date) -> None:
+    """Keep one snapshot per source and day: a repeated run overwrites its own folder."""
+    folder = f"{path}/source_name={source}/snapshot_date={day}"
+    rows = snapshot.drop("source_name", "snapshot_date").coalesce(1)
+    rows.write.mode("overwrite").parquet(folder)
+
+
 def schema_json(dtypes: Column) -> Column:
     """The type map as JSON text, keys in the order of the map."""
     entries = F.transform(

@@ -145,8 +145,9 @@ def test_pipeline(spark, sf, tmp_path):
     }
     shap = spark.read.parquet(paths.shap_values)
     assert shap.select("application_id", "rank").distinct().count() * 2 == shap.count()
-    snapshots = spark.read.parquet(f"{paths.schema_snapshots}/transactions")
-    assert snapshots.count() == 2
+    snapshots = spark.read.parquet(paths.schema_snapshots)
+    assert snapshots.count() == 2 * len(pipeline.landing.SOURCES)
+    assert audit.schema_drift(snapshots).where("changed").count() == 0
 
     # a failing check stops the run and is recorded
     loans = spark.read.option("header", True).csv(f"{raw}/loan_applications.csv")

@@ -46,7 +46,9 @@ def test_medians_when_the_bracket_misses(spark, monkeypatch):
     assert got == statistics.median(r[0] for r in rows)
 
 
-def test_time_split_cuts_inside_a_hot_day(spark):
+@pytest.mark.parametrize("small_day", [10**6, 0])
+def test_time_split_cuts_inside_a_hot_day(spark, monkeypatch, small_day):
+    monkeypatch.setattr(ts, "SMALL_DAY", small_day)
     hot = dt.date(2020, 1, 2)
     rows = [(f"A{i:04d}", dt.date(2020, 1, 1)) for i in range(10)]
     rows += [(f"B{i:04d}", hot) for i in range(80)]
