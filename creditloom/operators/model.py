@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import (
@@ -241,18 +242,27 @@ def train(frame: DataFrame, profile: Profile = VERSIONED) -> TrainingRun:
     )
 
 
-def cross_validate(frame: DataFrame, profile: Profile = FULL, k: int = 5) -> dict:
-    """AUC of the forest on each of k stratified folds, with mean and population deviation."""
+def cross_validate(
+    frame: DataFrame, profile: Profile = FULL, k: int = 5, parallel: int = 1
+) -> dict:
+    """AUC of the forest on each of k stratified folds, with mean and population deviation.
+
+    ``parallel`` folds are fitted at a time; each holds its training rows in memory.
+    """
     folds = write_stage(cv_folds(frame, k), "folds")
-    aucs = []
-    for i in range(k):
+
+    def auc(i: int) -> float:
         training, held_out = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
         spec = fit_features(training, profile.numeric, profile.categorical)
-        rows = with_class_weight(encode(training, spec, keep=[LABEL]), LABEL)
+        encoded = encode(training, spec, keep=[LABEL])
+        rows = write_stage(with_class_weight(encoded, LABEL), "fold_rows")
         rf = _forest(profile).fit(_vectors(rows, spec.columns))
         test = _vectors(encode(held_out, spec, keep=[LABEL]), spec.columns)
         scored = _probability(rf, test, "features", "pd_probability_rf")
-        aucs.append(metrics.roc_auc(scored, "pd_probability_rf", LABEL).first()["auc"])
+        return metrics.roc_auc(scored, "pd_probability_rf", LABEL).first()["auc"]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        aucs = list(pool.map(auc, range(k)))
     mean = sum(aucs) / k
     std = (sum((a - mean) ** 2 for a in aucs) / k) ** 0.5
     return {"folds": aucs, "mean": mean, "std": std}

@@ -31,6 +31,11 @@ CUSTOMER_HEADING = "\nCUSTOMER RISK PROFILE:\n"
 DRIVER_HEADING = "\nSHAP RISK DRIVERS:\n"
 QUESTION_HEADING = "\nCREDIT ANALYST QUESTION:\n"
 QUESTION_CLOSING = "\n\nProvide a thorough, policy-grounded answer with source citations."
+ASSESSMENT_QUESTION = (
+    "Provide a complete credit risk assessment for application %s. Explain the key risk "
+    "factors, cite relevant policy thresholds, and give a clear approve/decline recommendation "
+    "with rationale."
+)
 
 #: Default instructions in front of every prompt; callers may pass their own.
 ANALYST_INSTRUCTIONS = (
@@ -297,19 +302,10 @@ def context_blocks(cited: DataFrame, query_id: str = "query_id") -> DataFrame:
     )
 
 
-def prompt_rows(
-    questions: DataFrame,
-    contexts: DataFrame,
-    latest: DataFrame,
-    drivers: DataFrame,
-    instructions: str = ANALYST_INSTRUCTIONS,
-    query_id: str = "query_id",
-) -> DataFrame:
-    """One prompt per question: instructions, policy, customer, drivers, question.
+def application_context(latest: DataFrame, drivers: DataFrame) -> DataFrame:
+    """What a prompt says about an application: its score and its drivers, one row each.
 
-    ``questions`` has question_id, question, ``query_id`` and an optional application_id;
-    ``latest`` one row and ``drivers`` one ``driver_text`` row per application.  Missing
-    parts are left out.
+    ``latest`` has one row and ``drivers`` one ``driver_text`` row per application.
     """
     line = {
         "Application ID ": F.col("application_id"),
@@ -321,25 +317,49 @@ def prompt_rows(
     profile = F.array_join(
         F.array(*[F.concat(F.lit(f"  {name}: "), value) for name, value in line.items()]), "\n"
     )
-    customers = latest.select(
-        F.col("application_id"), F.concat(F.lit(CUSTOMER_HEADING), profile).alias("_customer")
+    scored = latest.select(
+        "application_id", F.concat(F.lit(CUSTOMER_HEADING), profile).alias("customer_block")
     )
     reasons = drivers.select(
-        "application_id", F.concat(F.lit(DRIVER_HEADING), F.col("driver_text")).alias("_drivers")
+        "application_id",
+        F.concat(F.lit(DRIVER_HEADING), F.col("driver_text")).alias("driver_block"),
     )
-    asked = questions.withColumn("application_id", F.upper("application_id"))
-    joined = (
-        asked.join(customers, "application_id", "left")
-        .join(reasons, "application_id", "left")
-        .join(contexts, query_id, "left")
+    return scored.join(reasons, "application_id", "left")
+
+
+def assessment_questions(applications: DataFrame, query: Column) -> DataFrame:
+    """The standing question for a full assessment, one row per application."""
+    key = F.col("application_id")
+    return applications.select(
+        key.alias("question_id"),
+        F.format_string(ASSESSMENT_QUESTION, key).alias("question"),
+        query.alias("query_id"),
+        key,
     )
+
+
+def prompt_rows(
+    questions: DataFrame,
+    contexts: DataFrame,
+    applications: DataFrame,
+    instructions: str = ANALYST_INSTRUCTIONS,
+    query_id: str = "query_id",
+) -> DataFrame:
+    """One prompt per question: instructions, policy, customer, drivers, question.
+
+    ``questions`` has question_id, question, ``query_id`` and an optional application_id;
+    ``contexts`` one row per ``query_id`` and ``applications`` one row per application (see
+    :func:`application_context`).  Pass both as written tables: a third of all questions may
+    be about one application or one topic.  Missing parts are left out.
+    """
+    asked = questions.withColumn("application_id", F.upper("application_id"))
+    joined = asked.join(applications, "application_id", "left").join(contexts, query_id, "left")
     prompt = F.concat_ws(
         "\n\n",
         F.lit(instructions),
         F.concat(F.lit(POLICY_HEADING), F.coalesce("policy_context", F.lit(""))),
-        "_customer",
-        # drivers are only looked up for an application that has a score
-        F.when(F.col("_customer").isNotNull(), F.col("_drivers")),
+        "customer_block",
+        "driver_block",
         F.concat(F.lit(QUESTION_HEADING), F.col("question"), F.lit(QUESTION_CLOSING)),
     )
     return joined.select("question_id", "application_id", prompt.alias("prompt"))

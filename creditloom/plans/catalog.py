@@ -630,6 +630,15 @@ def model_metrics(gl: GivenLake) -> DataFrame:
     return gl.spark.createDataFrame(rows + sizes, "metric string, value double")
 
 
+@query
+def cv_auc(gl: GivenLake) -> DataFrame:
+    """Forest AUC on each of five stratified folds."""
+    found = model.cross_validate(gl.training, model.VERSIONED, parallel=5)
+    rows = [(f"fold {i}", auc) for i, auc in enumerate(found["folds"])]
+    rows += [("mean", found["mean"]), ("std", found["std"])]
+    return gl.spark.createDataFrame(rows, "fold string, auc double")
+
+
 @query
 def risk_drivers(gl: GivenLake) -> DataFrame:
     """Forest drivers of every application by Shapley value."""
@@ -712,11 +721,26 @@ def _questions(gl: GivenLake) -> DataFrame:
     )
 
 
+def _contexts(gl: GivenLake) -> DataFrame:
+    cited = retrieval.cited_hits(_topic_hits(gl), _passages(gl))
+    return write_stage(retrieval.context_blocks(cited), "contexts")
+
+
+def _application_context(gl: GivenLake) -> DataFrame:
+    texts = drivers.driver_text(_given_drivers(gl))
+    return write_stage(retrieval.application_context(gl.decided, texts), "application_context")
+
+
 @query
 def analyst_prompts(gl: GivenLake) -> DataFrame:
-    contexts = retrieval.context_blocks(retrieval.cited_hits(_topic_hits(gl), _passages(gl)))
-    texts = drivers.driver_text(_given_drivers(gl))
-    return retrieval.prompt_rows(_questions(gl), contexts, gl.decided, texts)
+    return retrieval.prompt_rows(_questions(gl), _contexts(gl), _application_context(gl))
+
+
+@query
+def assessment_questions(gl: GivenLake) -> DataFrame:
+    """The standing question for every scored application, sent to one of the ten topics."""
+    number = F.substring("application_id", 4, 20).cast("bigint")
+    return retrieval.assessment_questions(gl.decided, (number % 10).cast("int"))
 
 
 @query

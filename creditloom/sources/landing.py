@@ -126,7 +126,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, limit: int | None = 500) -> DataFrame:
     """Ids of a batch request: the ``application_id`` column, whatever its case and spacing."""
     rows = spark.read.option("header", True).csv(path)
-    named = [c for c in rows.columns if c.strip().lower() == "application_id"]
+    named = [c for c in rows.columns if c.strip("\ufeff \t").lower() == "application_id"]
     if not named:
         raise ValueError("the file has no application_id column")
     ids = rows.select(F.col(f"`{named[0]}`").alias("application_id"))

@@ -834,3 +834,12 @@ ORACLE["analyst_prompts"] = sql(
        left join driver_texts t on t.application_id = q.id
        left join contexts c on c.query_id = q.topic"""
 )
+ORACLE["assessment_questions"] = sql(
+    """select application_id as question_id,
+              concat('Provide a complete credit risk assessment for application ', application_id,
+                  '. Explain the key risk factors, cite relevant policy thresholds, and give a ',
+                  'clear approve/decline recommendation with rationale.') as question,
+              cast(cast(substr(application_id, 4) as bigint) % 10 as integer) as query_id,
+              application_id
+       from latest"""
+)

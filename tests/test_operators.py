@@ -296,6 +296,8 @@ def test_batch_file_in_and_out(spark, sf, tmp_path):
         key=str,
     )
     assert landing.read_ids(spark, path, limit=1).count() == 1
+    marked = _csv(tmp_path, "marked.csv", "\ufeffapplication_id\nA1\n")
+    assert landing.read_ids(spark, marked).first()[0] == "A1"
     with pytest.raises(ValueError, match="application_id"):
         landing.read_ids(spark, _csv(tmp_path, "no.csv", "a,b\n1,2\n"))
     with pytest.raises(ValueError, match="no rows"):

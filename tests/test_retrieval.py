@@ -125,7 +125,9 @@ def test_prompt_leaves_out_what_is_missing(spark):
     texts = spark.createDataFrame([("A1", "1. x")], "application_id string, driver_text string")
     out = {
         r.question_id: r.prompt
-        for r in retrieval.prompt_rows(questions, contexts, latest, texts).collect()
+        for r in retrieval.prompt_rows(
+            questions, contexts, retrieval.application_context(latest, texts)
+        ).collect()
     }
     assert "PD Probability : 12.35%" in out["q1"] or "PD Probability : 12.34%" in out["q1"]
     assert "SHAP RISK DRIVERS:\n1. x" in out["q1"]

@@ -3,7 +3,7 @@
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from creditloom.operators import decisions, features, staging, training_set
+from creditloom.operators import decisions, features, retrieval, staging, training_set
 from creditloom.session import write_stage
 from creditloom.sources import given_tables as given
 
@@ -63,3 +63,33 @@ def test_monthly_spend_aggregates_before_the_shuffle(spark, sf):
     plan = months._jdf.queryExecution().executedPlan().toString()
     final, partial = plan.index("HashAggregate"), plan.rindex("partial_sum")
     assert final < plan.index("Exchange hashpartitioning(customer_id") < partial
+
+
+def test_prompts_split_a_hot_application(spark, conf):
+    questions = write_stage(
+        spark.range(0, 20000, numPartitions=16).select(
+            F.col("id").cast("string").alias("question_id"),
+            F.lit("why").alias("question"),
+            (F.col("id") % 10).cast("int").alias("query_id"),
+            F.when(F.col("id") % 3 == 0, "A1").otherwise(F.concat(F.lit("A"), "id")).alias(
+                "application_id"
+            ),
+        ),
+        "questions",
+    )
+    contexts = write_stage(
+        spark.range(10).select(F.col("id").cast("int").alias("query_id"), F.lit("t").alias("policy_context")),
+        "contexts",
+    )
+    applications = write_stage(
+        spark.range(20000).select(
+            F.concat(F.lit("A"), "id").alias("application_id"),
+            F.lit("c").alias("customer_block"),
+            F.lit("d").alias("driver_block"),
+        ),
+        "applications",
+    )
+    conf(**SMALL)
+    prompts = retrieval.prompt_rows(questions, contexts, applications)
+    assert "skew=true" in plan_of(prompts)
+    assert prompts.count() == 20000
