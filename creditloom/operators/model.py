@@ -34,7 +34,7 @@ from creditloom.operators.training_set import (
     time_split,
     with_class_weight,
 )
-from creditloom.session import side_by_side, write_stage
+from creditloom.session import side_by_side, spread, write_stage
 
 # Weights of the blend and the class threshold.
 RF_WEIGHT, LR_WEIGHT = 0.70, 0.30
@@ -116,7 +116,7 @@ def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
     spec = fit_features(train, profile.numeric, profile.categorical)
     weighted = with_class_weight(encode(train, spec, keep=[LABEL]), LABEL)
     # both fits pass over the encoded rows several times
-    rows = write_stage(weighted, "encoded")
+    rows = write_stage(spread(weighted), "encoded")
     vectors = _vectors(rows, spec.columns).select(LABEL, "class_weight", "features")
     rf, (scaler, lr) = side_by_side(
         lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)

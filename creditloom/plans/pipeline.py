@@ -201,7 +201,7 @@ def write_drivers(
     chosen = run.test_scores.select("application_id")
     if sample is not None:
         chosen = chosen.orderBy(F.xxhash64("application_id"), "application_id").limit(sample)
-    rows = frame.join(chosen, "application_id", "left_semi")
+    rows = write_stage(frame.join(chosen, "application_id", "left_semi"), "explained")
     parts = drivers.tree_contributions(rows, run.model)
     ranked = drivers.ranked_drivers(parts, run.model.spec.columns).withColumns(
         {"model_version": F.lit(version), "computed_at": F.current_timestamp()}

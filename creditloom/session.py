@@ -102,7 +102,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer tasks than cores one task per core before heavy per-row work.
 
     A table with at least as many scan tasks as cores is left alone, so a large table is
-    never shuffled by this.
+    never shuffled by this.  Pass a table scan: asking a plan with a shuffle for its number of
+    tasks would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,7 +24,7 @@ def connect(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return round(v, 9) + 0.0
+        return v + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
