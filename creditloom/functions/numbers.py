@@ -6,8 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def cents(amount: Column) -> Column:
+    """An amount with two decimals as a whole number of hundredths.
+
+    Doubles hold whole numbers exactly, so a quotient of cents is the double nearest to the
+    true quotient and rounds as the decimal would; 2198.54 / 80 does not.
+    """
+    return F.round(amount * 100)
+
+
 def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
-    """Rounded quotient, NULL unless the denominator is positive."""
+    """Rounded quotient of whole numbers, NULL unless the denominator is positive."""
     quotient = numerator.cast("double") / denominator.cast("double")
     return F.when(denominator > 0, F.round(quotient, digits))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions import bands
-from creditloom.functions.numbers import ratio
+from creditloom.functions.numbers import cents, ratio
 
 # Window lengths, repayment assumption and stress thresholds.
 WINDOW_MONTHS = 12
@@ -104,13 +104,13 @@ def feat_dti_ratio(loans: DataFrame, credit: DataFrame) -> DataFrame:
             ),
         }
     )
-    debt = amounts.withColumn(
-        "total_monthly_debt_inr",
-        F.coalesce("estimated_monthly_emi_inr", F.lit(0.0))
-        + F.coalesce("bureau_monthly_burden_inr", F.lit(0.0)),
-    )
+    emi = F.coalesce("estimated_monthly_emi_inr", F.lit(0.0))
+    burden = F.coalesce("bureau_monthly_burden_inr", F.lit(0.0))
+    # two amounts with two decimals have a sum with two decimals
+    debt = amounts.withColumn("total_monthly_debt_inr", F.round(emi + burden, 2))
     rated = debt.withColumn(
-        "dti_ratio", ratio(F.col("total_monthly_debt_inr"), F.col("monthly_income_inr"))
+        "dti_ratio",
+        ratio(cents(F.col("total_monthly_debt_inr")), cents(F.col("monthly_income_inr"))),
     )
     return rated.withColumns(
         {
@@ -219,7 +219,7 @@ def feat_credit_util(credit: DataFrame, txn_agg: DataFrame) -> DataFrame:
         {
             "balance_trend_flag": bands.flag((earlier > 0) & (recent > earlier)),
             "txn_utilisation_estimate": ratio(
-                F.col("avg_monthly_spend_inr"), F.col("total_credit_limit_inr")
+                cents(F.col("avg_monthly_spend_inr")), F.col("total_credit_limit_inr") * 100
             ),
             "flagged_txn_rate": F.coalesce(
                 ratio(F.col("total_flagged_txns"), F.col("total_txns_12m")), F.lit(0.0)
@@ -228,9 +228,10 @@ def feat_credit_util(credit: DataFrame, txn_agg: DataFrame) -> DataFrame:
     )
     return base.withColumns(
         {
+            # 0.30 + 0.15 must be 0.45, not the next smaller double
             "utilisation_change_flag": bands.flag(
                 F.col("txn_utilisation_estimate")
-                > F.col("bureau_utilisation_pct") + UTILISATION_GAP
+                > F.round(F.col("bureau_utilisation_pct") + UTILISATION_GAP, 10)
             ),
             "credit_stress_score": F.col("high_inquiry_flag")
             + F.col("balance_trend_flag")

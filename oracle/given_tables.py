@@ -179,12 +179,13 @@ with j as (
            round(bureau_total_balance_inr::double / 60, 2) as bureau_monthly_burden_inr
     from j
 ), t as (
-    select *, ifnull(estimated_monthly_emi_inr, 0::double) + bureau_monthly_burden_inr
+    select *, round(ifnull(estimated_monthly_emi_inr, 0::double) + bureau_monthly_burden_inr, 2)
                as total_monthly_debt_inr
     from m
 ), d as (
     select *, if(monthly_income_inr > 0,
-                 round(total_monthly_debt_inr / monthly_income_inr, 4), null) as dti_ratio
+                 round(round(total_monthly_debt_inr * 100) / round(monthly_income_inr * 100), 4),
+                 null) as dti_ratio
     from t
 )
 select *, if(dti_ratio is null, 'unknown', if(dti_ratio < 0.36, 'low',
@@ -258,13 +259,13 @@ with j as (
     select *, if(avg_balance_earlier_9m > 0 and avg_balance_recent_3m > avg_balance_earlier_9m,
                  1, 0) as balance_trend_flag,
            if(total_credit_limit_inr > 0,
-              round(avg_monthly_spend_inr / total_credit_limit_inr, 4), null)
+              round(round(avg_monthly_spend_inr * 100) / (total_credit_limit_inr * 100), 4), null)
                as txn_utilisation_estimate,
            if(total_txns_12m > 0, round(total_flagged_txns::double / total_txns_12m, 4),
               0::double) as flagged_txn_rate
     from j
 )
-select *, if(txn_utilisation_estimate > bureau_utilisation_pct + 0.15::double, 1, 0)
+select *, if(txn_utilisation_estimate > round(bureau_utilisation_pct + 0.15::double, 10), 1, 0)
               as utilisation_change_flag,
        high_inquiry_flag + balance_trend_flag + if(emi_regularity_score < 0.5, 1, 0)
            + if(flagged_txn_rate > 0.05, 1, 0) as credit_stress_score

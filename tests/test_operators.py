@@ -3,9 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from creditloom.operators import decisions, quality, registry, staging
+from creditloom.operators import decisions, features, quality, registry, staging
 from creditloom.sources import audit, landing
 
 # --------------------------------------------------------------------------- quality
@@ -103,6 +104,68 @@ def test_undated_pull_wins_and_null_utilisation_is_maxed_out(spark):
     assert (row.high_inquiry_flag, row.credit_age_band) == (1, "mature")
 
 
+def _loan_and_credit(spark, emi_loan, burden_balance, income, util=0.3, limit=100):
+    loans = spark.createDataFrame(
+        [("A", "C", dt.date(2024, 1, 1), income, emi_loan, 100, 0, "x", "x", 700, 0.1, 0.1, "low", 0)],
+        "application_id string, customer_id string, application_date date, "
+        "annual_income_inr bigint, loan_amount_inr bigint, loan_term_months int, "
+        "existing_loans int, employment_type string, loan_purpose string, credit_score int, "
+        "loan_to_income_ratio double, collateral_coverage_ratio double, "
+        "credit_risk_tier string, default_flag int",
+    )
+    credit = spark.createDataFrame(
+        [("C", dt.date(2024, 1, 1), 700, burden_balance, limit, util, 0, 0, 0.0, 0, "low", 0, "new")],
+        "customer_id string, bureau_pull_date date, credit_score int, total_balance_inr bigint, "
+        "total_credit_limit_inr bigint, credit_utilisation_pct double, delinquent_accounts int, "
+        "hard_inquiries_6m int, delinquency_rate double, high_inquiry_flag int, "
+        "utilisation_band string, available_credit_inr int, credit_age_band string",
+    )
+    return loans, credit
+
+
+def test_debt_ratio_is_decimal_exact(spark):
+    """0.1 + 0.2 style errors must not tip a rounded ratio."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    # includes 2198.54 / 80 = 27.48175, whose double quotient lies below the tie
+    cases = [(219854, 0, 960)] + [(i * 37 + 11, i * 53 + 7, 960) for i in range(1, 400)]
+    loans, credit = _loan_and_credit(spark, *cases[0])
+    rows = spark.createDataFrame(cases, "loan_amount_inr bigint, bal bigint, inc bigint")
+    number = F.row_number().over(Window.orderBy("loan_amount_inr"))
+    rows = rows.withColumn("k", number.cast("string"))
+    many_loans = loans.drop("loan_amount_inr", "annual_income_inr", "customer_id").join(
+        rows.select("loan_amount_inr", F.col("inc").alias("annual_income_inr"), F.col("k").alias("customer_id"))
+    )
+    many_credit = credit.drop("customer_id", "total_balance_inr").join(
+        rows.select(F.col("k").alias("customer_id"), F.col("bal").alias("total_balance_inr"))
+    )
+    cent = Decimal("0.01")
+    for r in features.feat_dti_ratio(many_loans, many_credit).collect():
+        emi = (Decimal(r.loan_amount_inr) / 100).quantize(cent, ROUND_HALF_UP)
+        burden = (Decimal(r.bureau_total_balance_inr) / 60).quantize(cent, ROUND_HALF_UP)
+        want = ((emi + burden) / Decimal(80)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+        assert Decimal(str(r.dti_ratio)) == want
+        assert Decimal(str(r.total_monthly_debt_inr)) == emi + burden
+
+
+def test_utilisation_gap_is_decimal_exact(spark):
+    _, credit = _loan_and_credit(spark, 1, 1, 1, util=0.3, limit=100)
+    agg = spark.createDataFrame(
+        [("C", 45.0, 0.0, 0.0, 0, 0, 0.5, 0.0, 0.0, 0, 10, 1)],
+        "customer_id string, avg_monthly_spend_inr double, spend_volatility_inr double, "
+        "peak_monthly_spend_inr double, emi_payment_count_12m bigint, "
+        "total_emi_paid_inr_12m bigint, emi_regularity_score double, "
+        "avg_balance_recent_3m double, avg_balance_earlier_9m double, "
+        "total_flagged_txns bigint, total_txns_12m bigint, active_months_count bigint",
+    )
+    row = features.feat_credit_util(credit, agg).first()
+    # 0.45 is not more than 0.30 + 0.15
+    assert (row.txn_utilisation_estimate, row.utilisation_change_flag) == (0.45, 0)
+    more = agg.withColumn("avg_monthly_spend_inr", F.lit(45.01))
+    assert features.feat_credit_util(credit, more).first().utilisation_change_flag == 1
+    assert row.credit_stress_score == 0
+
+
 # --------------------------------------------------------------------------- decisions
 
 CASES = [
