@@ -151,7 +151,7 @@ def exact_medians(
         first, last = (sizes[c] + 1) // 2, (sizes[c] + 2) // 2
         if not (below[c] < first and last <= below[c] + inside[c]):
             bracket[c] = (float("-inf"), float("inf"))
-    below, inside = _bracket_counts(numbers, bracket)
+            below[c], inside[c] = 0, sizes[c]
 
     in_bracket = [
         F.when(F.col(c).between(*bracket[c]), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")))

@@ -50,8 +50,10 @@ def source_schema(spark: SparkSession, name: str, path: str) -> T.StructType:
 
 
 def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Scan a CSV source; a missing file and a malformed value are errors."""
+    """Scan a CSV source; a missing file, a malformed value and part files whose headers differ
+    are errors."""
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
+    reader = reader.option("enforceSchema", False)
     return reader.schema(source_schema(spark, name, path)).csv(path)
 
 

@@ -150,3 +150,31 @@ def test_centroids(spark):
     )
     got = {r.label: r.embedding for r in retrieval.centroids(df, "label").collect()}
     assert got == {0: [0.5, 0.5], 1: [2.0, 2.0]}
+
+
+def test_policy_index(spark, tmp_path):
+    from creditloom.plans.policy_index import build_index, retrieve
+
+    docs, index = tmp_path / "docs", str(tmp_path / "index")
+    docs.mkdir()
+    (docs / "limits.txt").write_text(
+        "SECTION 1: Debt limits\nThe ratio of debt to income must stay below one half.\n\n"
+        "SECTION 2: Scores\nApplicants need a bureau score of at least 550 points."
+    )
+    assert build_index(spark, str(docs), index) == 2
+    assert build_index(spark, str(docs), index) == 2
+    (docs / "fraud.txt").write_text("Report suspicious transfers to the compliance desk at once.")
+    assert build_index(spark, str(docs), index) == 3
+    questions = spark.createDataFrame(
+        [("q1", "Which bureau score do applicants need?"), ("q2", "suspicious transfers?")],
+        "query_id string, question string",
+    )
+    hits = retrieve(spark, index, questions, k=2)
+    best = {r.query_id: r for r in hits.where("rank = 1").collect()}
+    assert (best["q1"].source, best["q1"].section) == ("limits", "scores")
+    assert best["q2"].filename == "fraud.txt" and best["q2"].excerpt.startswith("Report")
+    context = {r.query_id: r.policy_context for r in retrieval.context_blocks(hits).collect()}
+    assert context["q1"].startswith("[Source 1: limits — scores]\nSECTION 2")
+    assert "\n\n---\n\n[Source 2: " in context["q1"]
+    (docs / "limits.txt").unlink()
+    assert build_index(spark, str(docs), index, reset=True) == 1
