@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The source files and their columns.
+# The source files and their columns.  Dates land as dates, so that a date range
+# reaches the Parquet statistics of a landed table.
 SOURCES = {
     "loan_applications": "loan_applications.csv",
     "credit_bureau": "credit_bureau.csv",
@@ -17,24 +18,24 @@ SOURCES = {
 }
 SOURCE_COLUMNS = {
     "loan_applications": (
-        "application_id string, customer_id string, application_date string, "
+        "application_id string, customer_id string, application_date date, "
         "loan_amount_inr bigint, loan_term_months bigint, annual_income_inr bigint, "
         "employment_type string, loan_purpose string, existing_loans bigint, "
         "credit_score bigint, collateral_value bigint, default_flag bigint"
     ),
     "credit_bureau": (
-        "customer_id string, bureau_pull_date string, credit_score bigint, "
+        "customer_id string, bureau_pull_date date, credit_score bigint, "
         "total_accounts bigint, open_accounts bigint, delinquent_accounts bigint, "
         "credit_utilisation_pct double, oldest_account_months bigint, hard_inquiries_6m bigint, "
         "total_credit_limit_inr bigint, total_balance_inr bigint"
     ),
     "transactions": (
-        "transaction_id string, customer_id string, transaction_date string, amount_inr bigint, "
+        "transaction_id string, customer_id string, transaction_date date, amount_inr bigint, "
         "transaction_type string, channel string, merchant_code string, "
         "balance_after_inr bigint, is_flagged bigint"
     ),
     "macro_indicators": (
-        "date string, rbi_repo_rate_pct double, cpi_inflation_pct double, "
+        "date date, rbi_repo_rate_pct double, cpi_inflation_pct double, "
         "gdp_growth_rate_pct double, unemployment_rate_pct double, usd_inr_exchange double, "
         "nifty_50_index bigint"
     ),

@@ -12,7 +12,7 @@ from creditloom.session import stage_path
 from creditloom.sources import audit, given_tables
 
 SMALL = model.Profile(
-    model.VERSIONED.numeric, model.VERSIONED.categorical, trees=12, depth=5, min_leaf=2
+    model.VERSIONED.numeric, model.VERSIONED.categorical, trees=6, depth=4, min_leaf=2
 )
 
 
@@ -106,7 +106,7 @@ def test_ranked_drivers(spark):
 
 def test_cross_validation(spark, sf):
     tiny = model.Profile(SMALL.numeric, SMALL.categorical, trees=4, depth=4)
-    out = model.cross_validate(lake(spark, sf).training, tiny, k=3)
+    out = model.cross_validate(lake(spark, sf).training, tiny, k=3, parallel=3)
     assert len(out["folds"]) == 3 and min(out["folds"]) > 0.7
     assert out["std"] == pytest.approx(np.std(out["folds"]))
 

@@ -306,7 +306,7 @@ def _csv(folder, name, text):
 def test_csv_scan(spark, tmp_path):
     good = _csv(tmp_path, "macro.csv", "date,nifty_50_index,new_column\n2024-01-01,18000,x\n")
     df = landing.read_source(spark, "macro_indicators", good)
-    assert dict(df.dtypes) == {"date": "string", "nifty_50_index": "bigint", "new_column": "string"}
+    assert dict(df.dtypes) == {"date": "date", "nifty_50_index": "bigint", "new_column": "string"}
     bad = _csv(tmp_path, "bad.csv", "date,nifty_50_index\n2024-01-01,many\n")
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
         landing.read_source(spark, "macro_indicators", bad).collect()
@@ -331,6 +331,23 @@ def test_bronze_days(spark, tmp_path):
     assert size == sum(f.stat().st_size for f in files)
 
 
+def test_window_filter_reaches_the_landed_table(spark, tmp_path, conf):
+    conf(maxMetadataStringLength="2000")
+    columns = landing.SOURCE_COLUMNS["transactions"]
+    day = dt.date(2024, 3, 1)
+    rows = spark.createDataFrame(
+        [("T1", "C1", dt.date(2024, 2, 1), 5, "debit", None, None, 7, 0),
+         ("T2", "C1", dt.date(2020, 2, 1), 5, "debit", None, None, 7, 0)],
+        columns,
+    )
+    landing.write_bronze(rows, str(tmp_path), "transactions", day)
+    landed = landing.read_bronze(spark, str(tmp_path), "transactions")
+    recent = features.recent_transactions(landed, day)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(transaction_date,2023-03-01)" in plan
+    assert recent.count() == 1
+
+
 def test_fingerprint(spark):
     import hashlib
 
