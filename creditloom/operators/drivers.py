@@ -189,38 +189,59 @@ def leaf_tables(forest: ForestTable) -> list[LeafTable]:
     return out
 
 
-def _shapley_contributions(leaves: Sequence[LeafTable], x: np.ndarray) -> np.ndarray:
-    """Shapley values of the forest, features left out being averaged by training weight.
+#: Rows handled at once by the Shapley computation, so that its work arrays stay small.
+_SHAPLEY_ROWS = 512
+
 
-    A leaf with value v is reached with probability prod_k(o_k or z_k): o_k says whether the
-    row lies in the interval of feature k, z_k is the share used when k is left out.  Averaging
+def _leaf_shapley(leaf: LeafTable, inside: np.ndarray) -> np.ndarray:
+    """Shapley value of every path feature of every leaf; ``inside`` is (rows, leaves, features).
+
+    A leaf with value v is reached with weight prod_k(o_k or z_k): o_k says whether the row
+    lies in the interval of feature k, z_k is the share used when k is left out.  Averaging
     over all orders of adding features equals the integral over t in [0, 1] of
 
         v * (o_j - z_j) * prod_{k != j} (z_k * (1 - t) + o_k * t)
 
     a polynomial in t, which Gauss-Legendre points integrate exactly.
     """
+    inside = inside.astype(np.float64)
+    points, weights = np.polynomial.legendre.leggauss((inside.shape[2] + 1) // 2)
+    total = np.zeros_like(inside)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factor = leaf.share * (1 - t) + inside * t
+        total += w * factor.prod(axis=2, keepdims=True) / factor
+    return total * (inside - leaf.share) * leaf.value[:, None]
+
+
+def _shapley_contributions(leaves: Sequence[LeafTable], x: np.ndarray) -> np.ndarray:
+    """Shapley values of the forest, features left out being averaged by training weight.
+
+    Only the in/out pattern of a row on a path matters.  With fewer patterns than rows all of
+    them are computed once per tree and looked up.
+    """
     out = np.zeros_like(x)
     for leaf in leaves:
-        width = leaf.feature.shape[1]
-        points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
-        value = x[:, leaf.feature]
-        inside = ((value > leaf.low) & (value <= leaf.high)).astype(np.float64)
-        total = np.zeros_like(inside)
-        for t, w in zip((points + 1) / 2, weights / 2):
-            factor = leaf.share * (1 - t) + inside * t
-            total += w * factor.prod(axis=2, keepdims=True) / factor
-        total *= (inside - leaf.share) * leaf.value[:, None]
+        count, width = leaf.feature.shape
         slots = np.zeros((leaf.feature.size, x.shape[1]))
         slots[np.arange(leaf.feature.size), leaf.feature.ravel()] = 1.0
-        out += total.reshape(len(x), -1) @ slots
+        by_pattern = None
+        if 1 << width < len(x):
+            bits = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
+            every = np.broadcast_to(bits[:, None, :], (1 << width, count, width))
+            by_pattern = _leaf_shapley(leaf, every)
+        for lo in range(0, len(x), _SHAPLEY_ROWS):
+            value = x[lo : lo + _SHAPLEY_ROWS][:, leaf.feature]
+            inside = (value > leaf.low) & (value <= leaf.high)
+            if by_pattern is None:
+                parts = _leaf_shapley(leaf, inside)
+            else:
+                packed = np.packbits(inside, axis=2, bitorder="little").astype(np.int64)
+                pattern = packed @ (1 << 8 * np.arange(packed.shape[2]))
+                parts = by_pattern[pattern, np.arange(count)]
+            out[lo : lo + _SHAPLEY_ROWS] += parts.reshape(len(value), -1) @ slots
     return out / len(leaves)
 
 
-#: Rows handled at once by the Shapley computation, so that its work arrays stay small.
-_SHAPLEY_ROWS = 256
-
-
 def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley") -> DataFrame:
     """Additive attribution of the forest: base value + contributions = forest probability.
 
@@ -246,9 +267,7 @@ def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley"
     def attribute(x: np.ndarray) -> np.ndarray:
         if method == "path":
             return _path_contributions(ForestTable(**shared.value), x)
-        leaves = [LeafTable(**t) for t in shared.value]
-        blocks = [x[i : i + _SHAPLEY_ROWS] for i in range(0, len(x), _SHAPLEY_ROWS)]
-        return np.concatenate([_shapley_contributions(leaves, b) for b in blocks])
+        return _shapley_contributions([LeafTable(**t) for t in shared.value], x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -63,6 +63,18 @@ def test_shapley_values(seed):
         assert total == pytest.approx(_expected(tree, row, set(range(features))))
 
 
+@pytest.mark.parametrize("features", [5, 14])
+def test_shapley_values_from_patterns(features):
+    """Many rows take the lookup, few rows do not; paths longer than a byte included."""
+    tree = _random_tree(features, 12, 2)
+    leaves = drivers.leaf_tables(tree)
+    x = np.random.default_rng(8).normal(size=(2500, features))
+    assert (leaves[0].feature.shape[1] > 8) == (features > 8)
+    looked_up = drivers._shapley_contributions(leaves, x)
+    direct = np.vstack([drivers._shapley_contributions(leaves, x[i : i + 20]) for i in range(0, 2500, 20)])
+    assert np.allclose(looked_up, direct)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_path_contributions_add_up(seed):
     tree = _random_tree(4, 5, seed)
