@@ -28,11 +28,12 @@ from creditloom.operators.training_set import (
     VERSIONED_CATEGORICAL,
     VERSIONED_NUMERIC,
     FeatureSpec,
+    class_counts,
+    class_weight,
     cv_folds,
     encode,
     fit_features,
     time_split,
-    with_class_weight,
 )
 from creditloom.session import side_by_side, spread, write_stage
 
@@ -111,12 +112,26 @@ def _forest(profile: Profile) -> RandomForestClassifier:
     )
 
 
+#: Rows per task below which another task costs more than it saves.
+_ROWS_PER_TASK = 5_000
+
+
+def _encoded(training: DataFrame, profile: Profile, name: str) -> tuple[FeatureSpec, DataFrame]:
+    """Learnt features and the weighted, encoded rows, written because fits read them often."""
+    spec, counts = side_by_side(
+        lambda: fit_features(training, profile.numeric, profile.categorical),
+        lambda: class_counts(training),
+    )
+    encoded = encode(training, spec, keep=[LABEL])
+    weighted = encoded.withColumn("class_weight", class_weight(counts))
+    tasks = max(1, sum(counts.values()) // _ROWS_PER_TASK)
+    few = tasks < training.sparkSession.sparkContext.defaultParallelism
+    return spec, write_stage(weighted.coalesce(tasks) if few else spread(weighted), name)
+
+
 def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
     """Fit on labelled rows; medians, category levels and weights come from these rows only."""
-    spec = fit_features(train, profile.numeric, profile.categorical)
-    weighted = with_class_weight(encode(train, spec, keep=[LABEL]), LABEL)
-    # both fits pass over the encoded rows several times
-    rows = write_stage(spread(weighted), "encoded")
+    spec, rows = _encoded(train, profile, "encoded")
     vectors = _vectors(rows, spec.columns).select(LABEL, "class_weight", "features")
     rf, (scaler, lr) = side_by_side(
         lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)
@@ -253,9 +268,7 @@ def cross_validate(
 
     def auc(i: int) -> float:
         training, held_out = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        spec = fit_features(training, profile.numeric, profile.categorical)
-        encoded = encode(training, spec, keep=[LABEL])
-        rows = write_stage(with_class_weight(encoded, LABEL), "fold_rows")
+        spec, rows = _encoded(training, profile, "fold_rows")
         rf = _forest(profile).fit(_vectors(rows, spec.columns))
         test = _vectors(encode(held_out, spec, keep=[LABEL]), spec.columns)
         scored = _probability(rf, test, "features", "pd_probability_rf")

@@ -297,11 +297,20 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """Attach the class weight; a label has a handful of classes, so they become literals."""
-    rows = class_weights(df, label).take(MAX_LEVELS)
-    weight = F.coalesce(*[F.when(F.col(label) == r[label], r["class_weight"]) for r in rows])
-    return df.withColumn("class_weight", weight)
+def class_weight(counts: Mapping, label: str = LABEL) -> Column:
+    """Weight column for known class sizes; a label has a handful of classes."""
+    total = sum(counts.values())
+    return F.coalesce(
+        *[
+            F.when(F.col(label) == value, total / (len(counts) * n))
+            for value, n in counts.items()
+        ]
+    )
+
+
+def class_counts(df: DataFrame, label: str = LABEL) -> dict:
+    """Rows per class."""
+    return {r[label]: r["count"] for r in df.groupBy(label).count().take(MAX_LEVELS)}
 
 
 def time_split(

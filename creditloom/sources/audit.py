@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom.functions.text import short_hash
 from creditloom.operators.latest import latest_per_key
@@ -57,11 +58,19 @@ def audit_event(
     **details,
 ) -> DataFrame:
     """One run-log row; ``details`` fill the optional columns."""
-    names = [f.split()[0] for f in AUDIT_SCHEMA.split(", ")]
-    row = dict.fromkeys(names) | details
+    fields = T.StructType.fromDDL(AUDIT_SCHEMA).fields
+    row = dict.fromkeys([f.name for f in fields]) | details
     row |= {"run_id": run_id, "source_name": source, "execution_date": execution_date}
     row |= {"status": status, "ingested_at": at or dt.datetime.now()}
-    return spark.createDataFrame([tuple(row[n] for n in names)], AUDIT_SCHEMA)
+    return spark.range(1, numPartitions=1).select(
+        *[_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in fields]
+    )
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.create_map(*[F.lit(x) for pair in value.items() for x in pair])
+    return F.lit(value)
 
 
 def append_audit(event: DataFrame, path: str, source: str) -> None:
@@ -70,7 +79,7 @@ def append_audit(event: DataFrame, path: str, source: str) -> None:
     Each source has its own folder, so sources that land side by side do not share a
     commit directory.
     """
-    rows = event.drop("source_name").coalesce(1)
+    rows = event.drop("source_name")
     rows.write.mode("append").parquet(f"{path}/source_name={source}")
 
 
