@@ -51,3 +51,33 @@ def quality_base(text):
     failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
     n_symbols = sum(c in "#*$%&|<>" for c in text)
     return len(w), sum(map(len, w)), n_symbols, len(lines) - len(set(lines)), len(repeated), failed
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(text or ""))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(docs, max_bits=3):
+    """[(doc_id, fingerprint, component_id)]; compares all pairs of distinct fingerprints."""
+    fps = {doc: fingerprint(text) for doc, text in docs}
+    distinct = sorted(set(fps.values()))
+    root = {f: f for f in distinct}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, f in enumerate(distinct):
+        for g in distinct[i + 1 :]:
+            if (f ^ g).bit_count() <= max_bits:
+                root[find(f)] = find(g)
+    first = {}
+    for doc, f in fps.items():
+        first[find(f)] = min(first.get(find(f), doc), doc)
+    return [(doc, f"{f:016x}", first[find(f)]) for doc, f in fps.items()]
