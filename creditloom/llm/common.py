@@ -63,6 +63,33 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def join_rows(
+    docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str
+) -> DataFrame:
+    """``docs`` joined with ``found`` on id and text; null ids match null ids.
+
+    ``found`` has ``doc_id``, ``t`` (xxhash64 of the text) and at most a third column, whose name
+    must be free in ``docs``.  Columns of ``docs`` may be called anything.
+    """
+    d, t = free_name(docs.columns, "_doc_id"), free_name(docs.columns, "_text_hash")
+    keys = found.withColumnsRenamed({"doc_id": d, "t": t})
+    same = column(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(column(text_col)) == F.col(t))
+    return docs.join(keys, same, how)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again, so that no later loss repeats the work."""
     return write_stage(df, f"llm-{name}")

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import (
     NOT_ALNUM_ASCII,
     broadcast_up_to,
+    column,
+    join_rows,
     let,
     lower_ascii,
     positions,
@@ -47,7 +49,7 @@ def benchmark_windows(
 ) -> DataFrame:
     """Distinct windows: id, words, length, shingle size, hashes of the shingles, sorted items."""
     cut = items.select(
-        F.col(item_col).cast("string").alias("item"), item_words(F.col(text_col)).alias("w")
+        column(item_col).cast("string").alias("item"), item_words(column(text_col)).alias("w")
     )
     starts = positions(F.greatest(F.size("w") - window, F.lit(0)) + 1)
     each = (
@@ -117,11 +119,11 @@ def contaminated_words(
     are not read.
     """
     src = docs.select(
-        F.col(id_col).alias("d"),
-        F.xxhash64(F.col(text_col)).alias("t"),
-        item_words(F.col(text_col)).alias("w"),
+        column(id_col).alias("d"),
+        F.xxhash64(column(text_col)).alias("t"),
+        item_words(column(text_col)).alias("w"),
     )
-    items = items.where(F.col(item_col).isNotNull())
+    items = items.where(column(item_col).isNotNull())
     wins = stage(benchmark_windows(items, item_col, item_text_col, window, shingle), "windows")
     sizes = sorted(r.k for r in wins.select("k").distinct().collect())  # at most ``shingle``
     if sizes:
@@ -160,9 +162,8 @@ def drop_contaminated(
     A row goes if a contaminated document has its id and its text.
     """
     found = contaminated_words(docs, items, id_col, text_col, **options)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
-    return docs.join(stage(bad.distinct(), "contaminated"), same, "left_anti")
+    bad = found.where("contaminated").select("doc_id", F.col("text_hash").alias("t")).distinct()
+    return join_rows(docs, stage(bad, "contaminated"), id_col, text_col, "left_anti")
 
 
 AT = "array<struct<start:int,len:int,w:array<string>,items:array<string>>>"

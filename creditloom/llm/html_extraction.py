@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_rows
+from creditloom.llm.common import arrow_rows, column
 
 WINDOW = 3
 #: Elements without article text, elements that end a line, void elements.
@@ -197,9 +197,9 @@ def extract_text(
     """
     arrow_rows(pages.sparkSession, 64)
     rows = pages.select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).alias("url"),
-        F.col(html_col).cast("string").alias("html"),
+        column(id_col).alias("page_id"),
+        column(url_col).alias("url"),
+        column(html_col).cast("string").alias("html"),
     )
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     return rows.mapInArrow(_extract, f"{kinds}, text string").withColumn(

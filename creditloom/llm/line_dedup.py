@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_rows, let, stage
+from creditloom.llm.common import arrow_rows, column, free_name, join_rows, let, stage
 
 MIN_WORDS = 50
 
@@ -148,14 +148,14 @@ def _lines(text: Column) -> Column:
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per distinct document (id and text): ``doc``, line hashes and words of each line."""
     doc = F.struct(
-        F.col(id_col).isNull().alias("nameless"),
-        F.col(id_col).alias("id"),
-        F.xxhash64(F.col(text_col)).alias("t"),
+        column(id_col).isNull().alias("nameless"),
+        column(id_col).alias("id"),
+        F.xxhash64(column(text_col)).alias("t"),
     )
     return docs.select(
         doc.alias("doc"),
         let(
-            _lines(F.col(text_col)),
+            _lines(column(text_col)),
             lambda ls: F.struct(
                 F.transform(ls, lambda x: F.xxhash64(x)).alias("lines"),
                 F.transform(
@@ -222,18 +222,19 @@ def dedup_lines(
     """
     blocks = stage(
         repeated_blocks(docs, id_col, text_col, min_words).select(
-            F.col("doc.id").alias("_d"), F.col("doc.t").alias("_t"), F.col("cut").alias("_cut")
+            F.col("doc.id").alias("doc_id"),
+            F.col("doc.t").alias("t"),
+            F.col("cut").alias(cut := free_name(docs.columns, "_cut")),
         ),
         "blocks",
     )
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
     rest = F.array_join(
         F.filter(
-            F.split(F.col(text_col), "\n"),
-            lambda _, i: ~F.exists("_cut", lambda b: (b["start"] <= i) & (i < b["end"])),
+            F.split(column(text_col), "\n"),
+            lambda _, i: ~F.exists(F.col(cut), lambda b: (b["start"] <= i) & (i < b["end"])),
         ),
         "\n",
     )
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(rest)
-    joined = docs.join(blocks, same, "left").withColumn(text_col, text)
-    return joined.select(*[F.col(c) for c in docs.columns])
+    text = F.when(F.col(cut).isNull(), column(text_col)).otherwise(rest)
+    joined = join_rows(docs, blocks, id_col, text_col, "left").withColumn(text_col, text)
+    return joined.select(*[column(c) for c in docs.columns])

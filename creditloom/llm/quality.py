@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import WHITE_SPACE, let, positions, stage, words
+from creditloom.llm.common import WHITE_SPACE, column, let, positions, stage, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -104,9 +104,9 @@ def repeated_words(w: Column, window: int) -> Column:
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the text, the base counts and ``base_failed``."""
     counted = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("_text"),
-        words(F.col(text_col), WHITE_SPACE).alias("w"),
+        column(id_col).alias("doc_id"),
+        column(text_col).alias("_text"),
+        words(column(text_col), WHITE_SPACE).alias("w"),
     ).withColumns(base_counts(F.col("_text")))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")

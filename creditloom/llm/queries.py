@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from creditloom.llm import (
     decontamination,
     html_extraction,
+    licenses,
     line_dedup,
     quality,
     secret_scan,
@@ -38,6 +39,11 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_rows
+from creditloom.llm.common import arrow_rows, column
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
@@ -155,7 +155,7 @@ def scan_secrets(
     spark: SparkSession = docs.sparkSession
     arrow_rows(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     span = "array<struct<start:int,end:int,kind:string>>"
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from creditloom.llm.common import arrow_rows, stage
+from creditloom.llm.common import arrow_rows, column, stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 65_536
@@ -420,9 +420,9 @@ def encode(
     proto = _broadcast_model(docs, model)
     arrow_rows(docs.sparkSession)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("t"),
-        F.col(text_col).cast("string").alias("text"),
+        column(id_col).alias("doc_id"),
+        F.xxhash64(column(text_col)).alias("t"),
+        column(text_col).cast("string").alias("text"),
     )
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t bigint"
     long = F.coalesce(F.char_length("text"), F.lit(0)) > giant

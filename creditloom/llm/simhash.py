@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import (
     WHITE_SPACE,
     arrow_rows,
+    column,
+    join_rows,
     let,
     lower_ascii,
     positions,
@@ -82,9 +84,9 @@ def fingerprints(
     """doc_id, ``t`` (hash of the text) and ``fp`` of every row; texts without words get 0."""
     arrow_rows(docs.sparkSession)
     hashed = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("t"),
-        shingle_hashes(F.col(text_col), shingle).alias("hashes"),
+        column(id_col).alias("doc_id"),
+        F.xxhash64(column(text_col)).alias("t"),
+        shingle_hashes(column(text_col), shingle).alias("hashes"),
     )
     kind = hashed.schema["doc_id"].dataType.simpleString()
     return hashed.mapInArrow(_majority, f"doc_id {kind}, t bigint, fp bigint")
@@ -264,14 +266,12 @@ def keep_first(
             rows.alias("r"),
             F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("f.t") == F.col("r.t")),
         )
-        .select(F.col("f.doc_id").alias("_d"), F.col("f.t").alias("_t"), "n"),
+        .select("f.doc_id", "f.t", "n"),
         "kept",
     )
-
-    def of(some: DataFrame) -> DataFrame:
-        same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
-        return docs.join(some, same, "left_semi")
-
-    again = kept.where(F.col("n") > 1)
-    once = of(kept.where(F.col("n") == 1))
-    return once if again.isEmpty() else once.unionByName(of(again).dropDuplicates([id_col, text_col]))
+    once, again = kept.where(F.col("n") == 1).drop("n"), kept.where(F.col("n") > 1).drop("n")
+    rest = join_rows(docs, once, id_col, text_col, "left_semi")
+    if again.isEmpty():
+        return rest
+    repeated = join_rows(docs, again, id_col, text_col, "left_semi")
+    return rest.unionByName(repeated.dropDuplicates([id_col, text_col]))

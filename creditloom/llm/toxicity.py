@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_rows, let, stage, words
+from creditloom.llm.common import arrow_rows, column, join_rows, let, stage, words
 
 #: Bounded, documented sample of labelled rows for the classifier.
 TRAIN_ROWS = 16_384
@@ -173,9 +173,9 @@ def train(
     """
     sample = stage(
         labels.where(
-            F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))
+            column(id_col).isNotNull() & column(label_col).isNotNull() & ~held_out(column(id_col))
         )
-        .groupBy(F.col(id_col).alias("_d"))
+        .groupBy(column(id_col).alias("_d"))
         .agg(F.max(label_col).cast("int").alias("toxic"))
         .withColumn("key", F.xxhash64("_d"))
         .orderBy("key", "_d")
@@ -183,7 +183,7 @@ def train(
         "labelled-sample",
     )
     texts = (
-        docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x"))
+        docs.select(column(id_col).alias("_d"), column(text_col).alias("_x"))
         .join(F.broadcast(sample), "_d")  # at most ``rows`` rows
         .groupBy("key", "toxic")
         .agg(F.max("_x").alias("_x"))
@@ -233,9 +233,9 @@ def score_texts(
     model = weights.orderBy("feature").toPandas()
     pair = (model["feature"].to_numpy(), model["weight"].to_numpy())
     hashed = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("t"),
-        hashed_words(F.col(text_col)).alias("hashed"),
+        column(id_col).alias("doc_id"),
+        F.xxhash64(column(text_col)).alias("t"),
+        hashed_words(column(text_col)).alias("hashed"),
     )
     kind = hashed.schema["doc_id"].dataType.simpleString()
     return hashed.mapInArrow(
@@ -252,11 +252,5 @@ def drop_toxic(
 ) -> DataFrame:
     """Rows of ``docs`` that score under ``threshold``, with their own columns."""
     scored = score_texts(docs, train(docs, labels, id_col, text_col), id_col, text_col)
-    bad = stage(
-        scored.where(F.col("score") >= threshold)
-        .select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
-        .distinct(),
-        "toxic",
-    )
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_t"))
-    return docs.join(bad, same, "left_anti")
+    bad = scored.where(F.col("score") >= threshold).select("doc_id", "t").distinct()
+    return join_rows(docs, stage(bad, "toxic"), id_col, text_col, "left_anti")

@@ -2,6 +2,90 @@
 
 from __future__ import annotations
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+QUALITY = r"""
+with d as (
+  select row_number() over () r, doc_id, coalesce(text, '') x,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w
+  from documents),
+lines as (
+  select r, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls
+  from d),
+places as (select r, w, unnest(range(len(w) - 7)) p from d where len(w) > 7),
+wins as (select r, p, list_slice(w, p + 1, p + 8) g from places),
+twice as (select r, unnest(list(p)) p from wins group by r, g having count(*) > 1),
+hit as (
+  select r, count(distinct q) n
+  from (select r, unnest(range(p, p + 8)) q from twice) group by r),
+counted as (
+  select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+         length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols,
+         len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
+         coalesce(hit.n, 0)::bigint n_repeat_words,
+         length(regexp_replace(x, '[^\p{L}]+', '', 'g')) letters,
+         length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) capitals
+  from d join lines using (r) left join hit using (r)),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+         10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words
+         or word_chars > 15 * n_words or 2 * letters < word_chars or 2 * capitals > letters broken
+  from counted)
+select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not broken kept
+from judged
+"""
+
+DECONTAMINATION = rf"""
+with cut as (
+  select 'd' kind, row_number() over () r, doc_id id, text from documents
+  union all select 'b', row_number() over (), item_id, text from benchmark),
+w as (
+  select kind, r, id, regexp_extract_all(
+           translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  from cut),
+items as (select id, w, least(13, len(w)) n from w where kind = 'b' and len(w) > 0 and id is not null),
+wins as (
+  select distinct id, n, list_slice(w, p + 1, p + n) g
+  from (select *, unnest(range(len(w) - n + 1)) p from items)),
+sizes as (select distinct n from wins),
+places as (
+  select r, n, p, list_slice(w, p + 1, p + n) g
+  from (select r, w, n, unnest(range(len(w) - n + 1)) p
+        from w, sizes where kind = 'd' and len(w) >= n)),
+found as (select r, places.n, p, id from places join wins using (g)),
+hit as (
+  select r, count(distinct q) n_hit
+  from (select r, unnest(range(p, p + n)) q from found) group by r),
+named as (
+  select r, count(*) n_items, string_agg(s, ',' order by s) ids
+  from (select distinct r, id::varchar s from found) group by r)
+select id doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit,
+       coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from w left join hit using (r) left join named using (r)
+where kind = 'd'
+"""
+
+WARC = """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint payload_bytes,
+         sha256(coalesce(html, '')) payload_digest
+  from pages),
+f as (
+  select *, min(page_id) over (partition by payload_digest) first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end
+         record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end refers_to
+from f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": QUALITY,
+        "op4_decontamination": DECONTAMINATION,
+        "op7_warc": WARC,
+    }

@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from creditloom.llm.common import stage
+from creditloom.llm.common import column, stage
 from creditloom.session import stage_path
 
 SCHEMA = (
@@ -357,10 +357,10 @@ def with_revisits(
     Digests and ids alone are grouped; a digest that stands once needs no partner, so only
     those that repeat are joined back to the rows.
     """
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    payload = F.encode(F.coalesce(column(html_col), F.lit("")), "UTF-8")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).cast("string").alias("target_uri"),
+        column(id_col).cast("long").alias("page_id"),
+        column(url_col).cast("string").alias("target_uri"),
         payload.alias("payload"),
     ).withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.length("payload")})
     first = (

@@ -81,3 +81,29 @@ def simhash_components(docs, max_bits=3):
     for doc, f in fps.items():
         first[find(f)] = min(first.get(find(f), doc), doc)
     return [(doc, f"{f:016x}", first[find(f)]) for doc, f in fps.items()]
+
+
+def licenses(docs, templates, shingle=5, least=0.8):
+    """{(doc_id, license): best containment over all windows}, at every place of the text."""
+
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    out = {}
+    for doc, text in docs:
+        w = words(text)
+        for name, template in templates:
+            t = words(template)
+            k = min(shingle, len(t))
+            if name is None or not t:
+                continue
+            want = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+            step = max(1, len(t) // 8)
+            size = len(t) + step - 1
+            for start in range(0, max(1, len(w)), step):
+                part = w[start : start + size]
+                have = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+                if len(have & want) >= least * len(want):
+                    share = len(have & want) / len(want)
+                    out[doc, name] = max(out.get((doc, name), 0), share)
+    return out
