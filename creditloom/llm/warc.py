@@ -248,13 +248,16 @@ class WarcReader(DataSourceReader):
         else:
             found = store.get_file_info(fs.FileSelector(path))
             names = [x.base_name for x in found if x.base_name.endswith(".warc.gz")]
-        return [Archive(f"{self.path}/{name}") for name in sorted(names)]
+        # Spark reads one partition at least
+        return [Archive(f"{self.path}/{name}") for name in sorted(names)] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64()}
         types |= {"payload": pa.binary()}
         schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
+        if not partition.value:
+            return
         store, path = open_store(partition.value)
         rows, held = [], 0
         with store.open_input_file(path) as file:

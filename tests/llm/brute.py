@@ -107,3 +107,45 @@ def licenses(docs, templates, shingle=5, least=0.8):
                     share = len(have & want) / len(want)
                     out[doc, name] = max(out.get((doc, name), 0), share)
     return out
+
+
+def _runs(text, least):
+    """Hashable runs of lines, from each line the shortest of ``least`` words."""
+    lines = [" ".join(x.split()) for x in (text or "").split("\n")]
+    for i in range(len(lines)):
+        words = 0
+        for j in range(i, len(lines)):
+            words += len(lines[j].split())
+            if words >= least:
+                if lines[i]:
+                    yield tuple(lines[i : j + 1])
+                break
+
+
+def documents_sharing_blocks(docs, least):
+    """Documents with a block of ``least`` words that another one has too."""
+    at = {}
+    for doc, text in docs:
+        for run in _runs(text, least):
+            at.setdefault(run, set()).add(doc)
+    return set().union(*(v for v in at.values() if len(v) > 1))
+
+
+def shared_blocks_left(docs, least):
+    return documents_sharing_blocks(docs, least)
+
+
+def secret_base(text):
+    text = text or ""
+    assign = re.compile(
+        r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    )
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    n_assign = len(spans)
+    for rank, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        found = re.finditer(pattern, text)
+        spans += [(m.start(), rank, m.end()) for m in found if len(m[0]) >= least]
+    names = ("assign", "access", "hex")
+    joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    counts = [sum(k == i for _, k, _ in spans) for i in (1, 2)]
+    return n_assign, *counts, hashlib.sha256(joined.encode()).hexdigest()
