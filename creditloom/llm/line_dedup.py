@@ -236,5 +236,7 @@ def dedup_lines(
         "\n",
     )
     text = F.when(F.col(cut).isNull(), column(text_col)).otherwise(rest)
-    joined = join_rows(docs, blocks, id_col, text_col, "left").withColumn(text_col, text)
+    # one plan at every size: texts are shuffled once, and the small side is hashed
+    joined = join_rows(docs, blocks.hint("shuffle_hash"), id_col, text_col, "left")
+    joined = joined.withColumn(text_col, text)
     return joined.select(*[column(c) for c in docs.columns])
