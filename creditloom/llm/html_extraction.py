@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +53,10 @@ NOT_ARTICLE = frozenset(
         "complementary"
     ).split()
 )
+#: Of these, those that tell a reader's comment or a teaser from the article.
+NOT_MAIN_ARTICLE = frozenset(
+    "ad advert sponsored promo related recommended comment comments reply replies".split()
+)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
@@ -71,12 +76,18 @@ class Line:
 
 
 def not_article(name: str, attributes: str) -> bool:
+    """By name, or by a role, id or class; ``has-sidebar`` and the like tell of a neighbour."""
     if name in DROPPED:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
-    words = re.split(r"[^a-z]+", " ".join(m[2] for m in ATTRIBUTE.finditer(attributes)).lower())
-    return not NOT_ARTICLE.isdisjoint(words)
+    marks = NOT_MAIN_ARTICLE if name == "article" else NOT_ARTICLE
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in m[2].strip("\"'").lower().split():
+            words = re.split(r"[^a-z]+", token)
+            if words[0] not in ("has", "with", "no", "without") and not marks.isdisjoint(words):
+                return True
+    return False
 
 
 def closing_places(tags: list[tuple[str, str, str, int, int]]) -> dict[int, int]:
@@ -95,11 +106,22 @@ def closing_places(tags: list[tuple[str, str, str, int, int]]) -> dict[int, int]
 def lines_of(page: str) -> list[Line]:
     """Lines of a page; dropped elements leave as many blank lines as a window has.
 
-    An element that is never closed loses nothing but its tag.
+    An element that is never closed loses nothing but its tag, and one that holds the marked
+    article goes by its name alone.
     """
     page = RAW_ELEMENT.sub(" ", COMMENT.sub("", page))
     tags = [(m[1], m[2].lower(), m[3], m.start(), m.end()) for m in TAG.finditer(page)]
     ends = closing_places(tags)
+    marked = [
+        i
+        for i, (slash, name, attributes, _, _) in enumerate(tags)
+        if name in ("article", "main") and not slash and not not_article(name, attributes)
+    ]
+
+    def holds_article(i: int) -> bool:
+        k = bisect_right(marked, i)
+        return k < len(marked) and marked[k] < ends[i]
+
     lines, article, links, number = [Line(0)], [0], [], 0
     at, skip = 0, -1
     for i, (slash, name, attributes, start, end) in enumerate(tags):
@@ -108,7 +130,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         _add(lines[-1], page[at:start], bool(links))
         at = end
-        if not slash and i in ends and not_article(name, attributes):
+        gone = not slash and i in ends and not_article(name, attributes)
+        if gone and (name in DROPPED or not holds_article(i)):
             skip = ends[i]
             lines += [Line(article[-1]) for _ in range(WINDOW)]
             lines.append(Line(article[-1]))

@@ -22,6 +22,8 @@ from creditloom.llm.common import arrow_rows, column, join_rows, let, stage, wor
 #: Bounded, documented sample of labelled rows for the classifier.
 TRAIN_ROWS = 16_384
 THRESHOLD = 0.3
+#: Share of toxic documents that is assumed where no row is labelled.
+PRIOR = 0.05
 #: Of the documents, those whose crc32 remainder by 4 is this are never learned from.
 HELD_OUT_REMAINDER = 2
 BITS = 20
@@ -93,8 +95,8 @@ def features(
 class Ftrl:
     """McMahan's FTRL-proximal with per-coordinate rates; features are 0 or 1."""
 
-    def __init__(self, s: Settings):
-        self.s = s
+    def __init__(self, s: Settings, base: float):
+        self.s, self.base = s, base  # log-odds before any feature
         self.z = np.zeros((1 << s.bits) + 1)  # the last one is the intercept
         self.n = np.zeros((1 << s.bits) + 1)
 
@@ -105,7 +107,7 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        g = _sigmoid(w.sum()) - label
+        g = _sigmoid(self.base + w.sum()) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.s.alpha * w
         self.n[at] = n + g * g
@@ -118,8 +120,13 @@ def _sigmoid(x):
 def fit(
     sets: list[np.ndarray], labels: list[int], s: Settings
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of the features whose weight is not zero; the intercept comes last."""
-    model, one = Ftrl(s), np.array([1 << s.bits])
+    """Numbers and weights of the features whose weight is not zero; the intercept comes last.
+
+    It starts from the share of label 1, counted as if 2 rows more had ``PRIOR`` of it.
+    """
+    toxic = sum(labels)
+    base = np.log((toxic + 2 * PRIOR) / (len(labels) - toxic + 2 * (1 - PRIOR)))
+    model, one = Ftrl(s, base), np.array([1 << s.bits])
     sets = [np.concatenate([x, one]) for x in sets]
     order = np.random.default_rng(7)
     for _ in range(s.epochs):
@@ -127,6 +134,7 @@ def fit(
             model.learn(sets[i], labels[i])
     everything = np.arange(len(model.z))
     w = model.weights(everything)
+    w[-1] += base
     kept = (w != 0) | (everything == len(w) - 1)
     return everything[kept], w[kept]
 
@@ -169,7 +177,7 @@ def train(
 
     Rows without an id, without a label or of the held-out remainder are not learned from.  A
     document of several labels has the largest, one of several texts the largest.  Without
-    any row the intercept is 0 and every score a half.
+    any row every score is ``PRIOR``.
     """
     sample = stage(
         labels.where(
