@@ -67,10 +67,6 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     return F.when(statistic <= 0, F.lit(1.0)).otherwise(clipped)
 
 
-#: Up to this sample size the exact p-value is used by default.
-EXACT_SIZE = 10_000
-
-
 def exact_p(statistic: float, n: int, m: int) -> float:
     """Exact two-sided p-value: share of the orders of n + m values whose gap is as large.
 
@@ -96,13 +92,16 @@ def exact_p(statistic: float, n: int, m: int) -> float:
 
 
 def ks_two_sample(
-    df: DataFrame, value: str, in_a: Column, in_b: Column, method: str = "auto"
+    df: DataFrame, value: str, in_a: Column, in_b: Column, method: str = "asymptotic"
 ) -> DataFrame:
     """One row: sample sizes, largest gap between the two distribution functions, p-value.
 
     Values are counted per sample first; only distinct values take part in the ordering.
-    ``method``: ``exact``, ``asymptotic``, or ``auto`` (exact for samples up to 10,000).
+    ``method``: ``asymptotic``, or ``exact`` for small samples (its work grows with their
+    product, on the driver).
     """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"method must be 'asymptotic' or 'exact', not {method!r}")
     counts = (
         df.where((in_a | in_b) & F.col(value).isNotNull())
         .groupBy(F.col(value).cast("double").alias("value"))
@@ -117,7 +116,7 @@ def ks_two_sample(
     )
     stat = running.agg(F.max(gap).alias("_d"))
     p = kolmogorov_p(F.col("_d"), F.lit(n), F.lit(m))
-    if min(n, m) > 0 and (method == "exact" or (method == "auto" and max(n, m) <= EXACT_SIZE)):
+    if min(n, m) > 0 and method == "exact":
         p = F.lit(exact_p(stat.first()["_d"], int(n), int(m)))
     return stat.select(
         F.lit(int(n)).cast("bigint").alias("n_baseline"),
@@ -132,7 +131,7 @@ def drift_snapshot(
     snapshot_date: dt.date,
     grain: str = "day",
     model_version: str | None = None,
-    method: str = "auto",
+    method: str = "asymptotic",
 ) -> DataFrame:
     """Monitoring row: the last scoring day compared with the first one.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from creditloom.functions import bands
 from creditloom.functions.numbers import round_binary
 from creditloom.functions.text import signed, words
-from creditloom.operators.model import PdModel, predict
+from creditloom.operators.model import PdModel, predict_values
 from creditloom.operators.training_set import encode
 from creditloom.session import spread, stage_path
 
@@ -189,8 +190,10 @@ def leaf_tables(forest: ForestTable) -> list[LeafTable]:
     return out
 
 
-#: Rows handled at once by the Shapley computation, so that its work arrays stay small.
-_SHAPLEY_ROWS = 512
+#: Cells (rows x leaves x features) that the Shapley computation works on at once.
+_SHAPLEY_CELLS = 1 << 20
+#: Trees whose paths have at most this many features are looked up by in/out pattern.
+_TABLE_WIDTH = 8
 
 
 def _leaf_shapley(leaf: LeafTable, inside: np.ndarray) -> np.ndarray:
@@ -213,24 +216,33 @@ def _leaf_shapley(leaf: LeafTable, inside: np.ndarray) -> np.ndarray:
     return total * (inside - leaf.share) * leaf.value[:, None]
 
 
-def _shapley_contributions(leaves: Sequence[LeafTable], x: np.ndarray) -> np.ndarray:
+def _pattern_table(leaf: LeafTable) -> np.ndarray | None:
+    """Shapley values of all in/out patterns of a tree with short paths, else None.
+
+    They do not depend on the rows, so a task makes them once.
+    """
+    count, width = leaf.feature.shape
+    if width > _TABLE_WIDTH:
+        return None
+    bits = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
+    return _leaf_shapley(leaf, np.broadcast_to(bits[:, None, :], (1 << width, count, width)))
+
+
+def _shapley_contributions(
+    leaves: Sequence[LeafTable], tables: Sequence[np.ndarray | None], x: np.ndarray
+) -> np.ndarray:
     """Shapley values of the forest, features left out being averaged by training weight.
 
-    Only the in/out pattern of a row on a path matters.  With fewer patterns than rows all of
-    them are computed once per tree and looked up.
+    Only the in/out pattern of a row on a path matters, so short paths are looked up.
     """
     out = np.zeros_like(x)
-    for leaf in leaves:
+    for leaf, by_pattern in zip(leaves, tables):
         count, width = leaf.feature.shape
         slots = np.zeros((leaf.feature.size, x.shape[1]))
         slots[np.arange(leaf.feature.size), leaf.feature.ravel()] = 1.0
-        by_pattern = None
-        if 1 << width < len(x):
-            bits = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
-            every = np.broadcast_to(bits[:, None, :], (1 << width, count, width))
-            by_pattern = _leaf_shapley(leaf, every)
-        for lo in range(0, len(x), _SHAPLEY_ROWS):
-            value = x[lo : lo + _SHAPLEY_ROWS][:, leaf.feature]
+        step = max(1, _SHAPLEY_CELLS // leaf.feature.size)
+        for lo in range(0, len(x), step):
+            value = x[lo : lo + step][:, leaf.feature]
             inside = (value > leaf.low) & (value <= leaf.high)
             if by_pattern is None:
                 parts = _leaf_shapley(leaf, inside)
@@ -238,18 +250,20 @@ def _shapley_contributions(leaves: Sequence[LeafTable], x: np.ndarray) -> np.nda
                 packed = np.packbits(inside, axis=2, bitorder="little").astype(np.int64)
                 pattern = packed @ (1 << 8 * np.arange(packed.shape[2]))
                 parts = by_pattern[pattern, np.arange(count)]
-            out[lo : lo + _SHAPLEY_ROWS] += parts.reshape(len(value), -1) @ slots
+            out[lo : lo + step] += parts.reshape(len(value), -1) @ slots
     return out / len(leaves)
 
 
-def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley") -> DataFrame:
+def tree_contributions(
+    frame: DataFrame, model: PdModel, method: str = "shapley", forest: ForestTable | None = None
+) -> DataFrame:
     """Additive attribution of the forest: base value + contributions = forest probability.
 
     ``shapley`` gives Shapley values; ``path`` credits each split on the way down to its
     feature, which is much cheaper.  The node table, whose size is set by the training profile,
-    is broadcast once; Spark spreads the rows and every Arrow batch is computed as a whole.
+    is broadcast once; Spark spreads the rows and a task prepares the trees once.
     """
-    forest = forest_table(model.rf)
+    forest = forest or forest_table(model.rf)
     if method == "path":
         work = vars(forest)
     elif method == "shapley":
@@ -264,12 +278,14 @@ def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley"
         [*encoded.schema.fields, T.StructField("contributions", T.ArrayType(T.DoubleType()))]
     )
 
-    def attribute(x: np.ndarray) -> np.ndarray:
+    def attribution() -> Callable[[np.ndarray], np.ndarray]:
         if method == "path":
-            return _path_contributions(ForestTable(**shared.value), x)
-        return _shapley_contributions([LeafTable(**t) for t in shared.value], x)
+            return partial(_path_contributions, ForestTable(**shared.value))
+        leaves = [LeafTable(**t) for t in shared.value]
+        return partial(_shapley_contributions, leaves, [_pattern_table(t) for t in leaves])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        attribute = attribution()
         for batch in batches:
             if len(batch):
                 parts = attribute(np.stack(batch["values"].to_numpy()))
@@ -281,7 +297,7 @@ def tree_contributions(frame: DataFrame, model: PdModel, method: str = "shapley"
 # --------------------------------------------------------------------------- ranking
 
 
-def ranked_drivers(
+def driver_lists(
     contributions: DataFrame,
     features: Sequence[str],
     n: int = TOP_DRIVERS,
@@ -290,7 +306,7 @@ def ranked_drivers(
     down: str = DECREASES,
     keep: Sequence[str] = _KEYS,
 ) -> DataFrame:
-    """The n strongest drivers of every row, strongest first.
+    """``drivers``: the n strongest drivers of every row, strongest first.
 
     All features of an application sit in one row, so they are ranked inside the row and
     nothing is shuffled.  Ties keep the feature order.
@@ -311,17 +327,32 @@ def ranked_drivers(
         ),
     )
     strong = F.filter(numbered, lambda c: -c["order"] >= smallest) if smallest else numbered
-    top = F.slice(F.array_sort(strong), 1, n)
-    rows = contributions.select(*keep, F.posexplode(top).alias("_i", "d"))
-    return rows.select(
-        *keep,
-        (F.col("_i") + 1).alias("rank"),
-        F.col("d.feature").alias("feature_name"),
-        round_binary(F.col("d.value"), 4).alias("feature_value"),
-        round_binary(F.col("d.part"), digits).alias("shap_value"),
-        F.when(F.col("d.part") > 0, INCREASES).otherwise(down).alias("direction"),
-        words(F.col("d.feature")).alias("label"),
+    top = F.transform(
+        F.slice(F.array_sort(strong), 1, n),
+        lambda d, i: F.struct(
+            (i + 1).alias("rank"),
+            d["feature"].alias("feature_name"),
+            round_binary(d["value"], 4).alias("feature_value"),
+            round_binary(d["part"], digits).alias("shap_value"),
+            F.when(d["part"] > 0, INCREASES).otherwise(down).alias("direction"),
+            words(d["feature"]).alias("label"),
+        ),
     )
+    return contributions.select(*keep, top.alias("drivers"))
+
+
+def ranked_drivers(
+    contributions: DataFrame,
+    features: Sequence[str],
+    n: int = TOP_DRIVERS,
+    digits: int = 6,
+    smallest: float = 0.0,
+    down: str = DECREASES,
+    keep: Sequence[str] = _KEYS,
+) -> DataFrame:
+    """One row per driver of :func:`driver_lists`."""
+    lists = driver_lists(contributions, features, n, digits, smallest, down, keep)
+    return lists.select(*keep, F.inline("drivers"))
 
 
 def explanation_rows(
@@ -336,77 +367,84 @@ def explanation_rows(
 def explain_applications(
     frame: DataFrame, model: PdModel, method: str = "shapley", n: int = TOP_DRIVERS
 ) -> DataFrame:
-    """One row per application: score, label, base value, its drivers and a narrative."""
-    base = base_value(forest_table(model.rf))
-    parts = tree_contributions(frame, model, method)
-    rows = explanation_rows(parts, model.spec.columns, n)
-    entry = F.struct("rank", "feature_name", "feature_value", "shap_value", "direction")
-    gathered = rows.groupBy("application_id").agg(  # at most n rows per application
-        F.array_sort(F.collect_list(entry)).alias("top_drivers"), *_narrative_lists()
+    """One row per application: score, label, base value, its drivers and a narrative.
+
+    One pass: the encoded values that were attributed are scored in the same row.
+    """
+    forest = forest_table(model.rf)
+    parts = tree_contributions(frame, model, method, forest)
+    scored = predict_values(parts, model, "values")
+    lists = driver_lists(
+        scored, model.spec.columns, n, digits=5, smallest=MIN_CONTRIBUTION, down=REDUCES,
+        keep=["application_id", "pd_probability_ens"],
+    )
+    shown = F.transform(
+        "drivers",
+        lambda d: F.struct(
+            *[d[c].alias(c) for c in ("rank", "feature_name", "feature_value", "shap_value", "direction")]
+        ),
     )
-    scores = predict(frame, model).select(
+    return lists.select(
         "application_id",
         round_binary(F.col("pd_probability_ens"), 4).alias("pd_score"),
         bands.pd_label(F.col("pd_probability_ens")).alias("pd_label"),
-        round_binary(F.lit(base), 5).alias("base_value"),
+        round_binary(F.lit(base_value(forest)), 5).alias("base_value"),
+        shown.alias("top_drivers"),
+        _narrative(3, 2),
     )
-    explained = gathered.select("application_id", "top_drivers", _narrative(3, 2))
-    return scores.join(explained, "application_id", "left")
 
 
 # --------------------------------------------------------------------------- wording
 
 
-def _in_rank_order(value: Column) -> Column:
-    """Values of a group in rank order; a group is one application with at most n drivers."""
-    gathered = F.array_sort(F.collect_list(F.struct("rank", value.alias("text"))))
-    return F.transform(gathered, lambda x: x["text"])
-
-
-def _narrative_lists() -> list[Column]:
-    """Aggregates: wording of the rising and of the protective factors, in rank order."""
-    number = F.call_function("format_number", F.col("feature_value"), F.lit("0.0###"))
-    text = F.concat(words(F.col("feature_name")), F.lit(" ("), number, F.lit(")"))
-    rising = F.col("direction") == INCREASES
-    return [
-        _in_rank_order(F.when(rising, text)).alias("_up"),
-        _in_rank_order(F.when(~rising, text)).alias("_down"),
-    ]
-
-
 def _narrative(up: int, down: int) -> Column:
-    def listed(parts: str, count: int, none: str) -> Column:
-        first = F.array_join(F.slice(F.array_compact(parts), 1, count), ", ")
-        return F.when(first != "", first).otherwise(none)
+    """Wording of the rising and of the protective factors in ``drivers``, in rank order."""
+
+    def listed(rising: bool, count: int, none: str) -> Column:
+        wanted = F.filter("drivers", lambda d: (d["direction"] == INCREASES) == F.lit(rising))
+        first = F.transform(
+            F.slice(wanted, 1, count),
+            lambda d: F.concat(
+                words(d["feature_name"]),
+                F.lit(" ("),
+                F.call_function("format_number", d["feature_value"], F.lit("0.0###")),
+                F.lit(")"),
+            ),
+        )
+        text = F.array_join(first, ", ")
+        return F.when(text != "", text).otherwise(none)
 
     return F.format_string(
-        NARRATIVE, listed("_up", up, NO_RISK_FACTORS), listed("_down", down, NO_PROTECTION)
+        NARRATIVE, listed(True, up, NO_RISK_FACTORS), listed(False, down, NO_PROTECTION)
     ).alias("narrative")
 
 
-def driver_narrative(drivers: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
-    """Two sentences per application: strongest rising and strongest protective factors."""
-    grouped = drivers.groupBy("application_id").agg(*_narrative_lists())
-    return grouped.select("application_id", _narrative(up, down))
+def driver_narrative(lists: DataFrame, up: int = 3, down: int = 2) -> DataFrame:
+    """Two sentences per application: strongest rising and strongest protective factors.
+
+    ``lists`` has one row per application (see :func:`driver_lists`); nothing is shuffled.
+    """
+    return lists.select("application_id", _narrative(up, down))
 
 
 def driver_text(
-    drivers: DataFrame, n: int = 5, up_phrase: str = UP_PHRASE, down_phrase: str = DOWN_PHRASE
+    lists: DataFrame, n: int = 5, up_phrase: str = UP_PHRASE, down_phrase: str = DOWN_PHRASE
 ) -> DataFrame:
     """Numbered driver list per application, for a prompt."""
-    phrase = F.when(F.col("direction") == INCREASES, up_phrase).otherwise(down_phrase)
-    line = F.concat(
-        F.lit("  "),
-        F.col("rank").cast("string"),
-        F.lit(". "),
-        F.col("feature_name"),
-        F.lit(" (SHAP="),
-        signed(F.col("shap_value")),
-        F.lit(") → "),
-        phrase,
+    lines = F.transform(
+        F.slice("drivers", 1, n),
+        lambda d: F.concat(
+            F.lit("  "),
+            d["rank"].cast("string"),
+            F.lit(". "),
+            d["feature_name"],
+            F.lit(" (SHAP="),
+            signed(d["shap_value"]),
+            F.lit(") → "),
+            F.when(d["direction"] == INCREASES, up_phrase).otherwise(down_phrase),
+        ),
     )
-    grouped = drivers.where(F.col("rank") <= n).groupBy("application_id")
     heading = F.concat(F.lit("Top risk drivers for "), F.col("application_id"), F.lit(":\n"))
-    return grouped.agg(_in_rank_order(line).alias("_lines")).select(
-        "application_id", F.concat(heading, F.array_join("_lines", "\n")).alias("driver_text")
+    return lists.select(
+        "application_id", F.concat(heading, F.array_join(lines, "\n")).alias("driver_text")
     )

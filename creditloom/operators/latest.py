@@ -33,6 +33,13 @@ def _hashable(field: T.StructField) -> Column:
     return F.array_sort(F.map_entries(value)) if is_map else value
 
 
+def _once(df: DataFrame, keys: Sequence[str], rest: Sequence[str], name: str) -> DataFrame:
+    """One struct of the other columns per key; a second row of a key fails the job."""
+    rows = df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias(name), F.count("*").alias("_n"))
+    repeated = F.raise_error(F.concat(F.lit("repeated key "), F.to_json(F.struct(*keys))))
+    return rows.select(*keys, F.when(F.col("_n") == 1, F.col(name)).otherwise(repeated).alias(name))
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -44,7 +51,8 @@ def upsert(
 
     ``on_conflict='update'`` replaces ``update_columns`` (all but the keys when not given) of
     an existing row; ``'ignore'`` keeps the existing row.  Both sides have at most one row per
-    key, so a plain full outer join is enough and no key can be hot.
+    key, so a plain full outer join is enough and no key can be hot; a repeated key is an error
+    (it is counted where the rows of a key meet for the join, so the check costs no shuffle).
     """
     if on_conflict not in ("update", "ignore"):
         raise ValueError(f"on_conflict must be 'update' or 'ignore', not {on_conflict!r}")
@@ -52,8 +60,7 @@ def upsert(
     replaced = set(rest if update_columns is None else update_columns)
     if on_conflict == "ignore":
         replaced = set()
-    old = target.select(*keys, F.struct(*rest).alias("_old"))
-    new = updates.select(*keys, F.struct(*rest).alias("_new"))
+    old, new = _once(target, keys, rest, "_old"), _once(updates, keys, rest, "_new")
     joined = old.join(new, list(keys), "full")
     both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     columns = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import datetime as dt
 import json
 from collections.abc import Callable, Mapping
@@ -15,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +36,22 @@ from creditloom.operators.training_set import (
     fit_features,
     time_split,
 )
-from creditloom.session import side_by_side, spread, write_stage
+from creditloom.session import side_by_side, write_stage
 
-# Weights of the blend and the class threshold.
+# Weights of the blend, the class threshold and the columns of a prediction.
 RF_WEIGHT, LR_WEIGHT = 0.70, 0.30
 CLASS_THRESHOLD = 0.5
-SCORE_COLUMNS = (
-    "application_id customer_id pd_probability_rf pd_probability_lr pd_probability_ens "
-    "pd_prediction risk_grade model_version scored_at"
-).split()
+SCORE_COLUMNS = [
+    "application_id",
+    "customer_id",
+    "pd_probability_rf",
+    "pd_probability_lr",
+    "pd_probability_ens",
+    "pd_prediction",
+    "risk_grade",
+    "model_version",
+    "scored_at",
+]
 _KEYS = ["application_id", "customer_id"]
 
 
@@ -112,27 +120,39 @@ def _forest(profile: Profile) -> RandomForestClassifier:
     )
 
 
-#: Rows per task below which another task costs more than it saves.
+#: Rows of a training task.  With the key it fixes which rows a task has and in what order.
 _ROWS_PER_TASK = 5_000
+_ROW_KEY = "application_id"
 
 
-def _encoded(training: DataFrame, profile: Profile, name: str) -> tuple[FeatureSpec, DataFrame]:
-    """Learnt features and the weighted, encoded rows, written because fits read them often."""
+def _encoded(
+    training: DataFrame, profile: Profile, name: str
+) -> tuple[FeatureSpec, Callable[[DataFrame], DataFrame], DataFrame]:
+    """Learnt features, the layout for fits, and the weighted, encoded rows.
+
+    The rows are written because fits read them often.  A forest draws its samples by task, so
+    the tasks must be the same on every cluster: their number follows from the number of rows
+    and their rows from the key.  The layout is applied right before a fit, since reading a
+    table packs its files by the number of cores.
+    """
     spec, counts = side_by_side(
         lambda: fit_features(training, profile.numeric, profile.categorical),
         lambda: class_counts(training),
     )
-    encoded = encode(training, spec, keep=[LABEL])
+    encoded = encode(training, spec, keep=[_ROW_KEY, LABEL])
     weighted = encoded.withColumn("class_weight", class_weight(counts))
     tasks = max(1, sum(counts.values()) // _ROWS_PER_TASK)
-    few = tasks < training.sparkSession.sparkContext.defaultParallelism
-    return spec, write_stage(weighted.coalesce(tasks) if few else spread(weighted), name)
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, _ROW_KEY).sortWithinPartitions(_ROW_KEY, *rows.columns)
+
+    return spec, laid_out, write_stage(weighted, name)
 
 
 def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
     """Fit on labelled rows; medians, category levels and weights come from these rows only."""
-    spec, rows = _encoded(train, profile, "encoded")
-    vectors = _vectors(rows, spec.columns).select(LABEL, "class_weight", "features")
+    spec, laid_out, rows = _encoded(train, profile, "encoded")
+    vectors = _vectors(laid_out(rows), spec.columns).select(LABEL, "class_weight", "features")
     rf, (scaler, lr) = side_by_side(
         lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)
     )
@@ -192,6 +212,14 @@ def predict(frame: DataFrame, model: PdModel, keep: list[str] | None = None) ->
     return blend(lr.drop("features", "scaled"))
 
 
+def predict_values(df: DataFrame, model: PdModel, values: str) -> DataFrame:
+    """Add probabilities, class and grade of rows whose encoded features stand in an array."""
+    vectors = df.withColumn("features", array_to_vector(values))
+    rf = _probability(model.rf, vectors, "features", "pd_probability_rf")
+    lr = _probability(model.lr, model.scaler.transform(rf), "scaled", "pd_probability_lr")
+    return blend(lr.drop("features", "scaled"))
+
+
 def score(
     frame: DataFrame, model: PdModel, version: str, scored_at: dt.datetime | None = None
 ) -> DataFrame:
@@ -268,14 +296,15 @@ def cross_validate(
 
     def auc(i: int) -> float:
         training, held_out = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        spec, rows = _encoded(training, profile, "fold_rows")
-        rf = _forest(profile).fit(_vectors(rows, spec.columns))
+        spec, laid_out, rows = _encoded(training, profile, "fold_rows")
+        rf = _forest(profile).fit(_vectors(laid_out(rows), spec.columns))
         test = _vectors(encode(held_out, spec, keep=[LABEL]), spec.columns)
         scored = _probability(rf, test, "features", "pd_probability_rf")
         return metrics.roc_auc(scored, "pd_probability_rf", LABEL).first()["auc"]
 
     with ThreadPoolExecutor(parallel) as pool:
-        aucs = list(pool.map(auc, range(k)))
+        jobs = [pool.submit(contextvars.copy_context().run, auc, i) for i in range(k)]
+        aucs = [job.result() for job in jobs]
     mean = sum(aucs) / k
     std = (sum((a - mean) ** 2 for a in aucs) / k) ** 0.5
     return {"folds": aucs, "mean": mean, "std": std}

@@ -2,7 +2,9 @@
 
 The rows are range-partitioned and sorted, so block ``i`` holds only rows that come before
 those of block ``i + 1``.  The layout is written once to the shared folder (range bounds are
-sampled, so two runs of the same plan could cut the blocks differently).  What a block needs
+sampled, so two runs of the same plan could cut the blocks differently).  Numbers and sums
+inside a block are made on the way to that write, while the rows pass in order, so the table is
+shuffled once.  What a block needs
 from the blocks before it is one small number per block; those numbers are added up on the
 driver (one row per shuffle partition) and joined back as a broadcast.
 
@@ -12,11 +14,13 @@ over the whole sort key and not only over the group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +62,11 @@ def with_running_sums(
     Callers aggregate to distinct sort keys first, so ``order`` is total and the moved rows
     are counts rather than raw rows.
     """
-    laid_out = write_stage(
-        _sorted_blocks(df, order).withColumn("_block", F.spark_partition_id()), "running"
+    blocks = _sorted_blocks(df, order).withColumn("_block", F.spark_partition_id())
+    schema = T.StructType(
+        [*blocks.schema.fields, *[T.StructField(f"_in_{new}", T.LongType()) for new in sums]]
     )
+    laid_out = write_stage(blocks.mapInArrow(_cumulate(sums), schema), "running")
     totals = (
         laid_out.groupBy("_block")
         .agg(*[F.sum(c).alias(c) for c in sums.values()])
@@ -75,11 +81,44 @@ def with_running_sums(
         [(r["_block"], *[starts[new][i] for new in sums]) for i, r in enumerate(totals)],
         "_block int, " + ", ".join(f"_start_{new} bigint" for new in sums),
     )
-    in_block = W.partitionBy("_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = laid_out.join(F.broadcast(offsets), "_block")
-    return out.withColumns(
-        {new: F.sum(c).over(in_block) + F.col(f"_start_{new}") for new, c in sums.items()}
-    ).drop("_block", *[f"_start_{new}" for new in sums])
+    placed = {new: F.col(f"_in_{new}") + F.coalesce(f"_start_{new}", F.lit(0)) for new in sums}
+    return out.withColumns(placed).select(*df.columns, *sums)
+
+
+def _cumulate(sums: dict[str, str]):
+    """Append running sums of the rows of one block; nulls count as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = dict.fromkeys(sums, 0)
+        for batch in batches:
+            columns, names = list(batch.columns), list(batch.schema.names)
+            for new, c in sums.items():
+                numbers = pc.cast(pc.fill_null(batch.column(c), 0), pa.int64())
+                upto = pc.add(pc.cumulative_sum(numbers), carried[new])
+                carried[new] = upto[-1].as_py() if len(upto) else carried[new]
+                columns.append(upto)
+                names.append(f"_in_{new}")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _number_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append the 1-based place of each row in its run of equal ``_group``."""
+    last, count = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("_group").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        row = np.arange(len(group)) - np.repeat(first, np.diff([*first, len(group)])) + 1
+        if group[0] == last:
+            row[: first[1] if len(first) > 1 else len(row)] += count
+        last, count = group[-1], int(row[-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(row, pa.int64())], names=[*batch.schema.names, "_row"]
+        )
 
 
 def with_group_rank(
@@ -91,10 +130,12 @@ def with_group_rank(
     group is the first or the last of each block it touches: at most two per block.
     """
     keys = [F.col(g) for g in group]
-    laid_out = write_stage(
-        _sorted_blocks(df, [*keys, *order]).withColumn("_block", F.spark_partition_id()),
-        "group-ranks",
+    blocks = _sorted_blocks(df, [*keys, *order]).withColumns(
+        # rows of a group stand together, so its hash tells it from its neighbours
+        {"_block": F.spark_partition_id(), "_group": F.xxhash64(*keys)}
     )
+    schema = T.StructType([*blocks.schema.fields, T.StructField("_row", T.LongType())])
+    laid_out = write_stage(blocks.mapInArrow(_number_groups, schema), "group-ranks")
     borders = (
         laid_out.groupBy("_block")
         .agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
@@ -119,10 +160,8 @@ def with_group_rank(
     schema = T.StructType(
         [*fields, T.StructField("_block", T.IntegerType()), T.StructField("_start", T.LongType())]
     )
-    in_piece = W.partitionBy("_block", *group).orderBy(*order)
     return (
-        laid_out.withColumn("_row", F.row_number().over(in_piece))
-        .join(F.broadcast(_small(df, offsets, schema)), [*group, "_block"], "left")
+        laid_out.join(F.broadcast(_small(df, offsets, schema)), [*group, "_block"], "left")
         .withColumn(name, F.col("_row") + F.coalesce("_start", F.lit(0)))
         .select(*df.columns, name)
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.functions.text import percent, section_name, short_hash, strip
-from creditloom.operators.latest import upsert
+from creditloom.operators.latest import latest_per_key, upsert
 from creditloom.session import spread
 
 # Chunk sizes, id layout, result size, separators and headings.
@@ -141,8 +141,8 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(collection: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The collection with new and changed chunks put in by id."""
-    return upsert(collection, chunks.dropDuplicates(["id"]), ["id"])
+    """The collection with new and changed chunks put in by id; of equal ids the first text."""
+    return upsert(collection, latest_per_key(chunks, ["id"], [F.col("text")]), ["id"])
 
 
 # --------------------------------------------------------------------------- vectors

@@ -113,19 +113,14 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- medians
 
-#: Up to this many rows the built-in exact median, which keeps every distinct value of a
-#: column on one reducer, is both safe and fastest.
-MEDIAN_IN_MEMORY_ROWS = 2_000_000
 _SKETCH_ACCURACY = 10_000
 _BRACKET = 0.01
 
 
-def exact_medians(
-    df: DataFrame, columns: Sequence[str], in_memory_rows: int = MEDIAN_IN_MEMORY_ROWS
-) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact (interpolated) median of every column: rows (feature, median_value).
 
-    On a large table a quantile sketch first gives a narrow bracket around each median; then
+    A quantile sketch first gives a narrow bracket around each median; then
     only values inside the brackets are counted and put in order, and the two middle values
     are read off the running counts.  The sketch error is far smaller than the bracket, and
     the counts below the bracket prove that the middle lies inside it; where that proof
@@ -135,10 +130,6 @@ def exact_medians(
     columns = list(columns)
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     sizes = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(sizes) <= in_memory_rows:
-        medians = numbers.agg(*[F.median(c).alias(c) for c in columns])
-        return medians.unpivot([], columns, "feature", "median_value")
-
     sketch = numbers.agg(
         *[
             F.percentile_approx(c, [0.5 - _BRACKET, 0.5 + _BRACKET], _SKETCH_ACCURACY).alias(c)
@@ -309,8 +300,11 @@ def class_weight(counts: Mapping, label: str = LABEL) -> Column:
 
 
 def class_counts(df: DataFrame, label: str = LABEL) -> dict:
-    """Rows per class."""
-    return {r[label]: r["count"] for r in df.groupBy(label).count().take(MAX_LEVELS)}
+    """Rows per class; more than ``MAX_LEVELS`` classes are an error."""
+    rows = df.groupBy(label).count().take(MAX_LEVELS + 1)
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"{label} has more than {MAX_LEVELS} classes")
+    return {r[label]: r["count"] for r in rows}
 
 
 def time_split(
@@ -341,19 +335,13 @@ def time_split(
         earlier = F.coalesce(F.col(date) < F.lit(r[date]), F.lit(False))
     is_train = earlier
     if cut > seen:
-        last_key = _nth_key(df.where(on_day).select(key), key, cut - seen, r["n"])
+        last_key = _nth_key(df.where(on_day).select(key), key, cut - seen)
         is_train = earlier | (on_day & (F.col(key) <= F.lit(last_key)))
     return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
 
 
-#: A day with at most this many rows is small enough to take its first keys by one sort.
-SMALL_DAY = 100_000
-
-
-def _nth_key(keys: DataFrame, key: str, n: int, size: int):
-    """The n-th smallest of ``size`` unique keys."""
-    if size <= SMALL_DAY:
-        return keys.orderBy(key).offset(n - 1).first()[key]
+def _nth_key(keys: DataFrame, key: str, n: int):
+    """The n-th smallest of the unique keys."""
     placed = with_position(keys, [F.col(key)], "_place")
     return placed.where(F.col("_place") == n).first()[key]
 

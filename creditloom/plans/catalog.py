@@ -327,17 +327,10 @@ def classification_report(gl: GivenLake) -> DataFrame:
 def ks_two_sample(gl: GivenLake) -> DataFrame:
     scored_year = F.year("scored_at")
     return drift.ks_two_sample(
-        gl.predictions, _ENS, scored_year == 1995, scored_year == 2001, method="asymptotic"
+        gl.predictions, _ENS, scored_year == 1995, scored_year == 2001
     )
 
 
-@query
-def ks_exact(gl: GivenLake) -> DataFrame:
-    """Exact p-value where the samples are small enough for the library default."""
-    scored_year = F.year("scored_at")
-    return drift.ks_two_sample(gl.predictions, _ENS, scored_year == 1995, scored_year == 2001)
-
-
 @query
 def drift_baseline(gl: GivenLake) -> DataFrame:
     return drift.on_extreme_day(gl.predictions, "min")
@@ -345,7 +338,7 @@ def drift_baseline(gl: GivenLake) -> DataFrame:
 
 @query
 def drift_snapshot(gl: GivenLake) -> DataFrame:
-    return drift.drift_snapshot(gl.predictions, gl.as_of, grain="year", method="asymptotic")
+    return drift.drift_snapshot(gl.predictions, gl.as_of, grain="year")
 
 
 # --------------------------------------------------------------------------- upsert
@@ -369,7 +362,7 @@ def monitoring_history(gl: GivenLake) -> DataFrame:
     """One snapshot per model version, newest first."""
     snapshots = [
         drift.drift_snapshot(
-            gl.predictions, gl.as_of, grain="year", model_version=v, method="asymptotic"
+            gl.predictions, gl.as_of, grain="year", model_version=v
         )
         for v in VERSIONS
     ]
@@ -606,14 +599,19 @@ def driver_explanation(gl: GivenLake) -> DataFrame:
     return drivers.explanation_rows(parts, list(WEIGHTS))
 
 
+def _given_driver_lists(gl: GivenLake) -> DataFrame:
+    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
+    return drivers.driver_lists(parts, list(WEIGHTS))
+
+
 @query
 def driver_narrative(gl: GivenLake) -> DataFrame:
-    return drivers.driver_narrative(_given_drivers(gl))
+    return drivers.driver_narrative(_given_driver_lists(gl))
 
 
 @query
 def driver_text(gl: GivenLake) -> DataFrame:
-    return drivers.driver_text(_given_drivers(gl))
+    return drivers.driver_text(_given_driver_lists(gl))
 
 
 @query
@@ -727,7 +725,7 @@ def _contexts(gl: GivenLake) -> DataFrame:
 
 
 def _application_context(gl: GivenLake) -> DataFrame:
-    texts = drivers.driver_text(_given_drivers(gl))
+    texts = drivers.driver_text(_given_driver_lists(gl))
     return write_stage(retrieval.application_context(gl.decided, texts), "application_context")
 
 

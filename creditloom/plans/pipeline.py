@@ -8,19 +8,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.operators import drift, drivers, model, quality, registry, training_set
 from creditloom.operators.latest import upsert
 from creditloom.plans.silver import Silver
-from creditloom.session import configure, side_by_side, write_stage
+from creditloom.session import configure, side_by_side, stages_of_run, write_stage
 from creditloom.sources import audit, landing
+from creditloom.sources.snapshots import read_parts, read_table, replace_part
 
 PREDICTION_KEYS = ["application_id", "model_version"]
 MONITORING_KEYS = ["model_version", "snapshot_date"]
-EXPLAIN_SAMPLE = 200
 
 
 @dataclass
@@ -39,39 +38,22 @@ class PipelineResult:
     metrics: dict[str, float]
     status: str
     drift: dict
+    #: Sources whose columns or types differ from the landing before: source -> the change.
+    schema_changes: dict[str, dict] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table of the lake, or None when it has not been written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-
-
-def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
-    writer = df.write.mode("overwrite")
-    if partitions:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
-    writer.parquet(path)
-
-
 def _merge(
     old: DataFrame | None,
     rows: DataFrame,
     path: str,
     keys: list[str],
     columns: list[str] | None = None,
-    partitions: tuple = (),
+    part: str = "all",
 ) -> None:
-    """Upsert rows into a keyed table; the merged table is written aside before it replaces
-    the one it was read from."""
-    if old is not None:
-        rows = write_stage(upsert(old.select(*rows.columns), rows, keys, columns), "merged")
-    _overwrite(rows, path, *partitions)
+    """Upsert rows into a part of a keyed table; the part is replaced by a new snapshot."""
+    merged = rows if old is None else upsert(old.select(*rows.columns), rows, keys, columns)
+    replace_part(merged, path, part)
 
 
 # --------------------------------------------------------------------------- steps
@@ -95,7 +77,7 @@ def land_source(
         path = landing.write_bronze(rows, paths.bronze, source, day)
         day_rows = landing.read_bronze(spark, paths.bronze, source, day)
         profile = audit.profile_ingest(day_rows, source).first()
-        size = audit.file_bytes(spark.read.parquet(path).where(_on_day(day))).first()
+        size = audit.file_bytes(day_rows).first()
         snapshot = audit.schema_snapshot(day_rows, source, F.lit(day))
         audit.write_snapshot(snapshot, paths.schema_snapshots, source, day)
         log(
@@ -112,10 +94,6 @@ def land_source(
         raise
 
 
-def _on_day(day: dt.date):
-    return (F.col("year") == day.year) & (F.col("month") == day.month) & (F.col("day") == day.day)
-
-
 def land(
     spark: SparkSession, raw_dir: str, paths: LakePaths, run_id: str, day: dt.date
 ) -> None:
@@ -128,8 +106,30 @@ def land(
     )
 
 
-def build_silver(spark: SparkSession, paths: LakePaths, as_of: dt.date) -> Silver:
-    """All four silver tables, rebuilt from everything landed so far."""
+def schema_changes(spark: SparkSession, paths: LakePaths, day: dt.date) -> dict[str, dict]:
+    """What changed in the columns of each source since the landing before that of ``day``."""
+    compared = audit.schema_drift(spark.read.parquet(paths.schema_snapshots))
+    today = compared.where((F.col("snapshot_date") == F.lit(day)) & F.col("changed"))
+    listed = ("added", "removed", "retyped")
+    return {r["source_name"]: {c: r[c] for c in listed} for r in today.collect()}
+
+
+def check_bronze(spark: SparkSession, paths: LakePaths, run_id: str, day: dt.date) -> None:
+    """Keep the results of the checks of what was landed on ``day``.
+
+    Sources may be dirty and staging cleans them, so only the silver suite stops a run.
+    """
+    tables = {s: landing.read_bronze(spark, paths.bronze, s, day) for s in landing.SOURCES}
+    checks = [*quality.BRONZE_CHECKS, *quality.MACRO_CHECKS]
+    results = write_stage(quality.run_suite(tables, checks), "bronze-checks")
+    stamp = {"run_id": F.lit(run_id), "execution_date": F.lit(day)}
+    results.withColumns(stamp).coalesce(1).write.mode("append").parquet(paths.check_results)
+
+
+def build_silver(
+    spark: SparkSession, paths: LakePaths, as_of: dt.date, day: dt.date
+) -> Silver:
+    """All four silver tables, rebuilt from the extract of ``day`` or all increments."""
 
     def write(df: DataFrame, name: str) -> DataFrame:
         path = f"{paths.silver}/{name}"
@@ -137,7 +137,7 @@ def build_silver(spark: SparkSession, paths: LakePaths, as_of: dt.date) -> Silve
         return spark.read.schema(df.schema).parquet(path)
 
     loans, bureau, transactions = (
-        landing.read_bronze(spark, paths.bronze, s)
+        landing.read_extract(spark, paths.bronze, s, day)
         for s in ("loan_applications", "credit_bureau", "transactions")
     )
     silver = Silver(loans, bureau, transactions, as_of, write)
@@ -179,35 +179,36 @@ def register_run(
     if table is None:
         table = spark.createDataFrame([], registry.REGISTRY_SCHEMA)
     table = write_stage(registry.register(table, entry, promote), "model_registry")
-    _overwrite(table, paths.model_registry)
+    replace_part(table, paths.model_registry)
     return registry.get_model(table, version).first()["status"]
 
 
 def write_scores(spark: SparkSession, paths: LakePaths, scores: DataFrame, version: str) -> None:
-    """Upsert the scores of one version; only the partition of that version is rewritten."""
-    table = read_table(spark, paths.pd_predictions)
-    same = None if table is None else table.where(F.col("model_version") == version)
-    _merge(same, scores, paths.pd_predictions, PREDICTION_KEYS, None, ("model_version",))
+    """Upsert the scores of one version; only the part of that version is replaced."""
+    same = read_parts(spark, paths.pd_predictions, version)
+    _merge(same, scores, paths.pd_predictions, PREDICTION_KEYS, part=version)
 
 
 def write_drivers(
-    paths: LakePaths,
-    frame: DataFrame,
-    run: model.TrainingRun,
-    version: str,
-    sample: int | None = EXPLAIN_SAMPLE,
+    paths: LakePaths, frame: DataFrame, run: model.TrainingRun, version: str
 ) -> None:
-    """Strongest forest drivers of a fixed sample of the test rows (all of them: ``None``)."""
-    chosen = run.test_scores.select("application_id")
-    if sample is not None:
-        chosen = chosen.orderBy(F.xxhash64("application_id"), "application_id").limit(sample)
-    rows = write_stage(frame.join(chosen, "application_id", "left_semi"), "explained")
-    parts = drivers.tree_contributions(rows, run.model)
+    """Strongest forest drivers of every scored application."""
+    parts = drivers.tree_contributions(frame, run.model)
     ranked = drivers.ranked_drivers(parts, run.model.spec.columns).withColumns(
         {"model_version": F.lit(version), "computed_at": F.current_timestamp()}
     )
-    writer = ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("model_version").parquet(paths.shap_values)
+    replace_part(ranked, paths.shap_values, version)
+
+
+def read_drivers(
+    spark: SparkSession, paths: LakePaths, application_id: str, version: str, n: int = 10
+) -> DataFrame:
+    """The n strongest drivers of an application under a version, strongest first."""
+    rows = read_parts(spark, paths.shap_values, version)
+    if rows is None:
+        raise LookupError(f"no drivers of version {version}")
+    found = rows.where((F.col("application_id") == application_id) & (F.col("rank") <= n))
+    return found.orderBy("rank")
 
 
 def run_pipeline(
@@ -224,9 +225,25 @@ def run_pipeline(
 ) -> PipelineResult:
     """One complete run over the files in ``raw_dir``; tables are kept under ``lake_dir``."""
     configure(spark)
-    paths = LakePaths(lake_dir)
-    as_of = as_of or execution_date
-    version = version or f"v{dt.datetime.now():%Y%m%d_%H%M%S}"
+    with stages_of_run(spark):
+        return _run(
+            spark, raw_dir, LakePaths(lake_dir), run_id, execution_date, as_of or execution_date,
+            version or f"v{dt.datetime.now():%Y%m%d_%H%M%S}", profile, promote, min_auc,
+        )
+
+
+def _run(
+    spark: SparkSession,
+    raw_dir: str,
+    paths: LakePaths,
+    run_id: str,
+    execution_date: dt.date,
+    as_of: dt.date,
+    version: str,
+    profile: model.Profile,
+    promote: bool,
+    min_auc: float,
+) -> PipelineResult:
     seconds: dict[str, float] = {}
 
     def timed(name: str, step: Callable):
@@ -236,7 +253,11 @@ def run_pipeline(
         return out
 
     timed("land", lambda: land(spark, raw_dir, paths, run_id, execution_date))
-    silver = timed("silver", lambda: build_silver(spark, paths, as_of))
+    changes, _ = side_by_side(
+        lambda: timed("schema", lambda: schema_changes(spark, paths, execution_date)),
+        lambda: timed("bronze_checks", lambda: check_bronze(spark, paths, run_id, execution_date)),
+    )
+    silver = timed("silver", lambda: build_silver(spark, paths, as_of, execution_date))
     timed("checks", lambda: check_silver(silver, paths, run_id, execution_date))
     frame = training_set.scoring_frame(silver.feat_dti_ratio, silver.feat_credit_util)
     frame = timed("frame", lambda: write_stage(frame, "scoring_frame"))
@@ -244,6 +265,7 @@ def run_pipeline(
     run = timed("train", lambda: model.train(labelled, profile))
     registry.gate(run.metrics["ensemble_auc"], min_auc)
     scores = model.score(frame, run.model, version)
+
     def watch() -> dict:
         predictions = read_table(spark, paths.pd_predictions)
         found = drift.drift_snapshot(predictions, execution_date)
@@ -264,4 +286,4 @@ def run_pipeline(
         lambda: timed("drivers", lambda: write_drivers(paths, frame, run, version)),
         lambda: timed("save", lambda: run.model.save(f"{paths.models}/{version}")),
     )
-    return PipelineResult(version, run.metrics, status, found, seconds)
+    return PipelineResult(version, run.metrics, status, found, changes, seconds)

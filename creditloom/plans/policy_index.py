@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from creditloom.operators import retrieval
 from creditloom.session import configure, write_stage
 from creditloom.sources.landing import read_documents
+from creditloom.sources.snapshots import read_parts, replace_part
 
 
 def build_index(spark: SparkSession, docs_dir: str, index_dir: str, reset: bool = False) -> int:
@@ -24,28 +27,27 @@ def build_index(spark: SparkSession, docs_dir: str, index_dir: str, reset: bool
     if chunks.isEmpty():
         raise ValueError(f"no text chunks in {docs_dir}")
     if not reset:
-        old = _existing(spark, f"{index_dir}/chunks")
+        old = read_parts(spark, f"{index_dir}/chunks")
         if old is not None:
             merged = retrieval.upsert_chunks(old.select(*chunks.columns), chunks)
             chunks = write_stage(merged, "chunks")
     weights = retrieval.fit_embedding(chunks)
-    weights.write().overwrite().save(f"{index_dir}/weights")
-    retrieval.embed(chunks, weights).write.mode("overwrite").parquet(f"{index_dir}/chunks")
+    folder = f"{index_dir}/weights-{uuid.uuid4().hex}"
+    weights.save(folder)
+    # chunks and the weights they were embedded with change together
+    embedded = retrieval.embed(chunks, weights).withColumn("weights", F.lit(folder))
+    replace_part(embedded, f"{index_dir}/chunks")
     return chunks.count()
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    from creditloom.plans.pipeline import read_table
-
-    return read_table(spark, path)
-
-
 def retrieve(
     spark: SparkSession, index_dir: str, questions: DataFrame, k: int = retrieval.TOP_K
 ) -> DataFrame:
     """The k nearest passages of every question (query_id, question): cited, ranked rows."""
-    chunks = spark.read.parquet(f"{index_dir}/chunks")
-    weights = IDFModel.load(f"{index_dir}/weights")
+    chunks = read_parts(spark, f"{index_dir}/chunks")
+    if chunks is None:
+        raise LookupError(f"no index in {index_dir}")
+    weights = IDFModel.load(chunks.first()["weights"])
     asked = retrieval.embed(questions, weights, text="question").select("query_id", "embedding")
     hits = retrieval.vector_topk(asked, chunks, k, vector_id="id")
     passages = chunks.select(

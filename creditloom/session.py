@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", app_name: str = "creditloom") -> SparkSession:
-    """A local session for tests and benchmarks."""
+def local_session(
+    cores: int | str = "*", app_name: str = "creditloom", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; ``shared`` names the folder for stages."""
     n = os.cpu_count() if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -46,31 +49,41 @@ def local_session(cores: int | str = "*", app_name: str = "creditloom") -> Spark
         .config("spark.driver.memory", os.environ.get("CREDITLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return configure(builder.getOrCreate())
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors can read and write, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder would be wrong on a cluster, so a fallback is only taken for a
-    local master (tests), where driver and executors are one process.
+    There is no other choice: a machine-local folder would be wrong on a cluster.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir must name a folder shared by all executors"
-        )
-    fallback = tempfile.mkdtemp(prefix="creditloom-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not named:
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+    return named.rstrip("/")
+
+
+#: Folder of the stages of the run that is going on, inside the application's.
+_RUN = contextvars.ContextVar("run", default="shared")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; never reused, so readers are never overwritten."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/creditloom/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/creditloom/{app}/{_RUN.get()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def stages_of_run(spark: SparkSession) -> Iterator[None]:
+    """Stages written inside the block are deleted at its end, also when it fails."""
+    token = _RUN.set(f"run-{uuid.uuid4().hex[:12]}")
+    try:
+        yield
+    finally:
+        drop_stages(spark)
+        _RUN.reset(token)
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
@@ -89,8 +102,9 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stages(spark: SparkSession) -> None:
-    """Delete the intermediate tables this application wrote, once nothing reads them."""
-    folder = f"{shared_folder(spark)}/creditloom/{spark.sparkContext.applicationId}"
+    """Delete the intermediate tables of the current run, once nothing reads them."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/creditloom/{app}/{_RUN.get()}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -113,5 +127,5 @@ def spread(df: DataFrame) -> DataFrame:
 def side_by_side(*steps: Callable) -> list:
     """Run independent driver steps at once, so that their jobs share the cluster."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        jobs = [pool.submit(step) for step in steps]
+        jobs = [pool.submit(contextvars.copy_context().run, step) for step in steps]
     return [job.result() for job in jobs]

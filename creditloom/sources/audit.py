@@ -103,17 +103,26 @@ def schema_snapshot(
     """Inferred type of every column per snapshot date; one aggregate over the rows.
 
     A column is an integer column when every value is a whole number and none is missing,
-    else a float column when every present value is a number, else text.  Returns (source_name,
+    else a float column when every present value is a number, else text.  Only text columns are
+    matched value by value; of typed ones the missing values decide.  Returns (source_name,
     snapshot_date, column_names, column_dtypes, schema_hash).
     """
     columns = list(columns or df.columns)
     total, counts = F.count(F.lit(1)).alias("_n"), []
     for c in columns:
-        text = F.trim(F.col(c).cast("string"))
+        kind = df.schema[c].dataType
+        present, none = F.count(F.col(c)), F.count_if(F.lit(False))
+        if isinstance(kind, T.StringType):
+            text = F.trim(F.col(c))
+            whole = F.count_if(F.regexp_like(text, F.lit(INTEGER_PATTERN)))
+            number = F.count_if(F.regexp_like(text, F.lit(NUMBER_PATTERN)))
+        else:
+            whole = present if isinstance(kind, T.IntegralType) else none
+            number = present if isinstance(kind, T.NumericType) else none
         counts += [
-            F.count(F.col(c)).alias(f"_{c}_present"),
-            F.count_if(F.regexp_like(text, F.lit(INTEGER_PATTERN))).alias(f"_{c}_whole"),
-            F.count_if(F.regexp_like(text, F.lit(NUMBER_PATTERN))).alias(f"_{c}_number"),
+            present.alias(f"_{c}_present"),
+            whole.alias(f"_{c}_whole"),
+            number.alias(f"_{c}_number"),
         ]
     seen = df.groupBy(snapshot_date.cast("date").alias("snapshot_date")).agg(total, *counts)
 

@@ -42,6 +42,10 @@ SOURCE_COLUMNS = {
 }
 PARTITION_COLUMNS = ["year", "month", "day"]
 
+FULL_EXTRACT, INCREMENT = "full extract", "increment"
+#: What a file of a source holds: all rows there are, or those that are new.
+LANDING = dict.fromkeys(SOURCES, FULL_EXTRACT)
+
 
 def source_schema(spark: SparkSession, name: str, path: str) -> T.StructType:
     """Columns as the file header has them: known ones typed, new ones as text."""
@@ -101,13 +105,23 @@ def write_bronze(
 def read_bronze(
     spark: SparkSession, base: str, source: str, day: dt.date | None = None
 ) -> DataFrame:
-    """All landed rows of a source, or those of one run date (only that folder is read)."""
-    df = spark.read.parquet(f"{base.rstrip('/')}/{source}")
+    """All landed rows of a source, or those of one run date.
+
+    Days can have different columns.  A day is read from its own folder and has the columns
+    that were landed on it; the history has the columns of all days, null where a day had none.
+    """
+    path = f"{base.rstrip('/')}/{source}"
     if day is not None:
-        df = df.where(
-            (F.col("year") == day.year) & (F.col("month") == day.month) & (F.col("day") == day.day)
-        )
-    return df.drop(*PARTITION_COLUMNS)
+        return spark.read.parquet(f"{path}/{day:year=%Y/month=%m/day=%d}")
+    return spark.read.option("mergeSchema", True).parquet(path).drop(*PARTITION_COLUMNS)
+
+
+def read_extract(spark: SparkSession, base: str, source: str, day: dt.date) -> DataFrame:
+    """What a run of ``day`` works on: that day's extract, or everything landed so far.
+
+    A full extract replaces the ones before it; counting both would count its rows twice.
+    """
+    return read_bronze(spark, base, source, day if LANDING[source] == FULL_EXTRACT else None)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -126,8 +140,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_ids(spark: SparkSession, path: str, limit: int | None = 500) -> DataFrame:
-    """Ids of a batch request: the ``application_id`` column, whatever its case and spacing."""
+def read_ids(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Ids of a batch request: the ``application_id`` column, whatever its case and spacing.
+
+    All of them, unless ``limit`` asks for some.
+    """
     rows = spark.read.option("header", True).csv(path)
     named = [c for c in rows.columns if c.strip("\ufeff \t").lower() == "application_id"]
     if not named:

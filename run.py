@@ -1,4 +1,4 @@
-"""Command line: run the pipeline, promote a model, score a file of ids, index policy texts."""
+"""Command line: run the pipeline, promote a model, score ids, show reports, index texts, ask."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from creditloom.operators import decisions, model, registry
-from creditloom.plans import pipeline, policy_index
-from creditloom.session import configure, write_stage
+from creditloom.plans import pipeline, policy_index, serving
+from creditloom.session import configure, stages_of_run, write_stage
 from creditloom.sources import landing
+from creditloom.sources.snapshots import known_table, replace_part
 
 PROFILES = {"versioned": model.VERSIONED, "full": model.FULL}
 
@@ -32,23 +33,38 @@ def run_pipeline(spark: SparkSession, args: argparse.Namespace) -> str:
 
 def promote(spark: SparkSession, args: argparse.Namespace) -> str:
     path = pipeline.LakePaths(args.lake).model_registry
-    changed = registry.promote(spark.read.parquet(path), args.version)
-    write_stage(changed, "model_registry").write.mode("overwrite").parquet(path)
+    replace_part(registry.promote(known_table(spark, path), args.version), path)
     return f"{args.version} is active"
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> str:
-    paths = pipeline.LakePaths(args.lake)
-    predictions = spark.read.parquet(paths.pd_predictions)
-    dti = spark.read.parquet(f"{paths.silver}/feat_dti_ratio")
-    decided = write_stage(decisions.decide_applications(predictions, dti), "decisions")
-    ids = landing.read_ids(spark, args.ids, args.limit or None)
-    landing.write_csv(decisions.score_ids(ids, decided), args.out)
+    with stages_of_run(spark):
+        decided = write_stage(serving.decisions(spark, args.lake), "decisions")
+        ids = landing.read_ids(spark, args.ids, args.limit)
+        landing.write_csv(decisions.score_ids(ids, decided), args.out)
     return f"written to {args.out}"
 
 
+def show(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Print or write one report over the lake."""
+    with stages_of_run(spark):
+        report = serving.REPORTS[args.report](spark, args.lake, *args.key)
+        if args.out:
+            landing.write_csv(report, args.out)
+            return f"written to {args.out}"
+        report.show(args.rows, truncate=False)
+    return ""
+
+
+def ask(spark: SparkSession, args: argparse.Namespace) -> str:
+    """The prompt of a question: nearest passages, the application if one is named, question."""
+    with stages_of_run(spark):
+        return serving.prompt(spark, args.lake, args.question, args.application).first()["prompt"]
+
+
 def index(spark: SparkSession, args: argparse.Namespace) -> str:
-    n = policy_index.build_index(spark, args.docs, f"{args.lake}/policy_index", args.reset)
+    with stages_of_run(spark):
+        n = policy_index.build_index(spark, args.docs, f"{args.lake}/policy_index", args.reset)
     return f"{n} chunks"
 
 
@@ -76,9 +92,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lake", required=True)
     p.add_argument("--ids", required=True)
     p.add_argument("--out", required=True)
-    p.add_argument("--limit", type=int, default=500, help="first rows of the file; 0 for all")
+    p.add_argument("--limit", type=int, default=None, help="so many rows; all if not given")
     p.set_defaults(step=score)
 
+    p = sub.add_parser("show")
+    p.add_argument("report", choices=serving.REPORTS)
+    p.add_argument("key", nargs="*", help="customer; application and model version")
+    p.add_argument("--lake", required=True)
+    p.add_argument("--out", default=None)
+    p.add_argument("--rows", type=int, default=60, help="rows to print")
+    p.set_defaults(step=show)
+
+    p = sub.add_parser("ask")
+    p.add_argument("question")
+    p.add_argument("--lake", required=True)
+    p.add_argument("--application", default=None)
+    p.set_defaults(step=ask)
+
     p = sub.add_parser("index")
     p.add_argument("--lake", required=True)
     p.add_argument("--docs", required=True)

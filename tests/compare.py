@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -76,7 +77,7 @@ def main(sf_dir: str, only: list[str]) -> int:
     import __spark_entry__ as entry
     from creditloom.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(8, shared=f"file://{tempfile.mkdtemp()}")
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():

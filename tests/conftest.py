@@ -12,8 +12,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "tests", shared=f"file://{tmp_path_factory.mktemp('stages')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

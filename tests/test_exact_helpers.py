@@ -48,7 +48,10 @@ def test_shapley_values(seed):
     features = 4
     tree = _random_tree(features, 5, seed)
     x = np.random.default_rng(seed + 100).normal(size=(4, features))
-    got = drivers._shapley_contributions(drivers.leaf_tables(tree), x)
+    leaves = drivers.leaf_tables(tree)
+    got = drivers._shapley_contributions(leaves, [drivers._pattern_table(t) for t in leaves], x)
+    direct = drivers._shapley_contributions(leaves, [None] * len(leaves), x)
+    assert np.allclose(got, direct, atol=1e-12)
     for row, phi in zip(x, got):
         want = np.zeros(features)
         orders = list(permutations(range(features)))
@@ -65,13 +68,16 @@ def test_shapley_values(seed):
 
 @pytest.mark.parametrize("features", [5, 14])
 def test_shapley_values_from_patterns(features):
-    """Many rows take the lookup, few rows do not; paths longer than a byte included."""
+    """Short paths are looked up, long ones computed, in blocks of any size."""
     tree = _random_tree(features, 12, 2)
     leaves = drivers.leaf_tables(tree)
     x = np.random.default_rng(8).normal(size=(2500, features))
     assert (leaves[0].feature.shape[1] > 8) == (features > 8)
-    looked_up = drivers._shapley_contributions(leaves, x)
-    direct = np.vstack([drivers._shapley_contributions(leaves, x[i : i + 20]) for i in range(0, 2500, 20)])
+    tables = [drivers._pattern_table(t) for t in leaves]
+    assert [t is None for t in tables] == [features > 8]
+    looked_up = drivers._shapley_contributions(leaves, tables, x)
+    blocks = (x[i : i + 20] for i in range(0, 2500, 20))
+    direct = np.vstack([drivers._shapley_contributions(leaves, [None], b) for b in blocks])
     assert np.allclose(looked_up, direct)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ import bench
 from creditloom.operators import drivers, model, quality, registry
 from creditloom.plans import pipeline
 from creditloom.plans.given_lake import lake
-from creditloom.session import stage_path
+from creditloom.session import shared_folder, stage_path
 from creditloom.sources import audit, given_tables
+from creditloom.sources.snapshots import read_parts, read_table, replace_part
 
 SMALL = model.Profile(
     model.VERSIONED.numeric, model.VERSIONED.categorical, trees=6, depth=4, min_leaf=2
@@ -95,12 +97,14 @@ def test_ranked_drivers(spark):
     shown = drivers.explanation_rows(df, names).orderBy("rank").collect()
     assert [r.feature_name for r in shown] == ["f_b", "f_a", "f_c"]
     assert shown[0].direction == "reduces_risk"
-    text = drivers.driver_narrative(drivers.explanation_rows(df, names)).first().narrative
+    lists = drivers.driver_lists(df, names, 10, 5, drivers.MIN_CONTRIBUTION, drivers.REDUCES)
+    text = drivers.driver_narrative(lists).first().narrative
     assert text == (
         "The primary factors increasing default risk are: f a (1.0), f c (3.0). "
         "Protective factors include: f b (2.0)."
     )
-    none = drivers.driver_narrative(drivers.explanation_rows(df, names).where("rank = 1")).first()
+    first = lists.withColumn("drivers", F.slice("drivers", 1, 1))
+    none = drivers.driver_narrative(first).first()
     assert "are: no dominant risk factors." in none.narrative
 
 
@@ -132,18 +136,36 @@ def test_pipeline(spark, sf, tmp_path):
 
     first = go(1, "v1")
     assert first.status == "active" and first.drift["drift_severity"] == "none"
-    n = spark.read.parquet(paths.pd_predictions).count()
+    assert first.schema_changes == {}
+    n = read_table(spark, paths.pd_predictions).count()
+    names = ("stg_loans", "stg_credit", "feat_dti_ratio", "feat_credit_util")
+
+    def silver():
+        stamps = ("silver_processed_at", "feature_computed_at")
+        return {t: sorted(map(str, spark.read.parquet(f"{paths.silver}/{t}").drop(*stamps).collect()))
+                for t in names}
+
+    once = silver()
     second = go(2, "v2")
-    assert second.status == "candidate"
+    assert second.status == "candidate" and second.schema_changes == {}
+    assert silver() == once  # the same files again count once
     go(2, "v2")  # a repeated run adds nothing
-    assert spark.read.parquet(paths.pd_predictions).count() == 2 * n
-    assert spark.read.parquet(paths.model_registry).count() == 2
-    assert spark.read.parquet(paths.model_monitoring).count() == 2
+    assert read_table(spark, paths.pd_predictions).count() == 2 * n
+    assert read_table(spark, paths.model_registry).count() == 2
+    assert read_table(spark, paths.model_monitoring).count() == 2
+    explained = read_table(spark, paths.shap_values)
+    assert explained.select("application_id", "model_version").distinct().count() == 2 * n
+    someone = explained.first().application_id
+    top = pipeline.read_drivers(spark, paths, someone, "v1", 3).collect()
+    assert [r["rank"] for r in top] == [1, 2, 3]
+    assert {r.application_id for r in top} == {someone}
+    stages = Path(shared_folder(spark).removeprefix("file://")) / "creditloom"
+    assert not list(stages.glob(f"{spark.sparkContext.applicationId}/run-*/*"))
     state = audit.latest_audit(spark.read.parquet(paths.audit_log))
     assert {(r.status, r.source_name) for r in state.collect()} == {
         ("success", s) for s in pipeline.landing.SOURCES
     }
-    shap = spark.read.parquet(paths.shap_values)
+    shap = read_table(spark, paths.shap_values)
     assert shap.select("application_id", "rank").distinct().count() * 2 == shap.count()
     snapshots = spark.read.parquet(paths.schema_snapshots)
     assert snapshots.count() == 2 * len(pipeline.landing.SOURCES)
@@ -184,3 +206,88 @@ def test_explanations(spark, sf, run):
     assert len(strengths) <= 10 and strengths == sorted(strengths, reverse=True)
     assert row.narrative.startswith("The primary factors increasing default risk are: ")
     assert row.pd_label in ("LOW", "MEDIUM", "HIGH", "VERY HIGH")
+
+
+def test_the_forest_does_not_depend_on_the_layout(spark, sf):
+    frame = lake(spark, sf).training
+    found = []
+    for parts in (2, 4, 16):
+        fitted = model.fit(frame.repartition(parts), SMALL)
+        scores = model.predict(frame, fitted).select("application_id", "pd_probability_ens")
+        found.append({r.application_id: round(r.pd_probability_ens, 9) for r in scores.collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def test_plans_of_explanations_shuffle_nothing(spark, sf, run):
+    frame = lake(spark, sf).scoring
+    out = drivers.explain_applications(frame, run.model)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+
+
+def _land(spark, tmp_path, paths, day, header, rows):
+    raw = tmp_path / f"raw{day}"
+    raw.mkdir()
+    (raw / "macro_indicators.csv").write_text("\n".join([header, *rows]) + "\n")
+    on = dt.date(2024, 1, day)
+    pipeline.land_source(spark, "macro_indicators", str(raw), paths, f"run-{day}", on)
+    return on
+
+
+def test_columns_that_change_between_days(spark, tmp_path):
+    """One column comes, one goes and one holds another type; the history has them all."""
+    paths = pipeline.LakePaths(str(tmp_path / "lake"))
+    _land(spark, tmp_path, paths, 1, "date,cpi_inflation_pct,note", ["2024-01-01,5.5,7", "2024-01-02,5.6,8"])
+    day = _land(spark, tmp_path, paths, 2, "date,note,extra", ["2024-01-03,x,1"])
+    assert pipeline.schema_changes(spark, paths, day) == {
+        "macro_indicators": {"added": ["extra"], "removed": ["cpi_inflation_pct"], "retyped": ["note"]}
+    }
+    second = pipeline.landing.read_bronze(spark, paths.bronze, "macro_indicators", day)
+    assert [c for c in second.columns if not c.startswith("_")] == ["date", "note", "extra"]
+    history = pipeline.landing.read_bronze(spark, paths.bronze, "macro_indicators")
+    rows = {str(r.date): (r.cpi_inflation_pct, r.note, r.extra) for r in history.collect()}
+    assert rows == {
+        "2024-01-01": (5.5, "7", None), "2024-01-02": (5.6, "8", None), "2024-01-03": (None, "x", "1"),
+    }
+    log = audit.latest_audit(spark.read.parquet(paths.audit_log)).where("run_id = 'run-2'").first()
+    assert log.row_count == 1 and "cpi_inflation_pct" not in log.column_names
+
+
+def test_a_table_survives_a_writer_that_dies(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    assert read_table(spark, path) is None
+    replace_part(spark.range(3), path)
+    boom = spark.range(4).select(F.raise_error(F.lit("lost")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        replace_part(boom, path)
+    assert read_table(spark, path).count() == 3
+    for n in (5, 6, 7):
+        replace_part(spark.range(n), path)
+        replace_part(spark.range(1), path, "other")
+    assert read_table(spark, path).count() == 8 and read_parts(spark, path, "all").count() == 7
+    assert len(list((tmp_path / "table" / "all").glob("snapshot-*"))) <= 3
+    with pytest.raises(ValueError, match="cannot be called"):
+        replace_part(spark.range(1), path, "a/b")
+
+
+def test_all_ids_of_a_batch_are_read(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("application_id\n" + "".join(f"A{i}\n" for i in range(1000)))
+    assert pipeline.landing.read_ids(spark, str(tmp_path / "ids.csv")).count() == 1000
+
+
+def test_too_many_classes(spark):
+    from creditloom.operators import training_set
+
+    df = spark.range(training_set.MAX_LEVELS + 1).withColumnRenamed("id", "default_flag")
+    with pytest.raises(ValueError, match="classes"):
+        training_set.class_counts(df)
+
+
+def test_repeated_keys_are_an_error(spark):
+    from creditloom.operators.latest import upsert
+
+    once = spark.createDataFrame([("a", 1)], "k string, v int")
+    twice = spark.createDataFrame([("b", 1), ("b", 2)], "k string, v int")
+    for pair in ((once, twice), (twice, once)):
+        with pytest.raises(Exception, match="repeated key"):
+            upsert(*pair, ["k"]).collect()

@@ -25,12 +25,11 @@ def _numbers(spark, n=4000):
     return rows, spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
 
 
-@pytest.mark.parametrize("in_memory_rows", [10**6, 0], ids=["built-in", "sketch"])
-def test_exact_medians(spark, in_memory_rows):
+def test_exact_medians(spark):
     rows, df = _numbers(spark)
     got = {
         r.feature: r.median_value
-        for r in ts.exact_medians(df, list("abcde"), in_memory_rows).collect()
+        for r in ts.exact_medians(df, list("abcde")).collect()
     }
     for i, c in enumerate("abcde"):
         values = [r[i] for r in rows if r[i] is not None]
@@ -42,13 +41,11 @@ def test_medians_when_the_bracket_misses(spark, monkeypatch):
     """A bracket around the wrong place is noticed and opened to the whole column."""
     rows, df = _numbers(spark, 501)
     monkeypatch.setattr(ts, "_BRACKET", -0.2)
-    got = ts.exact_medians(df, ["a"], 0).first().median_value
+    got = ts.exact_medians(df, ["a"]).first().median_value
     assert got == statistics.median(r[0] for r in rows)
 
 
-@pytest.mark.parametrize("small_day", [10**6, 0])
-def test_time_split_cuts_inside_a_hot_day(spark, monkeypatch, small_day):
-    monkeypatch.setattr(ts, "SMALL_DAY", small_day)
+def test_time_split_cuts_inside_a_hot_day(spark):
     hot = dt.date(2020, 1, 2)
     rows = [(f"A{i:04d}", dt.date(2020, 1, 1)) for i in range(10)]
     rows += [(f"B{i:04d}", hot) for i in range(80)]
