@@ -35,13 +35,18 @@ def default_rules(text: Column) -> list[Rule]:
     text = F.coalesce(text, F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    stutters = let(
+        words(text, WHITE_SPACE),
+        lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + 1) == x, F.lit(False)))),
+    )
     n, chars = F.col("n_words"), F.col("word_chars")
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("repeated lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("repeated lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("word length", (chars < 2 * n) | (chars > 15 * n)),
         Rule("few letters", 2 * letters < chars),
         Rule("shouting", 2 * capitals > letters),
+        Rule("stutter", 3 * stutters > n),
     ]
 
 

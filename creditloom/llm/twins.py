@@ -24,12 +24,14 @@ counted as (
          len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
          coalesce(hit.n, 0)::bigint n_repeat_words,
          length(regexp_replace(x, '[^\p{L}]+', '', 'g')) letters,
-         length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) capitals
+         length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) capitals,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) stutters
   from d join lines using (r) left join hit using (r)),
 judged as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
-         10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words
-         or word_chars > 15 * n_words or 2 * letters < word_chars or 2 * capitals > letters broken
+         10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words
+         or word_chars > 15 * n_words or 2 * letters < word_chars or 2 * capitals > letters
+         or 3 * stutters > n_words broken
   from counted)
 select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not broken kept
