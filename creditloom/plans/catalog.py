@@ -86,6 +86,18 @@ def monthly_spend(gl: GivenLake) -> DataFrame:
     return _rounded(months, 6, "avg_balance_inr")
 
 
+@query
+def relanded_spend(gl: GivenLake) -> DataFrame:
+    """Transactions landed as a full extract on two days: the rows of the second day count."""
+    base = stage_path(gl.spark, "bronze")
+    days = (dt.date(2001, 7, 31), gl.as_of)
+    for day in days:
+        landing.write_bronze(gl.silver.bronze_transactions, base, "transactions", day)
+    rows = landing.read_extract(gl.spark, base, "transactions", days[-1])
+    months = features.monthly_spend(rows, gl.as_of)
+    return _rounded(months, 6, "avg_balance_inr")
+
+
 def _txn_agg(gl: GivenLake) -> DataFrame:
     months = features.monthly_spend(gl.silver.bronze_transactions, gl.as_of)
     return features.customer_txn_agg(months, gl.as_of)
@@ -469,11 +481,24 @@ def audit_latest(gl: GivenLake) -> DataFrame:
     return audit.latest_audit(_audit_events(gl))
 
 
+#: From this year on a source has its new column and no longer its old one.
+_CHANGE_YEAR = 1996
+_CHANGED_COLUMNS = {
+    "loan_applications": ("default_flag", "collateral_value"),
+    "credit_bureau": ("hard_inquiries_6m", "oldest_account_months"),
+}
+
+
 def _snapshots(gl: GivenLake) -> DataFrame:
-    parts = [
-        audit.schema_snapshot(df, source, _year_end(_SOURCE_DATES[source]))
-        for source, df in _bronze(gl).items()
-    ]
+    """A snapshot per source and year; the columns of two sources change with the years."""
+    parts = []
+    for source, df in _bronze(gl).items():
+        day = _SOURCE_DATES[source]
+        late = F.year(F.col(day).cast("date")) >= _CHANGE_YEAR
+        new, old = _CHANGED_COLUMNS.get(source, ("", ""))
+        for rows, gone in ((df.where(~late), new), (df.where(late), old)):
+            columns = [c for c in df.columns if c != gone]
+            parts.append(audit.schema_snapshot(rows, source, _year_end(day), columns))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -25,6 +25,7 @@ ORACLE["stress_mix"] = _counts("feat_credit_util", "credit_stress_score")
 ORACLE["monthly_spend"] = sql(
     "select * replace (round(avg_balance_inr, 6) as avg_balance_inr) from monthly_spend"
 )
+ORACLE["relanded_spend"] = ORACLE["monthly_spend"]
 for _name in ("customer_txn_agg", "feat_credit_util"):
     ORACLE[_name] = sql(
         f"""select * replace (round(avg_balance_recent_3m, 6) as avg_balance_recent_3m,
@@ -553,8 +554,19 @@ def _runs(source: str) -> str:
 ORACLE["audit_latest"] = sql(" union all ".join(_runs(s) for s in _BRONZE_TABLES))
 
 
-def _snapshot(source: str) -> str:
+#: From this year on a source has its new column and no longer its old one.
+_CHANGE_YEAR = 1996
+_CHANGED_COLUMNS = {
+    "loan_applications": ("default_flag", "collateral_value"),
+    "credit_bureau": ("hard_inquiries_6m", "oldest_account_months"),
+}
+
+
+def _snapshot(source: str, late: bool) -> str:
     table, day, columns = _BRONZE_TABLES[source]
+    gone = _CHANGED_COLUMNS.get(source, ("", ""))[late]
+    columns = " ".join(c for c in columns.split() if c != gone)
+    years = f"cast(substr({day}, 1, 4) as int) {'>=' if late else '<'} {_CHANGE_YEAR}"
 
     def entry(c: str) -> str:
         text = f"trim(cast({c} as varchar))"
@@ -573,19 +585,24 @@ def _snapshot(source: str) -> str:
     return f"""select '{source}' as source_name,
                       cast(concat(substr({day}, 1, 4), '-12-31') as date) as snapshot_date,
                       '{{' || {entries} || '}}' as column_dtypes
-               from {table} group by substr({day}, 1, 4)"""
+               from {table} where {years} group by substr({day}, 1, 4)"""
 
 
 FRAGMENTS["snapshots"] = (
     "select *, substr(sha256(column_dtypes), 1, 16) as schema_hash from ("
-    + " union all ".join(_snapshot(s) for s in _BRONZE_TABLES)
+    + " union all ".join(_snapshot(s, late) for s in _BRONZE_TABLES for late in (False, True))
     + ")"
 )
 ORACLE["schema_snapshot"] = sql("select * from snapshots")
 ORACLE["schema_drift"] = sql(
     """select source_name, snapshot_date, schema_hash, previous_hash,
               previous_hash is not null and previous_hash <> schema_hash as changed,
-              '' as added, '' as removed,
+              ifnull(list_aggregate(list_sort(list_filter(json_keys(column_dtypes), lambda c:
+                  not list_contains(json_keys(ifnull(was, column_dtypes)), c))), 'string_agg', ','),
+                  '') as added,
+              ifnull(list_aggregate(list_sort(list_filter(json_keys(ifnull(was, column_dtypes)),
+                  lambda c: not list_contains(json_keys(column_dtypes), c))), 'string_agg', ','),
+                  '') as removed,
               ifnull(list_aggregate(list_sort(list_filter(json_keys(column_dtypes), lambda c:
                   json_extract_string(column_dtypes, c)
                   <> json_extract_string(ifnull(was, column_dtypes), c))), 'string_agg', ','), '')
