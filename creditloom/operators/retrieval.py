@@ -238,34 +238,52 @@ def vector_topk(
 
 
 def _nearest(names, matrix, k, query_id, vector_id, embedding):
-    """Batch function: the k nearest rows of the batch for every query of the block."""
+    """Task function: the k nearest of the task's rows for every query of the block.
+
+    The best so far are kept while the batches pass, so a task gives k rows per query.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_ids = best = None
         for batch in batches:
             if batch.empty:
                 continue
-            ids = batch[vector_id].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            ids, rows = ids[by_id], _unit_rows(batch[embedding].to_numpy()[by_id])
-            keep = min(k, len(ids))
-            for lo in range(0, len(names), 512):
-                distance = 1.0 - rows @ matrix[lo : lo + 512].T
-                # one whole number per cell: rounded distance, then place by id
-                key = np.rint(distance * 10**DISTANCE_DIGITS).astype(np.int64) * len(ids)
-                key += np.arange(len(ids))[:, None]
-                top = np.argpartition(key, keep - 1, axis=0)[:keep]
-                cols = np.broadcast_to(np.arange(top.shape[1]), top.shape)
-                yield pd.DataFrame(
-                    {
-                        query_id: names[lo : lo + 512][cols.ravel()],
-                        vector_id: ids[top.ravel()],
-                        "distance": distance[top.ravel(), cols.ravel()],
-                    }
-                )
+            ids, rows = batch[vector_id].to_numpy(), _unit_rows(batch[embedding].to_numpy())
+            found = [
+                _k_smallest(ids, 1.0 - rows @ matrix[lo : lo + 512].T, k)
+                for lo in range(0, len(names), 512)
+            ]
+            new_ids, new = (np.concatenate(x, axis=1) for x in zip(*found))
+            if best is not None:
+                new_ids, new = np.concatenate([best_ids, new_ids]), np.concatenate([best, new])
+            best_ids, best = _k_smallest(new_ids, new, k)
+        if best is not None:
+            yield pd.DataFrame(
+                {
+                    query_id: np.broadcast_to(names, best.shape).ravel(),
+                    vector_id: best_ids.ravel(),
+                    "distance": best.ravel(),
+                }
+            )
 
     return run
 
 
+def _k_smallest(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k smallest cells of every column; equal ones by id.
+
+    ``ids`` has one id per row, or one per cell.
+    """
+    known, place = np.unique(ids, return_inverse=True)
+    place = place.reshape(ids.shape) if ids.ndim == 2 else place.reshape(-1, 1)
+    # one whole number per cell: rounded distance, then place by id
+    key = np.rint(distance * 10**DISTANCE_DIGITS).astype(np.int64) * len(known) + place
+    keep = min(k, len(distance))
+    top = np.argpartition(key, keep - 1, axis=0)[:keep]
+    cells = np.take_along_axis(np.broadcast_to(place, key.shape), top, axis=0)
+    return known[cells], np.take_along_axis(distance, top, axis=0)
+
+
 # --------------------------------------------------------------------------- context, prompts
 
 

@@ -712,13 +712,15 @@ def vector_topk(gl: GivenLake) -> DataFrame:
 
 
 def _passages(gl: GivenLake) -> DataFrame:
-    """Every document as a passage; document and vector share their number."""
-    return gl.table("documents").select(
-        F.col("doc_id").alias("vec_id"),
-        "source",
+    """The opening chunk of every document; document and vector share their number."""
+    docs = gl.table("documents")
+    chunks = retrieval.chunk_documents(docs, source="doc_id").where("metadata.chunk_index = 0")
+    opening = chunks.select(
+        F.col("metadata.source").cast("bigint").alias("vec_id"),
         section_name(F.col("text")).alias("section"),
         "text",
     )
+    return docs.select(F.col("doc_id").alias("vec_id"), "source").join(opening, "vec_id")
 
 
 @query
@@ -774,11 +776,13 @@ def tfidf_topk(gl: GivenLake) -> DataFrame:
         "chunks",
     )
     weights = retrieval.fit_embedding(chunks)
-    corpus = retrieval.embed(chunks, weights).select("id", "embedding")
+    corpus = write_stage(
+        retrieval.embed(chunks, weights).select("id", "embedding"), "chunk_vectors"
+    )
     asked = retrieval.embed(
         _questions(gl).select(F.col("question_id").alias("query_id"), "question"),
         weights,
         text="question",
     )
-    queries_ = asked.select("query_id", "embedding")
+    queries_ = write_stage(asked.select("query_id", "embedding"), "question_vectors")
     return retrieval.vector_topk(queries_, corpus, vector_id="id")

@@ -808,7 +808,10 @@ select h.query_id, h.rank, d.source,
        coalesce(nullif(lower(trim(regexp_extract(d.text,
            'SECTION\\s+\\d+[:\\s]+([^\\n]+)', 1))), ''), 'general') as section,
        d.text, round(h.distance, 4) as distance
-from topic_hits h join documents d on d.doc_id = h.vec_id
+from topic_hits h
+join (select d.doc_id, d.source, c.text
+      from documents d join chunks c on cast(c.source as bigint) = d.doc_id
+      where c.chunk_index = 0) d on d.doc_id = h.vec_id
 """
 ORACLE["cited_sources"] = sql(
     """select query_id, rank, source, section, substr(text, 1, 200) as excerpt, distance
