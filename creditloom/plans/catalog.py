@@ -678,6 +678,31 @@ def path_drivers(gl: GivenLake) -> DataFrame:
     return drivers.ranked_drivers(parts, fitted.spec.columns)
 
 
+@query
+def attribution_sums(gl: GivenLake) -> DataFrame:
+    """Whether base value and contributions add up to the forest's probability, both ways."""
+    fitted = gl.trained.model
+    base = drivers.base_value(drivers.forest_table(fitted.rf))
+    scores = model.predict(gl.scoring, fitted).select("application_id", "pd_probability_rf")
+
+    def adds_up(method: str) -> DataFrame:
+        parts = drivers.tree_contributions(gl.scoring, fitted, method)
+        total = F.aggregate("contributions", F.lit(base), lambda a, x: a + x)
+        gap = F.abs(total - F.col("pd_probability_rf"))
+        return parts.join(scores, "application_id").select(
+            "application_id", F.lit(method).alias("method"), (gap < 1e-9).alias("adds_up")
+        )
+
+    return adds_up("shapley").unionByName(adds_up("path"))
+
+
+@query
+def pd_scores_full(gl: GivenLake) -> DataFrame:
+    """The main training profile: more trees, deeper, with the category features."""
+    fitted = model.fit(gl.training, model.FULL)
+    return model.score(gl.scoring, fitted, "full", _LANDED_AT)
+
+
 @query
 def explanations(gl: GivenLake) -> DataFrame:
     found = drivers.explain_applications(gl.scoring, gl.trained.model)

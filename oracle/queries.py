@@ -723,6 +723,10 @@ ORACLE["driver_narrative"] = sql(
                     label || ' (' || cast(feature_value as varchar) || ')' as t from top_drivers)
        group by application_id"""
 )
+ORACLE["attribution_sums"] = sql(
+    """select application_id, method, true as adds_up
+       from scoring_frame, (select unnest(['shapley', 'path']) as method)"""
+)
 FRAGMENTS["driver_texts"] = """
 select application_id, concat('Top risk drivers for ', application_id, ':', chr(10),
        string_agg(concat('  ', rank, '. ', feature_name, ' (SHAP=', printf('%+.4f', shap_value),
