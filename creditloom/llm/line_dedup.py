@@ -1,34 +1,55 @@
-"""Line dedup: later documents lose the blocks that they share with earlier ones.
+"""Line dedup: later documents lose the passages that they share with earlier ones.
 
-1.  *Rare lines.*  A short line can stand anywhere, so lines are made rare by their
-    neighbours: from each line on, and from each line back, the run of lines that reaches
-    ``min_words`` words is hashed.  A shared block of ``min_words`` words holds such a run
-    from its first line and one up to its last.
-2.  *Overlapping documents.*  A run that stands in several documents links each of them to
+Passages stand inside lines as well as in lines of their own, so the lines that are compared are
+runs of words, wherever a line ends.  White space alone parts words.
+
+1.  *Rare line hashes.*  Every run of ``RUN`` words is hashed, long enough to be rare.  Of each
+    ``min_words - RUN + 1`` neighbouring runs the smallest hash is kept (winnowing), so a shared
+    passage of ``min_words`` words shares a kept one, wherever it stands.
+2.  *Overlapping documents.*  A hash that stands in several documents links each of them to
     the first, so a passage of thousands of documents gives as many pairs as documents.  The
     first is a minimum, summed up before it is shuffled.
-3.  *Patience diff* aligns each pair: lines that are unique on both sides, in longest
-    increasing order, then the gaps between them in the same way; equal lines that touch an
-    alignment join it.  A gap without unique lines takes its rarest shared line instead.
+3.  *Patience diff* aligns each pair on the windows of ``WINDOW`` words at every place: those
+    unique on both sides, in longest increasing order, then the gaps between them in the same
+    way; equal windows that touch an alignment join it.  A gap without unique windows takes its
+    rarest shared one instead.  What is left of the later document is aligned again.
 4.  Aligned blocks of ``min_words`` words or more are deleted from the later document.
 
 An earlier document is one of smaller id (of smaller text hash for equal ids; null ids last).
-Line hashes are joined, never texts, until the deleted lines are cut out.
+Only documents of a pair are read again, and their texts meet as arrays of hashes.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import arrow_rows, column, free_name, join_rows, let, stage
+from creditloom.llm.common import (
+    WHITE_SPACE,
+    arrow_rows,
+    broadcast_up_to,
+    column,
+    free_name,
+    join_rows,
+    let,
+    positions,
+    stage,
+    words,
+)
 
 MIN_WORDS = 50
+RUN = 20
+WINDOW = 8
+#: Documents up to which the ids of those in pairs are broadcast (some 40 bytes each).
+BROADCAST_ROWS = 500_000
+BASE = 0x9E3779B97F4A7C15
 
 
 def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
@@ -79,164 +100,218 @@ def _rarest(a, a0, a1, b, b0, b1, in_a, in_b) -> list[tuple[int, int]]:
     shared = in_a.keys() & in_b.keys()
     if not shared:
         return []
-    line = min(shared, key=lambda x: (in_a[x] * in_b[x], x))
+    line = min(shared, key=lambda x: in_a[x] * in_b[x])
     return [(a.index(line, a0, a1), b.index(line, b0, b1))]
 
 
-def shared_blocks(a: list, b: list, words_b: list[int], min_words: int) -> list[tuple[int, int]]:
-    """[start, end) of the aligned blocks in ``b`` that have ``min_words`` words or more."""
-    out, run, last = [], [], None
+def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[int, int]]:
+    """[start, end) in words of the blocks of ``min_words`` words or more of ``b`` that are in ``a``.
+
+    ``a`` and ``b`` are the windows at every place, so n aligned ones are n + window - 1 words.
+    An alignment keeps order, so what is left of ``b`` is aligned again until nothing is found:
+    blocks that changed places, or stand in ``b`` twice, are found too.
+    """
+    out, b = [], list(b)
+    while found := _aligned_blocks(a, b, window, min_words):
+        out += found
+        for start, end in found:
+            first = max(0, start - window + 1)
+            b[first:end] = [(i,) for i in range(first, min(end, len(b)))]  # equal to nothing
+    return sorted(out)
+
+
+def _aligned_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[int, int]]:
+    out, last, start = [], None, 0
     for i, j in [*patience_matches(a, b), (-2, -2)]:
-        if run and (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words_b[k] for k in run) >= min_words:
-                out.append((run[0], run[-1] + 1))
-            run = []
-        run.append(j)
+        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
+            if last is not None and last[1] - start + window >= min_words:
+                out.append((start, last[1] + window))
+            start = j
         last = (i, j)
     return out
 
 
-def _blocks_of(min_words: int):
-    def blocks(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [{"start": s, "end": e} for s, e in shared_blocks(list(x), list(y), w, min_words)]
-                for x, y, w in zip(a, b, words)
+def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
+    """Distinct kept hashes of the runs of ``run`` words; none if there are under ``min_words``."""
+    n = len(hashes)
+    if n < min_words:
+        return np.empty(0, dtype=np.int64)
+    h = np.ascontiguousarray(hashes).view(np.uint64)
+    # a polynomial modulo 2**64, by doubling: total[i] covers ``width`` words from i on
+    bits, total, width = bin(run)[3:], h, 1
+    for bit in bits:
+        total = total[: len(total) - width] * np.uint64(pow(BASE, width, 1 << 64)) + total[width:]
+        width *= 2
+        if bit == "1":
+            total = total[: n - width] * np.uint64(BASE) + h[width:]
+            width += 1
+    mixed = total ^ (total >> np.uint64(31))
+    mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
+    smallest, span, wanted = mixed, 1, min_words - run + 1
+    while span < wanted:  # minima of windows of growing length
+        step = min(span, wanted - span)
+        smallest = np.minimum(smallest[: len(smallest) - step], smallest[step:])
+        span += step
+    return np.unique(smallest).view(np.int64)
+
+
+def _winnower(run: int, min_words: int):
+    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            kept = [winnowed(values[i:j], run, min_words) for i, j in zip(ends[:-1], ends[1:])]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in kept]))
+            runs = pa.array(np.concatenate([np.empty(0, np.int64), *kept]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(of), batch.column("t").take(of), runs],
+                names=["id", "t", "run"],
+            )
+
+    return winnow
+
+
+def _aligner(window: int, min_words: int):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("earlier").to_pylist(), batch.column("later").to_pylist())
+            found = [
+                [{"start": s, "end": e} for s, e in shared_blocks(a, b, window, min_words)]
+                for a, b in rows
             ]
-        )
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("t"), pa.array(found, kind)],
+                names=["id", "t", "blocks"],
+            )
 
-    return F.pandas_udf(blocks, "array<struct<start:int,end:int>>")
+    return align
 
 
-def run_hashes(lines: np.ndarray, words: np.ndarray, min_words: int) -> list[int]:
-    """Hash of the shortest run of ``min_words`` words from each line on, and up to each line.
+def without_words(text: str, blocks: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``blocks`` (sorted, [start, end)) and the blanks behind them.
 
-    Empty lines count as lines of the run.  Runs of one place are hashed once.
+    A line that loses all its words goes with its end.
     """
-    n = len(lines)
-    total = np.concatenate([[0], np.cumsum(words)])
-    last = np.searchsorted(total, total[:n] + min_words, side="left")  # end of the run from i
-    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # start of that up to i
-    runs = {(i, int(e)) for i, e in enumerate(last) if e <= n and words[i]}
-    runs |= {(int(s), i + 1) for i, s in enumerate(first) if s >= 0 and words[i]}
-    # a polynomial over the line hashes, modulo 2**64: prefixes give every run in one step
-    mask, base, value = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0
-    prefix, power = [0], [1]
-    for x in lines.tolist():
-        value = (value * base + x) & mask
-        prefix.append(value)
-        power.append(power[-1] * base & mask)
-    hashes = ((prefix[e] - prefix[s] * power[e - s]) & mask for s, e in runs)
-    return [h - (1 << 64) if h >> 63 else h for h in hashes]
-
-
-def _runs_of(min_words: int):
-    def runs(lines: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([run_hashes(x, w, min_words) for x, w in zip(lines, words)])
-
-    return F.pandas_udf(runs, "array<bigint>")
-
-
-def _lines(text: Column) -> Column:
-    """Lines with white space at both ends and in between evened out."""
-    return F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")),
-    )
+    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    out, at = [], 0
+    for first, last in blocks:
+        start, end = places[first][0], places[last - 1][1]
+        if start < at:
+            start = at
+        if end <= at:
+            continue
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        if end < len(text) and text[end] == "\n" and (start == 0 or text[start - 1] == "\n"):
+            end += 1
+        out.append(text[at:start])
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = [
+            without_words(text, [(b["start"], b["end"]) for b in blocks])
+            for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist())
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("t"), pa.array(cut, pa.string())],
+            names=["id", "t", "rest"],
+        )
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per distinct document (id and text): ``doc``, line hashes and words of each line."""
-    doc = F.struct(
-        column(id_col).isNull().alias("nameless"),
-        column(id_col).alias("id"),
-        F.xxhash64(column(text_col)).alias("t"),
+def _windows(w: Column, size: int) -> Column:
+    """Hashes (32 bits) of the windows of ``size`` words at every place."""
+    return let(
+        F.transform(w, lambda x: F.xxhash64(x)),
+        lambda h: F.transform(
+            positions(F.size(h) - size + 1),
+            lambda i: F.hash(*[F.get(h, i + j) for j in range(size)]),
+        ),
     )
-    return docs.select(
-        doc.alias("doc"),
-        let(
-            _lines(column(text_col)),
-            lambda ls: F.struct(
-                F.transform(ls, lambda x: F.xxhash64(x)).alias("lines"),
-                F.transform(
-                    ls,
-                    lambda x: F.when(x == "", F.lit(0)).otherwise(
-                        F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-                    ),
-                ).alias("words"),
-            ),
-        ).alias("x"),
-    ).select("doc", "x.lines", "x.words")
-
-
-def repeated_blocks(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
-) -> DataFrame:
-    """``doc`` (nameless, id, t) and ``cut``: numbers of the lines that go, sorted.
 
-    Documents that lose nothing have no row.
-    """
-    arrow_rows(docs.sparkSession)
-    table = stage(line_table(docs, id_col, text_col), "lines")
-    runs = stage(
-        table.select("doc", _runs_of(min_words)("lines", "words").alias("runs"))
-        .select("doc", F.explode("runs").alias("run"))
-        .distinct(),
-        "runs",
+
+def document_pairs(
+    rows: DataFrame, run: int = RUN, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """``doc`` and ``first`` (structs nameless, id, t) of documents that share a kept hash."""
+    arrow_rows(rows.sparkSession)
+    hashed = rows.select(
+        "id",
+        "t",
+        F.transform(words(F.col("text"), WHITE_SPACE), lambda x: F.xxhash64(x)).alias("hashes"),
     )
+    kind = hashed.schema["id"].dataType.simpleString()
+    kept = hashed.mapInArrow(_winnower(run, min_words), f"id {kind}, t bigint, run bigint")
+    doc = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
+    runs = stage(kept.select("run", doc.alias("doc")), "runs")
     first = (
         runs.groupBy("run")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         .where(F.col("first") != F.col("last"))
         .select("run", "first")
     )
-    pairs = (
-        runs.join(stage(first, "repeated-runs"), "run")
-        .where(F.col("doc") != F.col("first"))
-        .select("doc", "first")
-        .distinct()
+    pairs = runs.join(stage(first, "repeated-runs"), "run").where(F.col("doc") != F.col("first"))
+    return stage(pairs.select("doc", "first").distinct(), "pairs")
+
+
+def shortened(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """id, ``t`` (hash of the text) and ``rest`` (what is left) of documents that lose something."""
+    rows = docs.select(
+        column(id_col).alias("id"),
+        F.xxhash64(column(text_col)).alias("t"),
+        column(text_col).alias("text"),
+    )
+    pairs = document_pairs(rows, min(RUN, min_words), min_words)
+    members = stage(
+        pairs.select(F.explode(F.array("doc", "first")).alias("doc")).distinct(), "members"
+    )
+    known = broadcast_up_to(members.select(F.col("doc.id").alias("i"), F.col("doc.t").alias("h")), BROADCAST_ROWS)
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))
+    texts = stage(
+        rows.join(known, same, "left_semi").select(
+            "id", "t", "text", _windows(words(F.col("text"), WHITE_SPACE), min(WINDOW, min_words)).alias("windows")
+        ),
+        "texts-of-pairs",
     )
-    once = table.groupBy("doc").agg(
-        F.first("lines").alias("lines"), F.first("words").alias("words")
+    once = texts.groupBy(F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("doc")).agg(
+        F.first("windows").alias("windows")
     )
-    pairs = stage(pairs, "pairs")
-    members = pairs.select(F.explode(F.array("doc", "first")).alias("doc")).distinct()
-    lines = stage(once.join(members, "doc", "left_semi"), "lines-of-pairs")
-    earlier = lines.select(F.col("doc").alias("first"), F.col("lines").alias("lines_a"))
-    aligned = pairs.join(lines, "doc").join(earlier, "first")
-    return (
-        aligned.select("doc", _blocks_of(min_words)("lines_a", "lines", "words").alias("blocks"))
-        .select("doc", F.explode("blocks").alias("block"))
-        .groupBy("doc")
-        .agg(F.array_sort(F.collect_set("block")).alias("cut"))
+    once = stage(once, "windows-of-pairs")
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = "array<struct<start:int,end:int>>"
+    aligned = (
+        pairs.join(once.withColumnRenamed("windows", "later"), "doc")
+        .join(once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier")), "first")
+        .select("doc.id", "doc.t", "earlier", "later")
+        .mapInArrow(_aligner(min(WINDOW, min_words), min_words), f"id {kind}, t bigint, blocks {blocks}")
+        .where(F.size("blocks") > 0)
+        .groupBy(F.col("id").alias("i"), F.col("t").alias("h"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("blocks")))).alias("blocks"))
     )
+    cut = texts.dropDuplicates(["id", "t"]).join(stage(aligned, "blocks"), same)
+    return cut.select("id", "t", "text", "blocks").mapInArrow(_cut, f"id {kind}, t bigint, rest string")
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """``docs`` without the blocks that stand in earlier documents; all rows and columns stay.
+    """``docs`` without the passages that stand in earlier documents; all rows and columns stay.
 
-    A copy of an earlier document keeps its row with an empty text.  Rows that repeat id and
-    text are one document, not copies of each other.  Null and empty texts stay as they are.
+    A copy of an earlier document keeps its row with what is left, an empty text or blanks.
+    Rows that repeat id and text are one document, not copies of each other.  Null and empty
+    texts, and those of fewer than ``min_words`` words, stay as they are.
     """
-    blocks = stage(
-        repeated_blocks(docs, id_col, text_col, min_words).select(
-            F.col("doc.id").alias("doc_id"),
-            F.col("doc.t").alias("t"),
-            F.col("cut").alias(cut := free_name(docs.columns, "_cut")),
-        ),
-        "blocks",
-    )
-    rest = F.array_join(
-        F.filter(
-            F.split(column(text_col), "\n"),
-            lambda _, i: ~F.exists(F.col(cut), lambda b: (b["start"] <= i) & (i < b["end"])),
-        ),
-        "\n",
+    rest = free_name(docs.columns, "_rest")
+    changed = stage(
+        shortened(docs, id_col, text_col, min_words).withColumnsRenamed({"id": "doc_id", "rest": rest}),
+        "shortened",
     )
-    text = F.when(F.col(cut).isNull(), column(text_col)).otherwise(rest)
     # one plan at every size: texts are shuffled once, and the small side is hashed
-    joined = join_rows(docs, blocks.hint("shuffle_hash"), id_col, text_col, "left")
-    joined = joined.withColumn(text_col, text)
+    joined = join_rows(docs, changed.hint("shuffle_hash"), id_col, text_col, "left")
+    joined = joined.withColumn(text_col, F.coalesce(F.col(rest), column(text_col)))
     return joined.select(*[column(c) for c in docs.columns])

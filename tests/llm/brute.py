@@ -110,29 +110,19 @@ def licenses(docs, templates, shingle=5, least=0.8):
 
 
 def _runs(text, least):
-    """Hashable runs of lines, from each line the shortest of ``least`` words."""
-    lines = [" ".join(x.split()) for x in (text or "").split("\n")]
-    for i in range(len(lines)):
-        words = 0
-        for j in range(i, len(lines)):
-            words += len(lines[j].split())
-            if words >= least:
-                if lines[i]:
-                    yield tuple(lines[i : j + 1])
-                break
-
-
-def documents_sharing_blocks(docs, least):
-    """Documents with a block of ``least`` words that another one has too."""
-    at = {}
-    for doc, text in docs:
-        for run in _runs(text, least):
-            at.setdefault(run, set()).add(doc)
-    return set().union(*(v for v in at.values() if len(v) > 1))
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[i : i + least]) for i in range(len(w) - least + 1)}
 
 
-def shared_blocks_left(docs, least):
-    return documents_sharing_blocks(docs, least)
+def sharing_with_earlier(docs, least):
+    """Documents with ``least`` words in a row that an earlier one of ``docs`` (sorted) has."""
+    seen, out = set(), set()
+    for doc, text in docs:
+        runs = _runs(text, least)
+        if runs & seen:
+            out.add(doc)
+        seen |= runs
+    return out
 
 
 def secret_base(text):

@@ -105,21 +105,40 @@ def test_patience_diff():
     assert [(x, y) for x, y in line_dedup.patience_matches(a, b)] == [
         (0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (6, 7),
     ]
-    assert line_dedup.shared_blocks(a, b, [10] * 9, 30) == [(1, 4), (5, 8)]
-    assert line_dedup.shared_blocks(a, b, [10] * 9, 40) == []
+    assert line_dedup.shared_blocks(a, b, 1, 3) == [(1, 4), (5, 8)]
+    assert line_dedup.shared_blocks(a, b, 1, 4) == []
+    assert line_dedup.shared_blocks(list("abcdef"), list("defabcxabc"), 1, 3) == [(0, 3), (3, 6), (7, 10)]
     # no line is unique on both sides
     assert line_dedup.patience_matches(list("xaax"), list("yaay")) == [(1, 1), (2, 2)]
     assert line_dedup.patience_matches([], list("ab")) == []
 
 
-def test_moved_block_is_cut_once(spark):
+def test_passages_inside_lines_and_out_of_order(spark):
     p, q, r = (" ".join(f"{c}{i}" for i in range(55)) for c in "pqr")
-    rows = [(1, f"{p}\n{q}"), (2, f"{r}\n{q}\n"), (3, f"short\n{q}\n{p}"), (4, f"short\n{r}\n{p} more")]
+    rows = [
+        (1, f"{p}\n{q}"),
+        (2, f"{r}\n{q}\n"),
+        (3, f"short\n{q}\n{p}"),
+        (4, f"short {r} and {p} more"),
+        (5, " ".join(p.split()[:49])),
+        (6, f"x {p} y\t{p}\nz"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = dict(line_dedup.dedup_lines(docs).collect())
-    assert got[1] == rows[0][1] and got[2] == f"{r}\n" and got[4] == f"short\n{p} more"
-    # a diff keeps order, so of two blocks that changed places one is aligned
-    assert got[3] in (f"short\n{p}", f"short\n{q}")
+    assert got == {
+        1: rows[0][1], 2: f"{r}\n", 3: "short\n", 4: "short and more", 5: rows[4][1], 6: "x y\t\nz",
+    }
+
+
+def test_winnowing_keeps_a_run_of_every_shared_passage():
+    rng = np.random.default_rng(3)
+    words = lambda n: rng.integers(-(2**62), 2**62, n)
+    for run, least in ((20, 50), (1, 3), (5, 5), (7, 30)):
+        for _ in range(40):
+            p = words(least)
+            a, b = (np.concatenate([words(rng.integers(0, 60)), p, words(rng.integers(0, 60))]) for _ in "ab")
+            assert np.intersect1d(line_dedup.winnowed(a, run, least), line_dedup.winnowed(b, run, least)).size
+        assert line_dedup.winnowed(words(least - 1), run, least).size == 0
 
 
 def test_short_lines_of_a_long_block(spark):
