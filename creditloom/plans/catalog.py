@@ -27,7 +27,7 @@ from creditloom.operators import (
     training_set,
 )
 from creditloom.plans.given_lake import GivenLake, lake
-from creditloom.session import stage_path, write_stage
+from creditloom.session import configure, stage_path, write_stage
 from creditloom.sources import audit, landing
 from creditloom.sources.given_tables import application_key
 
@@ -42,7 +42,7 @@ def query(fn: Callable[[GivenLake], DataFrame]) -> Callable[[GivenLake], DataFra
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(lake(spark, sf_dir))
+        return lambda spark, sf_dir: fn(lake(configure(spark), sf_dir))
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

@@ -27,6 +27,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot partition even when a later join or aggregate then needs its own shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows of numbers; operators on whole texts ask for smaller batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
