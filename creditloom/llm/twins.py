@@ -2,8 +2,50 @@
 
 from __future__ import annotations
 
+from creditloom.llm.licenses import TEMPLATES
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
+
+#: Every window is compared, where the query retrieves them by MinHash.
+LICENSES = rf"""
+with t as (
+  select license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w
+  from (values {_TEMPLATE_ROWS}) v(license, text)),
+sets as (
+  select distinct license, n, k, array_to_string(list_slice(w, p + 1, p + k), ' ') sh
+  from (select *, unnest(range(n - k + 1)) p
+        from (select license, w, len(w) n, least(5, len(w)) k from t))),
+needed as (select license, count(*) n_sh from sets group by license),
+d as (
+  select doc_id, x, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') w
+  from (select distinct doc_id, text x from documents where text is not null)),
+places as (
+  select doc_id, x, k, p, array_to_string(list_slice(w, p + 1, p + k), ' ') sh
+  from (select doc_id, x, w, k, unnest(range(len(w) - k + 1)) p
+        from d, (select distinct k from sets) where len(w) >= k)),
+hits as (
+  select doc_id, x, license, n, k, p, sh, greatest(1, n // 8) step
+  from places join sets using (k, sh)),
+windows as (
+  select *, unnest(range(
+           greatest(0, ceil((p - (n + step - 1 - k)) / step)::bigint) * step, p + 1, step)) b
+  from hits),
+found as (
+  select doc_id, x, license, b, count(distinct sh) shared, min(p) first, max(p + k) last
+  from windows group by doc_id, x, license, b),
+good as (
+  select * from found join needed using (license) where shared >= 0.8 * n_sh),
+best as (
+  select *, count(*) over (partition by doc_id, x, license) n_windows,
+         row_number() over (partition by doc_id, x, license order by shared desc, first, last) place
+  from good)
+select doc_id, license, shared / n_sh::double containment, first::bigint word_start,
+       last::bigint word_end, n_windows
+from best where place = 1
+"""
+
 QUALITY = r"""
 with d as (
   select row_number() over () r, doc_id, coalesce(text, '') x,
@@ -87,6 +129,7 @@ from f
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": LICENSES,
         "op2_quality_rules": QUALITY,
         "op4_decontamination": DECONTAMINATION,
         "op7_warc": WARC,
