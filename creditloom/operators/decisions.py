@@ -38,10 +38,18 @@ REF_GRADE_APPROVE = "Basel III PD Risk Grade A/B — standard approval"
 REF_DTI_APPROVE = "RBI DTI threshold — low/moderate risk band"
 REF_REFER = "Basel III PD Risk Grade C — enhanced monitoring"
 
-CONTEXT_COLUMNS = (
-    "loan_amount_inr annual_income_inr employment_type loan_purpose credit_score "
-    "loan_to_income_ratio dti_ratio dti_risk_tier credit_risk_tier"
-).split()
+# Columns of an application that a decision shows.
+CONTEXT_COLUMNS = [
+    "loan_amount_inr",
+    "annual_income_inr",
+    "employment_type",
+    "loan_purpose",
+    "credit_score",
+    "loan_to_income_ratio",
+    "dti_ratio",
+    "dti_risk_tier",
+    "credit_risk_tier",
+]
 
 
 def latest_prediction(predictions: DataFrame, version: str | None = None) -> DataFrame:
@@ -134,11 +142,19 @@ def decision_mix(decided: DataFrame) -> DataFrame:
     )
 
 
-#: Columns of a batch result file, in order.
-BATCH_COLUMNS = (
-    "application_id customer_id pd_probability_rf pd_probability_lr pd_probability_ens "
-    "risk_grade decision confidence reasoning error"
-).split()
+# Columns of a batch result file, in order.
+BATCH_COLUMNS = [
+    "application_id",
+    "customer_id",
+    "pd_probability_rf",
+    "pd_probability_lr",
+    "pd_probability_ens",
+    "risk_grade",
+    "decision",
+    "confidence",
+    "reasoning",
+    "error",
+]
 REASON_SEPARATOR = " | "
 
 

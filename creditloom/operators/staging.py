@@ -10,8 +10,8 @@ from creditloom.functions.numbers import clamp, ratio
 from creditloom.operators.latest import latest_per_key
 
 
-def _typed(names: str, spark_type: str) -> dict[str, Column]:
-    return {n: F.col(n).cast(spark_type) for n in names.split()}
+def _typed(names: list[str], spark_type: str) -> dict[str, Column]:
+    return {n: F.col(n).cast(spark_type) for n in names}
 
 
 def stg_loans(bronze: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def stg_loans(bronze: DataFrame) -> DataFrame:
         *[
             c.alias(n)
             for n, c in {
-                **_typed("loan_amount_inr annual_income_inr", "bigint"),
-                **_typed("loan_term_months existing_loans", "int"),
+                **_typed(["loan_amount_inr", "annual_income_inr"], "bigint"),
+                **_typed(["loan_term_months", "existing_loans"], "int"),
                 "collateral_value_inr": F.col("collateral_value").cast("bigint"),
-                **_typed("credit_score", "int"),
+                **_typed(["credit_score"], "int"),
             }.items()
         ],
         F.lower(F.trim("employment_type")).alias("employment_type"),
@@ -70,11 +70,17 @@ def stg_credit(bronze: DataFrame) -> DataFrame:
             c.alias(n)
             for n, c in {
                 **_typed(
-                    "credit_score total_accounts open_accounts delinquent_accounts "
-                    "hard_inquiries_6m oldest_account_months",
+                    [
+                        "credit_score",
+                        "total_accounts",
+                        "open_accounts",
+                        "delinquent_accounts",
+                        "hard_inquiries_6m",
+                        "oldest_account_months",
+                    ],
                     "int",
                 ),
-                **_typed("total_credit_limit_inr total_balance_inr", "bigint"),
+                **_typed(["total_credit_limit_inr", "total_balance_inr"], "bigint"),
                 "_raw_utilisation": F.col("credit_utilisation_pct").cast("double"),
             }.items()
         ],

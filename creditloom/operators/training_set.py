@@ -60,20 +60,44 @@ VERSIONED_NUMERIC = [
 VERSIONED_CATEGORICAL = ["employment_type", "loan_purpose", "credit_risk_tier"]
 MISSING_CATEGORY = "unknown"
 
-# Columns taken from the application side and, with a default, from the customer side.
-_APPLICATION_COLUMNS = (
-    "application_id customer_id application_date loan_amount_inr annual_income_inr "
-    "loan_term_months existing_loans collateral_coverage_ratio loan_to_income_ratio "
-    "credit_score employment_type loan_purpose dti_ratio dti_risk_tier credit_risk_tier "
-    "monthly_income_inr estimated_monthly_emi_inr bureau_monthly_burden_inr "
-    "total_monthly_debt_inr delinquency_rate hard_inquiries_6m combined_risk_flag "
-    "no_bureau_record_flag"
-).split()
-_CUSTOMER_ZERO = (
-    "bureau_utilisation_pct avg_monthly_spend_inr spend_volatility_inr "
-    "emi_payment_count_12m emi_regularity_score credit_stress_score flagged_txn_rate "
-    "total_txns_12m balance_trend_flag utilisation_change_flag"
-).split()
+# Columns taken from the application side and, with a default, from the customer side.
+_APPLICATION_COLUMNS = [
+    "application_id",
+    "customer_id",
+    "application_date",
+    "loan_amount_inr",
+    "annual_income_inr",
+    "loan_term_months",
+    "existing_loans",
+    "collateral_coverage_ratio",
+    "loan_to_income_ratio",
+    "credit_score",
+    "employment_type",
+    "loan_purpose",
+    "dti_ratio",
+    "dti_risk_tier",
+    "credit_risk_tier",
+    "monthly_income_inr",
+    "estimated_monthly_emi_inr",
+    "bureau_monthly_burden_inr",
+    "total_monthly_debt_inr",
+    "delinquency_rate",
+    "hard_inquiries_6m",
+    "combined_risk_flag",
+    "no_bureau_record_flag",
+]
+_CUSTOMER_ZERO = [
+    "bureau_utilisation_pct",
+    "avg_monthly_spend_inr",
+    "spend_volatility_inr",
+    "emi_payment_count_12m",
+    "emi_regularity_score",
+    "credit_stress_score",
+    "flagged_txn_rate",
+    "total_txns_12m",
+    "balance_trend_flag",
+    "utilisation_change_flag",
+]
 _CUSTOMER_UNKNOWN = ["utilisation_band", "credit_age_band"]
 
 #: A categorical feature with more levels than this is a data error, not a feature.
