@@ -16,12 +16,12 @@ runs of words, wherever a line ends.  White space alone parts words.
 4.  Aligned blocks of ``min_words`` words or more are deleted from the later document.
 
 An earlier document is one of smaller id (of smaller text hash for equal ids; null ids last).
-Only documents of a pair are read again, and their texts meet as arrays of hashes.
+Only documents of a pair are read again, and their texts meet as arrays of hashes.  The words
+are cut out by built-in functions.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -49,6 +49,9 @@ RUN = 20
 WINDOW = 8
 #: Documents up to which the ids of those in pairs are broadcast (some 40 bytes each).
 BROADCAST_ROWS = 500_000
+#: Hashes up to which those of repeated runs are broadcast (8 bytes each).
+BROADCAST_RUNS = 2_000_000
+BLOCKS = "array<struct<start:int,end:int>>"
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -172,14 +175,26 @@ def _winnower(run: int, min_words: int):
 
 
 def _aligner(window: int, min_words: int):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def texts(lists: pa.ListArray) -> list[np.ndarray]:
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+    def blocks(a: np.ndarray, b: np.ndarray) -> list[dict]:
+        # a block needs as many shared windows; all of them lie between the first and the last
+        in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        if min(len(in_a), len(in_b)) < min_words - window + 1:
+            return []
+        first = int(in_b[0])
+        part_a, part_b = a[in_a[0] : in_a[-1] + 1], b[first : in_b[-1] + 1]
+        found = shared_blocks(part_a.tolist(), part_b.tolist(), window, min_words)
+        return [{"start": first + s, "end": first + e} for s, e in found]
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("earlier").to_pylist(), batch.column("later").to_pylist())
-            found = [
-                [{"start": s, "end": e} for s, e in shared_blocks(a, b, window, min_words)]
-                for a, b in rows
-            ]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            rows = zip(texts(batch.column("earlier")), texts(batch.column("later")))
+            found = [blocks(x, y) for x, y in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("t"), pa.array(found, kind)],
                 names=["id", "t", "blocks"],
@@ -188,40 +203,6 @@ def _aligner(window: int, min_words: int):
     return align
 
 
-def without_words(text: str, blocks: list[tuple[int, int]]) -> str:
-    """``text`` without the words of ``blocks`` (sorted, [start, end)) and the blanks behind them.
-
-    A line that loses all its words goes with its end.
-    """
-    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    out, at = [], 0
-    for first, last in blocks:
-        start, end = places[first][0], places[last - 1][1]
-        if start < at:
-            start = at
-        if end <= at:
-            continue
-        while end < len(text) and text[end] in " \t":
-            end += 1
-        if end < len(text) and text[end] == "\n" and (start == 0 or text[start - 1] == "\n"):
-            end += 1
-        out.append(text[at:start])
-        at = end
-    return "".join([*out, text[at:]])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = [
-            without_words(text, [(b["start"], b["end"]) for b in blocks])
-            for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("t"), pa.array(cut, pa.string())],
-            names=["id", "t", "rest"],
-        )
-
-
 def _windows(w: Column, size: int) -> Column:
     """Hashes (32 bits) of the windows of ``size`` words at every place."""
     return let(
@@ -246,55 +227,69 @@ def document_pairs(
     kind = hashed.schema["id"].dataType.simpleString()
     kept = hashed.mapInArrow(_winnower(run, min_words), f"id {kind}, t bigint, run bigint")
     doc = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
-    runs = stage(kept.select("run", doc.alias("doc")), "runs")
-    first = (
-        runs.groupBy("run")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select("run", "first")
+    runs = stage(kept, "runs")
+    # most runs stand once; only those that repeat go on with their documents
+    repeated = stage(
+        runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("run"),
+        "repeated-runs",
+    )
+    again = stage(
+        runs.join(broadcast_up_to(repeated, BROADCAST_RUNS), "run", "left_semi").select(
+            "run", doc.alias("doc")
+        ),
+        "runs-of-several",
     )
-    pairs = runs.join(stage(first, "repeated-runs"), "run").where(F.col("doc") != F.col("first"))
+    first = stage(again.groupBy("run").agg(F.min("doc").alias("first")), "first-documents")
+    pairs = again.join(first, "run").where(F.col("doc") != F.col("first"))
     return stage(pairs.select("doc", "first").distinct(), "pairs")
 
 
-def shortened(
+def repeated_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """id, ``t`` (hash of the text) and ``rest`` (what is left) of documents that lose something."""
+    """doc_id, ``t`` (hash of the text) and ``blocks`` ([start, end) in words; sorted) that go."""
     rows = docs.select(
         column(id_col).alias("id"),
         F.xxhash64(column(text_col)).alias("t"),
         column(text_col).alias("text"),
     )
+    window = min(WINDOW, min_words)
     pairs = document_pairs(rows, min(RUN, min_words), min_words)
     members = stage(
-        pairs.select(F.explode(F.array("doc", "first")).alias("doc")).distinct(), "members"
+        pairs.select(F.explode(F.array("doc", "first")).alias("doc"))
+        .distinct()
+        .select(F.col("doc.id").alias("i"), F.col("doc.t").alias("h")),
+        "members",
     )
-    known = broadcast_up_to(members.select(F.col("doc.id").alias("i"), F.col("doc.t").alias("h")), BROADCAST_ROWS)
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))
-    texts = stage(
-        rows.join(known, same, "left_semi").select(
-            "id", "t", "text", _windows(words(F.col("text"), WHITE_SPACE), min(WINDOW, min_words)).alias("windows")
-        ),
-        "texts-of-pairs",
-    )
-    once = texts.groupBy(F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("doc")).agg(
-        F.first("windows").alias("windows")
+    texts = rows.join(broadcast_up_to(members, BROADCAST_ROWS), same, "left_semi")
+    once = texts.groupBy("id", "t").agg(F.first("text").alias("text")).select(
+        F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("doc"),
+        _windows(words(F.col("text"), WHITE_SPACE), window).alias("windows"),
     )
     once = stage(once, "windows-of-pairs")
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = "array<struct<start:int,end:int>>"
     aligned = (
-        pairs.join(once.withColumnRenamed("windows", "later"), "doc")
-        .join(once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier")), "first")
+        pairs.join(once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier")), "first")
+        .join(once.withColumnRenamed("windows", "later"), "doc")
         .select("doc.id", "doc.t", "earlier", "later")
-        .mapInArrow(_aligner(min(WINDOW, min_words), min_words), f"id {kind}, t bigint, blocks {blocks}")
-        .where(F.size("blocks") > 0)
-        .groupBy(F.col("id").alias("i"), F.col("t").alias("h"))
+        .mapInArrow(_aligner(window, min_words), f"id {kind}, t bigint, blocks {BLOCKS}")
+    )
+    return (
+        aligned.where(F.size("blocks") > 0)
+        .groupBy(F.col("id").alias("doc_id"), "t")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("blocks")))).alias("blocks"))
     )
-    cut = texts.dropDuplicates(["id", "t"]).join(stage(aligned, "blocks"), same)
-    return cut.select("id", "t", "text", "blocks").mapInArrow(_cut, f"id {kind}, t bigint, rest string")
+
+
+def without_words(text: Column, blocks: Column) -> Column:
+    """``text`` without the words of ``blocks`` and the white space behind each of them."""
+    blank = r"[\x20\x09-\x0D]*"
+    left = F.filter(
+        F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+" + blank), F.lit(0)),
+        lambda _, i: ~F.exists(blocks, lambda b: (b["start"] <= i) & (i < b["end"])),
+    )
+    return F.concat(F.regexp_extract(text, "^" + blank, 0), F.array_join(left, ""))
 
 
 def dedup_lines(
@@ -302,16 +297,20 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` without the passages that stand in earlier documents; all rows and columns stay.
 
-    A copy of an earlier document keeps its row with what is left, an empty text or blanks.
-    Rows that repeat id and text are one document, not copies of each other.  Null and empty
-    texts, and those of fewer than ``min_words`` words, stay as they are.
+    White space behind a deleted word goes with it.  A copy of an earlier document keeps its row
+    with what is left, often an empty text.  Rows that repeat id and text are one document, not
+    copies of each other.  Null and empty texts, and those of fewer than ``min_words`` words,
+    stay as they are.
+
+    Up to ``BROADCAST_ROWS`` changed documents are broadcast (some 60 bytes each) and no text is
+    shuffled; beyond, documents are joined with their blocks by a shuffle.
     """
-    rest = free_name(docs.columns, "_rest")
+    blocks = free_name(docs.columns, "_blocks")
     changed = stage(
-        shortened(docs, id_col, text_col, min_words).withColumnsRenamed({"id": "doc_id", "rest": rest}),
-        "shortened",
+        repeated_blocks(docs, id_col, text_col, min_words).withColumnRenamed("blocks", blocks),
+        "blocks",
     )
-    # one plan at every size: texts are shuffled once, and the small side is hashed
-    joined = join_rows(docs, changed.hint("shuffle_hash"), id_col, text_col, "left")
-    joined = joined.withColumn(text_col, F.coalesce(F.col(rest), column(text_col)))
-    return joined.select(*[column(c) for c in docs.columns])
+    joined = join_rows(docs, broadcast_up_to(changed, BROADCAST_ROWS), id_col, text_col, "left")
+    rest = without_words(column(text_col), F.col(blocks))
+    text = F.when(F.col(blocks).isNull(), column(text_col)).otherwise(rest)
+    return joined.withColumn(text_col, text).select(*[column(c) for c in docs.columns])
