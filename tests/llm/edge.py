@@ -1,9 +1,4 @@
-import sys
-from pathlib import Path
-
-import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+"""Rows that operators must not trip over."""
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(20_000))
 PROSE = " ".join(f"plain{i} text{i * i % 89}" for i in range(60))
@@ -24,14 +19,3 @@ EDGE_ROWS = [
 ]
 #: Columns that operators might want to call their own.
 CLASHING = "d string, t string, w string, fp string, label string, _doc_id string, `a.b` string"
-
-
-@pytest.fixture
-def edge_docs(spark):
-    rows = [(i, x, *["c"] * 7) for i, x in EDGE_ROWS]
-    return spark.createDataFrame(rows, f"doc_id bigint, text string, {CLASHING}")
-
-
-@pytest.fixture
-def no_docs(edge_docs):
-    return edge_docs.limit(0)

@@ -5,7 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import EDGE_ROWS, LONG, PROSE
+from edge import CLASHING, EDGE_ROWS, LONG, PROSE
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -26,6 +26,17 @@ from creditloom.llm.components import connected_components
 IDS = Counter(i for i, _ in EDGE_ROWS)
 
 
+@pytest.fixture
+def edge_docs(spark):
+    rows = [(i, x, *["c"] * 7) for i, x in EDGE_ROWS]
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, {CLASHING}")
+
+
+@pytest.fixture
+def no_docs(edge_docs):
+    return edge_docs.limit(0)
+
+
 def ids_of(df):
     return Counter(r.doc_id for r in df.select("doc_id").collect())
 
