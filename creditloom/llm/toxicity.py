@@ -239,7 +239,10 @@ def score_texts(
     """
     arrow_rows(docs.sparkSession)
     model = weights.orderBy("feature").toPandas()
-    pair = (model["feature"].to_numpy(), model["weight"].to_numpy())
+    if model.empty:  # no task learned anything
+        pair = np.array([1 << settings.bits]), np.array([np.log(PRIOR / (1 - PRIOR))])
+    else:
+        pair = model["feature"].to_numpy(), model["weight"].to_numpy()
     hashed = docs.select(
         column(id_col).alias("doc_id"),
         F.xxhash64(column(text_col)).alias("t"),
