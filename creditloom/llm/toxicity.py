@@ -127,11 +127,10 @@ def fit(
     toxic = sum(labels)
     base = np.log((toxic + 2 * PRIOR) / (len(labels) - toxic + 2 * (1 - PRIOR)))
     model, one = Ftrl(s, base), np.array([1 << s.bits])
-    sets = [np.concatenate([x, one]) for x in sets]
     order = np.random.default_rng(7)
     for _ in range(s.epochs):
         for i in order.permutation(len(sets)):
-            model.learn(sets[i], labels[i])
+            model.learn(np.concatenate([sets[i], one]), labels[i])
     everything = np.arange(len(model.z))
     w = model.weights(everything)
     w[-1] += base
@@ -154,7 +153,8 @@ def _learner(s: Settings):
             found, of = features(*_arrays(batch), s.bits)
             pairs = np.unique((of << (s.bits + 1)) | found)  # by text, then feature
             ends = np.searchsorted(pairs >> (s.bits + 1), np.arange(batch.num_rows + 1))
-            pairs &= (2 << s.bits) - 1
+            # one array per batch, half as wide; what is kept of a text is a view of it
+            pairs = (pairs & ((2 << s.bits) - 1)).astype(np.int32)
             ids, toxic = batch.column("key").to_pylist(), batch.column("toxic").to_pylist()
             rows += [(ids[i], pairs[ends[i] : ends[i + 1]], toxic[i]) for i in range(len(ids))]
         rows.sort(key=lambda r: r[0])
