@@ -12,7 +12,9 @@ runs of words, wherever a line ends.  White space alone parts words.
 3.  *Patience diff* aligns each pair on the windows of ``WINDOW`` words at every place: those
     unique on both sides, in longest increasing order, then the gaps between them in the same
     way; equal windows that touch an alignment join it.  A gap without unique windows takes its
-    rarest shared one instead.  What is left of the later document is aligned again.
+    rarest shared one instead.  What is left of the later document is aligned again while it has
+    ``min_words`` words in a row of the earlier one; where only shorter pieces align, those words
+    are a block as they stand.
 4.  Aligned blocks of ``min_words`` words or more are deleted from the later document.
 
 An earlier document is one of smaller id (of smaller text hash for equal ids; null ids last).
@@ -111,18 +113,45 @@ def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[i
     """[start, end) in words of the blocks of ``min_words`` words or more of ``b`` that are in ``a``.
 
     ``a`` and ``b`` are the windows at every place, so n aligned ones are n + window - 1 words.
-    An alignment keeps order, so what is left of ``b`` is aligned again until nothing is found:
-    blocks that changed places, or stand in ``b`` twice, are found too.
+    An alignment keeps order, so what is left of ``b`` is aligned again while a whole block of it
+    is in ``a``: blocks that changed places, or stand in ``b`` twice, are found too.  Where the
+    alignment has short pieces alone, those blocks are taken as they stand.
     """
-    out, b = [], list(b)
-    while found := _aligned_blocks(a, b, window, min_words):
+    out, b, size = [], list(b), min_words - window + 1
+    numbers = np.unique(np.array([*a, *b]), return_inverse=True)[1]
+    left = equal_runs(numbers[: len(a)], numbers[len(a) :], size)
+    while left.any():
+        found = _aligned_blocks(a, b, window, min_words) or _stretches(left, min_words)
         out += found
         for start, end in found:
             first = max(0, start - window + 1)
             b[first:end] = [(i,) for i in range(first, min(end, len(b)))]  # equal to nothing
+            left[max(0, first - size + 1) : end] = False
     return sorted(out)
 
 
+def _stretches(at: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """[start, end) of the words of the blocks that begin at the places of ``at``; overlaps are one."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], at.astype(np.int8), [0]])))
+    out: list[tuple[int, int]] = []
+    for start, end in edges.reshape(-1, 2).tolist():
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], end - 1 + min_words)
+        else:
+            out.append((start, end - 1 + min_words))
+    return out
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For each place of ``b``, whether the ``size`` numbers from there on stand in ``a`` in a row."""
+    return np.isin(rolling(_spread(b), size), rolling(_spread(a), size))
+
+
+def _spread(numbers: np.ndarray) -> np.ndarray:
+    h = numbers.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
+
+
 def _aligned_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[int, int]]:
     out, last, start = [], None, 0
     for i, j in [*patience_matches(a, b), (-2, -2)]:
@@ -134,12 +163,11 @@ def _aligned_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple
     return out
 
 
-def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
-    """Distinct kept hashes of the runs of ``run`` words; none if there are under ``min_words``."""
-    n = len(hashes)
-    if n < min_words:
-        return np.empty(0, dtype=np.int64)
-    h = np.ascontiguousarray(hashes).view(np.uint64)
+def rolling(h: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of the runs of ``run`` numbers at every place."""
+    n = len(h)
+    if n < run:
+        return np.empty(0, dtype=np.uint64)
     # a polynomial modulo 2**64, by doubling: total[i] covers ``width`` words from i on
     bits, total, width = bin(run)[3:], h, 1
     for bit in bits:
@@ -149,7 +177,14 @@ def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
             total = total[: n - width] * np.uint64(BASE) + h[width:]
             width += 1
     mixed = total ^ (total >> np.uint64(31))
-    mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
+    return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+
+def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
+    """Distinct kept hashes of the runs of ``run`` words; none if there are under ``min_words``."""
+    if len(hashes) < min_words:
+        return np.empty(0, dtype=np.int64)
+    mixed = rolling(np.ascontiguousarray(hashes).view(np.uint64), run)
     smallest, span, wanted = mixed, 1, min_words - run + 1
     while span < wanted:  # minima of windows of growing length
         step = min(span, wanted - span)

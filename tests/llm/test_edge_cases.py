@@ -124,6 +124,34 @@ def test_patience_diff():
     assert line_dedup.patience_matches([], list("ab")) == []
 
 
+def test_a_long_block_behind_a_chain_of_short_ones(spark):
+    w = lambda c, n: [f"{c}{i}" for i in range(n)]
+    p, q, r = w("p", 6), w("q", 4), w("r", 4)
+    earlier, later = p + ["x"] + q + ["y"] + r, q + ["u"] + r + ["v"] + p
+    assert line_dedup.shared_blocks(earlier, later, 1, 6) == [(10, 16)]
+    # stands twice in the earlier one, so that only the short piece is unique
+    twice = p + ["x"] + q + ["y"] + p
+    assert line_dedup.shared_blocks(twice, p + ["v"] + q, 1, 6) == [(0, 6)]
+    p, q, r = (" ".join(x) for x in (w("p", 60), w("q", 40), w("r", 40)))
+    rows = [(1, f"{p} x y {q} z {r}"), (2, f"{q} u {r} v v {p}\nend")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert dict(line_dedup.dedup_lines(docs).collect()) == {1: rows[0][1], 2: f"{q} u {r} v v end"}
+
+
+def test_every_long_block_goes():
+    """What is left has no run of the least length that the earlier one has."""
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, rng.integers(5, 60)).tolist() for _ in "ab")
+        blocks = line_dedup.shared_blocks(a, b, 1, 5)
+        grams = {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        gone = {j for s, e in blocks for j in range(s, e)}
+        whole = {i for j in range(len(b) - 4) if tuple(b[j : j + 5]) in grams for i in range(j, j + 5)}
+        assert gone <= whole
+        for j in range(len(b) - 4):
+            assert tuple(b[j : j + 5]) not in grams or gone & set(range(j, j + 5))
+
+
 def test_passages_inside_lines_and_out_of_order(spark):
     p, q, r = (" ".join(f"{c}{i}" for i in range(55)) for c in "pqr")
     rows = [
