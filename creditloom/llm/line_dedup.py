@@ -9,6 +9,10 @@ runs of words, wherever a line ends.  White space alone parts words.
 2.  *Overlapping documents.*  A hash that stands in several documents links each of them to
     the first, so a passage of thousands of documents gives as many pairs as documents.  The
     first is a minimum, summed up before it is shuffled.
+    That document has the run, but need not have the passage around it.  So runs only give
+    candidates: each block of ``min_words`` words that shares a run with a first document but is
+    not in it is hashed as a whole, and links its documents to the first of them, which has all
+    of it.  (The first document of a block is never excused: no earlier one has the block.)
 3.  *Patience diff* aligns each pair on the windows of ``WINDOW`` words at every place: those
     unique on both sides, in longest increasing order, then the gaps between them in the same
     way; equal windows that touch an alignment join it.  A gap without unique windows takes its
@@ -209,13 +213,25 @@ def _winnower(run: int, min_words: int):
     return winnow
 
 
-def _aligner(window: int, min_words: int):
+def _aligner(window: int, run: int, min_words: int):
+    """Per pair the blocks of the later document that go, and hashes of the blocks that it has
+    around shared runs and the earlier one does not have."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def texts(lists: pa.ListArray) -> list[np.ndarray]:
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
+    def missed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = _spread(a), _spread(b)
+        size, short = min_words - window + 1, run - window + 1
+        whole = rolling(b, size)
+        # shared runs before each place; a block has those that begin in its first places
+        runs = np.isin(rolling(b, short), rolling(a, short))
+        before = np.concatenate([[0], np.cumsum(runs)])
+        some = before[size - short + 1 :][: len(whole)] > before[: len(whole)]
+        return np.unique(whole[some & ~np.isin(whole, rolling(a, size))]).view(np.int64)
+
     def blocks(a: np.ndarray, b: np.ndarray) -> list[dict]:
         # a block needs as many shared windows; all of them lie between the first and the last
         in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
@@ -228,11 +244,12 @@ def _aligner(window: int, min_words: int):
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(texts(batch.column("earlier")), texts(batch.column("later")))
-            found = [blocks(x, y) for x, y in rows]
+            rows = list(zip(texts(batch.column("earlier")), texts(batch.column("later"))))
+            found = pa.array([blocks(x, y) for x, y in rows], kind)
+            rest = pa.array([missed(x, y) for x, y in rows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("t"), pa.array(found, kind)],
-                names=["id", "t", "blocks"],
+                [batch.column("id"), batch.column("t"), found, rest],
+                names=["id", "t", "blocks", "missed"],
             )
 
     return align
@@ -261,8 +278,12 @@ def document_pairs(
     )
     kind = hashed.schema["id"].dataType.simpleString()
     kept = hashed.mapInArrow(_winnower(run, min_words), f"id {kind}, t bigint, run bigint")
+    return _pairs_by_hash(stage(kept, "runs"))
+
+
+def _pairs_by_hash(runs: DataFrame) -> DataFrame:
+    """Pairs of each document with the first that has the same ``run``; runs has id, t, run."""
     doc = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
-    runs = stage(kept, "runs")
     # most runs stand once; only those that repeat go on with their documents
     repeated = stage(
         runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("run"),
@@ -288,8 +309,8 @@ def repeated_blocks(
         F.xxhash64(column(text_col)).alias("t"),
         column(text_col).alias("text"),
     )
-    window = min(WINDOW, min_words)
-    pairs = document_pairs(rows, min(RUN, min_words), min_words)
+    window, run = min(WINDOW, min_words), min(RUN, min_words)
+    pairs = document_pairs(rows, run, min_words)
     members = stage(
         pairs.select(F.explode(F.array("doc", "first")).alias("doc"))
         .distinct()
@@ -304,12 +325,23 @@ def repeated_blocks(
     )
     once = stage(once, "windows-of-pairs")
     kind = rows.schema["id"].dataType.simpleString()
-    aligned = (
-        pairs.join(once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier")), "first")
-        .join(once.withColumnRenamed("windows", "later"), "doc")
-        .select("doc.id", "doc.t", "earlier", "later")
-        .mapInArrow(_aligner(window, min_words), f"id {kind}, t bigint, blocks {BLOCKS}")
-    )
+
+    def align(pairs: DataFrame) -> DataFrame:
+        earlier = once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier"))
+        return (
+            pairs.join(earlier, "first")
+            .join(once.withColumnRenamed("windows", "later"), "doc")
+            .select("doc.id", "doc.t", "earlier", "later")
+            .mapInArrow(
+                _aligner(window, run, min_words),
+                f"id {kind}, t bigint, blocks {BLOCKS}, missed array<bigint>",
+            )
+        )
+
+    by_run = stage(align(pairs), "aligned-by-run")
+    missed = by_run.select("id", "t", F.explode("missed").alias("run"))
+    by_block = align(_pairs_by_hash(missed).join(pairs, ["doc", "first"], "left_anti"))
+    aligned = by_run.select("id", "t", "blocks").union(by_block.select("id", "t", "blocks"))
     return (
         aligned.where(F.size("blocks") > 0)
         .groupBy(F.col("id").alias("doc_id"), "t")

@@ -138,6 +138,24 @@ def test_a_long_block_behind_a_chain_of_short_ones(spark):
     assert dict(line_dedup.dedup_lines(docs).collect()) == {1: rows[0][1], 2: f"{q} u {r} v v end"}
 
 
+def test_a_passage_around_a_shorter_one_of_an_earlier_document(spark):
+    """The first document of each run of the passage has too little of it; the second has it all."""
+    rows = []
+    for k in range(12):
+        w = lambda c, n: " ".join(f"{c}{k}_{i}" for i in range(n))  # noqa: E731, B023
+        passage = w("a", 5) + " " + w("hot", 40) + " " + w("b", 6)
+        rows += [(10 * k, f"{w('u', 30)} {w('hot', 40)} {w('v', 30)}"),
+                 (10 * k + 1, f"{w('s', 9)} {passage} {w('t', 9)}"),
+                 (10 * k + 2, f"{w('x', 7)} {passage} {w('y', 7)}"),
+                 (10 * k + 3, f"{w('n', 7)} {w('hot', 40)} {w('m', 7)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: x for i, x in rows}
+    for k in range(12):
+        w = want[10 * k + 2].split()
+        want[10 * k + 2] = " ".join(w[:7] + w[-7:])
+    assert dict(line_dedup.dedup_lines(docs).collect()) == want
+
+
 def test_every_long_block_goes():
     """What is left has no run of the least length that the earlier one has."""
     rng = np.random.default_rng(11)
