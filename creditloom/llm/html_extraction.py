@@ -3,12 +3,17 @@
 1.  Comments, scripts, styles and the like go; elements that hold no article text by their
     name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, reader
     comments) go with what is in them and leave blank lines.
-2.  Block elements end a line, so a page is a sequence of lines of text.
-3.  Text lengths are summed over windows of ``WINDOW`` lines.  The text surges where the sum
-    rises from zero and dives where it falls to zero; between them lies a block of text.
+    A form that holds the marked article or half of the page's text is no such element.
+2.  Block elements end a line, so a page is a sequence of lines of text; tags in a row make no
+    blank lines.
+3.  Text lengths are summed over windows of ``WINDOW`` lines, where a line that is half links
+    counts as none.  The text surges where the sum rises from zero and dives where it falls to
+    zero; between them lies a block of text.  Fewer link lines than a window has, before or
+    behind a block, belong to it.
 4.  Where the page marks its article (``article``, else ``main``), the blocks inside it are
-    kept.  Else those are kept that have a tenth or more of the text of the largest and less
-    than half of it in links.
+    kept: in the largest article, and in all others that are neither inside another nor teasers.
+    Else those are kept that have a tenth or more of the text of the largest and less than half
+    of it in links, and from them on their neighbours up to the next lines of links.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,12 +70,15 @@ RAW_ELEMENT = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.
 
 
 class Line:
-    """Text of one line, its length, that of its links, and the article it stands in."""
+    """Text of one line, that of its links, the article it stands in, and if an element went here.
 
-    __slots__ = ("article", "linked", "parts")
+    ``article`` is 0 outside, and negative in an article inside another.
+    """
+
+    __slots__ = ("article", "gap", "linked", "parts")
 
-    def __init__(self, article: int):
-        self.parts, self.linked, self.article = [], 0, article
+    def __init__(self, article: int, gap: bool = False):
+        self.parts, self.linked, self.article, self.gap = [], 0, article, gap
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -103,8 +112,8 @@ def closing_places(tags: list[tuple[str, str, str, int, int]]) -> dict[int, int]
     return out
 
 
-def lines_of(page: str) -> list[Line]:
-    """Lines of a page; dropped elements leave as many blank lines as a window has.
+def lines_of(page: str) -> tuple[list[Line], set[int]]:
+    """Lines of a page, and which articles are ``main`` elements; dropped elements leave as many blank lines as a window has.
 
     An element that is never closed loses nothing but its tag, and one that holds the marked
     article goes by its name alone.
@@ -122,7 +131,14 @@ def lines_of(page: str) -> list[Line]:
         k = bisect_right(marked, i)
         return k < len(marked) and marked[k] < ends[i]
 
-    lines, article, links, number = [Line(0)], [0], [], 0
+    places = [0, *(t[4] for t in tags)]
+    until = [*(t[3] for t in tags), len(page)]
+    text = list(accumulate((len("".join(page[x:y].split())) for x, y in zip(places, until)), initial=0))
+
+    def holds_text(i: int) -> bool:
+        return 2 * (text[ends[i] + 1] - text[i + 1]) >= text[-1] > 0
+
+    lines, article, links, number, mains = [Line(0)], [0], [], 0, set()
     at, skip = 0, -1
     for i, (slash, name, attributes, start, end) in enumerate(tags):
         if i <= skip:
@@ -131,15 +147,21 @@ def lines_of(page: str) -> list[Line]:
         _add(lines[-1], page[at:start], bool(links))
         at = end
         gone = not slash and i in ends and not_article(name, attributes)
-        if gone and (name in DROPPED or not holds_article(i)):
+        if name == "form" and gone and (holds_article(i) or holds_text(i)):
+            lines.append(Line(article[-1]))
+        elif gone and (name in DROPPED or not holds_article(i)):
             skip = ends[i]
-            lines += [Line(article[-1]) for _ in range(WINDOW)]
+            lines += [Line(article[-1], True) for _ in range(WINDOW)]
             lines.append(Line(article[-1]))
         elif name in ("article", "main"):
             if not slash and i in ends:
                 number += 1
-                # an article inside main counts, main around articles does not
-                article.append(number if name == "article" or article[-1] <= 0 else article[-1])
+                top = article[-1]
+                if name == "main":
+                    article.append(top or number)
+                    mains |= set() if top else {number}
+                else:
+                    article.append(number if not top or top in mains else -number)
             elif slash and len(article) > 1:
                 article.pop()
             lines.append(Line(article[-1]))
@@ -151,7 +173,7 @@ def lines_of(page: str) -> list[Line]:
         elif name in BLOCKS:
             lines.append(Line(article[-1]))
     _add(lines[-1], page[at:], False)
-    return lines
+    return lines, mains
 
 
 def _add(line: Line, text: str, linked: bool) -> None:
@@ -179,25 +201,74 @@ def text_blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int
     return out
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    texts = [line.text() for line in lines]
+def regions(lines: list[Line], texts: list[str], mains: set[int]) -> set[int]:
+    """The articles that are kept; none if the page marks none that has text."""
     size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    headed: dict[int, bool] = {}  # whether the first line is a link, as of teasers
     for line, text in zip(lines, texts):
-        size[line.article] = size.get(line.article, 0) + len(text)
-    marked = {k: v for k, v in size.items() if k and v}
-    if marked:
-        best = max(marked, key=lambda k: (marked[k], -k))
-        texts = [t if line.article == best else "" for line, t in zip(lines, texts)]
-        blocks = text_blocks([len(t) for t in texts])
+        if line.article and text:
+            k = line.article
+            size[k] = size.get(k, 0) + len(text)
+            linked[k] = linked.get(k, 0) + line.linked
+            headed.setdefault(k, 2 * line.linked >= len(text))
+    if not size:
+        return set()
+    best = max(size, key=lambda k: (size[k], -abs(k)))
+    main = best if best in mains else 0
+    return {best} | {
+        k
+        for k in size
+        if k > 0 and k not in mains and 2 * linked[k] < size[k] and (headed[best] or main or not headed[k])
+    }
+
+
+def blocks_of(texts: list[str], linked: list[int]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether of links) of the blocks of text and of the lines of links between."""
+    weights = [0 if 2 * k >= len(t) else len(t) for t, k in zip(texts, linked)]
+    out, at = [], 0
+    for start, end in [*text_blocks(weights), (len(texts), len(texts))]:
+        while end < len(texts) and end > start and not weights[end - 1]:
+            end -= 1  # lines of links up to the next block are looked at together
+        between = [i for i in range(at, start) if texts[i]]
+        if len(between) >= WINDOW:
+            out.append((between[0], between[-1] + 1, True))
+        elif between and (start < len(texts) or out):
+            if start < len(texts):
+                start = between[0]
+            else:
+                out[-1] = (out[-1][0], between[-1] + 1, False)
+        elif between:
+            out.append((between[0], between[-1] + 1, True))
+        if end > start:
+            out.append((start, end, False))
+        at = end
+    return out
+
+
+def main_text(page: str | None) -> str:
+    lines, mains = lines_of(page or "")
+    kept = [(line, text) for line in lines if (text := line.text()) or line.gap]
+    articles = regions(*zip(*kept), mains) if kept else set()
+    if articles:
+        kept = [(line, text if line.article in articles else "") for line, text in kept]
+    texts, linked = [t for _, t in kept], [x.linked if t else 0 for x, t in kept]
+    blocks = blocks_of(texts, linked)
+    if articles:
+        chosen = [k for k, x in enumerate(blocks) if not x[2]] or range(len(blocks))
     else:
-        found = [
-            (s, e, sum(map(len, texts[s:e])), sum(x.linked for x in lines[s:e]))
-            for s, e in text_blocks([len(t) for t in texts])
-        ]
-        most = max((n for _, _, n, k in found if 2 * k < n), default=0)
-        blocks = [(s, e) for s, e, n, k in found if 2 * k < n and 10 * n >= most]
-    return " ".join(t for s, e in blocks for t in texts[s:e] if t)
+        sizes = [sum(map(len, texts[s:e])) for s, e, _ in blocks]
+        sparse = [not x and 2 * sum(linked[s:e]) < n for (s, e, x), n in zip(blocks, sizes)]
+        most = max((n for n, x in zip(sizes, sparse) if x), default=0)
+        grown = {k for k, n in enumerate(sizes) if sparse[k] and 10 * n >= most}
+        for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+            last = None
+            for k in order:
+                if sparse[k] and last in grown:
+                    grown.add(k)
+                last = k
+        chosen = sorted(grown)
+    return " ".join(t for k in chosen for t in texts[blocks[k][0] : blocks[k][1]] if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -480,6 +480,30 @@ def test_html(spark):
     assert html_extraction.extract_text(pages_of(spark, [])).count() == 0
 
 
+LONG_PARAGRAPH = "word " * 60
+MENU = "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(5))
+REGIONS = [
+    # a heading and a short paragraph in divs of their own
+    (f"<div><h1>Head</h1></div><div><div><p>By me</p></div></div><div><p>{LONG_PARAGRAPH}</p></div>"
+     "<div><div><div><p>End.</p></div></div></div>", f"Head By me {LONG_PARAGRAPH}End."),
+    # lines of links go without any class, and end what is kept
+    (f"<p>slogan</p><ul>{MENU}</ul><div><p>{LONG_PARAGRAPH}</p></div><ul>{MENU}</ul><p>(c) x</p>",
+     LONG_PARAGRAPH.strip()),
+    # an article in several elements, a teaser beside them, a list of links inside
+    (f"<article><p>{LONG_PARAGRAPH}</p><ul>{MENU}</ul><p>one</p></article><article><p>two</p></article>"
+     "<article><h3><a href=y>More</a></h3><p>teased text</p></article>", f"{LONG_PARAGRAPH}one two"),
+    # a page wrapped in a form, with and without a marked article
+    (f"<form id=aspnet><input name=v><article><p>a b</p></article><p>{LONG_PARAGRAPH}</p></form>", "a b"),
+    (f"<form id=aspnet><label>l</label><p>{LONG_PARAGRAPH}</p></form><p>x</p>", f"{LONG_PARAGRAPH}x"),
+    (f"<p>{LONG_PARAGRAPH}</p><form><p>your name</p></form>", LONG_PARAGRAPH.strip()),
+]
+
+
+@pytest.mark.parametrize("page, text", REGIONS)
+def test_main_text(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_text_blocks():
     assert html_extraction.text_blocks([0, 5, 0, 0, 7, 0, 0, 0, 0, 2, 1]) == [(1, 7), (9, 11)]
     assert html_extraction.text_blocks([]) == [] and html_extraction.text_blocks([0, 0]) == []
