@@ -322,6 +322,29 @@ def test_secrets(spark, edge_docs, no_docs):
     assert got[2].spans == "hex:4:36" and got[7].spans == "assign:3:17"
 
 
+def test_random_strings_of_every_kind(spark):
+    texts = {
+        1: "use qVbZtKxWjRmPhDfNcGsL now",  # letters alone
+        2: "cookie x7-Kq_9fZ2-mW_4hJt8_Rb here",  # no piece of 16 without a sign
+        3: "serial AB3DE-9KF2M-Q7ZTX-W4H8J ok",
+        4: "aead0123456789abcdef0123ZqX7vT9pLm2Kw8RbJ4Nc",  # the rest behind a base span
+        5: "some-long-hyphenated-name-of-a-page snake_case_function_name_2",
+        6: "id-123e4567-e89b-12d3-a456-426614174000 sha1-0123456789ABCDEF0123456789ABCDEF01234567",
+        7: "2024-01-15T10-22-33Z 978-0-306-40615-X +49-30-1234-5678-90",
+        8: "Donaudampfschifffahrtsgesellschaft INTERNATIONALIZATION SomeCamelCaseClassName12",
+        9: "qVbZtKxWjRmPhDfNcGsL1234",  # random, though a number stands behind letters
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {
+        r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.added]
+        for r in secret_scan.scan_secrets(docs).collect()
+    }
+    assert got == {
+        1: ["qVbZtKxWjRmPhDfNcGsL"], 2: ["x7-Kq_9fZ2-mW_4hJt8_Rb"], 3: ["AB3DE-9KF2M-Q7ZTX-W4H8J"],
+        4: ["ZqX7vT9pLm2Kw8RbJ4Nc"], 5: [], 6: [], 7: [], 8: [], 9: ["qVbZtKxWjRmPhDfNcGsL1234"],
+    }
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(
         [(*r, "x") for r in rows], "page_id bigint, url string, html string, payload string"
