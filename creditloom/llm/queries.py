@@ -12,6 +12,7 @@ from creditloom.llm import (
     html_extraction,
     licenses,
     line_dedup,
+    packing,
     quality,
     secret_scan,
     sentencepiece_codec,
@@ -118,3 +119,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
