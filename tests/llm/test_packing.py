@@ -144,8 +144,9 @@ def test_rounds(spark, kind):
         assert all(a + s == b for (a, s), (b, _) in zip(places, places[1:])) and places[0][0] == 0
         assert sum(places[-1]) <= 100
     best = len(plain_best_fit(sizes, 100))
-    # groups of 100 pieces are much smaller than those of the query, which wastes more
-    allowed = {"mixed": 1.04, "alike": 1, "small": 1, "two sizes": 1.05}[kind]
+    # groups of 100 pieces are much smaller than those of the query, which wastes more:
+    # up to half a bin a group
+    allowed = {"mixed": 1.04, "alike": 1, "small": 1.25, "two sizes": 1.05}[kind]
     assert best <= len(held) <= allowed * best
 
 
