@@ -14,6 +14,7 @@ from creditloom.llm import (
     licenses,
     line_dedup,
     packing,
+    prefix_trie,
     quality,
     secret_scan,
     sentencepiece_codec,
@@ -130,3 +131,9 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.drop("ref_conv_id", "ref_turn")
