@@ -127,8 +127,121 @@ from f
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    start, poly = 0xFFFFFFFF, 0xEDB88320
+    eight = f"lambda x, _: xor(x >> 1, (x & 1) * {poly})"
+    byte = f"lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], {eight})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend({start}::bigint, {codes}), {byte}), {start})"
+
+
+#: All paths through the grammar are followed; nothing is pruned.
+CONVERSATIONS = rf"""
+with recursive given as (
+  select dense_rank() over (order by conv_id nulls first) g, conv_id, turn,
+         coalesce(role, ' ') role, coalesce(text, ' ') text,
+         {_crc32("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 k
+  from conversations),
+damaged as (
+  select g, turn, case when k = 4 then 'user' else role end role,
+         case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end text,
+         unnest(case k when 0 then [] when 3 then [1, 2] else [1] end) copy
+  from given),
+placed as (
+  select *, row_number() over (partition by g order by turn nulls first, role, sha256(text), copy) i,
+         row_number() over (partition by g, role, text order by turn nulls first, copy) nth,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) tail
+  from damaged),
+rows_of as (
+  select g, i, turn, role, text, left(role, 1) ini,
+         lag(left(role, 1)) over (partition by g order by i) || left(role, 1) pair,
+         case when tail = '' then 'blank' when nth > 1 then 'duplicate'
+              when tail not in ('.', '!', '?') then 'truncated' else '' end fault
+  from placed),
+counts as (
+  select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+         count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate,
+         count(*) filter (fault = 'truncated') truncated,
+         count(*) filter (pair not in ('su', 'ua', 'au')) illegal, count(*) n
+  from rows_of group by g),
+inserted(st, mid, paid, ins) as (values
+  ('E', 'E', 0, ''), ('E', 'U', 5, 'I'), ('E', 'A', 10, 'II'), ('S', 'S', 0, ''), ('S', 'U', 5, 'I'),
+  ('S', 'A', 10, 'II'), ('U', 'U', 0, ''), ('U', 'A', 5, 'I'), ('A', 'A', 0, ''), ('A', 'U', 5, 'I')),
+edits(mid, needs, nxt, price, ed) as (values
+  ('E', 's', 'S', 0, 'K'), ('E', 'u', 'U', 0, 'K'), ('S', 'u', 'U', 0, 'K'), ('A', 'u', 'U', 0, 'K'),
+  ('U', 'a', 'A', 0, 'K'), ('E', null, 'U', 1, 'R'), ('S', null, 'U', 1, 'R'), ('A', null, 'U', 1, 'R'),
+  ('U', null, 'A', 1, 'R'), ('E', null, 'E', 2, 'D'), ('S', null, 'S', 2, 'D'), ('U', null, 'U', 2, 'D'),
+  ('A', null, 'A', 2, 'D')),
+best(g, i, st, way) as (
+  select distinct g, 0::bigint, 'E', {{'c': 0, 'a': ''}} from given
+  union all
+  select b.g, b.i + 1, nxt,
+         min({{'c': way.c + paid + price + case when ed <> 'D' and fault = 'truncated' then 5 else 0 end,
+               'a': way.a || ins || ed}})
+  from best b join rows_of r on r.g = b.g and r.i = b.i + 1 join inserted using (st) join edits using (mid)
+  where (needs is null or needs = ini) and (ed = 'D' or fault not in ('blank', 'duplicate'))
+  group by b.g, b.i + 1, nxt),
+ends as (
+  select b.g, min({{'c': way.c + paid, 'a': way.a || ins}}) way
+  from best b join inserted using (st) left join counts on counts.g = b.g
+  where b.i = coalesce(n, 0) and mid in ('E', 'A') group by b.g),
+marks as (
+  select g, unnest(string_split(way.a, '')) ed, unnest(range(len(way.a))) nr from ends where way.a <> ''),
+numbered as (
+  select *, sum(case when ed = 'I' then 0 else 1 end) over (partition by g order by nr) i from marks),
+kept as (
+  select m.g, ed, r.role, r.ini, case when ed = 'I' then '' else text end text,
+         row_number() over (partition by m.g order by nr) place
+  from numbered m left join rows_of r on r.g = m.g and r.i = m.i where ed <> 'D'),
+headed as (select *, max(case when place = 1 and ed = 'K' and ini = 's' then 1 else 0 end) over (partition by g) s from kept),
+lines as (
+  select g, string_agg(case when ed = 'K' then role when (place - s) % 2 = 1 then 'user' else 'assistant' end
+                       || ':' || text, chr(10) order by place) x
+  from headed group by g)
+select conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+       coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, way.c::bigint "cost", way.a audit,
+       sha256(coalesce(x, '')) repaired_sha256
+from (select distinct g, conv_id from given) left join counts using (g) join ends using (g) left join lines using (g)
+"""
+
+#: Prefixes are lists of whole turns.
+TRIE = rf"""
+with turns as (
+  select conv_id, coalesce(role, '') r, coalesce(text, '') x,
+         row_number() over (partition by conv_id order by turn nulls first, sha256(
+           concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) i
+  from conversations where conv_id is not null),
+own as (
+  select conv_id c, list({{'r': r, 'x': x}} order by i) t, {_crc32("conv_id::varchar")} % 6 h
+  from turns group by conv_id),
+built as (
+  select own.c, list_concat(coalesce(list_slice(b.t, 1, own.h), []),
+                            list_slice(own.t, own.h + 1, len(own.t))) t
+  from own left join own b on b.c = own.c - own.c % 100),
+members as (
+  select c, d, list_slice(t, 1, d) p from (select c, t, unnest(range(len(t) + 1)) d from built)),
+nodes as (
+  select p, d, min(c) c, count(*) n,
+         case when d > 0 then (count(*) - 1) * length(p[d].x) else 0 end own
+  from members group by p, d),
+kids as (select list_slice(p, 1, d - 1) p, count(*) k from nodes where d > 0 group by 1),
+below as (select p, own, unnest(range(d + 1)) top from nodes),
+sums as (
+  select list_slice(below.p, 1, top) p, sum(own)::bigint saved, count(*) filter (k is null) leaves
+  from below left join kids using (p) group by 1),
+ends as (select t p, string_agg(c::varchar, ',' order by c) ids from built group by t)
+select n.c conv_id, n.d depth, up.c parent_conv_id, n.n n_convs, coalesce(k, 0) n_children,
+       leaves n_leaves, saved saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from nodes n join sums using (p) left join kids using (p) left join ends using (p)
+left join nodes up on n.d > 0 and up.p = list_slice(n.p, 1, n.d - 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_conversation_repair": CONVERSATIONS,
+        "op13_prefix_trie": TRIE,
         "op1_license_scan": LICENSES,
         "op2_quality_rules": QUALITY,
         "op4_decontamination": DECONTAMINATION,
