@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import ceil
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from creditloom.functions.text import percent, section_name, short_hash, strip
+from creditloom.operators import vector_index
 from creditloom.operators.latest import latest_per_key, upsert
 from creditloom.session import spread
 
@@ -180,18 +174,6 @@ def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> D
     return grouped.select(group, vector_to_array("_mean").alias(embedding))
 
 
-#: Queries handled in one pass over the vectors; their matrix is sent to every executor.
-QUERY_BLOCK = 4096
-#: Distances are compared at this many decimals; equal ones are ordered by vector id.
-DISTANCE_DIGITS = 6
-
-
-def _unit_rows(vectors: Sequence) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(length > 0, length, 1.0)
-
-
 def vector_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -199,89 +181,16 @@ def vector_topk(
     query_id: str = "query_id",
     vector_id: str = "vec_id",
     embedding: str = "embedding",
-    query_block: int = QUERY_BLOCK,
+    query_block: int = vector_index.BLOCK_QUERIES,
 ) -> DataFrame:
     """The k nearest vectors of every query by cosine distance: (query_id, rank, vec_id, distance).
 
-    Exact.  Queries are split into blocks of bounded size; per block one pass over the vectors
-    multiplies each Arrow batch with the block's matrix and keeps k rows per query and batch,
-    so what is shuffled is small.  More queries mean more passes, never a larger broadcast.
-    """
-    blocks = max(1, ceil(queries.count() / query_block))
-    block_of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    query_type = queries.schema[query_id].dataType
-    vector_type = vectors.schema[vector_id].dataType
-    schema = T.StructType(
-        [
-            T.StructField(query_id, query_type),
-            T.StructField(vector_id, vector_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    corpus = spread(vectors.select(vector_id, embedding))
-    best = None
-    for b in range(blocks):
-        block = queries.select(query_id, embedding).where(block_of == b).toPandas()
-        if block.empty:
-            continue
-        names = block[query_id].to_numpy()
-        found = corpus.mapInPandas(
-            _nearest(names, _unit_rows(block[embedding]), k, query_id, vector_id, embedding),
-            schema,
-        )
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = queries.sparkSession.createDataFrame([], schema)
-    place = W.partitionBy(query_id).orderBy(F.round("distance", DISTANCE_DIGITS), vector_id)
-    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", vector_id, "distance")
-
-
-def _nearest(names, matrix, k, query_id, vector_id, embedding):
-    """Task function: the k nearest of the task's rows for every query of the block.
-
-    The best so far are kept while the batches pass, so a task gives k rows per query.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_ids = best = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids, rows = batch[vector_id].to_numpy(), _unit_rows(batch[embedding].to_numpy())
-            found = [
-                _k_smallest(ids, 1.0 - rows @ matrix[lo : lo + 512].T, k)
-                for lo in range(0, len(names), 512)
-            ]
-            new_ids, new = (np.concatenate(x, axis=1) for x in zip(*found))
-            if best is not None:
-                new_ids, new = np.concatenate([best_ids, new_ids]), np.concatenate([best, new])
-            best_ids, best = _k_smallest(new_ids, new, k)
-        if best is not None:
-            yield pd.DataFrame(
-                {
-                    query_id: np.broadcast_to(names, best.shape).ravel(),
-                    vector_id: best_ids.ravel(),
-                    "distance": best.ravel(),
-                }
-            )
-
-    return run
-
-
-def _k_smallest(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k smallest cells of every column; equal ones by id.
-
-    ``ids`` has one id per row, or one per cell.
+    Exact: an index of the vectors is built and searched (see :mod:`vector_index`); callers with
+    many sets of queries build it once.  ``query_block`` queries of a cell go to one task.
     """
-    known, place = np.unique(ids, return_inverse=True)
-    place = place.reshape(ids.shape) if ids.ndim == 2 else place.reshape(-1, 1)
-    # one whole number per cell: rounded distance, then place by id
-    key = np.rint(distance * 10**DISTANCE_DIGITS).astype(np.int64) * len(known) + place
-    keep = min(k, len(distance))
-    top = np.argpartition(key, keep - 1, axis=0)[:keep]
-    cells = np.take_along_axis(np.broadcast_to(place, key.shape), top, axis=0)
-    return known[cells], np.take_along_axis(distance, top, axis=0)
+    index = vector_index.build_index(vectors, vector_id, embedding)
+    hits, _ = vector_index.search(index, queries, k, query_id, embedding, query_block)
+    return hits.withColumnsRenamed({"query_id": query_id, "vector_id": vector_id})
 
 
 # --------------------------------------------------------------------------- context, prompts

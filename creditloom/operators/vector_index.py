@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from creditloom.session import spread, write_stage
 
@@ -202,10 +203,10 @@ def _block_product(k: int, schema: pa.Schema):
     return nearest
 
 
-def _visit(index: VectorIndex, pairs: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+def _visit(
+    index: VectorIndex, pairs: DataFrame, k: int, schema: T.StructType, block_queries: int
+) -> DataFrame:
     """Compare the questions with the vectors of the cells they visit, block by block."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     blocks = (
         pairs.groupBy("cell")
         .agg(F.count("*").alias("asked"))
@@ -213,7 +214,7 @@ def _visit(index: VectorIndex, pairs: DataFrame, k: int, schema: T.StructType) -
         .select(
             "cell",
             F.ceil(F.col("n") / BLOCK_VECTORS).cast("int").alias("by_vector"),
-            F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int").alias("by_query"),
+            F.ceil(F.col("asked") / block_queries).cast("int").alias("by_query"),
         )
     )  # one row per cell
     blocks = F.broadcast(write_stage(blocks, "blocks"))
@@ -230,11 +231,7 @@ def _visit(index: VectorIndex, pairs: DataFrame, k: int, schema: T.StructType) -
     held = index.rows.join(blocks, "cell").withColumn("v", dealt("vector_id", "by_vector"))
     held = held.withColumn("q", parts("by_query")).select(*keys, "vector_id", "vector")
     product = _block_product(k, to_arrow_schema(schema))
-
-    def nearest(questions: pa.Table, vectors: pa.Table) -> pa.Table:
-        return product(questions, vectors)
-
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(nearest, schema)
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(product, schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -243,7 +240,12 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    index: VectorIndex, queries: DataFrame, k: int, query_id: str = "query_id", embedding: str = "embedding"
+    index: VectorIndex,
+    queries: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    embedding: str = "embedding",
+    block_queries: int = BLOCK_QUERIES,
 ) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, rank, vector_id, distance), and how many vectors each question was compared
     with (query_id, cells, compared).  Questions without a vector have no hits."""
@@ -263,11 +265,11 @@ def search(
         ]
     )
     first = write_stage(asked.mapInArrow(_visits(cells, k, False), pair), "first-visits")
-    near = write_stage(_ranked(_visit(index, first, k, found), k), "first-hits")
+    near = write_stage(_ranked(_visit(index, first, k, found, block_queries), k), "first-hits")
     bounds = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
     bounded = asked.join(bounds, "query_id", "left")
     second = write_stage(bounded.mapInArrow(_visits(cells, k, True), pair), "second-visits")
-    more = _visit(index, second, k, found)
+    more = _visit(index, second, k, found, block_queries)
     hits = _ranked(near.drop("rank").unionByName(more), k)
     sizes = index.cells.select("cell", "n")
     compared = (

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import bands
-from creditloom.functions.text import section_name
 from creditloom.operators import (
     decisions,
     drift,
@@ -24,12 +23,13 @@ from creditloom.operators import (
     registry,
     retrieval,
     staging,
+    term_index,
     training_set,
+    vector_index,
 )
 from creditloom.plans.given_lake import GivenLake, lake
 from creditloom.session import configure, stage_path, write_stage
 from creditloom.sources import audit, landing
-from creditloom.sources.given_tables import application_key
 
 _QUERIES: dict[str, Callable[[GivenLake], DataFrame]] = {}
 
@@ -714,66 +714,68 @@ def explanations(gl: GivenLake) -> DataFrame:
 
 @query
 def chunk_documents(gl: GivenLake) -> DataFrame:
-    chunks = retrieval.chunk_documents(gl.table("documents"), source="doc_id")
-    return chunks.select("id", "text", "metadata.*")
+    return gl.chunks.select("id", "text", "metadata.*")
 
 
 @query
 def chunk_stats(gl: GivenLake) -> DataFrame:
-    chunks = retrieval.chunk_documents(gl.table("documents"), source="doc_id")
-    return retrieval.chunk_stats(chunks)
+    return retrieval.chunk_stats(gl.chunks)
 
 
-def _topic_hits(gl: GivenLake) -> DataFrame:
+@query
+def vector_topk(gl: GivenLake) -> DataFrame:
     """For every label the vectors nearest to the label's mean vector."""
     vectors = gl.table("embeddings")
     topics = retrieval.centroids(vectors, "label").withColumnRenamed("label", "query_id")
-    return retrieval.vector_topk(topics, vectors)
+    return retrieval.vector_topk(topics, vectors).withColumn("distance", F.round("distance", 4))
 
 
 @query
-def vector_topk(gl: GivenLake) -> DataFrame:
-    return _topic_hits(gl).withColumn("distance", F.round("distance", 4))
+def vector_search(gl: GivenLake) -> DataFrame:
+    """The ten vectors nearest to each twentieth vector, itself included."""
+    vectors = gl.table("embeddings")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    hits, _ = vector_index.search(vector_index.build_index(vectors), asked, 10)
+    return hits.withColumnRenamed("vector_id", "vec_id").withColumn("distance", F.round("distance", 4))
 
 
-def _passages(gl: GivenLake) -> DataFrame:
-    """The opening chunk of every document; document and vector share their number."""
-    docs = gl.table("documents")
-    chunks = retrieval.chunk_documents(docs, source="doc_id").where("metadata.chunk_index = 0")
-    opening = chunks.select(
-        F.col("metadata.source").cast("bigint").alias("vec_id"),
-        section_name(F.col("text")).alias("section"),
-        "text",
-    )
-    return docs.select(F.col("doc_id").alias("vec_id"), "source").join(opening, "vec_id")
+@query
+def tfidf_topk(gl: GivenLake) -> DataFrame:
+    """Nearest chunks of every user question, over all chunks of all documents."""
+    return gl.question_hits.withColumn("distance", F.round("distance", 4))
 
 
 @query
-def cited_sources(gl: GivenLake) -> DataFrame:
-    cited = retrieval.cited_hits(_topic_hits(gl), _passages(gl))
-    return cited.select("query_id", "rank", "source", "section", "excerpt", "distance")
+def term_frequencies(gl: GivenLake) -> DataFrame:
+    """In how many chunks each term stands: over one half of the documents, then changed by the
+    other half and by what leaves."""
+    number = F.col("metadata.source").cast("bigint")
+    old, added, removed = (
+        term_index.frequencies(term_index.counted(gl.chunks.where(part)))
+        for part in (number % 2 == 0, number % 2 == 1, number % 10 == 0)
+    )
+    merged = term_index.merged_frequencies(old, added, removed)
+    return merged.groupBy(F.col("n").alias("chunks")).agg(F.count("*").alias("terms"))
+
+
+def _cited(gl: GivenLake) -> DataFrame:
+    """Passages that each question hit, with where they stand."""
+    passages = gl.chunks.select(
+        "id", "text", "metadata.source", "metadata.filename", "metadata.section", "metadata.chunk_index"
+    )
+    return retrieval.cited_hits(gl.question_hits, passages, vector_id="id")
 
 
 @query
-def cited_context(gl: GivenLake) -> DataFrame:
-    return retrieval.context_blocks(retrieval.cited_hits(_topic_hits(gl), _passages(gl)))
-
-
-def _questions(gl: GivenLake) -> DataFrame:
-    """Every user turn asks about one application and one topic."""
-    conv = F.col("conv_id")
-    turns = gl.table("conversations").where(F.col("role") == "user")
-    return turns.select(
-        F.concat_ws("-", conv.cast("string"), F.col("turn").cast("string")).alias("question_id"),
-        F.col("text").alias("question"),
-        (conv % 10).cast("int").alias("query_id"),
-        F.lower(application_key(conv)).alias("application_id"),
+def cited_sources(gl: GivenLake) -> DataFrame:
+    return _cited(gl).select(
+        "query_id", "rank", "source", "filename", "section", "chunk_index", "excerpt", "distance"
     )
 
 
-def _contexts(gl: GivenLake) -> DataFrame:
-    cited = retrieval.cited_hits(_topic_hits(gl), _passages(gl))
-    return write_stage(retrieval.context_blocks(cited), "contexts")
+@query
+def cited_context(gl: GivenLake) -> DataFrame:
+    return retrieval.context_blocks(_cited(gl))
 
 
 def _application_context(gl: GivenLake) -> DataFrame:
@@ -783,31 +785,12 @@ def _application_context(gl: GivenLake) -> DataFrame:
 
 @query
 def analyst_prompts(gl: GivenLake) -> DataFrame:
-    return retrieval.prompt_rows(_questions(gl), _contexts(gl), _application_context(gl))
+    """Every user question with the passages that it hit itself."""
+    contexts = write_stage(retrieval.context_blocks(_cited(gl)), "contexts")
+    return retrieval.prompt_rows(gl.questions, contexts, _application_context(gl))
 
 
 @query
 def assessment_questions(gl: GivenLake) -> DataFrame:
-    """The standing question for every scored application, sent to one of the ten topics."""
-    number = F.substring("application_id", 4, 20).cast("bigint")
-    return retrieval.assessment_questions(gl.decided, (number % 10).cast("int"))
-
-
-@query
-def tfidf_topk(gl: GivenLake) -> DataFrame:
-    """Nearest chunks of every user question, over all chunks of all documents."""
-    chunks = write_stage(
-        retrieval.chunk_documents(gl.table("documents"), source="doc_id").select("id", "text"),
-        "chunks",
-    )
-    weights = retrieval.fit_embedding(chunks)
-    corpus = write_stage(
-        retrieval.embed(chunks, weights).select("id", "embedding"), "chunk_vectors"
-    )
-    asked = retrieval.embed(
-        _questions(gl).select(F.col("question_id").alias("query_id"), "question"),
-        weights,
-        text="question",
-    )
-    queries_ = write_stage(asked.select("query_id", "embedding"), "question_vectors")
-    return retrieval.vector_topk(queries_, corpus, vector_id="id")
+    """The standing question for every scored application, searched for by its own text."""
+    return retrieval.assessment_questions(gl.decided, F.col("application_id"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators import decisions, model, training_set
+from creditloom.operators import decisions, model, retrieval, term_index, training_set
 from creditloom.plans.silver import Silver
 from creditloom.session import configure, write_stage
 from creditloom.sources import given_tables as given
@@ -50,6 +50,32 @@ class GivenLake:
         decided = decisions.decide_applications(self.predictions, self.silver.feat_dti_ratio)
         return write_stage(decided, "decisions")
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return write_stage(
+            retrieval.chunk_documents(self.table("documents"), source="doc_id"), "chunks"
+        )
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Every user turn asks about one application."""
+        conv = F.col("conv_id")
+        turns = self.table("conversations").where(F.col("role") == "user")
+        rows = turns.select(
+            F.concat_ws("-", conv.cast("string"), F.col("turn").cast("string")).alias("question_id"),
+            F.col("text").alias("question"),
+            F.lower(given.application_key(conv)).alias("application_id"),
+        )
+        return write_stage(rows.withColumn("query_id", F.col("question_id")), "questions")
+
+    @cached_property
+    def question_hits(self) -> DataFrame:
+        """The chunks nearest to each question, over all chunks of all documents."""
+        index = term_index.build_index(term_index.counted(self.chunks))
+        asked = term_index.counted(self.questions, "query_id", "question")
+        hits, _ = term_index.search(index, asked, retrieval.TOP_K)
+        return write_stage(hits, "question-hits")
+
     @property
     def labelled_scores(self) -> DataFrame:
         """Scores of all versions with the known outcome of the application."""

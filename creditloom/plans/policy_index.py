@@ -4,40 +4,62 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators import retrieval
+from creditloom.operators import retrieval, term_index
+from creditloom.operators.latest import latest_per_key
 from creditloom.session import configure, write_stage
 from creditloom.sources.landing import read_documents
 from creditloom.sources.snapshots import read_parts, replace_part
 
+_COUNTED = ["id", "terms", "counts"]
+
+
+def _frequencies(spark: SparkSession, index_dir: str, chunks: DataFrame) -> DataFrame:
+    """Chunks that have each term: as stored, or counted anew where a writer died in between."""
+    version = chunks.first()["version"]
+    stored = read_parts(spark, f"{index_dir}/frequencies")
+    if stored is not None:
+        fitting = stored.where(F.col("version") == version)
+        if not fitting.isEmpty():
+            return fitting.select("term", "n")
+    return term_index.frequencies(chunks)
+
 
 def build_index(spark: SparkSession, docs_dir: str, index_dir: str, reset: bool = False) -> int:
-    """Chunk and embed the texts of a folder; returns the number of chunks in the index.
+    """Chunk the texts of a folder and count their terms; returns the chunks in the index.
 
     Chunks are put in by id, so a repeated run changes nothing; ``reset`` drops what was there.
-    Term weights belong to the whole collection, so all chunks are embedded again.
+    Only new and changed chunks are counted.  Term weights belong to the whole collection, so
+    they are not stored: the frequencies are a small table to which changes are added.
     """
     configure(spark)
     docs = read_documents(spark, docs_dir)
     found = retrieval.chunk_documents(docs, filename="filename").select("id", "text", "metadata")
-    chunks = write_stage(found, "chunks")
-    if chunks.isEmpty():
+    found = write_stage(latest_per_key(found, ["id"], [F.col("text")]), "chunks")
+    if found.isEmpty():
         raise ValueError(f"no text chunks in {docs_dir}")
-    if not reset:
-        old = read_parts(spark, f"{index_dir}/chunks")
-        if old is not None:
-            merged = retrieval.upsert_chunks(old.select(*chunks.columns), chunks)
-            chunks = write_stage(merged, "chunks")
-    weights = retrieval.fit_embedding(chunks)
-    folder = f"{index_dir}/weights-{uuid.uuid4().hex}"
-    weights.save(folder)
-    # chunks and the weights they were embedded with change together
-    embedded = retrieval.embed(chunks, weights).withColumn("weights", F.lit(folder))
-    replace_part(embedded, f"{index_dir}/chunks")
-    return chunks.count()
+    old = None if reset else read_parts(spark, f"{index_dir}/chunks")
+    new = found if old is None else found.join(old.select("id", "text"), ["id", "text"], "left_anti")
+    counted = write_stage(new.join(term_index.counted(new), "id"), "counted")
+    merged, frequencies = counted, term_index.frequencies(counted)
+    if old is not None:
+        if counted.isEmpty():
+            return old.count()
+        stays = old.join(counted.select("id"), "id", "left_anti")
+        goes = old.join(counted.select("id"), "id", "left_semi")
+        merged = stays.select(*counted.columns).unionByName(counted)
+        before = _frequencies(spark, index_dir, old)
+        frequencies = term_index.merged_frequencies(
+            before, frequencies, term_index.frequencies(goes)
+        )
+    version = F.lit(uuid.uuid4().hex).alias("version")
+    merged = write_stage(merged.select("*", version), "merged-chunks")
+    frequencies = write_stage(frequencies.select("term", "n", version), "frequencies")
+    replace_part(merged, f"{index_dir}/chunks")
+    replace_part(frequencies, f"{index_dir}/frequencies")
+    return merged.count()
 
 
 def retrieve(
@@ -47,9 +69,9 @@ def retrieve(
     chunks = read_parts(spark, f"{index_dir}/chunks")
     if chunks is None:
         raise LookupError(f"no index in {index_dir}")
-    weights = IDFModel.load(chunks.first()["weights"])
-    asked = retrieval.embed(questions, weights, text="question").select("query_id", "embedding")
-    hits = retrieval.vector_topk(asked, chunks, k, vector_id="id")
+    frequencies = _frequencies(spark, index_dir, chunks)
+    index = term_index.build_index(chunks.select(*_COUNTED), frequencies)
+    hits, _ = term_index.search(index, term_index.counted(questions, "query_id", "question"), k)
     passages = chunks.select(
         "id",
         "text",

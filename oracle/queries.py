@@ -807,18 +807,76 @@ where place <= 5
 ORACLE["vector_topk"] = sql(
     "select query_id, rank, vec_id, round(distance, 4) as distance from topic_hits"
 )
+ORACLE["vector_search"] = sql(
+    """select query_id, cast(place as integer) as rank, vec_id, round(distance, 4) as distance
+       from (select *, row_number() over (partition by query_id
+                         order by round(distance, 6), vec_id) as place
+             from (select q.vec_id as query_id, e.vec_id,
+                          1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[])
+                              as distance
+                   from embeddings q, embeddings e where q.vec_id % 20 = 0))
+       where place <= 10"""
+)
+FRAGMENTS["chunk_ids"] = """
+select substr(sha256(concat(source, '::', chunk_index, '::', substr(text, 1, 50))), 1, 16) as id, *
+from chunks
+"""
+FRAGMENTS["chunk_terms"] = r"""
+select id, source, term, count(*) as tf
+from (select id, source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term
+      from chunk_ids) group by id, source, term
+"""
+FRAGMENTS["rarity"] = """
+select term, count(*) as n from chunk_terms group by term
+"""
+FRAGMENTS["chunk_weights"] = """
+select *, sqrt(sum(w * w) over (partition by id)) as length
+from (select id, term, tf * ln(((select count(*) from chunks) + 1.0::double) / (n + 1.0)) as w
+      from chunk_terms join rarity using (term))
+"""
+FRAGMENTS["asked"] = """
+select concat(conv_id, '-', turn) as query_id, text from conversations where role = 'user'
+"""
+FRAGMENTS["asked_weights"] = r"""
+select *, sqrt(sum(w * w) over (partition by query_id)) as length
+from (select query_id, term,
+             tf * ln(((select count(*) from chunks) + 1.0::double) / (coalesce(n, 0) + 1.0)) as w
+      from (select query_id, term, count(*) as tf
+            from (select query_id,
+                         unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term
+                  from asked) group by query_id, term)
+      left join rarity using (term))
+"""
+FRAGMENTS["question_hits"] = """
+select query_id, cast(place as integer) as rank, id, distance
+from (select *, row_number() over (partition by query_id order by round(distance, 6), id) as place
+      from (select a.query_id, c.id, 1 - coalesce(s, 0) as distance
+            from asked a cross join chunk_ids c
+            left join (select q.query_id, d.id, sum(q.w / q.length * (d.w / d.length)) as s
+                       from asked_weights q join chunk_weights d using (term)
+                       where q.length > 0 and d.length > 0 group by q.query_id, d.id) p
+                on p.query_id = a.query_id and p.id = c.id))
+where place <= 5
+"""
+ORACLE["tfidf_topk"] = sql(
+    "select query_id, rank, id, round(distance, 4) as distance from question_hits"
+)
+ORACLE["term_frequencies"] = sql(
+    """select chunks, count(*) as terms
+       from (select term, count(*) as chunks from chunk_terms
+             where cast(source as bigint) % 10 <> 0 group by term)
+       group by chunks"""
+)
 FRAGMENTS["cited"] = """
-select h.query_id, h.rank, d.source,
-       coalesce(nullif(lower(trim(regexp_extract(d.text,
+select h.query_id, h.rank, c.source, c.source || '.txt' as filename,
+       coalesce(nullif(lower(trim(regexp_extract(c.text,
            'SECTION\\s+\\d+[:\\s]+([^\\n]+)', 1))), ''), 'general') as section,
-       d.text, round(h.distance, 4) as distance
-from topic_hits h
-join (select d.doc_id, d.source, c.text
-      from documents d join chunks c on cast(c.source as bigint) = d.doc_id
-      where c.chunk_index = 0) d on d.doc_id = h.vec_id
+       c.chunk_index, c.text, round(h.distance, 4) as distance
+from question_hits h join chunk_ids c using (id)
 """
 ORACLE["cited_sources"] = sql(
-    """select query_id, rank, source, section, substr(text, 1, 200) as excerpt, distance
+    """select query_id, rank, source, filename, section, chunk_index,
+              substr(text, 1, 200) as excerpt, distance
        from cited"""
 )
 FRAGMENTS["contexts"] = """
@@ -851,19 +909,17 @@ ORACLE["analyst_prompts"] = sql(
                  chr(10) || 'CREDIT ANALYST QUESTION:' || chr(10) || q.text || chr(10) || chr(10)
                      || 'Provide a thorough, policy-grounded answer with source citations.')
               as prompt
-       from (select *, concat(conv_id, '-', turn) as question_id, conv_id % 10 as topic,
-                    concat('APP', lpad(cast(conv_id as varchar), 12, '0')) as id
+       from (select *, concat(conv_id, '-', turn) as question_id, concat('APP', lpad(cast(conv_id as varchar), 12, '0')) as id
              from conversations where role = 'user') q
        left join latest p on p.application_id = q.id
        left join driver_texts t on t.application_id = q.id
-       left join contexts c on c.query_id = q.topic"""
+       left join contexts c on c.query_id = q.question_id"""
 )
 ORACLE["assessment_questions"] = sql(
     """select application_id as question_id,
               concat('Provide a complete credit risk assessment for application ', application_id,
                   '. Explain the key risk factors, cite relevant policy thresholds, and give a ',
                   'clear approve/decline recommendation with rationale.') as question,
-              cast(cast(substr(application_id, 4) as bigint) % 10 as integer) as query_id,
-              application_id
+              application_id as query_id, application_id
        from latest"""
 )

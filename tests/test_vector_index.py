@@ -20,9 +20,11 @@ def brute(queries, vectors, k):
     return {i: sorted(range(len(vectors)), key=lambda j: (row[j], j))[:k] for i, row in enumerate(d)}
 
 
-def run(spark, queries, vectors, k, **kw):
+def run(spark, queries, vectors, k, block_queries=vi.BLOCK_QUERIES, **kw):
     index = vi.build_index(table(spark, enumerate(vectors), "vec_id"), **kw)
-    hits, compared = vi.search(index, table(spark, enumerate(queries), "query_id"), k)
+    hits, compared = vi.search(
+        index, table(spark, enumerate(queries), "query_id"), k, block_queries=block_queries
+    )
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vector_id)
@@ -52,13 +54,12 @@ def test_vectors_without_any_grouping(spark, n_cells):
 def test_copies_zeros_and_blocks(spark, monkeypatch):
     """A third of all vectors are copies, asked for by most questions; blocks are small."""
     monkeypatch.setattr(vi, "BLOCK_VECTORS", 50)
-    monkeypatch.setattr(vi, "BLOCK_QUERIES", 4)
     rng = np.random.default_rng(7)
     vectors, queries = rng.normal(size=(400, 8)), rng.normal(size=(30, 8))
     vectors[::3] = vectors[0]
     vectors[5], vectors[7], queries[3] = 0, 0, 0
     queries[10:] = vectors[0]
-    got, _, _ = run(spark, queries, vectors, 6)
+    got, _, _ = run(spark, queries, vectors, 6, block_queries=4)
     assert got == brute(queries, vectors, 6)
 
 
