@@ -1,16 +1,16 @@
 """Exact top passages of questions by TF-IDF, through an inverted index with score bounds.
 
 A passage is a sparse vector of unit length: how often each (hashed) term stands in it, times the
-term's rarity.  The index has the postings of every term, the greatest weight of every term, and
-the greatest weight of every term in every block of passages.  A search looks at few of them:
+term's rarity.  Passages of like length and like frequent terms stand in one block, and the index
+has, for every term, the blocks that have it with its greatest weight there.  The weights of a
+question times these add up to a bound on what any passage of a block can score:
 
-* Terms that can add most are followed first, until they have brought some passages; the score
-  of the k-th best of these is a bound that the rest must reach.
-* The terms that together cannot lift a passage up to the bound are left out: a passage must have
-  one of the others.  Blocks whose greatest weights cannot reach the bound are skipped.
-* The passages that remain are scored in full.
+* Each question first visits the block of the highest bound.  The score of the k-th best passage
+  there is what passages elsewhere must reach.
+* Blocks whose bound does not reach it are skipped; the others are visited.
 
-What is left out is proven away, so the hits are those of the full product.
+A visit multiplies the question with the block's postings, many questions at once.  What is
+skipped is proven away, so the hits are those of the full product.
 
 Raw counts are kept apart from rarities (``counted`` and ``frequencies``), so that new passages
 change two small tables and no vector: weights are put on when a question is asked.
@@ -26,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from creditloom.operators.ordering import with_position
 from creditloom.operators.vector_index import DISTANCE_DIGITS, MARGIN
 from creditloom.session import write_stage
 
-#: Passages of a block.
-BLOCK = 128
-#: Passages that the first terms of a question bring at least, if there are as many.
-SEEDS = 64
-#: Of these, so many times k are scored in full.
-TRIED = 4
+#: Passages of a block, and questions that one task multiplies with it at once.
+BLOCK = 1024
+BLOCK_QUERIES = 2048
+#: Of its terms that stand in most passages, so many tell where a passage belongs.
+COMMON = 4
 
 
 def _term_hashes(text: Column) -> Column:
@@ -92,106 +94,150 @@ def merged_frequencies(old: DataFrame, added: DataFrame, removed: DataFrame) ->
 
 
 def _weighted(counts: DataFrame, freq: DataFrame, passages: int) -> DataFrame:
-    """id, terms and weights of unit length; rarity is ln((m + 1) / (n + 1))."""
-    rarity = freq.select("term", "n")
+    """id, terms, weights of unit length, and a sign that passages of like terms share; rarity is
+    ln((m + 1) / (n + 1))."""
     rows = counts.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(
         "id", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf")
     )
-    rare = F.log(F.lit(passages + 1.0) / (F.coalesce("n", F.lit(0)) + 1.0))
-    weighed = rows.join(rarity, "term", "left").withColumn("w", F.col("tf") * rare)
+    n = F.coalesce("n", F.lit(0))
+    weighed = rows.join(freq.select("term", "n"), "term", "left").select(
+        "id", "term", n.alias("n"), (F.col("tf") * F.log(F.lit(passages + 1.0) / (n + 1.0))).alias("w")
+    )
     # a passage or a question has a bounded number of terms
     lists = weighed.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t"),
+        F.sort_array(F.collect_list(F.struct("n", "term")), asc=False).alias("common"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
     )
     scale = F.when(F.col("length") > 0, F.col("length")).otherwise(1.0)
+    common = F.slice(F.col("common.term"), 1, COMMON)
     return lists.select(
         "id",
         F.col("t.term").alias("terms"),
         F.transform("t.w", lambda w: w / scale).alias("weights"),
+        F.array_min(F.transform(common, lambda t: F.xxhash64(t))).alias("sign"),
     )
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """``vectors``: id, terms, weights; ``postings``: term, block, id, w; ``tops``: the greatest
-    weight of a term in a block; ``terms``: that of a term and its passages."""
+    """``vectors``: id, block, terms, weights; ``tops``: for each term the blocks that have it,
+    its greatest weight there and in how many passages; ``freq``: passages of each term."""
 
     ids: DataFrame
     freq: DataFrame
     passages: int
     vectors: DataFrame
-    postings: DataFrame
     tops: DataFrame
-    terms: DataFrame
 
 
 def build_index(counts: DataFrame, freq: DataFrame | None = None) -> TermIndex:
     """Index over ``counted`` passages; their ids must be distinct."""
     passages = counts.count()
     freq = write_stage(frequencies(counts), "frequencies") if freq is None else freq
-    vectors = write_stage(_weighted(counts, freq, passages), "term-vectors")
-    n_blocks = -(-passages // BLOCK) or 1
-    posted = vectors.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("t")).select(
-        F.col("t.terms").alias("term"),
-        F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"),
-        "id",
-        F.col("t.weights").alias("w"),
-    )
-    postings = write_stage(posted, "postings")
-    tops = write_stage(
-        postings.groupBy("term", "block").agg(F.max("w").alias("top"), F.count("*").alias("n")), "tops"
+    weighted = _weighted(counts, freq, passages).withColumn("size", F.floor(F.log2(F.size("terms"))))
+    placed = with_position(weighted, [F.col("size"), F.col("sign"), F.col("id")], "place")
+    block = F.floor((F.col("place") - 1) / BLOCK).alias("block")
+    vectors = write_stage(placed.select("id", block, "terms", "weights"), "term-vectors")
+    tops = (
+        vectors.select("block", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
+        .groupBy(F.col("t.terms").alias("term"), "block")
+        .agg(F.max("t.weights").alias("top"), F.count("*").alias("n"))
     )
-    terms = tops.groupBy("term").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-    return TermIndex(
-        counts.select("id"), freq, passages, vectors, postings, tops, write_stage(terms, "terms")
-    )
-
-
-def _dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Products of the two sparse vectors of each row."""
-    for batch in batches:
-        n = batch.num_rows
-
-        def flat(terms: str, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            t, w = batch.column(terms), batch.column(weights)
-            ends = t.offsets.to_numpy()
-            cut = slice(ends[0], ends[-1])
-            return np.repeat(np.arange(n), np.diff(ends)), t.values.to_numpy()[cut], w.flatten().to_numpy()
-
-        q_row, q_term, q_w = flat("q_terms", "q_weights")
-        d_row, d_term, d_w = flat("terms", "weights")
-        row = np.concatenate([q_row, d_row])
-        term = np.concatenate([q_term, d_term])
-        w = np.concatenate([q_w, d_w])
-        order = np.lexsort((term, row))  # a term of both vectors stands twice in a row
-        row, term, w = row[order], term[order], w[order]
-        both = np.flatnonzero((row[1:] == row[:-1]) & (term[1:] == term[:-1]))
-        score = np.bincount(row[both], weights=w[both] * w[both + 1], minlength=n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("query_id"), batch.column("id"), pa.array(score)],
-            names=["query_id", "id", "score"],
+    return TermIndex(counts.select("id"), freq, passages, vectors, write_stage(tops, "tops"))
+
+
+def _flat(table: pa.Table, terms: str, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of every entry, by term."""
+    t = table.column(terms).combine_chunks()
+    row = np.repeat(np.arange(len(t)), t.value_lengths().to_numpy())
+    term = t.flatten().to_numpy()
+    w = table.column(weights).combine_chunks().flatten().to_numpy()
+    order = np.argsort(term, kind="stable")
+    return row[order], term[order], w[order]
+
+
+def _scores(questions: pa.Table, passages: pa.Table) -> np.ndarray:
+    """All products of a block: entries of rare terms pair by pair, of common ones as matrices."""
+    q_row, q_term, q_w = _flat(questions, "q_terms", "q_weights")
+    d_row, d_term, d_w = _flat(passages, "terms", "weights")
+    shape = (questions.num_rows, passages.num_rows)
+    out = np.zeros(shape)
+    both = np.intersect1d(q_term, d_term)
+    q_at, d_at = np.searchsorted(q_term, both), np.searchsorted(d_term, both)
+    q_n = np.searchsorted(q_term, both, side="right") - q_at
+    d_n = np.searchsorted(d_term, both, side="right") - d_at
+    few = q_n * d_n <= 256
+    pairs = (q_n * d_n)[few]
+    if len(pairs):
+        of = np.repeat(np.flatnonzero(few), pairs)
+        nth = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        i, j = q_at[of] + nth // d_n[of], d_at[of] + nth % d_n[of]
+        flat = np.bincount(q_row[i] * shape[1] + d_row[j], q_w[i] * d_w[j], shape[0] * shape[1])
+        out += flat.reshape(shape)
+    for t in np.flatnonzero(~few):
+        q, d = slice(q_at[t], q_at[t] + q_n[t]), slice(d_at[t], d_at[t] + d_n[t])
+        out[np.ix_(q_row[q], d_row[d])] += np.outer(q_w[q], d_w[d])
+    return out
+
+
+def _block_product(k: int, schema: pa.Schema):
+    """The k best passages of a block for each question of a part, if they score at all."""
+
+    def best(questions: pa.Table, passages: pa.Table) -> pa.Table:
+        if not questions.num_rows or not passages.num_rows:
+            return schema.empty_table()
+        ids = passages.column("id").combine_chunks()
+        by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        score = _scores(questions, passages)
+        key = np.rint((1.0 - score) * 10**DISTANCE_DIGITS).astype(np.int64) * len(by_id) + by_id
+        keep = min(k, len(by_id))
+        top = np.argpartition(key, keep - 1, axis=1)[:, :keep].ravel()
+        at = np.repeat(np.arange(len(score)), keep)
+        found = score[at, top] > 0
+        return pa.table(
+            [
+                questions.column("query_id").combine_chunks().take(pa.array(at[found])),
+                ids.take(pa.array(top[found])),
+                pa.array(score[at, top][found]),
+            ],
+            schema=schema,
         )
 
+    return best
+
 
-def _scored(index: TermIndex, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    both = pairs.select("query_id", "id").join(asked, "query_id").join(index.vectors, "id")
-    kinds = [pairs.schema[c].dataType.simpleString() for c in ("query_id", "id")]
-    return both.select("query_id", "id", "q_terms", "q_weights", "terms", "weights").mapInArrow(
-        _dot, f"query_id {kinds[0]}, id {kinds[1]}, score double"
+def _visit(index: TermIndex, visits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Scores of the best passages of the blocks that the questions visit."""
+    schema = T.StructType(
+        [
+            visits.schema["query_id"],
+            index.vectors.schema["id"],
+            T.StructField("score", T.DoubleType()),
+        ]
     )
+    parts = visits.groupBy("block").agg(
+        F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts")
+    )  # one row per block
+    parts = write_stage(parts, "parts")
+    dealt = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part")
+    questions = visits.join(parts, "block").select("block", "query_id", dealt).join(asked, "query_id")
+    passages = index.vectors.join(parts, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "terms", "weights"
+    )
+    product = _block_product(k, to_arrow_schema(schema))
+    keys = ["block", "part"]
+    return questions.groupBy(*keys).cogroup(passages.groupBy(*keys)).applyInArrow(product, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    place = W.partitionBy("query_id").orderBy(
-        F.round(1 - F.col("score"), DISTANCE_DIGITS), "id"
-    )
+    place = W.partitionBy("query_id").orderBy(F.round(1 - F.col("score"), DISTANCE_DIGITS), "id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
 def search(index: TermIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, rank, id, distance) of ``counted`` questions, and the work done for them:
-    per question the postings of all its terms, and the passages that were scored in full.
+    per question the blocks that share a term with it, and those that were visited.
 
     Equal distances (at six decimals) go by id.  A question that has nothing in common with k
     passages gets the smallest ids at distance 1.
@@ -204,62 +250,27 @@ def search(index: TermIndex, queries: DataFrame, k: int) -> tuple[DataFrame, Dat
         ),
         "asked",
     )
-    own = W.partitionBy("query_id")
-    strong = own.orderBy(F.desc("bound"), "term").rowsBetween(W.unboundedPreceding, -1)
-    weak = own.orderBy("bound", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
-    terms = write_stage(
+    highest = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = write_stage(
         asked.select("query_id", F.explode(F.arrays_zip("q_terms", "q_weights")).alias("t"))
         .select("query_id", F.col("t.q_terms").alias("term"), F.col("t.q_weights").alias("w"))
-        .join(index.terms, "term")
-        .withColumn("bound", F.col("w") * F.col("top"))
-        .withColumn("before", F.coalesce(F.sum("n").over(strong), F.lit(0)))
-        .withColumn("up_to", F.sum("bound").over(weak))
-        .select("query_id", "term", "w", "bound", "n", "before", "up_to"),
-        "asked-terms",
-    )
-    product = F.sum(F.col("w") * F.col("pw")).alias("part")
-    posted = index.postings.withColumnRenamed("w", "pw")
-    seeds = (
-        terms.where(F.col("before") < SEEDS)
-        .select("query_id", "term", "w")
-        .join(posted, "term")
-        .groupBy("query_id", "id")
-        .agg(product)
-        .withColumn("place", F.row_number().over(own.orderBy(F.desc("part"), "id")))
-        .where(F.col("place") <= TRIED * k)
-    )
-    near = _best(_scored(index, seeds, asked), k)
-    floors = write_stage(
-        near.where(F.col("rank") == k).select("query_id", (F.col("score") - MARGIN).alias("floor")),
-        "floors",
-    )
-    needed = write_stage(
-        terms.join(floors, "query_id", "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
-        .withColumn("out", F.col("up_to") < F.col("floor"))
-        .withColumn("rest", F.coalesce(F.max(F.when(F.col("out"), F.col("up_to"))).over(own), F.lit(0.0)))
-        .where(~F.col("out"))
-        .select("query_id", "term", "w", "floor", "rest"),
-        "needed-terms",
-    )
-    reach = F.sum(F.col("w") * F.col("top")) + F.max("rest") >= F.max("floor")
-    blocks = (
-        needed.join(index.tops.select("term", "block", "top"), "term")
+        .join(index.tops.select("term", "block", "top"), "term")
         .groupBy("query_id", "block")
-        .agg(reach.alias("reaches"))
-        .where("reaches")
-        .select("query_id", "block")
+        .agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+        .withColumn("first", F.row_number().over(highest) == 1),
+        "bounds",
     )
-    pairs = (
-        write_stage(blocks, "reached-blocks")
-        .join(needed, "query_id")
-        .join(posted, ["block", "term"])
-        .groupBy("query_id", "id")
-        .agg(product, F.max("rest").alias("rest"), F.max("floor").alias("floor"))
-        .where(F.col("part") + F.col("rest") >= F.col("floor"))
+    near = write_stage(_best(_visit(index, bounds.where("first"), asked, k), k), "near")
+    floors = near.where(F.col("rank") == k).select("query_id", (F.col("score") - MARGIN).alias("floor"))
+    visits = write_stage(
+        bounds.where(~F.col("first"))
+        .join(floors, "query_id", "left")
+        .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+        .select("query_id", "block"),
+        "visits",
     )
-    scored = write_stage(_scored(index, pairs, asked), "scored")
-    hits = write_stage(_best(scored, k).select("query_id", "id", "score"), "found")
+    found = near.drop("rank").unionByName(_visit(index, visits, asked, k))
+    hits = write_stage(_best(found, k).drop("rank"), "found")
     short = (
         queries.select(F.col("id").alias("query_id"))
         .join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
@@ -273,10 +284,10 @@ def search(index: TermIndex, queries: DataFrame, k: int) -> tuple[DataFrame, Dat
         .withColumn("score", F.lit(0.0))
     )
     work = (
-        terms.groupBy("query_id")
-        .agg(F.sum("n").alias("postings"))
-        .join(scored.groupBy("query_id").agg(F.count("*").alias("scored")), "query_id", "left")
-        .fillna(0, ["scored"])
+        bounds.groupBy("query_id")
+        .agg(F.count("*").alias("blocks"))
+        .join(visits.groupBy("query_id").agg((F.count("*") + 1).alias("visited")), "query_id", "left")
+        .fillna(1, ["visited"])
     )
     ranked = _best(hits.unionByName(filled), k)
     return ranked.select("query_id", "rank", "id", (1 - F.col("score")).alias("distance")), work

@@ -51,10 +51,24 @@ def test_same_as_the_full_product(spark, monkeypatch, block):
     passages += [(600 + i, passages[7][1]) for i in range(300)]  # a third are copies
     questions = [(f"q{i}", zipf_text(rng, rng.randint(1, 30))) for i in range(25)]
     questions += [("copy", passages[7][1]), ("none", "unheard of"), ("empty", ""), ("null", None)]
+    got, _ = run(spark, passages, questions, 5)
+    assert got == brute(passages, questions, 5)
+
+
+def test_blocks_of_other_subjects_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(ti, "BLOCK", 20)
+    rng = random.Random(9)
+
+    def text(subject, size):
+        own = [f"s{subject}x{int(40 * rng.random() ** 2)}" for _ in range(size)]
+        return " ".join([*own, "the", "of"])
+
+    passages = [(i, text(i % 30, 25)) for i in range(900)]
+    questions = [(f"q{i}", text(i, 6)) for i in range(30)]
     got, work = run(spark, passages, questions, 5)
     assert got == brute(passages, questions, 5)
-    done = work.groupBy().sum("postings", "scored").first()
-    assert done["sum(scored)"] < done["sum(postings)"] / 4
+    done = work.groupBy().sum("blocks", "visited").first()
+    assert done["sum(blocks)"] == 30 * 45 and done["sum(visited)"] < 30 * 45 / 10
 
 
 def test_frequent_terms_alone(spark):
