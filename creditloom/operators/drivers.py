@@ -139,119 +139,95 @@ def base_value(forest: ForestTable) -> float:
     return float(forest.value[forest.roots].mean())
 
 
-@dataclass(frozen=True)
-class LeafTable:
-    """The leaves of one tree: value, and per feature on the way there the interval that leads
-    to the leaf and the share of training weight inside it.  Short paths are padded with
-    slots that change nothing."""
-
-    value: np.ndarray
-    feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
+#: Cells (points x rows) of the arrays that a walk down a tree carries.
+_WALK_CELLS = 1 << 14
 
 
-def leaf_tables(forest: ForestTable) -> list[LeafTable]:
-    """One leaf table per tree of the forest."""
-    out = []
-    for root in forest.roots:
-        leaves, open_nodes = [], [(root, {})]
-        while open_nodes:
-            node, path = open_nodes.pop()
-            feature = forest.feature[node]
-            if feature < 0:
-                leaves.append((forest.value[node], path))
-                continue
-            low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-            cut, weight = forest.threshold[node], forest.cover[node]
-            for child, lo, hi in (
-                (forest.left[node], low, min(high, cut)),
-                (forest.right[node], max(low, cut), high),
-            ):
-                step = (lo, hi, share * forest.cover[child] / weight)
-                open_nodes.append((child, {**path, feature: step}))
-        width = max(1, *(len(path) for _, path in leaves))
-        neutral = (0, -np.inf, np.inf, 1.0)
-        cells = [
-            [(f, *step) for f, step in path.items()] + [neutral] * (width - len(path))
-            for _, path in leaves
-        ]
-        table = np.array(cells, dtype=np.float64)
-        out.append(
-            LeafTable(
-                np.array([v for v, _ in leaves]),
-                table[:, :, 0].astype(np.int64),
-                table[:, :, 1],
-                table[:, :, 2],
-                table[:, :, 3],
-            )
-        )
-    return out
-
+def _features_on_a_path(forest: ForestTable, root: int) -> int:
+    """Most different features on any way down a tree."""
+    most, open_nodes = 1, [(root, frozenset())]
+    while open_nodes:
+        node, path = open_nodes.pop()
+        most = max(most, len(path))
+        if forest.feature[node] >= 0:
+            further = path | {forest.feature[node]}
+            open_nodes += [(forest.left[node], further), (forest.right[node], further)]
+    return most
 
-#: Cells (rows x leaves x features) that the Shapley computation works on at once.
-_SHAPLEY_CELLS = 1 << 20
-#: Trees whose paths have at most this many features are looked up by in/out pattern.
-_TABLE_WIDTH = 8
 
+def _walk(
+    forest: ForestTable, root: int, x: np.ndarray, points: np.ndarray, weights: np.ndarray, out: np.ndarray
+) -> None:
+    """Add the Shapley values of one tree for the columns ``x`` (features x rows) to ``out``.
 
-def _leaf_shapley(leaf: LeafTable, inside: np.ndarray) -> np.ndarray:
-    """Shapley value of every path feature of every leaf; ``inside`` is (rows, leaves, features).
-
-    A leaf with value v is reached with weight prod_k(o_k or z_k): o_k says whether the row
-    lies in the interval of feature k, z_k is the share used when k is left out.  Averaging
-    over all orders of adding features equals the integral over t in [0, 1] of
+    A leaf of value v is reached with weight prod_k(o_k or z_k) over the features k on its path:
+    o_k says whether the row goes that way at all splits on k, z_k is the share of training weight
+    that does, used when k is left out.  Averaging over all orders of adding features equals the
+    integral over t in [0, 1] of
 
         v * (o_j - z_j) * prod_{k != j} (z_k * (1 - t) + o_k * t)
 
-    a polynomial in t, which Gauss-Legendre points integrate exactly.
+    a polynomial in t, which Gauss-Legendre points integrate exactly.  One walk carries the product
+    at these points: going down a split extends it by the factor of its feature (and unwinds the
+    one that the feature had from a split above); coming up, the sum over the leaves below gives
+    the feature its part.
     """
-    inside = inside.astype(np.float64)
-    points, weights = np.polynomial.legendre.leggauss((inside.shape[2] + 1) // 2)
-    total = np.zeros_like(inside)
-    for t, w in zip((points + 1) / 2, weights / 2):
-        factor = leaf.share * (1 - t) + inside * t
-        total += w * factor.prod(axis=2, keepdims=True) / factor
-    return total * (inside - leaf.share) * leaf.value[:, None]
-
-
-def _pattern_table(leaf: LeafTable) -> np.ndarray | None:
-    """Shapley values of all in/out patterns of a tree with short paths, else None.
-
-    They do not depend on the rows, so a task makes them once.
-    """
-    count, width = leaf.feature.shape
-    if width > _TABLE_WIDTH:
-        return None
-    bits = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
-    return _leaf_shapley(leaf, np.broadcast_to(bits[:, None, :], (1 << width, count, width)))
-
-
-def _shapley_contributions(
-    leaves: Sequence[LeafTable], tables: Sequence[np.ndarray | None], x: np.ndarray
-) -> np.ndarray:
+    at_one = points[:, None]  # arrays are points x rows, so that loops run along the rows
+    at_zero, weight = 1.0 - at_one, weights[:, None]
+
+    def down(node: int, product: np.ndarray, path: dict) -> np.ndarray:
+        feature = forest.feature[node]
+        if feature < 0:
+            return product * forest.value[node]
+        goes_left = x[feature] <= forest.threshold[node]
+        before, share = path.get(feature, (None, 1.0))
+        total = None
+        for child, goes in ((forest.left[node], goes_left), (forest.right[node], ~goes_left)):
+            below = share * forest.cover[child] / forest.cover[node]
+            # factor and part of the feature, for rows that do not and that do go its way
+            out_now = below * at_zero
+            in_now = out_now + at_one
+            out_gain, in_gain = -below / out_now * weight, (1.0 - below) / in_now * weight
+            if before is None:
+                inside = goes
+                extend = np.where(goes, in_now, out_now)
+                gain = np.where(goes, in_gain, out_gain)
+            else:  # rows that were out stay out; the others may go out here
+                inside = before & goes
+                out_then = share * at_zero
+                in_then = out_then + at_one
+                lost, held = -share / out_then * weight, (1.0 - share) / in_then * weight
+                extend = np.where(
+                    inside, in_now / in_then, np.where(before, out_now / in_then, out_now / out_then)
+                )
+                gain = np.where(
+                    inside, in_gain - held, np.where(before, out_gain - held, out_gain - lost)
+                )
+            extend *= product
+            found = down(child, extend, {**path, feature: (inside, below)})
+            gain *= found
+            out[feature] += gain.sum(axis=0)
+            total = found if total is None else total + found
+        return total
+
+    down(root, np.ones((len(points), x.shape[1])), {})
+
+
+def _shapley_contributions(forest: ForestTable, widths: Sequence[int], x: np.ndarray) -> np.ndarray:
     """Shapley values of the forest, features left out being averaged by training weight.
 
-    Only the in/out pattern of a row on a path matters, so short paths are looked up.
+    ``widths`` has the number of features on a path of each tree.  The time grows with rows x
+    nodes x half that number; rows go in blocks whose arrays stay in the processor's cache.
     """
-    out = np.zeros_like(x)
-    for leaf, by_pattern in zip(leaves, tables):
-        count, width = leaf.feature.shape
-        slots = np.zeros((leaf.feature.size, x.shape[1]))
-        slots[np.arange(leaf.feature.size), leaf.feature.ravel()] = 1.0
-        step = max(1, _SHAPLEY_CELLS // leaf.feature.size)
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros_like(columns)
+    for root, width in zip(forest.roots, widths):
+        points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
+        step = max(1, _WALK_CELLS // len(points))
         for lo in range(0, len(x), step):
-            value = x[lo : lo + step][:, leaf.feature]
-            inside = (value > leaf.low) & (value <= leaf.high)
-            if by_pattern is None:
-                parts = _leaf_shapley(leaf, inside)
-            else:
-                packed = np.packbits(inside, axis=2, bitorder="little").astype(np.int64)
-                pattern = packed @ (1 << 8 * np.arange(packed.shape[2]))
-                parts = by_pattern[pattern, np.arange(count)]
-            out[lo : lo + step] += parts.reshape(len(value), -1) @ slots
-    return out / len(leaves)
+            rows = slice(lo, lo + step)
+            _walk(forest, root, columns[:, rows], (points + 1) / 2, weights / 2, out[:, rows])
+    return out.T / len(forest.roots)
 
 
 def tree_contributions(
@@ -264,13 +240,9 @@ def tree_contributions(
     is broadcast once; Spark spreads the rows and a task prepares the trees once.
     """
     forest = forest or forest_table(model.rf)
-    if method == "path":
-        work = vars(forest)
-    elif method == "shapley":
-        work = [vars(t) for t in leaf_tables(forest)]
-    else:
+    if method not in ("shapley", "path"):
         raise ValueError(f"method must be 'shapley' or 'path', not {method!r}")
-    shared = frame.sparkSession.sparkContext.broadcast(work)
+    shared = frame.sparkSession.sparkContext.broadcast(vars(forest))
     encoded = encode(spread(frame), model.spec, keep=_KEYS).select(
         *_KEYS, F.array(*model.spec.columns).alias("values")
     )
@@ -279,10 +251,11 @@ def tree_contributions(
     )
 
     def attribution() -> Callable[[np.ndarray], np.ndarray]:
+        trees = ForestTable(**shared.value)
         if method == "path":
-            return partial(_path_contributions, ForestTable(**shared.value))
-        leaves = [LeafTable(**t) for t in shared.value]
-        return partial(_shapley_contributions, leaves, [_pattern_table(t) for t in leaves])
+            return partial(_path_contributions, trees)
+        widths = [_features_on_a_path(trees, root) for root in trees.roots]
+        return partial(_shapley_contributions, trees, widths)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attribute = attribution()

@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -153,9 +154,14 @@ def fit(train: DataFrame, profile: Profile = VERSIONED) -> PdModel:
     """Fit on labelled rows; medians, category levels and weights come from these rows only."""
     spec, laid_out, rows = _encoded(train, profile, "encoded")
     vectors = _vectors(laid_out(rows), spec.columns).select(LABEL, "class_weight", "features")
-    rf, (scaler, lr) = side_by_side(
-        lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)
-    )
+    # shuffled and sorted once: both fits pass over the vectors many times
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rf, (scaler, lr) = side_by_side(
+            lambda: _forest(profile).fit(vectors), lambda: _regression(vectors, profile)
+        )
+    finally:
+        vectors.unpersist()
     return PdModel(spec, scaler, rf, lr)
 
 

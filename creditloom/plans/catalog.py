@@ -699,8 +699,14 @@ def attribution_sums(gl: GivenLake) -> DataFrame:
 @query
 def pd_scores_full(gl: GivenLake) -> DataFrame:
     """The main training profile: more trees, deeper, with the category features."""
-    fitted = model.fit(gl.training, model.FULL)
-    return model.score(gl.scoring, fitted, "full", _LANDED_AT)
+    return model.score(gl.scoring, gl.trained_full, "full", _LANDED_AT)
+
+
+@query
+def risk_drivers_full(gl: GivenLake) -> DataFrame:
+    """Drivers of every application by Shapley value under the main training profile."""
+    fitted = gl.trained_full
+    return drivers.ranked_drivers(drivers.tree_contributions(gl.scoring, fitted), fitted.spec.columns)
 
 
 @query

@@ -45,6 +45,10 @@ class GivenLake:
     def trained(self) -> model.TrainingRun:
         return model.train(self.training)
 
+    @cached_property
+    def trained_full(self) -> model.PdModel:
+        return model.fit(self.training, model.FULL)
+
     @cached_property
     def decided(self) -> DataFrame:
         decided = decisions.decide_applications(self.predictions, self.silver.feat_dti_ratio)

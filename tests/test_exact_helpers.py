@@ -2,6 +2,7 @@
 
 from itertools import combinations, permutations
 
+import leaf_shapley
 import numpy as np
 import pytest
 
@@ -31,6 +32,11 @@ def _random_tree(features, depth, seed):
     )
 
 
+def _shapley(tree, x):
+    widths = [drivers._features_on_a_path(tree, root) for root in tree.roots]
+    return drivers._shapley_contributions(tree, widths, x)
+
+
 def _expected(tree, x, known, node=0):
     """Tree value when only some features are known, the others averaged by cover."""
     if tree.feature[node] < 0:
@@ -48,10 +54,8 @@ def test_shapley_values(seed):
     features = 4
     tree = _random_tree(features, 5, seed)
     x = np.random.default_rng(seed + 100).normal(size=(4, features))
-    leaves = drivers.leaf_tables(tree)
-    got = drivers._shapley_contributions(leaves, [drivers._pattern_table(t) for t in leaves], x)
-    direct = drivers._shapley_contributions(leaves, [None] * len(leaves), x)
-    assert np.allclose(got, direct, atol=1e-12)
+    got = _shapley(tree, x)
+    assert np.allclose(got, leaf_shapley.contributions(tree, x), atol=1e-12)
     for row, phi in zip(x, got):
         want = np.zeros(features)
         orders = list(permutations(range(features)))
@@ -67,18 +71,15 @@ def test_shapley_values(seed):
 
 
 @pytest.mark.parametrize("features", [5, 14])
-def test_shapley_values_from_patterns(features):
-    """Short paths are looked up, long ones computed, in blocks of any size."""
+def test_shapley_values_of_deep_trees(features):
+    """Few features come back on a path often, many give long paths; in blocks of any size."""
     tree = _random_tree(features, 12, 2)
-    leaves = drivers.leaf_tables(tree)
+    assert (drivers._features_on_a_path(tree, 0) > 8) == (features > 8)
     x = np.random.default_rng(8).normal(size=(2500, features))
-    assert (leaves[0].feature.shape[1] > 8) == (features > 8)
-    tables = [drivers._pattern_table(t) for t in leaves]
-    assert [t is None for t in tables] == [features > 8]
-    looked_up = drivers._shapley_contributions(leaves, tables, x)
+    got = _shapley(tree, x)
+    assert np.abs(got[:40] - leaf_shapley.contributions(tree, x[:40])).max() < 1e-12
     blocks = (x[i : i + 20] for i in range(0, 2500, 20))
-    direct = np.vstack([drivers._shapley_contributions(leaves, [None], b) for b in blocks])
-    assert np.allclose(looked_up, direct)
+    assert np.allclose(got, np.vstack([_shapley(tree, b) for b in blocks]), atol=1e-12)
 
 
 @pytest.mark.parametrize("seed", range(3))
