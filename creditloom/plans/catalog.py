@@ -18,6 +18,7 @@ from creditloom.operators import (
     latest,
     metrics,
     model,
+    monthly_state,
     portfolio,
     quality,
     registry,
@@ -98,6 +99,47 @@ def relanded_spend(gl: GivenLake) -> DataFrame:
     return _rounded(months, 6, "avg_balance_inr")
 
 
+@query
+def merged_spend(gl: GivenLake) -> DataFrame:
+    """Transactions landed as increments on three days, the second one twice: states are merged."""
+    path = stage_path(gl.spark, "monthly-state")
+    rows = gl.silver.bronze_transactions
+    third = F.pmod(F.xxhash64("transaction_id"), F.lit(3))
+    for n in (0, 1, 1, 2):
+        monthly_state.keep_state(rows.where(third == n), path, gl.as_of - dt.timedelta(3 - n))
+    months = monthly_state.spend_of_states(
+        monthly_state.kept_states(gl.spark, path), gl.as_of
+    )
+    return _rounded(months, 6, "avg_balance_inr")
+
+
+def _retyped_bronze(gl: GivenLake) -> str:
+    """Bureau records landed on three days: scores as numbers, as text, and with decimals."""
+    base, rows = stage_path(gl.spark, "bronze"), gl.silver.bronze_bureau
+    score = F.col("credit_score")
+    landed = [score.cast("bigint"), score.cast("string"), score.cast("double") + 0.5]
+    third = F.ascii(F.right("customer_id", F.lit(1))) % 3
+    for n, value in enumerate(landed):
+        day = rows.where(third == n).withColumn("credit_score", value)
+        columns = ("customer_id", "credit_score", "hard_inquiries_6m")[: 3 if n else 2]
+        landing.write_bronze(day.select(*columns), base, "credit_bureau", dt.date(2001, 7, n + 1))
+    return base
+
+
+@query
+def retyped_history(gl: GivenLake) -> DataFrame:
+    """The history of a source whose columns came, and changed their type, from day to day."""
+    return landing.read_bronze(gl.spark, _retyped_bronze(gl), "credit_bureau").groupBy(
+        F.col("credit_score").rlike("[.]").alias("with_decimals"),
+        F.col("hard_inquiries_6m").isNull().alias("without_inquiries"),
+    ).agg(F.sum(F.col("credit_score").cast("double")).alias("sum_of_scores"))
+
+
+@query
+def landed_types(gl: GivenLake) -> DataFrame:
+    return landing.landed_types(gl.spark, _retyped_bronze(gl), "credit_bureau")
+
+
 def _txn_agg(gl: GivenLake) -> DataFrame:
     months = features.monthly_spend(gl.silver.bronze_transactions, gl.as_of)
     return features.customer_txn_agg(months, gl.as_of)

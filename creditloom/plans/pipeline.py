@@ -11,12 +11,26 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators import drift, drivers, model, quality, registry, training_set
+from creditloom.operators import (
+    drift,
+    drivers,
+    model,
+    monthly_state,
+    quality,
+    registry,
+    training_set,
+)
 from creditloom.operators.latest import upsert
 from creditloom.plans.silver import Silver
 from creditloom.session import configure, side_by_side, stages_of_run, write_stage
 from creditloom.sources import audit, landing
-from creditloom.sources.snapshots import read_parts, read_table, replace_part
+from creditloom.sources.snapshots import (
+    known_table,
+    read_parts,
+    read_table,
+    replace_part,
+    update_part,
+)
 
 PREDICTION_KEYS = ["application_id", "model_version"]
 MONITORING_KEYS = ["model_version", "snapshot_date"]
@@ -44,7 +58,7 @@ class PipelineResult:
 
 
 def _merge(
-    old: DataFrame | None,
+    spark: SparkSession,
     rows: DataFrame,
     path: str,
     keys: list[str],
@@ -52,8 +66,11 @@ def _merge(
     part: str = "all",
 ) -> None:
     """Upsert rows into a part of a keyed table; the part is replaced by a new snapshot."""
-    merged = rows if old is None else upsert(old.select(*rows.columns), rows, keys, columns)
-    replace_part(merged, path, part)
+
+    def merged(old: DataFrame | None) -> DataFrame:
+        return rows if old is None else upsert(old.select(*rows.columns), rows, keys, columns)
+
+    update_part(spark, path, merged, part)
 
 
 # --------------------------------------------------------------------------- steps
@@ -129,18 +146,29 @@ def check_bronze(spark: SparkSession, paths: LakePaths, run_id: str, day: dt.dat
 def build_silver(
     spark: SparkSession, paths: LakePaths, as_of: dt.date, day: dt.date
 ) -> Silver:
-    """All four silver tables, rebuilt from the extract of ``day`` or all increments."""
+    """All four silver tables, rebuilt from the extract of ``day`` or all increments.
+
+    Each is replaced by a snapshot: if the run dies, readers have the table before.  Of
+    transactions that land as increments only those of ``day`` are read; the other days have left
+    their monthly state.
+    """
 
     def write(df: DataFrame, name: str) -> DataFrame:
         path = f"{paths.silver}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        replace_part(df, path)
+        return read_parts(spark, path).select(*df.columns)
 
     loans, bureau, transactions = (
         landing.read_extract(spark, paths.bronze, s, day)
         for s in ("loan_applications", "credit_bureau", "transactions")
     )
-    silver = Silver(loans, bureau, transactions, as_of, write)
+    monthly = None
+    if landing.LANDING["transactions"] == landing.INCREMENT:
+        landed = landing.read_bronze(spark, paths.bronze, "transactions", day)
+        monthly_state.keep_state(landed, paths.monthly_state, day)
+        states = monthly_state.kept_states(spark, paths.monthly_state)
+        monthly = monthly_state.spend_of_states(states, as_of)
+    silver = Silver(loans, bureau, transactions, as_of, write, monthly)
     silver.tables()
     return silver
 
@@ -175,18 +203,19 @@ def register_run(
     }
     names = [c.split()[0] for c in registry.REGISTRY_SCHEMA.split(", ")]
     entry = spark.createDataFrame([tuple(row[c] for c in names)], registry.REGISTRY_SCHEMA)
-    table = read_table(spark, paths.model_registry)
-    if table is None:
-        table = spark.createDataFrame([], registry.REGISTRY_SCHEMA)
-    table = write_stage(registry.register(table, entry, promote), "model_registry")
-    replace_part(table, paths.model_registry)
-    return registry.get_model(table, version).first()["status"]
+
+    def registered(table: DataFrame | None) -> DataFrame:
+        if table is None:
+            table = spark.createDataFrame([], registry.REGISTRY_SCHEMA)
+        return registry.register(table, entry, promote)
+
+    update_part(spark, paths.model_registry, registered)
+    return registry.get_model(known_table(spark, paths.model_registry), version).first()["status"]
 
 
 def write_scores(spark: SparkSession, paths: LakePaths, scores: DataFrame, version: str) -> None:
     """Upsert the scores of one version; only the part of that version is replaced."""
-    same = read_parts(spark, paths.pd_predictions, version)
-    _merge(same, scores, paths.pd_predictions, PREDICTION_KEYS, part=version)
+    _merge(spark, scores, paths.pd_predictions, PREDICTION_KEYS, part=version)
 
 
 def write_drivers(
@@ -272,8 +301,7 @@ def _run(
         row = found.first()
         snapshot = spark.createDataFrame([row], found.schema)
         columns = drift.SNAPSHOT_UPDATES
-        path = paths.model_monitoring
-        _merge(read_table(spark, path), snapshot, path, MONITORING_KEYS, columns)
+        _merge(spark, snapshot, paths.model_monitoring, MONITORING_KEYS, columns)
         return row.asDict()
 
     def score_and_watch() -> dict:

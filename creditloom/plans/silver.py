@@ -30,12 +30,15 @@ class Silver:
         transactions: DataFrame,
         as_of: dt.date,
         write: Callable[[DataFrame, str], DataFrame] = write_stage,
+        monthly: DataFrame | None = None,
     ):
+        """``monthly`` is the spend per customer and month, if it need not be made anew."""
         self.bronze_loans = loans
         self.bronze_bureau = bureau
         self.bronze_transactions = transactions
         self.as_of = as_of
         self._write = write
+        self._monthly = monthly
 
     def _built(self, df: DataFrame, name: str, stamp: str) -> DataFrame:
         return self._write(features.audited(df, stamp), name)
@@ -55,7 +58,9 @@ class Silver:
 
     @cached_property
     def feat_credit_util(self) -> DataFrame:
-        monthly = features.monthly_spend(self.bronze_transactions, self.as_of)
+        monthly = self._monthly
+        if monthly is None:
+            monthly = features.monthly_spend(self.bronze_transactions, self.as_of)
         rolled_up = features.customer_txn_agg(monthly, self.as_of)
         util = features.feat_credit_util(self.stg_credit, rolled_up)
         return self._built(util, "feat_credit_util", COMPUTED_AT)

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,18 +107,93 @@ def write_bronze(
     return path
 
 
+#: Types that hold all values of the ones before them; any other mixture is read as text.
+WIDENING = [
+    ["boolean", "string"],
+    ["tinyint", "smallint", "int", "bigint", "double", "string"],
+    ["float", "double", "string"],
+    ["date", "timestamp", "string"],
+    ["timestamp_ntz", "string"],
+]
+
+
+def widest(types: Iterable[str]) -> str:
+    """The first type that holds the values of all of them."""
+    types = set(types)
+    if len(types) == 1:
+        return types.pop()
+    above = [next((o[o.index(t) :] for o in WIDENING if t in o), ["string"]) for t in types]
+    return next(t for t in above[0] if all(t in a for a in above[1:]))
+
+
+def _landed_days(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the days that were landed, oldest first; one entry per day."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/year=*/month=*/day=*")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return sorted(str(status.getPath()) for status in found or [])
+
+
+def _days_by_schema(spark: SparkSession, path: str) -> list[tuple[T.StructType, list[str]]]:
+    """Days of the same columns and types together; one footer is read per day."""
+    days = _landed_days(spark, path)
+    with ThreadPoolExecutor(8) as pool:
+        schemas = list(pool.map(lambda day: spark.read.parquet(day).schema, days))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for day, schema in zip(days, schemas):
+        groups.setdefault(schema.simpleString(), (schema, []))[1].append(day)
+    return list(groups.values())
+
+
 def read_bronze(
     spark: SparkSession, base: str, source: str, day: dt.date | None = None
 ) -> DataFrame:
     """All landed rows of a source, or those of one run date.
 
-    Days can have different columns.  A day is read from its own folder and has the columns
-    that were landed on it; the history has the columns of all days, null where a day had none.
+    Days can have different columns and types.  A day is read from its own folder and has the
+    columns that were landed on it.  The history has the columns of all days, null where a day had
+    none; a column that changed its type is read as the first type that holds all its values.
     """
     path = f"{base.rstrip('/')}/{source}"
     if day is not None:
         return spark.read.parquet(f"{path}/{day:year=%Y/month=%m/day=%d}")
-    return spark.read.option("mergeSchema", True).parquet(path).drop(*PARTITION_COLUMNS)
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path).drop(*PARTITION_COLUMNS)
+    except (Py4JJavaError, PySparkException) as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+    groups = _days_by_schema(spark, path)
+    types: dict[str, list[str]] = {}
+    for schema, _ in groups:
+        for f in schema.fields:
+            types.setdefault(f.name, []).append(f.dataType.simpleString())
+    parts = [
+        spark.read.schema(schema).parquet(*days).select(
+            *[F.col(f"`{f.name}`").cast(widest(types[f.name])).alias(f.name) for f in schema.fields]
+        )
+        for schema, days in groups
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def landed_types(spark: SparkSession, base: str, source: str) -> DataFrame:
+    """How each column was landed: column_name, type, days, first_day, last_day, read_as."""
+    groups = _days_by_schema(spark, f"{base.rstrip('/')}/{source}")
+    seen: dict[tuple[str, str], list[str]] = {}
+    for schema, days in groups:
+        stamps = ["-".join(x.split("=")[1] for x in d.split("/")[-3:]) for d in days]
+        for f in schema.fields:
+            seen.setdefault((f.name, f.dataType.simpleString()), []).extend(stamps)
+    types: dict[str, list[str]] = {}
+    for name, kind in seen:
+        types.setdefault(name, []).append(kind)
+    rows = [
+        (name, kind, len(days), min(days), max(days), widest(types[name]))
+        for (name, kind), days in seen.items()
+    ]
+    return spark.createDataFrame(
+        rows,
+        "column_name string, type string, days int, first_day string, last_day string, read_as string",
+    )
 
 
 def read_extract(spark: SparkSession, base: str, source: str, day: dt.date) -> DataFrame:

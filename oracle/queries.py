@@ -25,7 +25,7 @@ ORACLE["stress_mix"] = _counts("feat_credit_util", "credit_stress_score")
 ORACLE["monthly_spend"] = sql(
     "select * replace (round(avg_balance_inr, 6) as avg_balance_inr) from monthly_spend"
 )
-ORACLE["relanded_spend"] = ORACLE["monthly_spend"]
+ORACLE["relanded_spend"] = ORACLE["merged_spend"] = ORACLE["monthly_spend"]
 for _name in ("customer_txn_agg", "feat_credit_util"):
     ORACLE[_name] = sql(
         f"""select * replace (round(avg_balance_recent_3m, 6) as avg_balance_recent_3m,
@@ -737,6 +737,26 @@ from top_drivers where rank <= 5 group by application_id
 """
 ORACLE["driver_text"] = sql("select * from driver_texts")
 
+# --------------------------------------------------------------------------- landing
+
+ORACLE["landed_types"] = """
+select * from (values
+  ('customer_id', 'string', 3::integer, '2001-07-01', '2001-07-03', 'string'),
+  ('credit_score', 'bigint', 1::integer, '2001-07-01', '2001-07-01', 'string'),
+  ('credit_score', 'string', 1::integer, '2001-07-02', '2001-07-02', 'string'),
+  ('credit_score', 'double', 1::integer, '2001-07-03', '2001-07-03', 'string'),
+  ('hard_inquiries_6m', 'string', 2::integer, '2001-07-02', '2001-07-03', 'string'))
+  t(column_name, type, days, first_day, last_day, read_as)"""
+ORACLE["retyped_history"] = sql(
+    """select if(score is null, null, third = 2) as with_decimals,
+              third = 0 or inquiries is null as without_inquiries,
+              sum(score + if(third = 2, 0.5, 0)) as sum_of_scores
+       from (select ascii(right(customer_id, 1)) % 3 as third, cast(credit_score as double) as score,
+                    hard_inquiries_6m as inquiries
+             from bronze_bureau where customer_id is not null)
+       group by 1, 2"""
+)
+
 # --------------------------------------------------------------------------- retrieval
 
 _TRIM = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"

@@ -11,7 +11,7 @@ from creditloom.operators import decisions, model, registry
 from creditloom.plans import pipeline, policy_index, serving
 from creditloom.session import configure, stages_of_run, write_stage
 from creditloom.sources import landing
-from creditloom.sources.snapshots import known_table, replace_part
+from creditloom.sources.snapshots import known_table, update_part
 
 PROFILES = {"versioned": model.VERSIONED, "full": model.FULL}
 
@@ -33,7 +33,8 @@ def run_pipeline(spark: SparkSession, args: argparse.Namespace) -> str:
 
 def promote(spark: SparkSession, args: argparse.Namespace) -> str:
     path = pipeline.LakePaths(args.lake).model_registry
-    replace_part(registry.promote(known_table(spark, path), args.version), path)
+    known_table(spark, path)  # must be there
+    update_part(spark, path, lambda table: registry.promote(table, args.version))
     return f"{args.version} is active"
 
 

@@ -142,7 +142,7 @@ def test_pipeline(spark, sf, tmp_path):
 
     def silver():
         stamps = ("silver_processed_at", "feature_computed_at")
-        return {t: sorted(map(str, spark.read.parquet(f"{paths.silver}/{t}").drop(*stamps).collect()))
+        return {t: sorted(map(str, read_table(spark, f"{paths.silver}/{t}").drop(*stamps).collect()))
                 for t in names}
 
     once = silver()
