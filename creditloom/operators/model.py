@@ -35,6 +35,7 @@ from creditloom.operators.training_set import (
     cv_folds,
     encode,
     fit_features,
+    fit_fold_features,
     time_split,
 )
 from creditloom.session import side_by_side, write_stage
@@ -127,7 +128,7 @@ _ROW_KEY = "application_id"
 
 
 def _encoded(
-    training: DataFrame, profile: Profile, name: str
+    training: DataFrame, profile: Profile, name: str, spec: FeatureSpec | None = None
 ) -> tuple[FeatureSpec, Callable[[DataFrame], DataFrame], DataFrame]:
     """Learnt features, the layout for fits, and the weighted, encoded rows.
 
@@ -137,7 +138,7 @@ def _encoded(
     table packs its files by the number of cores.
     """
     spec, counts = side_by_side(
-        lambda: fit_features(training, profile.numeric, profile.categorical),
+        lambda: spec or fit_features(training, profile.numeric, profile.categorical),
         lambda: class_counts(training),
     )
     encoded = encode(training, spec, keep=[_ROW_KEY, LABEL])
@@ -299,10 +300,11 @@ def cross_validate(
     ``parallel`` folds are fitted at a time; each holds its training rows in memory.
     """
     folds = write_stage(cv_folds(frame, k), "folds")
+    specs = fit_fold_features(folds, profile.numeric, profile.categorical, k)
 
     def auc(i: int) -> float:
         training, held_out = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        spec, laid_out, rows = _encoded(training, profile, "fold_rows")
+        spec, laid_out, rows = _encoded(training, profile, "fold_rows", specs[i])
         rf = _forest(profile).fit(_vectors(laid_out(rows), spec.columns))
         test = _vectors(encode(held_out, spec, keep=[LABEL]), spec.columns)
         scored = _probability(rf, test, "features", "pd_probability_rf")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.operators.ordering import with_group_rank, with_position, with_running_sums
+from creditloom.operators.ordering import with_group_rank, with_position
+from creditloom.session import side_by_side
 
 LABEL = "default_flag"
 
@@ -138,69 +139,111 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- medians
 
 _SKETCH_ACCURACY = 10_000
-_BRACKET = 0.01
+#: Half the share of the values in the first bracket; the error of the sketch is a tenth of it.
+_BRACKET = 0.001
+#: Different values of a column that are brought to the driver at most.
+_CELLS = 10_000
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact (interpolated) median of every column: rows (feature, median_value).
+    """Exact (interpolated) median of every column: rows (feature, median_value)."""
+    found = medians_of(df, {c: F.col(c) for c in columns})
+    return df.sparkSession.createDataFrame(
+        list(found.items()), "feature string, median_value double"
+    )
+
+
+def fold_medians(folds: DataFrame, columns: Sequence[str], k: int) -> list[dict[str, float | None]]:
+    """For each fold the medians of all rows outside it, for all folds and columns at once."""
+    found = medians_of(
+        folds,
+        {f"{i}|{c}": F.when(F.col("fold") != i, F.col(c)) for i in range(k) for c in columns},
+    )
+    return [{c: found[f"{i}|{c}"] for c in columns} for i in range(k)]
+
+
+def medians_of(df: DataFrame, values: Mapping[str, Column]) -> dict[str, float | None]:
+    """Exact (interpolated) medians of expressions over the rows; None where all are null.
 
-    A quantile sketch first gives a narrow bracket around each median; then
-    only values inside the brackets are counted and put in order, and the two middle values
-    are read off the running counts.  The sketch error is far smaller than the bracket, and
-    the counts below the bracket prove that the middle lies inside it; where that proof
-    fails the bracket is opened to the whole column.
+    Bracketed selection, for all expressions in the same passes.  A quantile sketch gives a narrow
+    bracket around each median.  The values inside are counted by value, and how many lie below
+    proves that the middle ones are inside; where that proof fails the bracket is opened.  Where
+    more than ``_CELLS`` different values are inside, a sketch of these gives a narrower bracket.
+    Every pass sums up before anything is sent, so there is no shuffle of rows.
     """
-    spark = df.sparkSession
-    columns = list(columns)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sizes = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    sketch = numbers.agg(
-        *[
-            F.percentile_approx(c, [0.5 - _BRACKET, 0.5 + _BRACKET], _SKETCH_ACCURACY).alias(c)
-            for c in columns
-        ]
+    names = {f"m{i}": name for i, name in enumerate(values)}
+    numbers = df.select(*[v.cast("double").alias(m) for m, v in zip(names, values.values())])
+    around = [0.5 - _BRACKET, 0.5 + _BRACKET]
+    row = numbers.agg(
+        *[F.count(m).alias(f"n_{m}") for m in names],
+        *[F.percentile_approx(m, around, _SKETCH_ACCURACY).alias(m) for m in names],
     ).first()
-    bracket = {c: tuple(sketch[c]) if sketch[c] else (0.0, 0.0) for c in columns}
-    below, inside = _bracket_counts(numbers, bracket)
-    for c in columns:
-        first, last = (sizes[c] + 1) // 2, (sizes[c] + 2) // 2
-        if not (below[c] < first and last <= below[c] + inside[c]):
-            bracket[c] = (float("-inf"), float("inf"))
-            below[c], inside[c] = 0, sizes[c]
-
-    in_bracket = [
-        F.when(F.col(c).between(*bracket[c]), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")))
-        for c in columns
+    sizes = {m: row[f"n_{m}"] for m in names}
+    bracket = {m: tuple(row[m]) for m in names if sizes[m]}
+    found: dict[str, float | None] = dict.fromkeys(names)
+    while bracket:
+        (below, inside), cells = side_by_side(
+            lambda: _bracket_counts(numbers, bracket), lambda: _cells(numbers, bracket)
+        )
+        if cells is None:
+            bracket = _narrower(numbers, bracket, sizes, below, inside)
+            continue
+        opened = {}
+        for m in bracket:
+            first, last = (sizes[m] + 1) // 2, (sizes[m] + 2) // 2
+            if not below[m] < first <= last <= below[m] + inside[m]:
+                opened[m] = (float("-inf"), float("inf"))
+                continue
+            upto, middle = below[m], []
+            for value, n in sorted(cells.get(m, ())):
+                middle += [value for rank in (first, last) if upto < rank <= upto + n]
+                upto += n
+            found[m] = sum(middle) / 2
+        bracket = opened
+    return {name: found[m] for m, name in names.items()}
+
+
+def _cells(
+    numbers: DataFrame, bracket: Mapping[str, tuple[float, float]]
+) -> dict[str, list[tuple[float, int]]] | None:
+    """How often each value inside the brackets occurs; None if there are too many values."""
+    inside = [
+        F.when(F.col(m).between(*limits), F.struct(F.lit(m).alias("m"), F.col(m).alias("value")))
+        for m, limits in bracket.items()
     ]
-    cells = (
-        numbers.select(F.explode(F.array_compact(F.array(*in_bracket))).alias("cell"))
-        .groupBy("cell.feature", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = with_running_sums(cells, [F.col("feature"), F.col("value")], {"upto": "n"})
-    # rank inside the column = running count - cells of earlier features + values below
-    shift, before = [], 0
-    for c in sorted(columns):
-        shift.append((c, below[c] - before, (sizes[c] + 1) // 2, (sizes[c] + 2) // 2))
-        before += inside[c]
-    wanted = spark.createDataFrame(
-        shift, "feature string, _shift bigint, _first bigint, _last bigint"
-    )
-    placed = running.join(F.broadcast(wanted), "feature").withColumn(
-        "_rank", F.col("upto") + F.col("_shift")
+    rows = (
+        numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("cell"))
+        .groupBy("cell.m", "cell.value")
+        .count()
+        .take(_CELLS * len(bracket) + 1)
     )
+    if len(rows) > _CELLS * len(bracket):
+        return None
+    out: dict[str, list[tuple[float, int]]] = {}
+    for m, value, n in rows:
+        out.setdefault(m, []).append((value, n))
+    return out
 
-    def covers(place: str) -> Column:
-        return F.col(place).between(F.col("_rank") - F.col("n") + 1, F.col("_rank"))
 
-    middle = placed.groupBy("feature").agg(
-        F.max(F.when(covers("_first"), F.col("value"))).alias("_lo"),
-        F.max(F.when(covers("_last"), F.col("value"))).alias("_hi"),
-    )
-    names = spark.createDataFrame([(c,) for c in columns], "feature string")
-    return F.broadcast(names).join(middle, "feature", "left").select(
-        "feature", ((F.col("_lo") + F.col("_hi")) / 2).alias("median_value")
-    )
+def _narrower(
+    numbers: DataFrame,
+    bracket: Mapping[str, tuple[float, float]],
+    sizes: Mapping[str, int],
+    below: Mapping[str, int],
+    inside: Mapping[str, int],
+) -> dict[str, tuple[float, float]]:
+    """Brackets within the brackets, by a sketch of the values inside."""
+    margin = max(_BRACKET, 10 / _SKETCH_ACCURACY)
+    sketches = []
+    for m, limits in bracket.items():
+        n = max(inside[m], 1)
+        lo = ((sizes[m] + 1) // 2 - below[m]) / n - margin
+        hi = ((sizes[m] + 2) // 2 - below[m]) / n + margin
+        share = [min(max(x, 0.0), 1.0) for x in (lo, hi)]
+        within = F.when(F.col(m).between(*limits), F.col(m))
+        sketches.append(F.percentile_approx(within, share, _SKETCH_ACCURACY).alias(m))
+    row = numbers.agg(*sketches).first()
+    return {m: tuple(row[m]) if row[m] else (float("-inf"), float("inf")) for m in bracket}
 
 
 def _bracket_counts(
@@ -255,10 +298,42 @@ def fit_features(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 ) -> FeatureSpec:
     """Learn medians and category levels; call it on the training rows only."""
-    medians = {r["feature"]: r["median_value"] for r in exact_medians(df, numeric).collect()}
-    return FeatureSpec(list(numeric), list(categorical), medians, category_levels(df, categorical))
+    medians, levels = side_by_side(
+        lambda: medians_of(df, {c: F.col(c) for c in numeric}),
+        lambda: category_levels(df, categorical),
+    )
+    return FeatureSpec(list(numeric), list(categorical), medians, levels)
 
 
+def fit_fold_features(
+    folds: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int
+) -> list[FeatureSpec]:
+    """For each fold what is learnt from the rows outside it; the table is read for all at once."""
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)).alias("level"))
+        for c in categorical
+    ]
+    medians, rows = side_by_side(
+        lambda: fold_medians(folds, numeric, k),
+        lambda: folds.select("fold", F.inline(F.array(*cells))).distinct().take(
+            MAX_LEVELS * k * len(categorical) + 1
+        )
+        if cells
+        else [],
+    )
+    specs = []
+    for i in range(k):
+        seen = {c: set() for c in categorical}
+        for r in rows:
+            if r["fold"] != i:
+                seen[r["name"]].add(r["level"])
+        for c, found in seen.items():
+            if len(found) > MAX_LEVELS:
+                raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        levels = {c: sorted(found) for c, found in seen.items()}
+        specs.append(FeatureSpec(list(numeric), list(categorical), medians[i], levels))
+    return specs
+
 def impute(df: DataFrame, medians: Mapping[str, float], categorical: Sequence[str]) -> DataFrame:
     """Fill numbers with the fitted median and categories with ``unknown``."""
     filled = {

@@ -193,6 +193,18 @@ ORACLE["feature_medians"] = sql(
         for c in NUMERIC
     )
 )
+FRAGMENTS["dealt_folds"] = """
+select *, cast((row_number() over (partition by default_flag
+                order by sha256(application_id || '#42'), application_id) - 1) % 5 as integer) as fold
+from training_frame
+"""
+ORACLE["fold_medians"] = sql(
+    " union all ".join(
+        f"select cast(f as integer) as fold, '{c}' as feature, median({c}::double) as median_value "
+        "from dealt_folds join (select unnest(range(5)) as f) on f <> fold group by f"
+        for c in NUMERIC
+    )
+)
 ORACLE["imputed_features"] = sql(
     "select application_id, "
     + ", ".join(

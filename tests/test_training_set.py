@@ -45,6 +45,19 @@ def test_medians_when_the_bracket_misses(spark, monkeypatch):
     assert got == statistics.median(r[0] for r in rows)
 
 
+@pytest.mark.parametrize("cells", [20, 10_000])
+def test_medians_of_folds(spark, monkeypatch, cells):
+    """All folds at once; brackets of many different values are narrowed."""
+    monkeypatch.setattr(ts, "_CELLS", cells)
+    rng = random.Random(1)
+    rows = [(i % 3, rng.choice([None, rng.random(), 2.0]), rng.randint(0, 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "fold int, x double, y int")
+    got = ts.fold_medians(df, ["x", "y"], 3)
+    for i in range(3):
+        for n, c in ((1, "x"), (2, "y")):
+            assert got[i][c] == statistics.median(r[n] for r in rows if r[0] != i and r[n] is not None)
+
+
 def test_time_split_cuts_inside_a_hot_day(spark):
     hot = dt.date(2020, 1, 2)
     rows = [(f"A{i:04d}", dt.date(2020, 1, 1)) for i in range(10)]
