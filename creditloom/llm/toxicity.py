@@ -185,6 +185,8 @@ def train(
         )
         .groupBy(column(id_col).alias("_d"))
         .agg(F.max(label_col).cast("int").alias("toxic"))
+        # only labels of documents that are there count towards the bound
+        .join(docs.select(column(id_col).alias("_d")), "_d", "left_semi")
         .withColumn("key", F.xxhash64("_d"))
         .orderBy("key", "_d")
         .limit(rows),

@@ -111,6 +111,18 @@ def test_line_dedup(edge_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
+    bad, good = "awful nasty rude words here", "kind calm plain words here"
+    docs = spark.createDataFrame(
+        [(i * 100, f"{bad if i % 2 else good} {i}") for i in range(40)], "doc_id bigint, text string"
+    )
+    labels = spark.createDataFrame([(i, i // 100 % 2) for i in range(4000)], "doc_id bigint, toxic int")
+    weights = toxicity.train(docs, labels, rows=200)
+    assert weights.count() > 1
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, weights).collect()}
+    assert min(scores[i * 100] for i in range(1, 40, 2)) > max(scores[i * 100] for i in range(0, 40, 2))
+
+
 def test_patience_diff():
     a, b = list("abcxdef"), list("zabcydefz")
     assert [(x, y) for x, y in line_dedup.patience_matches(a, b)] == [
