@@ -30,7 +30,7 @@ from creditloom.operators import (
 )
 from creditloom.plans.given_lake import GivenLake, lake
 from creditloom.session import configure, stage_path, write_stage
-from creditloom.sources import audit, landing
+from creditloom.sources import audit, buckets, landing
 
 _QUERIES: dict[str, Callable[[GivenLake], DataFrame]] = {}
 
@@ -407,17 +407,35 @@ def drift_snapshot(gl: GivenLake) -> DataFrame:
 # --------------------------------------------------------------------------- upsert
 
 
-@query
-def upsert_latest(gl: GivenLake) -> DataFrame:
-    """Version v0 scores, refreshed by a later run that also scores new applications."""
-    keys = ["application_id", "model_version"]
+_SCORE_KEYS = ["application_id", "model_version"]
+
+
+def _two_runs(gl: GivenLake) -> tuple[DataFrame, DataFrame]:
+    """Scores, and those of a later run that scores some again and new ones too."""
+    keys = _SCORE_KEYS
     scores = gl.predictions.select(*keys, _ENS, "risk_grade", "scored_at")
     target = scores.where(F.col("model_version") != "v2")
     rerun = scores.where(F.col("model_version") != "v0").withColumn(
         _ENS, F.round(1 - F.col(_ENS), 6)
     )
-    rerun = rerun.withColumn("risk_grade", bands.risk_grade(F.col(_ENS)))
-    return latest.upsert(target, rerun, keys, update_columns=[_ENS, "risk_grade"])
+    return target, rerun.withColumn("risk_grade", bands.risk_grade(F.col(_ENS)))
+
+
+@query
+def upsert_latest(gl: GivenLake) -> DataFrame:
+    """Version v0 scores, refreshed by a later run that also scores new applications."""
+    target, rerun = _two_runs(gl)
+    return latest.upsert(target, rerun, _SCORE_KEYS, update_columns=[_ENS, "risk_grade"])
+
+
+@query
+def bucketed_upsert(gl: GivenLake) -> DataFrame:
+    """The same merge into a keyed table of which only touched buckets are rewritten."""
+    target, rerun = _two_runs(gl)
+    path = stage_path(gl.spark, "keyed")
+    buckets.merge_keyed(target, path, _SCORE_KEYS, buckets=16)
+    buckets.merge_keyed(rerun, path, _SCORE_KEYS, [_ENS, "risk_grade"], buckets=16)
+    return buckets.read_keyed(gl.spark, path)
 
 
 @query

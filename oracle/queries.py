@@ -480,6 +480,7 @@ ORACLE["upsert_latest"] = sql(
        from t full join u on u.application_id = t.application_id
                           and u.model_version = t.model_version)"""
 )
+ORACLE["bucketed_upsert"] = ORACLE["upsert_latest"]
 
 
 def _version_snapshot(version: str) -> str:
