@@ -13,6 +13,7 @@ from creditloom.functions import bands
 from creditloom.operators import (
     decisions,
     drift,
+    drift_state,
     drivers,
     features,
     latest,
@@ -407,6 +408,20 @@ def drift_snapshot(gl: GivenLake) -> DataFrame:
 # --------------------------------------------------------------------------- upsert
 
 
+@query
+def drift_states(gl: GivenLake) -> DataFrame:
+    """What each month leaves behind of its scores."""
+    return drift_state.score_states(gl.predictions, grain="month", points=100)
+
+
+@query
+def drift_state_gaps(gl: GivenLake) -> DataFrame:
+    """The gap between the scores of each month and the one before, from their states alone."""
+    states = write_stage(drift_states(gl), "drift-states")
+    found = drift_state.gaps(states, drift_state.neighbours(states))
+    return found.withColumn("gap", F.round("gap", 9))
+
+
 _SCORE_KEYS = ["application_id", "model_version"]
 
 

@@ -480,6 +480,30 @@ ORACLE["upsert_latest"] = sql(
        from t full join u on u.application_id = t.application_id
                           and u.model_version = t.model_version)"""
 )
+FRAGMENTS["score_points"] = """
+select period, value, upto, n, total
+from (select *, cast(sum(n) over (partition by period order by value) as bigint) as upto,
+             cast(sum(n) over (partition by period) as bigint) as total
+      from (select cast(date_trunc('month', scored_at) as date) as period,
+                   pd_probability_ens as value, count(*) as n
+            from predictions where scored_at is not null and pd_probability_ens is not null
+            group by 1, 2))
+where floor(upto * 100 / total) > floor((upto - n) * 100 / total)
+"""
+ORACLE["drift_states"] = sql("select * from score_points")
+ORACLE["drift_state_gaps"] = sql(
+    """select a, b, round(max(abs(coalesce(fa, 0) - coalesce(fb, 0))), 9) as gap
+       from (select a, b,
+                    max(case when side = 0 then upto / total end) over w as fa,
+                    max(case when side = 1 then upto / total end) over w as fb
+             from (select a, b, value, upto, total, if(period = b, 1, 0) as side
+                   from (select lag(period) over (order by period) as a, period as b
+                         from (select distinct period from score_points))
+                   join score_points on period = a or period = b
+                   where a is not null)
+             window w as (partition by a, b order by value))
+       group by a, b"""
+)
 ORACLE["bucketed_upsert"] = ORACLE["upsert_latest"]
 
 
