@@ -27,6 +27,7 @@ from creditloom.operators import (
     staging,
     term_index,
     training_set,
+    unique_state,
     vector_index,
 )
 from creditloom.plans.given_lake import GivenLake, lake
@@ -186,6 +187,25 @@ def dq_failing_values(gl: GivenLake) -> DataFrame:
     return quality.failing_values(gl.silver.bronze_transactions, repeated)
 
 
+@query
+def dq_incremental_failing(gl: GivenLake) -> DataFrame:
+    """The same groups, found landing by landing: rows of three days, dealt by all columns."""
+    rows, key = gl.silver.bronze_transactions, "transaction_id"
+    rows = write_stage(
+        rows.withColumn("_third", F.pmod(F.xxhash64(*rows.columns), F.lit(3))), "landings"
+    )
+    path, days, failing = stage_path(gl.spark, "key-bitmaps"), [], None
+    for n in range(3):
+        new = rows.where(F.col("_third") == n)
+        earlier = rows.where(F.col("_third") < n) if n else None
+        bitmaps = unique_state.kept_bitmaps(gl.spark, path, days)
+        found, _ = unique_state.repeated_keys(new, earlier, bitmaps, key)
+        failing = write_stage(unique_state.failing_after(failing, found, key), "failing")
+        days.append(gl.as_of - dt.timedelta(3 - n))
+        unique_state.keep_bitmaps(new, path, days[-1], key)
+    return failing
+
+
 # --------------------------------------------------------------------------- training set
 
 

@@ -160,6 +160,7 @@ ORACLE["dq_summary"] = sql(
 ORACLE["dq_failing_values"] = sql(
     "select transaction_id, count(*) as n from bronze_txn group by 1 having count(*) > 1"
 )
+ORACLE["dq_incremental_failing"] = ORACLE["dq_failing_values"]
 
 # --------------------------------------------------------------------------- training set
 
