@@ -282,16 +282,23 @@ def _run(
         return out
 
     timed("land", lambda: land(spark, raw_dir, paths, run_id, execution_date))
-    changes, _ = side_by_side(
+    changes, _, silver = side_by_side(
         lambda: timed("schema", lambda: schema_changes(spark, paths, execution_date)),
         lambda: timed("bronze_checks", lambda: check_bronze(spark, paths, run_id, execution_date)),
+        lambda: timed("silver", lambda: build_silver(spark, paths, as_of, execution_date)),
+    )
+
+    def prepare_and_train() -> tuple[DataFrame, model.TrainingRun]:
+        frame = training_set.scoring_frame(silver.feat_dti_ratio, silver.feat_credit_util)
+        frame = timed("frame", lambda: write_stage(frame, "scoring_frame"))
+        labelled = frame.where(F.col(training_set.LABEL).isNotNull())
+        return frame, timed("train", lambda: model.train(labelled, profile))
+
+    # a fit leaves nothing in the lake, so it need not wait for the checks
+    _, (frame, run) = side_by_side(
+        lambda: timed("checks", lambda: check_silver(silver, paths, run_id, execution_date)),
+        prepare_and_train,
     )
-    silver = timed("silver", lambda: build_silver(spark, paths, as_of, execution_date))
-    timed("checks", lambda: check_silver(silver, paths, run_id, execution_date))
-    frame = training_set.scoring_frame(silver.feat_dti_ratio, silver.feat_credit_util)
-    frame = timed("frame", lambda: write_stage(frame, "scoring_frame"))
-    labelled = frame.where(F.col(training_set.LABEL).isNotNull())
-    run = timed("train", lambda: model.train(labelled, profile))
     registry.gate(run.metrics["ensemble_auc"], min_auc)
     scores = model.score(frame, run.model, version)
 
