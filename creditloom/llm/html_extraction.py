@@ -1,19 +1,26 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-1.  Comments, scripts, styles and the like go; elements that hold no article text by their
-    name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, reader
-    comments) go with what is in them and leave blank lines.
+1.  One pass over the page finds the tags.  A quoted value may hold ``<`` and ``>``; a quote that
+    is not closed before a space, ``/`` or ``>`` opens none.  A tag without ``>`` ends before the
+    next ``<`` or with the page.  Comments, scripts, styles and the like go.
+2.  Elements that hold no article text by their name (menus, headers, footers, sidebars, adverts,
+    forms) go with what is in them and leave blank lines, and so do those whose role, class or id
+    consists of such words (``sidebar``, ``site-footer``).  Where other words stand beside them
+    (``related-work``), or on a section's id (but for ads, teasers and comments), they only weigh: such a line counts as text if it is
+    long and less than half of it is links.  Headings and marked articles are never marked so.
     A form that holds the marked article or half of the page's text is no such element.
-2.  Block elements end a line, so a page is a sequence of lines of text; tags in a row make no
+3.  Block elements end a line, so a page is a sequence of lines of text; tags in a row make no
     blank lines.
-3.  Text lengths are summed over windows of ``WINDOW`` lines, where a line that is half links
-    counts as none.  The text surges where the sum rises from zero and dives where it falls to
-    zero; between them lies a block of text.  Fewer link lines than a window has, before or
-    behind a block, belong to it.
-4.  Where the page marks its article (``article``, else ``main``), the blocks inside it are
+4.  Text lengths are summed over windows of ``WINDOW`` lines, where a line that is half links
+    counts as none unless it stands in the marked article.  The text surges where the sum rises
+    from zero and dives where it falls to zero; between them lies a block of text.  Fewer lines
+    that count as none than a window has, before or behind a block, belong to it.
+5.  Where the page marks its article (``article``, else ``main``), the blocks inside it are
     kept: in the largest article, and in all others that are neither inside another nor teasers.
     Else those are kept that have a tenth or more of the text of the largest and less than half
     of it in links, and from them on their neighbours up to the next lines of links.
+
+Time and memory grow with the length of the page, whatever is broken in it.
 """
 
 from __future__ import annotations
@@ -31,79 +38,201 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import arrow_rows, column
 
 WINDOW = 3
-#: Elements without article text, elements that end a line, void elements.
+#: Characters from which on a line of weakly marked text counts.
+LONG_LINE = 40
+#: Elements without article text; ``label`` only in a form.
 DROPPED = frozenset(
-    (
-        "head title script style noscript template svg math iframe object embed canvas audio "
-        "video nav header footer aside form button select textarea input fieldset dialog menu "
-        "menuitem label"
-    ).split()
+    {
+        "head", "title", "script", "style", "noscript", "template", "svg", "iframe", "object",
+        "embed", "canvas", "audio", "video", "nav", "header", "footer", "aside", "form", "button",
+        "select", "textarea", "input", "fieldset", "menu", "menuitem",
+    }
 )
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")
+#: Elements whose content is no markup.
+RAW = ("script", "style", "iframe", "textarea", "title")
+#: Elements that end a line.
 BLOCKS = frozenset(
-    (
-        "p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead "
-        "tbody tfoot caption blockquote pre figure figcaption hr address details summary center "
-        "body html br"
-    ).split()
+    {
+        "p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
+        "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption",
+        "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary",
+        "center", "dialog", "body", "html", "br",
+    }
+)
+VOID = frozenset(
+    {
+        "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
+        "track", "wbr",
+    }
 )
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words of class, id and role that mark what is not the article.
 NOT_ARTICLE = frozenset(
-    (
-        "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
-        "menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside header masthead "
-        "footer copyright cookie cookies consent notice gdpr popup modal overlay newsletter "
-        "subscribe subscription share sharing social related recommended comment comments "
-        "disqus reply replies form search login widget toolbar pagination pager contentinfo "
-        "complementary"
-    ).split()
+    {
+        "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
+        "promo", "promotion", "banner", "menu", "menubar", "nav", "navbar", "navigation",
+        "breadcrumb", "breadcrumbs", "sidebar", "aside", "header", "masthead", "footer",
+        "copyright", "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "overlay",
+        "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related",
+        "recommended", "comment", "comments", "disqus", "reply", "replies", "form", "search",
+        "login", "widget", "toolbar", "pagination", "pager", "contentinfo", "complementary",
+    }
 )
-#: Of these, those that tell a reader's comment or a teaser from the article.
+#: Words that say nothing about the content beside one of those.
+NEUTRAL = frozenset(
+    {
+        "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "center",
+        "column", "container", "content", "desktop", "dropdown", "fixed", "global", "icons",
+        "inline", "inner", "item", "items", "js", "law", "left", "links", "list", "main", "message",
+        "mobile", "outer", "overlay", "page", "panel", "policy", "post", "posts", "primary",
+        "respond", "right", "row", "secondary", "section", "sidebar", "signup", "site", "slot",
+        "sticky", "stories", "thread", "top", "unit", "user", "wrap", "wrapper",
+    }
+)
+#: Of the first, those that tell a reader's comment or a teaser from the article.
 NOT_MAIN_ARTICLE = frozenset(
-    "ad advert sponsored promo related recommended comment comments reply replies".split()
+    {
+        "ad", "advert", "sponsored", "promo", "related", "recommended", "comment", "comments",
+        "reply", "replies",
+    }
 )
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-RAW_ELEMENT = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.S | re.I)
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: A start cannot lie inside a name, and no run is given back: both keep long tags linear.
+ATTRIBUTE = re.compile(
+    r"(?<![^\s\"'/])([^\s=\"'/<>]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]*+)"
+)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"'=]*+)")
+IN_TAG = re.compile(r"[^<>\"']*+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+LONG_REFERENCE = re.compile(r"&#(?:[xX]0*+([0-9a-fA-F]*+)|0*+(\d*+));?")
+
+Tag = tuple[str, str, str]  # slash of an end tag, name, attributes
+
+
+def tags_of(page: str) -> tuple[list[Tag], list[str]]:
+    """Tags of a page, and the text before each and behind the last."""
+    tags, texts, parts = [], [], []
+    last = {c: page.rfind(c) for c in ("\"", "'", ">")}
+    unclosed: set[str] = set()
+
+    def tag_end(i: int) -> int:
+        while True:
+            before, i = i, IN_TAG.match(page, i).end()
+            if i == len(page) or page[i] == "<":
+                return i
+            if page[i] == ">":
+                return i + 1
+            quote = page[i]
+            if page[before:i].rstrip().endswith("="):
+                close = page.find(quote, i + 1) if i < last[quote] else -1
+                if close > 0 and (close + 1 == len(page) or page[close + 1] in " \t\n\r\f/>"):
+                    i = close
+            i += 1
+
+    at = 0
+    while (i := page.find("<", at)) >= 0:
+        m = NAME.match(page, i)
+        if m is None:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), i):
+                end = page.find(">", i) + 1 if i < last[">"] else len(page)
+            else:  # a sign
+                parts.append(page[at : i + 1])
+                at = i + 1
+                continue
+            parts.append(page[at:i])
+            at = end
+            continue
+        parts.append(page[at:i])
+        slash, name = m[1], m[2].lower()
+        at = tag_end(m.end())
+        closed = page[at - 1] == ">"
+        attributes = page[m.end() : at - closed]
+        if name in RAW_END and not slash and closed and name not in unclosed:
+            end = RAW_END[name].search(page, at)
+            if end is not None:
+                parts.append(" ")
+                at = tag_end(end.end())
+                continue
+            unclosed.add(name)
+            if name in ("script", "style"):
+                at = len(page)
+                break
+        texts.append("".join(parts))
+        tags.append((slash, name, attributes))
+        parts = []
+    texts.append("".join(parts) + page[at:])
+    return tags, texts
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all characters are the replacement sign."""
+
+    def shorter(m: re.Match) -> str:
+        digits = m[1] or m[2] or ""
+        if len(digits) > 8:
+            return "\ufffd"
+        return m[0] if len(m[0]) < 64 else f"&#{'' if m[1] is None else 'x'}{digits or 0};"
+
+    return html.unescape(LONG_REFERENCE.sub(shorter, text) if "&#" in text else text)
 
 
 class Line:
     """Text of one line, that of its links, the article it stands in, and if an element went here.
 
-    ``article`` is 0 outside, and negative in an article inside another.
+    ``article`` is 0 outside, and negative in an article inside another.  ``weak`` lines stand in
+    an element that may not belong to the article.
     """
 
-    __slots__ = ("article", "gap", "linked", "parts")
+    __slots__ = ("article", "gap", "linked", "parts", "weak")
 
-    def __init__(self, article: int, gap: bool = False):
-        self.parts, self.linked, self.article, self.gap = [], 0, article, gap
+    def __init__(self, article: int, gap: bool = False, weak: bool = False):
+        self.parts, self.linked = [], 0
+        self.article, self.gap, self.weak = article, gap, weak
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        return " ".join(decoded("".join(self.parts)).split())
+
+    def weight(self, length: int, in_article: bool) -> int:
+        """Characters that count: none of a line of links, nor of a weak one that is short."""
+        if self.weak:
+            return length if length >= LONG_LINE and 2 * self.linked < length else 0
+        return length if in_article or 2 * self.linked < length else 0
+
 
+def mark_of(name: str, attributes: str) -> int:
+    """2 if an element is not of the article, 1 if it may not be, else 0.
 
-def not_article(name: str, attributes: str) -> bool:
-    """By name, or by a role, id or class; ``has-sidebar`` and the like tell of a neighbour."""
+    ``has-sidebar`` and the like tell of a neighbour.
+    """
     if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
+        return 2
+    if not attributes or name in ("html", "body", "main") or name in HEADINGS:
+        return 0
     marks = NOT_MAIN_ARTICLE if name == "article" else NOT_ARTICLE
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
-        for token in m[2].strip("\"'").lower().split():
-            words = re.split(r"[^a-z]+", token)
-            if words[0] not in ("has", "with", "no", "without") and not marks.isdisjoint(words):
-                return True
-    return False
-
-
-def closing_places(tags: list[tuple[str, str, str, int, int]]) -> dict[int, int]:
+        kind = m[1].lower()
+        if kind not in ("class", "id", "role"):
+            continue
+        for token in m[2].strip("\"'").split():
+            parted = re.sub("([a-z])([A-Z])", r"\1-\2", token).lower()
+            words = [x for x in re.split("[^a-z]+", parted) if x]
+            if not words or words[0] in ("has", "with", "no", "without") or marks.isdisjoint(words):
+                continue
+            anchor = (kind, name) == ("id", "section") and NOT_MAIN_ARTICLE.isdisjoint(words)
+            if not anchor and all(x in marks or x in NEUTRAL for x in words):
+                return 2
+            found = 1
+    return found
+
+
+def closing_places(tags: list[Tag]) -> dict[int, int]:
     """Number of the end tag of each start tag that has one, by nesting of its own name."""
     opened: dict[str, list[int]] = {}
     out = {}
-    for i, (slash, name, attributes, _, _) in enumerate(tags):
+    for i, (slash, name, attributes) in enumerate(tags):
         if slash:
             if opened.get(name):
                 out[opened[name].pop()] = i
@@ -118,41 +247,39 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
     An element that is never closed loses nothing but its tag, and one that holds the marked
     article goes by its name alone.
     """
-    page = RAW_ELEMENT.sub(" ", COMMENT.sub("", page))
-    tags = [(m[1], m[2].lower(), m[3], m.start(), m.end()) for m in TAG.finditer(page)]
+    tags, pieces = tags_of(page)
     ends = closing_places(tags)
+    marks = [0 if slash else mark_of(name, attributes) for slash, name, attributes in tags]
     marked = [
         i
-        for i, (slash, name, attributes, _, _) in enumerate(tags)
-        if name in ("article", "main") and not slash and not not_article(name, attributes)
+        for i, (slash, name, _) in enumerate(tags)
+        if name in ("article", "main") and not slash and marks[i] < 2
     ]
+    text = list(accumulate((len("".join(x.split())) for x in pieces), initial=0))
 
     def holds_article(i: int) -> bool:
         k = bisect_right(marked, i)
         return k < len(marked) and marked[k] < ends[i]
 
-    places = [0, *(t[4] for t in tags)]
-    until = [*(t[3] for t in tags), len(page)]
-    text = list(accumulate((len("".join(page[x:y].split())) for x, y in zip(places, until)), initial=0))
-
     def holds_text(i: int) -> bool:
         return 2 * (text[ends[i] + 1] - text[i + 1]) >= text[-1] > 0
 
     lines, article, links, number, mains = [Line(0)], [0], [], 0, set()
-    at, skip = 0, -1
-    for i, (slash, name, attributes, start, end) in enumerate(tags):
+    skip = weak = form = -1
+    for i, (slash, name, _) in enumerate(tags):
         if i <= skip:
-            at = end
             continue
-        _add(lines[-1], page[at:start], bool(links))
-        at = end
-        gone = not slash and i in ends and not_article(name, attributes)
+        _add(lines[-1], pieces[i], bool(links))
+        gone = i in ends and (marks[i] == 2 or name == "label" and i < form)
+        if i in ends and marks[i] == 1 and not holds_article(i):
+            weak = max(weak, ends[i])
         if name == "form" and gone and (holds_article(i) or holds_text(i)):
-            lines.append(Line(article[-1]))
+            form = max(form, ends[i])
+            lines.append(Line(article[-1], weak=i < weak))
         elif gone and (name in DROPPED or not holds_article(i)):
             skip = ends[i]
-            lines += [Line(article[-1], True) for _ in range(WINDOW)]
-            lines.append(Line(article[-1]))
+            lines += [Line(article[-1], gap=True) for _ in range(WINDOW)]
+            lines.append(Line(article[-1], weak=skip < weak))
         elif name in ("article", "main"):
             if not slash and i in ends:
                 number += 1
@@ -164,15 +291,15 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
                     article.append(number if not top or top in mains else -number)
             elif slash and len(article) > 1:
                 article.pop()
-            lines.append(Line(article[-1]))
+            lines.append(Line(article[-1], weak=i < weak))
         elif name == "a":
             if slash and links:
                 links.pop()
             elif not slash and i in ends:
                 links.append(i)
         elif name in BLOCKS:
-            lines.append(Line(article[-1]))
-    _add(lines[-1], page[at:], False)
+            lines.append(Line(article[-1], weak=i < weak))
+    _add(lines[-1], pieces[-1], False)
     return lines, mains
 
 
@@ -223,9 +350,8 @@ def regions(lines: list[Line], texts: list[str], mains: set[int]) -> set[int]:
     }
 
 
-def blocks_of(texts: list[str], linked: list[int]) -> list[tuple[int, int, bool]]:
-    """(start, end, whether of links) of the blocks of text and of the lines of links between."""
-    weights = [0 if 2 * k >= len(t) else len(t) for t, k in zip(texts, linked)]
+def blocks_of(texts: list[str], weights: list[int]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether none counts) of the blocks of text and of the lines between them."""
     out, at = [], 0
     for start, end in [*text_blocks(weights), (len(texts), len(texts))]:
         while end < len(texts) and end > start and not weights[end - 1]:
@@ -253,7 +379,8 @@ def main_text(page: str | None) -> str:
     if articles:
         kept = [(line, text if line.article in articles else "") for line, text in kept]
     texts, linked = [t for _, t in kept], [x.linked if t else 0 for x, t in kept]
-    blocks = blocks_of(texts, linked)
+    weights = [x.weight(len(t), bool(articles)) for x, t in kept]
+    blocks = blocks_of(texts, weights)
     if articles:
         chosen = [k for k, x in enumerate(blocks) if not x[2]] or range(len(blocks))
     else:

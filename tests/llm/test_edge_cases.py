@@ -524,9 +524,9 @@ REGIONS = [
     # lines of links go without any class, and end what is kept
     (f"<p>slogan</p><ul>{MENU}</ul><div><p>{LONG_PARAGRAPH}</p></div><ul>{MENU}</ul><p>(c) x</p>",
      LONG_PARAGRAPH.strip()),
-    # an article in several elements, a teaser beside them, a list of links inside
+    # an article in several elements, a teaser beside them, a list of links inside that stays
     (f"<article><p>{LONG_PARAGRAPH}</p><ul>{MENU}</ul><p>one</p></article><article><p>two</p></article>"
-     "<article><h3><a href=y>More</a></h3><p>teased text</p></article>", f"{LONG_PARAGRAPH}one two"),
+     "<article><h3><a href=y>More</a></h3><p>teased text</p></article>", f"{LONG_PARAGRAPH}Item 0 Item 1 Item 2 Item 3 Item 4 one two"),
     # a page wrapped in a form, with and without a marked article
     (f"<form id=aspnet><input name=v><article><p>a b</p></article><p>{LONG_PARAGRAPH}</p></form>", "a b"),
     (f"<form id=aspnet><label>l</label><p>{LONG_PARAGRAPH}</p></form><p>x</p>", f"{LONG_PARAGRAPH}x"),
