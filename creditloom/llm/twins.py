@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from creditloom.llm.licenses import TEMPLATES
+from creditloom.llm.license_templates import templates
+from creditloom.llm.licenses import VERSION_AT_END, VERSION_INSIDE
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates()
+)
 
 #: Every window is compared, where the query retrieves them by MinHash.
 LICENSES = rf"""
 with t as (
-  select license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w
-  from (values {_TEMPLATE_ROWS}) v(license, text)),
+  select row_number() over () tid, license, w
+  from (select distinct license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w
+        from (values {_TEMPLATE_ROWS}) v(license, text))),
 sets as (
-  select distinct license, n, k, array_to_string(list_slice(w, p + 1, p + k), ' ') sh
+  select distinct tid, license, n, k, array_to_string(list_slice(w, p + 1, p + k), ' ') sh
   from (select *, unnest(range(n - k + 1)) p
-        from (select license, w, len(w) n, least(5, len(w)) k from t))),
-needed as (select license, count(*) n_sh from sets group by license),
+        from (select tid, license, w, len(w) n, least(5, len(w)) k from t))),
+named as (
+  select *, regexp_matches(sh, '{VERSION_INSIDE}') inside, regexp_matches(sh, '{VERSION_AT_END}') at_end
+  from sets),
+marked as (
+  select *, case when bool_or(inside) over (partition by tid) then inside else at_end end must
+  from named),
+needed as (
+  select tid, count(*) n_sh, count(*) filter (must) n_must from marked group by tid),
 d as (
   select doc_id, x, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') w
   from (select distinct doc_id, text x from documents where text is not null)),
@@ -26,24 +37,31 @@ places as (
   from (select doc_id, x, w, k, unnest(range(len(w) - k + 1)) p
         from d, (select distinct k from sets) where len(w) >= k)),
 hits as (
-  select doc_id, x, license, n, k, p, sh, greatest(1, n // 8) step
-  from places join sets using (k, sh)),
+  select doc_id, x, tid, license, n, k, p, sh, must, greatest(1, n // 8) step
+  from places join marked using (k, sh)),
 windows as (
   select *, unnest(range(
            greatest(0, ceil((p - (n + step - 1 - k)) / step)::bigint) * step, p + 1, step)) b
   from hits),
 found as (
-  select doc_id, x, license, b, count(distinct sh) shared, min(p) first, max(p + k) last
-  from windows group by doc_id, x, license, b),
+  select doc_id, x, tid, license, n, b, count(distinct sh) shared,
+         count(distinct sh) filter (must) versions, min(p) first, max(p + k) last
+  from windows group by doc_id, x, tid, license, n, b),
 good as (
-  select * from found join needed using (license) where shared >= 0.8 * n_sh),
+  select *, shared / n_sh::double c from found join needed using (tid)
+  where shared >= 0.8 * n_sh and 2 * versions >= n_must),
+counted as (
+  select doc_id, x, license, count(distinct (n, b)) n_windows from good group by all),
 best as (
-  select *, count(*) over (partition by doc_id, x, license) n_windows,
-         row_number() over (partition by doc_id, x, license order by shared desc, first, last) place
-  from good)
-select doc_id, license, shared / n_sh::double containment, first::bigint word_start,
-       last::bigint word_end, n_windows
-from best where place = 1
+  select *, row_number() over (
+           partition by doc_id, x, license order by c desc, shared desc, first, last) place
+  from good),
+one as (select * from best join counted using (doc_id, x, license) where place = 1)
+select doc_id, license, c containment, first::bigint word_start, last::bigint word_end, n_windows
+from one a
+where not exists (
+  from one b where a.doc_id is not distinct from b.doc_id and a.x = b.x and a.license <> b.license
+  and b.first <= a.first and b.last >= a.last and b.shared > a.shared)
 """
 
 QUALITY = r"""

@@ -84,28 +84,46 @@ def simhash_components(docs, max_bits=3):
 
 
 def licenses(docs, templates, shingle=5, least=0.8):
-    """{(doc_id, license): best containment over all windows}, at every place of the text."""
+    """{(doc_id, license): (best containment, start, end)} over all windows, at every place."""
 
     def words(text):
         return re.findall(r"[^\W_]+", (text or "").lower())
 
+    def versions(want):
+        name = "(^| )(version|license|licence|v|by|sa|nc|nd|gpl|lgpl|agpl|mpl|epl) [0-9]+"
+        for behind in (" [^ ]", "$"):
+            found = {s for s in want if re.search(name + behind, " ".join(s))}
+            if found:
+                return found
+        return set()
+
+    prepared = []
+    for name, template in templates:
+        t = words(template)
+        k = min(shingle, len(t))
+        if name is not None and t:
+            want = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+            prepared.append((name, len(t), k, want, versions(want)))
     out = {}
     for doc, text in docs:
         w = words(text)
-        for name, template in templates:
-            t = words(template)
-            k = min(shingle, len(t))
-            if name is None or not t:
+        every = {k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] for k in range(1, shingle + 1)}
+        sets = {k: set(x) for k, x in every.items()}
+        best = {}
+        for name, length, k, want, must in prepared:
+            if len(sets[k] & want) < least * len(want):
                 continue
-            want = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
-            step = max(1, len(t) // 8)
-            size = len(t) + step - 1
+            step = max(1, length // 8)
             for start in range(0, max(1, len(w)), step):
-                part = w[start : start + size]
-                have = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
-                if len(have & want) >= least * len(want):
-                    share = len(have & want) / len(want)
-                    out[doc, name] = max(out.get((doc, name), 0), share)
+                part = every[k][start : start + length + step - k]
+                have = set(part) & want
+                if len(have) >= least * len(want) and 2 * len(have & must) >= len(must):
+                    hit = [start + i for i, s in enumerate(part) if s in want]
+                    rank = (-len(have) / len(want), -len(have), hit[0], hit[-1] + k)
+                    best[name] = min(best.get(name, rank), rank)
+        for name, (less, fewer, a, b) in best.items():
+            if not any(n != name and f < fewer and x <= a and y >= b for n, (_, f, x, y) in best.items()):
+                out[doc, name] = (-less, a, b)
     return out
 
 

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from compare import connect, difference
 
-from creditloom.llm import licenses, queries, sentencepiece_codec, twins
+from creditloom.llm import license_templates, queries, sentencepiece_codec, twins
 
 QUERIES = queries.queries()
 
@@ -32,8 +32,8 @@ def test_one_query_for_each_operator():
 
 def test_licenses(spark, sf, docs):
     rows = QUERIES["op1_license_scan"](spark, sf).collect()
-    got = {(r.doc_id, r.license): r.containment for r in rows}
-    assert got == brute.licenses(docs, licenses.TEMPLATES.items())
+    got = {(r.doc_id, r.license): (r.containment, r.word_start, r.word_end) for r in rows}
+    assert got == brute.licenses(docs, license_templates.templates())
     assert got
 
 
