@@ -13,7 +13,8 @@ runs of words, wherever a line ends.  White space alone parts words.
     candidates: each block of ``min_words`` words that shares a run with a first document but is
     not in it is hashed as a whole, and links its documents to the first of them, which has all
     of it.  (The first document of a block is never excused: no earlier one has the block.)
-3.  *Patience diff* aligns each pair on the windows of ``WINDOW`` words at every place: those
+3.  Blocks that stand in the earlier document from end to end, and apart from others, need no
+    search.  *Patience diff* aligns what else a pair has in blocks on the windows of ``WINDOW`` words at every place: those
     unique on both sides, in longest increasing order, then the gaps between them in the same
     way; equal windows that touch an alignment join it.  A gap without unique windows takes its
     rarest shared one instead.  What is left of the later document is aligned again while it has
@@ -117,21 +118,52 @@ def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[i
     """[start, end) in words of the blocks of ``min_words`` words or more of ``b`` that are in ``a``.
 
     ``a`` and ``b`` are the windows at every place, so n aligned ones are n + window - 1 words.
+    A block that stands in ``a`` from end to end and shares no word with another is aligned by
+    one of the passes below whatever its order, so it is taken at once, and its words align with
+    nothing else.
     An alignment keeps order, so what is left of ``b`` is aligned again while a whole block of it
     is in ``a``: blocks that changed places, or stand in ``b`` twice, are found too.  Where the
     alignment has short pieces alone, those blocks are taken as they stand.
     """
-    out, b, size = [], list(b), min_words - window + 1
-    numbers = np.unique(np.array([*a, *b]), return_inverse=True)[1]
-    left = equal_runs(numbers[: len(a)], numbers[len(a) :], size)
-    while left.any():
-        found = _aligned_blocks(a, b, window, min_words) or _stretches(left, min_words)
+    size = min_words - window + 1
+    numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    runs_a, runs_b = (rolling(_spread(x), size) for x in np.split(numbers, [len(a)]))
+    left = np.isin(runs_b, runs_a)
+    if not left.any():
+        return []
+    found, out, rest = _straight_blocks(runs_a, runs_b, left, min_words), [], None
+    while True:
         out += found
         for start, end in found:
             first = max(0, start - window + 1)
-            b[first:end] = [(i,) for i in range(first, min(end, len(b)))]  # equal to nothing
+            if rest is not None:
+                rest[first:end] = [(i,) for i in range(first, min(end, len(rest)))]  # equal to nothing
             left[max(0, first - size + 1) : end] = False
-    return sorted(out)
+        if not left.any():
+            return sorted(out)
+        if rest is None:
+            rest, of_a = list(b), list(a)
+            for start, end in out:
+                first = max(0, start - window + 1)
+                rest[first:end] = [(i,) for i in range(first, min(end, len(rest)))]
+        found = _aligned_blocks(of_a, rest, window, min_words) or _stretches(left, min_words)
+
+
+def _straight_blocks(
+    runs_a: np.ndarray, runs_b: np.ndarray, left: np.ndarray, min_words: int
+) -> list[tuple[int, int]]:
+    """Blocks of places ``left`` that stand in ``a`` as they are and share no word with another."""
+    order = np.argsort(runs_a, kind="stable")
+    j = np.flatnonzero(left)
+    i = order[np.searchsorted(runs_a[order], runs_b[j])]  # first place in a
+    cut = np.flatnonzero(np.diff(j) != 1) + 1
+    starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(j)]])
+    bends = np.concatenate([[0], np.cumsum(np.diff(i - j) != 0)])
+    first, end = j[starts], j[stops - 1] + min_words
+    overlaps = end[:-1] > first[1:]
+    alone = ~(np.concatenate([[False], overlaps]) | np.concatenate([overlaps, [False]]))
+    kept = alone & (bends[stops - 1] == bends[starts])
+    return list(zip(first[kept].tolist(), end[kept].tolist()))
 
 
 def _stretches(at: np.ndarray, min_words: int) -> list[tuple[int, int]]:

@@ -157,3 +157,15 @@ def secret_base(text):
     joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans))
     counts = [sum(k == i for _, k, _ in spans) for i in (1, 2)]
     return n_assign, *counts, hashlib.sha256(joined.encode()).hexdigest()
+
+
+def without_earlier_runs(docs, least):
+    """{doc_id: words} without those in a run of ``least`` words of an earlier one of ``docs`` (sorted)."""
+    seen, out = set(), {}
+    for doc, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        runs = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        covered = {k for i, x in enumerate(runs) if x in seen for k in range(i, i + least)}
+        out[doc] = [x for k, x in enumerate(w) if k not in covered]
+        seen.update(runs)
+    return out

@@ -42,6 +42,8 @@ def test_line_dedup(spark, sf, docs):
     assert brute.sharing_with_earlier(sorted(got.items()), 50) == set()
     shared = brute.sharing_with_earlier(docs, 50)
     assert shared and {doc for doc, text in docs if got[doc] != text} == shared
+    rest = {doc: re.findall(r"[^\x20\x09-\x0D]+", text or "") for doc, text in got.items()}
+    assert rest == brute.without_earlier_runs(docs, 50)
 
 
 def test_simhash(spark, sf, docs):
