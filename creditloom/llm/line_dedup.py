@@ -128,7 +128,14 @@ def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[i
     size = min_words - window + 1
     numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
     runs_a, runs_b = (rolling(_spread(x), size) for x in np.split(numbers, [len(a)]))
-    left = np.isin(runs_b, runs_a)
+    return _blocks(a, b, runs_a, runs_b, np.isin(runs_b, runs_a), window, min_words)
+
+
+def _blocks(
+    a, b, runs_a: np.ndarray, runs_b: np.ndarray, left: np.ndarray, window: int, min_words: int
+) -> list[tuple[int, int]]:
+    """The same, given the runs of whole blocks of both and which of ``b`` are in ``a``."""
+    left, size = left.copy(), min_words - window + 1
     if not left.any():
         return []
     found, out, rest = _straight_blocks(runs_a, runs_b, left, min_words), [], None
@@ -142,7 +149,7 @@ def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[i
         if not left.any():
             return sorted(out)
         if rest is None:
-            rest, of_a = list(b), list(a)
+            rest, of_a = np.asarray(b).tolist(), np.asarray(a).tolist()
             for start, end in out:
                 first = max(0, start - window + 1)
                 rest[first:end] = [(i,) for i in range(first, min(end, len(rest)))]
@@ -178,11 +185,6 @@ def _stretches(at: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     return out
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """For each place of ``b``, whether the ``size`` numbers from there on stand in ``a`` in a row."""
-    return np.isin(rolling(_spread(b), size), rolling(_spread(a), size))
-
-
 def _spread(numbers: np.ndarray) -> np.ndarray:
     h = numbers.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(31))
@@ -254,31 +256,24 @@ def _aligner(window: int, run: int, min_words: int):
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
-    def missed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = _spread(a), _spread(b)
+    def compared(a: np.ndarray, b: np.ndarray) -> tuple[list[dict], np.ndarray]:
+        x, y = _spread(a), _spread(b)
         size, short = min_words - window + 1, run - window + 1
-        whole = rolling(b, size)
+        whole_a, whole_b = rolling(x, size), rolling(y, size)
+        left = np.isin(whole_b, whole_a)
         # shared runs before each place; a block has those that begin in its first places
-        runs = np.isin(rolling(b, short), rolling(a, short))
-        before = np.concatenate([[0], np.cumsum(runs)])
-        some = before[size - short + 1 :][: len(whole)] > before[: len(whole)]
-        return np.unique(whole[some & ~np.isin(whole, rolling(a, size))]).view(np.int64)
-
-    def blocks(a: np.ndarray, b: np.ndarray) -> list[dict]:
-        # a block needs as many shared windows; all of them lie between the first and the last
-        in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-        if min(len(in_a), len(in_b)) < min_words - window + 1:
-            return []
-        first = int(in_b[0])
-        part_a, part_b = a[in_a[0] : in_a[-1] + 1], b[first : in_b[-1] + 1]
-        found = shared_blocks(part_a.tolist(), part_b.tolist(), window, min_words)
-        return [{"start": first + s, "end": first + e} for s, e in found]
+        before = np.concatenate([[0], np.cumsum(np.isin(rolling(y, short), rolling(x, short)))])
+        some = before[size - short + 1 :][: len(whole_b)] > before[: len(whole_b)]
+        found = _blocks(a, b, whole_a, whole_b, left, window, min_words)
+        rest = np.unique(whole_b[some & ~left]).view(np.int64)
+        return [{"start": s, "end": e} for s, e in found], rest
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(texts(batch.column("earlier")), texts(batch.column("later"))))
-            found = pa.array([blocks(x, y) for x, y in rows], kind)
-            rest = pa.array([missed(x, y) for x, y in rows], pa.list_(pa.int64()))
+            pairs = zip(texts(batch.column("earlier")), texts(batch.column("later")))
+            rows = [compared(x, y) for x, y in pairs]
+            found = pa.array([x for x, _ in rows], kind)
+            rest = pa.array([x for _, x in rows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("t"), found, rest],
                 names=["id", "t", "blocks", "missed"],
