@@ -291,3 +291,13 @@ def test_repeated_keys_are_an_error(spark):
     for pair in ((once, twice), (twice, once)):
         with pytest.raises(Exception, match="repeated key"):
             upsert(*pair, ["k"]).collect()
+
+
+def test_tasks_of_a_fit_do_not_grow_with_the_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(model, "_ROWS_PER_TASK", 3)
+    monkeypatch.setattr(model, "_MOST_TASKS", 7)
+    training = lake(spark, sf).training
+    _, laid_out, rows = model._encoded(training, SMALL, "few_tasks")
+    laid = laid_out(rows)
+    assert laid.rdd.getNumPartitions() == 7
+    assert laid.count() == training.count()
