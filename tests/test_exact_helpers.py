@@ -4,6 +4,7 @@ from itertools import combinations, permutations
 
 import leaf_shapley
 import numpy as np
+import pandas as pd
 import pytest
 
 from creditloom.operators import drivers
@@ -105,3 +106,27 @@ def test_exact_p_value(n, m):
         want = sum(g >= gap for g in gaps) / len(gaps)
         assert exact_p(gap / (n * m), n, m) == pytest.approx(want)
     assert exact_p(0.0, n, m) == 1.0
+
+
+def test_shapley_values_of_many_rows(monkeypatch):
+    """Many rows look their parts up in tables of the subtrees and never walk down all nodes."""
+    tree = _random_tree(9, 8, 2)
+    x = np.random.default_rng(8).normal(size=(9000, 9))
+    want = np.vstack([_shapley(tree, x[i : i + 500]) for i in range(0, 9000, 500)])
+    monkeypatch.delattr(drivers, "_walk")
+    for bits in (drivers._features_on_a_path(tree, 0), 12):
+        monkeypatch.setattr(drivers, "_TABLE_BITS", bits)
+        got = _shapley(tree, x)
+        assert np.abs(got - want).max() < 1e-12
+        assert np.abs(got[:40] - leaf_shapley.contributions(tree, x[:40])).max() < 1e-12
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 3], [5] * 7, [23, 1], [40]])
+def test_rows_in_blocks(monkeypatch, sizes):
+    monkeypatch.setattr(drivers, "_BLOCK_ROWS", 10)
+    ends = np.cumsum([0, *sizes])
+    batches = [pd.DataFrame({"n": range(a, b)}) for a, b in zip(ends, ends[1:])]
+    blocks = list(drivers._blocks(batches))
+    assert [n for b in blocks for n in b["n"]] == list(range(sum(sizes)))
+    assert all(len(b) == 10 for b in blocks[:-1]) and all(len(b) < 20 for b in blocks)
+    assert len(blocks) < 2 or len(blocks[-1]) >= 10
