@@ -261,14 +261,20 @@ def one_hot(gl: GivenLake) -> DataFrame:
     return encoded.select("application_id", *names)
 
 
+def _labelled_loans(gl: GivenLake) -> DataFrame:
+    """The training rows without their features: these are joined from tables with one row per
+    customer, so they neither add nor drop a row."""
+    return gl.silver.stg_loans.where(F.col(training_set.LABEL).isNotNull())
+
+
 @query
 def class_weights(gl: GivenLake) -> DataFrame:
-    return _rounded(training_set.class_weights(gl.training), 8, "class_weight")
+    return _rounded(training_set.class_weights(_labelled_loans(gl)), 8, "class_weight")
 
 
 @query
 def time_split(gl: GivenLake) -> DataFrame:
-    split = training_set.time_split(gl.training)
+    split = training_set.time_split(_labelled_loans(gl))
     return split.select("application_id", "application_date", "split")
 
 
@@ -903,4 +909,5 @@ def analyst_prompts(gl: GivenLake) -> DataFrame:
 @query
 def assessment_questions(gl: GivenLake) -> DataFrame:
     """The standing question for every scored application, searched for by its own text."""
-    return retrieval.assessment_questions(gl.decided, F.col("application_id"))
+    scored = gl.predictions.select("application_id").distinct()
+    return retrieval.assessment_questions(scored, F.col("application_id"))
