@@ -97,3 +97,24 @@ def test_frequencies_change_with_passages(spark):
     want = ti.frequencies(counts.where("id >= 10"))
     assert sorted(merged.collect()) == sorted(want.collect())
     counts.unpersist()
+
+
+def test_what_is_written_does_not_grow_with_the_blocks(spark, monkeypatch):
+    """Questions are told about groups of blocks; groups and parts of any size give the same hits."""
+    for name, size in (("BLOCK", 8), ("GROUPS", 3), ("GROUP_BLOCKS", 9), ("GROUP_QUERIES", 7), ("BLOCK_QUERIES", 3)):
+        monkeypatch.setattr(ti, name, size)
+    written, write = {}, ti.write_stage
+    monkeypatch.setattr(ti, "write_stage", lambda df, name: written.setdefault(name, write(df, name)))
+    rng = random.Random(5)
+    passages = [(i, zipf_text(rng, rng.randint(3, 60))) for i in range(400)]
+    questions = [(f"q{i}", zipf_text(rng, rng.randint(1, 30))) for i in range(20)]
+    index = ti.build_index(ti.counted(spark.createDataFrame(passages, "id bigint, text string")))
+    asked = ti.counted(spark.createDataFrame(questions, "id string, text string"))
+    hits, work = ti.search(index, asked, 5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.distance, 6)))
+    assert got == brute(passages, questions, 5)
+    blocks, groups = 50, 6
+    assert work.groupBy().sum("blocks").first()[0] > 20 * blocks / 2
+    assert written["bounds"].count() <= 20 * groups and written["visits"].count() <= 20 * groups
