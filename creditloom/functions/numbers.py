@@ -35,5 +35,12 @@ def round_binary(value: Column, digits: int) -> Column:
 
     ``F.round`` works on the shortest decimal form and rounds its ties up.
     """
+    number, scale = value.cast("double"), float(10**digits)
+    scaled = number * F.lit(scale)
+    # the product is off by half a unit in its last place at most, so away from ties it rounds as
+    # the exact value does, and a quotient of whole numbers is the double nearest to the decimal
+    slack = F.abs(scaled) * F.lit(2.0**-50)
+    is_clear = F.abs(scaled - F.rint(scaled)) + slack < F.lit(0.5)
     pattern = F.lit("0." + "0" * digits)
-    return F.call_function("format_number", value.cast("double"), pattern).cast("double")
+    formatted = F.call_function("format_number", number, pattern).cast("double")
+    return F.when(is_clear, F.rint(scaled) / F.lit(scale)).otherwise(formatted)

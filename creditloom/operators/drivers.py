@@ -426,6 +426,34 @@ def tree_contributions(
 # --------------------------------------------------------------------------- ranking
 
 
+def _strongest(n: int, smallest: float) -> Column:
+    """Order and place of the n strongest drivers of a row, strongest first.
+
+    All features of an application sit in one row, so they are ranked inside the row and
+    nothing is shuffled.  Ties keep the feature order.
+    """
+    numbered = F.transform(
+        "contributions", lambda c, i: F.struct((-F.abs(c)).alias("order"), i.alias("place"))
+    )
+    strong = F.filter(numbered, lambda c: -c["order"] >= smallest) if smallest else numbered
+    return F.slice(F.sort_array(strong), 1, n)
+
+
+def _driver(
+    rank: Column, place: Column, features: Sequence[str], digits: int, down: str
+) -> list[Column]:
+    names = [F.lit(f) for f in features]
+    part = F.get("contributions", place)
+    return [
+        rank.alias("rank"),
+        F.get(F.array(*names), place).alias("feature_name"),
+        round_binary(F.get("values", place), 4).alias("feature_value"),
+        round_binary(part, digits).alias("shap_value"),
+        F.when(part > 0, INCREASES).otherwise(down).alias("direction"),
+        F.get(F.array(*[words(f) for f in names]), place).alias("label"),
+    ]
+
+
 def driver_lists(
     contributions: DataFrame,
     features: Sequence[str],
@@ -435,37 +463,10 @@ def driver_lists(
     down: str = DECREASES,
     keep: Sequence[str] = _KEYS,
 ) -> DataFrame:
-    """``drivers``: the n strongest drivers of every row, strongest first.
-
-    All features of an application sit in one row, so they are ranked inside the row and
-    nothing is shuffled.  Ties keep the feature order.
-    """
-    cells = F.arrays_zip(
-        F.array(*[F.lit(f) for f in features]).alias("feature"),
-        F.col("values").alias("value"),
-        F.col("contributions").alias("part"),
-    )
-    numbered = F.transform(
-        cells,
-        lambda c, i: F.struct(
-            (-F.abs(c["part"])).alias("order"),
-            i.alias("place"),
-            c["feature"].alias("feature"),
-            c["value"].alias("value"),
-            c["part"].alias("part"),
-        ),
-    )
-    strong = F.filter(numbered, lambda c: -c["order"] >= smallest) if smallest else numbered
+    """``drivers``: the n strongest drivers of every row, strongest first."""
     top = F.transform(
-        F.slice(F.array_sort(strong), 1, n),
-        lambda d, i: F.struct(
-            (i + 1).alias("rank"),
-            d["feature"].alias("feature_name"),
-            round_binary(d["value"], 4).alias("feature_value"),
-            round_binary(d["part"], digits).alias("shap_value"),
-            F.when(d["part"] > 0, INCREASES).otherwise(down).alias("direction"),
-            words(d["feature"]).alias("label"),
-        ),
+        _strongest(n, smallest),
+        lambda d, i: F.struct(*_driver(i + 1, d["place"], features, digits, down)),
     )
     return contributions.select(*keep, top.alias("drivers"))
 
@@ -479,9 +480,17 @@ def ranked_drivers(
     down: str = DECREASES,
     keep: Sequence[str] = _KEYS,
 ) -> DataFrame:
-    """One row per driver of :func:`driver_lists`."""
-    lists = driver_lists(contributions, features, n, digits, smallest, down, keep)
-    return lists.select(*keep, F.inline("drivers"))
+    """One row per driver of :func:`driver_lists`.
+
+    The drivers are worded after they have become rows: functions on array elements are
+    interpreted by Spark, columns are compiled.
+    """
+    placed = contributions.select(
+        *keep, "values", "contributions", F.posexplode(_strongest(n, smallest)).alias("_i", "_top")
+    )
+    return placed.select(
+        *keep, *_driver(F.col("_i") + 1, F.col("_top.place"), features, digits, down)
+    )
 
 
 def explanation_rows(

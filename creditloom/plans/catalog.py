@@ -718,25 +718,22 @@ def score_missing(gl: GivenLake) -> DataFrame:
     return model.score_missing(gl.scoring, cached, scorer)
 
 
-def _given_drivers(gl: GivenLake) -> DataFrame:
-    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
-    return drivers.ranked_drivers(parts, list(WEIGHTS))
+def _given_parts(gl: GivenLake) -> DataFrame:
+    return drivers.linear_contributions(gl.scored_once, WEIGHTS)
 
 
 @query
 def linear_drivers(gl: GivenLake) -> DataFrame:
-    return _given_drivers(gl)
+    return drivers.ranked_drivers(_given_parts(gl), list(WEIGHTS))
 
 
 @query
 def driver_explanation(gl: GivenLake) -> DataFrame:
-    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
-    return drivers.explanation_rows(parts, list(WEIGHTS))
+    return drivers.explanation_rows(_given_parts(gl), list(WEIGHTS))
 
 
 def _given_driver_lists(gl: GivenLake) -> DataFrame:
-    parts = drivers.linear_contributions(gl.scoring, WEIGHTS)
-    return drivers.driver_lists(parts, list(WEIGHTS))
+    return drivers.driver_lists(_given_parts(gl), list(WEIGHTS))
 
 
 @query

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.operators import decisions, model, retrieval, term_index, training_set
+from creditloom.operators import decisions, features, model, retrieval, term_index, training_set
 from creditloom.plans.silver import Silver
 from creditloom.session import configure, write_stage
 from creditloom.sources import given_tables as given
@@ -37,6 +37,14 @@ class GivenLake:
         frame = training_set.scoring_frame(self.silver.feat_dti_ratio, self.silver.feat_credit_util)
         return write_stage(frame, "scoring_frame")
 
+    @property
+    def scored_once(self) -> DataFrame:
+        """The scoring frame for one pass over some of its columns: neither it nor the ratios are
+        written, and both joins are on the customer, so the applications are shuffled once."""
+        silver = self.silver
+        dti = features.feat_dti_ratio(silver.stg_loans, silver.stg_credit)
+        return training_set.scoring_frame(dti, silver.feat_credit_util)
+
     @property
     def training(self) -> DataFrame:
         return self.scoring.where(F.col(training_set.LABEL).isNotNull())

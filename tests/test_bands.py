@@ -1,5 +1,7 @@
 """Bands just below, at and above each bound, and for NULL."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,22 @@ def test_numbers_are_formatted_like_python(spark):
         assert rounded == round(x, 2)
 
 
+def test_numbers_of_all_sizes_are_rounded_as_they_are_formatted(spark):
+    rng = random.Random(7)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-8, 14) for _ in range(2000)]
+    values += [(2 * n + 1) / 2**k for n in range(-40, 40) for k in (1, 3, 5)]
+    values += [n / 10**5 + e for n in range(5, 2000, 10) for e in (0.0, 1e-17, -1e-17)]
+    values += [0.00005, 2.5e15 + 0.5, 1e300, 4503599627370497.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    v = F.col("v")
+    for d in (4, 5, 6):
+        rows = df.select("v", round_binary(v, d), fixed(v, d).cast("double")).collect()
+        assert [r for r in rows if repr(r[1]) != repr(r[2])] == []
+    plain = df.select(round_binary(F.col("v"), 4).alias("r"))
+    assert "rint" in plain._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert spark.range(1).select(round_binary(F.lit(None), 4)).first()[0] is None
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame(
         [("\n\t a b \r\n",), ("SECTION 12:  Loan Limits  \nrest",), ("no heading",)], "t string"

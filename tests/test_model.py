@@ -108,6 +108,18 @@ def test_ranked_drivers(spark):
     assert "are: no dominant risk factors." in none.narrative
 
 
+def test_drivers_are_rounded_as_columns_not_as_array_elements(spark):
+    df = spark.createDataFrame(
+        [("A", "C", [1.0], [0.1])],
+        "application_id string, customer_id string, values array<double>, "
+        "contributions array<double>",
+    )
+    ranked = drivers.ranked_drivers(df, ["f_a"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Generate posexplode" in line for line in plan)
+    assert not any("Generate" in line and "format_number" in line for line in plan)
+
+
 def test_cross_validation(spark, sf):
     tiny = model.Profile(SMALL.numeric, SMALL.categorical, trees=4, depth=4)
     out = model.cross_validate(lake(spark, sf).training, tiny, k=3, parallel=3)
