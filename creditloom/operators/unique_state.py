@@ -72,16 +72,20 @@ def repeated_keys(
     marked = own.withColumns(
         {"bucket": F.bitmap_bucket_number(bit), "_position": F.bitmap_bit_position(bit)}
     )
-    looked_for = write_stage(
-        marked.join(bitmaps, "bucket").where(_is_set(F.col("bitmap"), F.col("_position"))).select(key),
+    is_set = F.coalesce(_is_set(F.col("bitmap"), F.col("_position")), F.lit(False))
+    asked = write_stage(
+        marked.join(bitmaps, "bucket", "left")
+        .withColumn("_asked", is_set)
+        .where("_asked or own > 1")
+        .select(key, "own", "_asked"),
         "looked-for",
     )
-    before = (
-        earlier.select(key).join(looked_for, key, "left_semi").groupBy(key).agg(F.count("*").alias("old"))
-    )
-    total = F.col("own") + F.coalesce("old", F.lit(0))
-    found = own.join(before, key, "left").select(key, total.alias("n")).where("n > 1")
-    return found, looked_for
+    looked_for = asked.where("_asked").select(key)
+    before = earlier.select(key).join(looked_for, key, "left_semi")
+    # counts of both sides are added up, which needs no order of either by key
+    rows = asked.select(key, "own").unionByName(before.withColumn("own", F.lit(1).cast("bigint")))
+    found = rows.groupBy(key).agg(F.sum("own").alias("n")).where("n > 1")
+    return write_stage(found, "repeated"), looked_for
 
 
 def failing_after(failing: DataFrame | None, found: DataFrame, key: str) -> DataFrame:

@@ -191,9 +191,8 @@ def dq_failing_values(gl: GivenLake) -> DataFrame:
 def dq_incremental_failing(gl: GivenLake) -> DataFrame:
     """The same groups, found landing by landing: rows of three days, dealt by all columns."""
     rows, key = gl.silver.bronze_transactions, "transaction_id"
-    rows = write_stage(
-        rows.withColumn("_third", F.pmod(F.xxhash64(*rows.columns), F.lit(3))), "landings"
-    )
+    third = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    rows = write_stage(rows.select(key, third.alias("_third")), "landings")
     path, days, failing = stage_path(gl.spark, "key-bitmaps"), [], None
     for n in range(3):
         new = rows.where(F.col("_third") == n)

@@ -25,6 +25,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # keys and numbers shrink tenfold on the way: 64 MB of them are millions of rows in one task
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # split a hot partition even when a later join or aggregate then needs its own shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # rows of numbers; operators on whole texts ask for smaller batches

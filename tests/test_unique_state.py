@@ -41,3 +41,23 @@ def test_nothing_kept(spark, tmp_path):
     assert us.kept_bitmaps(spark, str(tmp_path)) is None
     none = spark.createDataFrame([], "key string")
     assert us.repeated_keys(none, None, None, "key")[0].count() == 0
+
+
+def test_new_keys_alone_are_not_counted_again(spark, tmp_path, monkeypatch):
+    """Of a landing's keys only those that may be repeated meet the earlier rows."""
+    written = {}
+
+    def noted(df, name):
+        written[name] = (us_write(df, name), df.inputFiles())
+        return written[name][0]
+
+    us_write = us.write_stage
+    monkeypatch.setattr(us, "write_stage", noted)
+    old = spark.createDataFrame([("a",), ("b",)], "key string")
+    new = spark.createDataFrame([("a",), ("c",), ("c",), *[(f"k{i}",) for i in range(500)]], "key string")
+    us.keep_bitmaps(old, str(tmp_path), DAYS[0], "key")
+    found, looked_for = us.repeated_keys(new, old, us.kept_bitmaps(spark, str(tmp_path)), "key")
+    assert sorted(map(tuple, found.collect())) == [("a", 2), ("c", 2)]
+    assert [r.key for r in looked_for.collect()] == ["a"]
+    assert written["looked-for"][0].count() == 2
+    assert not any("new-keys" in path for path in written["repeated"][1])
