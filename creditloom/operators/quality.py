@@ -136,31 +136,37 @@ def _named(check: Check) -> list[Column]:
     ]
 
 
+def _repeated(df: DataFrame, check: Check) -> DataFrame:
+    counted = df.where(F.col(check.column).isNotNull()).groupBy(check.column)
+    repeated = counted.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return repeated.agg(F.count(F.lit(1)).alias("failures")).select(*_named(check), "failures")
+
+
 def check_table(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Run all checks of one table: one aggregate for row checks, one per unique key.
+    """Run all checks of one table in one pass: row checks are counted on the way to the rows per
+    unique key, so a table that is a join is joined once.  Further unique keys take a pass each.
 
     The failure count is violating rows, for ``unique`` the number of repeated values.
     """
     by_row = [c for c in checks if c.kind != "unique"]
-    parts = []
-    if by_row:
-        counts = df.agg(*[F.count_if(_violates(c)).alias(f"f{i}") for i, c in enumerate(by_row)])
-        results = [
-            F.struct(*_named(c), F.col(f"f{i}").alias("failures")) for i, c in enumerate(by_row)
-        ]
-        parts.append(counts.select(F.inline(F.array(*results))))
-    for c in checks:
-        if c.kind == "unique":
-            repeated = (
-                df.where(F.col(c.column).isNotNull())
-                .groupBy(c.column)
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > 1)
-            )
-            parts.append(
-                repeated.agg(F.count(F.lit(1)).alias("failures")).select(*_named(c), "failures")
-            )
-    return reduce(DataFrame.unionByName, parts)
+    unique = [c for c in checks if c.kind == "unique"]
+    counts = {f"_f{i}": F.count_if(_violates(c)) for i, c in enumerate(by_row)}
+    named = [c.alias(name) for name, c in counts.items()]
+    if unique and by_row:
+        key = F.col(unique[0].column)
+        groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *named)
+        totals = groups.agg(
+            *[F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in counts],
+            F.count_if(key.isNotNull() & (F.col("_n") > 1)).alias("_repeated"),
+        )
+        found = {**dict(zip(counts, by_row)), "_repeated": unique.pop(0)}
+    elif by_row:
+        totals, found = df.agg(*named), dict(zip(counts, by_row))
+    else:
+        found = {}
+    results = [F.struct(*_named(c), F.col(name).alias("failures")) for name, c in found.items()]
+    parts = [totals.select(F.inline(F.array(*results)))] if found else []
+    return reduce(DataFrame.unionByName, parts + [_repeated(df, c) for c in unique])
 
 
 def run_suite(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:

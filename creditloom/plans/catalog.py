@@ -167,7 +167,7 @@ def stress_mix(gl: GivenLake) -> DataFrame:
 
 
 def _silver_report(gl: GivenLake) -> DataFrame:
-    return quality.run_suite(gl.silver.tables(), quality.SILVER_CHECKS)
+    return quality.run_suite(gl.silver.read_once(), quality.SILVER_CHECKS)
 
 
 @query
@@ -178,7 +178,7 @@ def dq_report(gl: GivenLake) -> DataFrame:
 
 @query
 def dq_summary(gl: GivenLake) -> DataFrame:
-    return quality.run_summary(_silver_report(gl), models_run=len(gl.silver.tables()))
+    return quality.run_summary(_silver_report(gl), models_run=len(gl.silver.read_once()))
 
 
 @query

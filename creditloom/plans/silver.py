@@ -51,19 +51,33 @@ class Silver:
     def stg_credit(self) -> DataFrame:
         return self._built(staging.stg_credit(self.bronze_bureau), "stg_credit", PROCESSED_AT)
 
-    @cached_property
-    def feat_dti_ratio(self) -> DataFrame:
-        dti = features.feat_dti_ratio(self.stg_loans, self.stg_credit)
-        return self._built(dti, "feat_dti_ratio", COMPUTED_AT)
+    def _dti(self) -> DataFrame:
+        return features.feat_dti_ratio(self.stg_loans, self.stg_credit)
 
-    @cached_property
-    def feat_credit_util(self) -> DataFrame:
+    def _util(self) -> DataFrame:
         monthly = self._monthly
         if monthly is None:
             monthly = features.monthly_spend(self.bronze_transactions, self.as_of)
         rolled_up = features.customer_txn_agg(monthly, self.as_of)
-        util = features.feat_credit_util(self.stg_credit, rolled_up)
-        return self._built(util, "feat_credit_util", COMPUTED_AT)
+        return features.feat_credit_util(self.stg_credit, rolled_up)
+
+    @cached_property
+    def feat_dti_ratio(self) -> DataFrame:
+        return self._built(self._dti(), "feat_dti_ratio", COMPUTED_AT)
+
+    @cached_property
+    def feat_credit_util(self) -> DataFrame:
+        return self._built(self._util(), "feat_credit_util", COMPUTED_AT)
+
+    def read_once(self) -> dict[str, DataFrame]:
+        """All tables for a reader that takes one pass over each: features are not written."""
+        side_by_side(lambda: self.stg_loans, lambda: self.stg_credit)
+        return {
+            "stg_loans": self.stg_loans,
+            "stg_credit": self.stg_credit,
+            "feat_dti_ratio": features.audited(self._dti(), COMPUTED_AT),
+            "feat_credit_util": features.audited(self._util(), COMPUTED_AT),
+        }
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables; models that do not depend on each other are built side by side."""

@@ -47,6 +47,22 @@ def test_row_checks_share_one_aggregate(spark):
     quality.require_pass(out)
 
 
+def test_a_table_with_a_unique_key_is_read_once(spark):
+    """Null and repeated keys; an empty table counts as 0."""
+    rows = [("a", 1), ("a", None), ("b", None), (None, 2), (None, None)]
+    df = spark.createDataFrame(rows, "id string, n int")
+    checks = quality._checks("t", {"id": ["unique", "not_null"], "n": ["not_null", (2, 9)]})
+    out = quality.run_suite({"t": df}, checks)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    failures = {(r.column_name, r.check_kind): r.failures for r in out.collect()}
+    assert failures == {
+        ("id", "unique"): 1, ("id", "not_null"): 2, ("n", "not_null"): 3, ("n", "accepted_range"): 1,
+    }
+    assert [r.failures for r in quality.run_suite({"t": df.limit(0)}, checks).collect()] == [0] * 4
+    twice = quality._checks("t", {"id": ["unique"], "n": ["unique"]})
+    assert [r.failures for r in quality.run_suite({"t": df}, twice).collect()] == [1, 0]
+
+
 def test_there_are_28_silver_checks():
     kinds = [c.kind for c in quality.SILVER_CHECKS]
     assert len(kinds) == 28
