@@ -58,6 +58,31 @@ def test_medians_of_folds(spark, monkeypatch, cells):
             assert got[i][c] == statistics.median(r[n] for r in rows if r[0] != i and r[n] is not None)
 
 
+def _dealt(rng, by_value):
+    rows = []
+    for n in range(2000):
+        x = rng.choice([None, rng.gauss(0, 9), 1.5])
+        fold = rng.choice([None, 0, 1, 2, 3]) if not by_value else int(abs(x or 0) // 5)
+        rows.append((fold, x, rng.randint(0, 50), None, 7.0 if fold == 1 else None))
+    return rows
+
+
+@pytest.mark.parametrize("cells", [3, 10_000])
+@pytest.mark.parametrize("by_value", [False, True])
+def test_folds_share_brackets(spark, monkeypatch, by_value, cells):
+    """Three of the folds are asked for; rows of others count, rows without a fold do not."""
+    rows = _dealt(random.Random(3), by_value)
+    df = spark.createDataFrame(rows, "fold int, x double, y int, z double, one double")
+    if not by_value and cells > 3:  # one bracket a column is enough
+        monkeypatch.setattr(ts, "medians_of", None)
+    monkeypatch.setattr(ts, "_CELLS", cells)
+    got = ts.fold_medians(df, ["x", "y", "z", "one"], 3)
+    for i in range(3):
+        for n, c in enumerate(["x", "y", "z", "one"], 1):
+            values = [r[n] for r in rows if r[0] not in (None, i) and r[n] is not None]
+            assert got[i][c] == (statistics.median(values) if values else None), (i, c)
+
+
 def test_time_split_cuts_inside_a_hot_day(spark):
     hot = dt.date(2020, 1, 2)
     rows = [(f"A{i:04d}", dt.date(2020, 1, 1)) for i in range(10)]
