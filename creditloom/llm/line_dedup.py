@@ -56,61 +56,105 @@ RUN = 20
 WINDOW = 8
 #: Documents up to which the ids of those in pairs are broadcast (some 40 bytes each).
 BROADCAST_ROWS = 500_000
-#: Hashes up to which those of repeated runs are broadcast (8 bytes each).
-BROADCAST_RUNS = 2_000_000
 BLOCKS = "array<struct<start:int,end:int>>"
 BASE = 0x9E3779B97F4A7C15
 
 
 def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places (i, j) of equal lines in increasing order."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        anchors = _unique_in_order(a, a0, a1, b, b0, b1)
-        left = (a0, b0)
-        for i, j in anchors:
-            todo.append((left[0], i, left[1], j))
-            left = (i, j)
-        if anchors:
-            todo.append((left[0], a1, left[1], b1))
-    return sorted(out)
-
-
-def _unique_in_order(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
-    """Longest increasing chain of lines that stand once on both sides."""
-    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-    at = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
-    pairs = [(i, at[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in at]
+    return [(i + k, j + k) for i, j, n in _Pair(a, b).matches() for k in range(n)]
+
+
+class _Pair:
+    """Two lists of lines, as they are and as numbers that are equal for equal lines."""
+
+    def __init__(self, a, b):
+        self.lines = np.asarray(a).tolist(), np.asarray(b).tolist()
+        kinds, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
+        self.a, self.b = np.split(numbers, [len(a)])
+        self.kinds = len(kinds)
+
+    def take(self, start: int, end: int) -> None:
+        """Lines of ``b`` that are equal to nothing from now on."""
+        end = min(end, len(self.b))
+        self.lines[1][start:end] = [(i,) for i in range(start, end)]
+        self.b[start:end] = self.kinds + np.arange(start, end)
+
+    def matches(self) -> list[tuple[int, int, int]]:
+        """Aligned (i, j, n), n lines from i and j on, in increasing order."""
+        out: list[tuple[int, int, int]] = []
+        todo = [(0, len(self.a), 0, len(self.b))]
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            if n := _equal(self.a[a0:a1], self.b[b0:b1]):
+                out.append((a0, b0, n))
+                a0, b0 = a0 + n, b0 + n
+            if n := _equal(self.a[a0:a1][::-1], self.b[b0:b1][::-1]):
+                a1, b1 = a1 - n, b1 - n
+                out.append((a1, b1, n))
+            if a0 == a1 or b0 == b1:
+                continue
+            anchors = self.unique_in_order(a0, a1, b0, b1)
+            left = (a0, b0)
+            for i, j in anchors:
+                todo.append((left[0], i, left[1], j))
+                left = (i, j)
+            if anchors:
+                todo.append((left[0], a1, left[1], b1))
+        return sorted(out)
+
+    def unique_in_order(self, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+        """Longest increasing chain of lines that stand once on both sides; without any, the
+        rarest shared line."""
+        lines_a, in_a, n_a = np.unique(self.a[a0:a1], return_index=True, return_counts=True)
+        lines_b, in_b, n_b = np.unique(self.b[b0:b1], return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(lines_b, lines_a), len(lines_b) - 1)
+        shared = lines_b[at] == lines_a
+        if not shared.any():
+            return []
+        once = shared & (n_a == 1) & (n_b[at] == 1)
+        if not once.any():
+            return _rarest(*self.lines, a0, a1, b0, b1)
+        i, j = in_a[once], in_b[at[once]]
+        order = np.argsort(i)
+        i, j = i[order] + a0, j[order] + b0
+        if (np.diff(j) < 0).any():
+            chain = _longest_chain(j.tolist())
+            i, j = i[chain], j[chain]
+        return list(zip(i.tolist(), j.tolist()))
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many lines are equal from the first on."""
+    n, step, at = min(len(a), len(b)), 16, 0
+    while at < n:
+        other = a[at : min(n, at + step)] != b[at : min(n, at + step)]
+        if other.any():
+            return at + int(other.argmax())
+        at, step = at + step, 4 * step
+    return n
+
+
+def _longest_chain(js: list[int]) -> list[int]:
+    """Numbers of a longest increasing chain."""
     ends: list[int] = []  # smallest last j of a chain of each length
-    tops: list[int] = []  # and the pair it belongs to
+    tops: list[int] = []  # and the one it belongs to
     before: list[int] = []
-    for k, (_, j) in enumerate(pairs):
+    for k, j in enumerate(js):
         n = bisect_left(ends, j)
         before.append(tops[n - 1] if n else -1)
         ends[n : n + 1], tops[n : n + 1] = [j], [k]
     chain, k = [], tops[-1] if tops else -1
     while k >= 0:
-        chain.append(pairs[k])
+        chain.append(k)
         k = before[k]
-    return chain[::-1] or _rarest(a, a0, a1, b, b0, b1, in_a, in_b)
+    return chain[::-1]
 
 
-def _rarest(a, a0, a1, b, b0, b1, in_a, in_b) -> list[tuple[int, int]]:
+def _rarest(a, b, a0, a1, b0, b1) -> list[tuple[int, int]]:
     """First places of the rarest shared line, where no line is unique on both sides."""
-    shared = in_a.keys() & in_b.keys()
-    if not shared:
-        return []
-    line = min(shared, key=lambda x: in_a[x] * in_b[x])
+    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+    line = min(in_a.keys() & in_b.keys(), key=lambda x: in_a[x] * in_b[x])
     return [(a.index(line, a0, a1), b.index(line, b0, b1))]
 
 
@@ -128,41 +172,56 @@ def shared_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[i
     size = min_words - window + 1
     numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
     runs_a, runs_b = (rolling(_spread(x), size) for x in np.split(numbers, [len(a)]))
-    return _blocks(a, b, runs_a, runs_b, np.isin(runs_b, runs_a), window, min_words)
+    return _blocks(a, b, *_first_places(runs_a, runs_b), window, min_words)
+
+
+def _first_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes of ``b`` are in ``a``, and the first place of each of these there."""
+    if not len(a):
+        return np.zeros(len(b), dtype=bool), np.empty(0, dtype=np.int64)
+    order = np.argsort(a, kind="stable")
+    ordered = a[order]
+    at = np.minimum(np.searchsorted(ordered, b), len(a) - 1)
+    found = ordered[at] == b
+    return found, order[at[found]]
+
+
+def _among(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which hashes of ``b`` are in ``a``."""
+    if not len(a):
+        return np.zeros(len(b), dtype=bool)
+    ordered = np.sort(a)
+    return ordered[np.minimum(np.searchsorted(ordered, b), len(a) - 1)] == b
 
 
 def _blocks(
-    a, b, runs_a: np.ndarray, runs_b: np.ndarray, left: np.ndarray, window: int, min_words: int
+    a: np.ndarray, b: np.ndarray, left: np.ndarray, first_places: np.ndarray, window: int, min_words: int
 ) -> list[tuple[int, int]]:
-    """The same, given the runs of whole blocks of both and which of ``b`` are in ``a``."""
+    """The same, given which whole blocks of ``b`` are in ``a``, and where there first."""
     left, size = left.copy(), min_words - window + 1
     if not left.any():
         return []
-    found, out, rest = _straight_blocks(runs_a, runs_b, left, min_words), [], None
+    found, out, rest = _straight_blocks(first_places, left, min_words), [], None
     while True:
         out += found
         for start, end in found:
             first = max(0, start - window + 1)
             if rest is not None:
-                rest[first:end] = [(i,) for i in range(first, min(end, len(rest)))]  # equal to nothing
+                rest.take(first, end)
             left[max(0, first - size + 1) : end] = False
         if not left.any():
             return sorted(out)
         if rest is None:
-            rest, of_a = np.asarray(b).tolist(), np.asarray(a).tolist()
+            rest = _Pair(a, b)
             for start, end in out:
-                first = max(0, start - window + 1)
-                rest[first:end] = [(i,) for i in range(first, min(end, len(rest)))]
-        found = _aligned_blocks(of_a, rest, window, min_words) or _stretches(left, min_words)
+                rest.take(max(0, start - window + 1), end)
+        found = _aligned_blocks(rest, window, min_words) or _stretches(left, min_words)
 
 
-def _straight_blocks(
-    runs_a: np.ndarray, runs_b: np.ndarray, left: np.ndarray, min_words: int
-) -> list[tuple[int, int]]:
-    """Blocks of places ``left`` that stand in ``a`` as they are and share no word with another."""
-    order = np.argsort(runs_a, kind="stable")
+def _straight_blocks(i: np.ndarray, left: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Blocks of places ``left`` that stand in ``a`` as they are, from the places ``i`` there on,
+    and share no word with another."""
     j = np.flatnonzero(left)
-    i = order[np.searchsorted(runs_a[order], runs_b[j])]  # first place in a
     cut = np.flatnonzero(np.diff(j) != 1) + 1
     starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(j)]])
     bends = np.concatenate([[0], np.cumsum(np.diff(i - j) != 0)])
@@ -190,32 +249,52 @@ def _spread(numbers: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _aligned_blocks(a: list, b: list, window: int, min_words: int) -> list[tuple[int, int]]:
+def _aligned_blocks(pair: _Pair, window: int, min_words: int) -> list[tuple[int, int]]:
     out, last, start = [], None, 0
-    for i, j in [*patience_matches(a, b), (-2, -2)]:
-        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if last is not None and last[1] - start + window >= min_words:
-                out.append((start, last[1] + window))
+    for i, j, n in [*pair.matches(), (-2, -2, 0)]:
+        if last is None or (i, j) != last:
+            if last is not None and last[1] - 1 - start + window >= min_words:
+                out.append((start, last[1] - 1 + window))
             start = j
-        last = (i, j)
+        last = (i + n, j + n)
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``BASE`` and its inverse modulo 2**64 to the powers 0 to n - 1 at least."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 4096)
+        for k, x in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(size, x, dtype=np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    return _POWERS[0], _POWERS[1]
+
+
+_POWERS = [np.empty(0, dtype=np.uint64)] * 2
+
+
+def summed(h: np.ndarray) -> np.ndarray:
+    """What the numbers before each place add to a polynomial modulo 2**64; ``rolled`` takes it."""
+    out = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * _powers(len(h))[1][: len(h)], out=out[1:])
     return out
 
 
+def rolled(sums: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of the runs of ``run`` numbers at every place, from ``summed``."""
+    n = len(sums) - run
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
+    total = (sums[run:] - sums[:-run]) * _powers(len(sums))[0][run - 1 : run - 1 + n]
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return total
+
+
 def rolling(h: np.ndarray, run: int) -> np.ndarray:
     """Hashes of the runs of ``run`` numbers at every place."""
-    n = len(h)
-    if n < run:
-        return np.empty(0, dtype=np.uint64)
-    # a polynomial modulo 2**64, by doubling: total[i] covers ``width`` words from i on
-    bits, total, width = bin(run)[3:], h, 1
-    for bit in bits:
-        total = total[: len(total) - width] * np.uint64(pow(BASE, width, 1 << 64)) + total[width:]
-        width *= 2
-        if bit == "1":
-            total = total[: n - width] * np.uint64(BASE) + h[width:]
-            width += 1
-    mixed = total ^ (total >> np.uint64(31))
-    return mixed * np.uint64(0xD6E8FEB86659FD93)
+    return rolled(summed(h), run)
 
 
 def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
@@ -247,9 +326,9 @@ def _winnower(run: int, min_words: int):
     return winnow
 
 
-def _aligner(window: int, run: int, min_words: int):
-    """Per pair the blocks of the later document that go, and hashes of the blocks that it has
-    around shared runs and the earlier one does not have."""
+def _aligner(window: int, run: int, min_words: int, lacking: bool = True):
+    """Per pair the blocks of the later document that go, and, if ``lacking``, hashes of the
+    blocks that it has around shared runs and the earlier one does not have."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def texts(lists: pa.ListArray) -> list[np.ndarray]:
@@ -257,15 +336,20 @@ def _aligner(window: int, run: int, min_words: int):
         return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
     def compared(a: np.ndarray, b: np.ndarray) -> tuple[list[dict], np.ndarray]:
-        x, y = _spread(a), _spread(b)
         size, short = min_words - window + 1, run - window + 1
-        whole_a, whole_b = rolling(x, size), rolling(y, size)
-        left = np.isin(whole_b, whole_a)
+        if len(b) >= size and np.array_equal(a, b):  # the later text goes whole
+            return [{"start": 0, "end": len(b) + window - 1}], np.empty(0, dtype=np.int64)
+        x, y = summed(_spread(a)), summed(_spread(b))
+        whole_b = rolled(y, size)
+        left, places = _first_places(rolled(x, size), whole_b)
+        found = _blocks(a, b, left, places, window, min_words)
         # shared runs before each place; a block has those that begin in its first places
-        before = np.concatenate([[0], np.cumsum(np.isin(rolling(y, short), rolling(x, short)))])
-        some = before[size - short + 1 :][: len(whole_b)] > before[: len(whole_b)]
-        found = _blocks(a, b, whole_a, whole_b, left, window, min_words)
-        rest = np.unique(whole_b[some & ~left]).view(np.int64)
+        other = np.flatnonzero(~left)
+        if not lacking or not len(other):
+            return [{"start": s, "end": e} for s, e in found], np.empty(0, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(_among(rolled(y, short), rolled(x, short)))])
+        some = before[size - short + 1 :][other] > before[other]
+        rest = np.unique(whole_b[other[some]]).view(np.int64)
         return [{"start": s, "end": e} for s, e in found], rest
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +401,8 @@ def _pairs_by_hash(runs: DataFrame) -> DataFrame:
         "repeated-runs",
     )
     again = stage(
-        runs.join(broadcast_up_to(repeated, BROADCAST_RUNS), "run", "left_semi").select(
+        # shuffled at every size, so that disk grows as the input does
+        runs.join(repeated.hint("shuffle_hash"), "run", "left_semi").select(
             "run", doc.alias("doc")
         ),
         "runs-of-several",
@@ -353,21 +438,22 @@ def repeated_blocks(
     once = stage(once, "windows-of-pairs")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def align(pairs: DataFrame) -> DataFrame:
+    def align(pairs: DataFrame, lacking: bool) -> DataFrame:
         earlier = once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier"))
         return (
             pairs.join(earlier, "first")
             .join(once.withColumnRenamed("windows", "later"), "doc")
             .select("doc.id", "doc.t", "earlier", "later")
             .mapInArrow(
-                _aligner(window, run, min_words),
+                _aligner(window, run, min_words, lacking),
                 f"id {kind}, t bigint, blocks {BLOCKS}, missed array<bigint>",
             )
         )
 
-    by_run = stage(align(pairs), "aligned-by-run")
+    by_run = stage(align(pairs, lacking=True), "aligned-by-run")
     missed = by_run.select("id", "t", F.explode("missed").alias("run"))
-    by_block = align(_pairs_by_hash(missed).join(pairs, ["doc", "first"], "left_anti"))
+    new = _pairs_by_hash(missed).join(pairs, ["doc", "first"], "left_anti")
+    by_block = align(new, lacking=False)
     aligned = by_run.select("id", "t", "blocks").union(by_block.select("id", "t", "blocks"))
     return (
         aligned.where(F.size("blocks") > 0)
@@ -379,9 +465,23 @@ def repeated_blocks(
 def without_words(text: Column, blocks: Column) -> Column:
     """``text`` without the words of ``blocks`` and the white space behind each of them."""
     blank = r"[\x20\x09-\x0D]*"
-    left = F.filter(
+    # what is left begins at the first word or where a block ends, outside any other block, and
+    # ends before the next block
+    starts = F.filter(
+        F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), blocks["end"]))),
+        lambda s: ~F.exists(blocks, lambda b: (b["start"] <= s) & (s < b["end"])),
+    )
+    left = let(
         F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+" + blank), F.lit(0)),
-        lambda _, i: ~F.exists(blocks, lambda b: (b["start"] <= i) & (i < b["end"])),
+        lambda w: F.transform(
+            starts,
+            lambda s: let(
+                F.array_min(F.filter(blocks["start"], lambda x: x >= s)),
+                lambda end: F.array_join(
+                    F.slice(w, s + 1, F.greatest(F.coalesce(end, F.size(w)) - s, F.lit(0))), ""
+                ),
+            ),
+        ),
     )
     return F.concat(F.regexp_extract(text, "^" + blank, 0), F.array_join(left, ""))
 
