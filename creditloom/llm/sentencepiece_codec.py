@@ -18,7 +18,9 @@ weight 0 is the encoding.  Scores of a set of states are then bit sets: the maxi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from creditloom.llm.common import arrow_rows, column, stage
+from creditloom.session import shuffle_partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 65_536
@@ -69,13 +72,14 @@ class Codec:
         cut = [
             re.findall(" +[^ ]*", " " + t.replace(SPACE, " ")) if t else [] for t in texts
         ]
-        new = {w for words in cut for w in words if w not in self.words}
+        here = set().union(*cut)
+        new = here.difference(self.words)
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words.clear()
-            new = {w for words in cut for w in words}
+            new = here
         rest = [w for w in new if w != " "]
         for w, ids in zip(rest, self.model.encode([w[1:] for w in rest], num_threads=1)):
-            self.words[w] = np.array(ids, dtype=np.int32).tobytes()
+            self.words[w] = array("i", ids).tobytes()
         self.words[" "] = np.array([self.ids[SPACE]], dtype=np.int32).tobytes()
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
@@ -167,6 +171,7 @@ class Codec:
 
         Entry states themselves are in the result; the bits number them in order.
         """
+        self.encode_words([text[begin:end].replace(SPACE, " ")])  # its words at once
         reached: dict[State, tuple[int, list[State]]] = {
             s: (1 << i, []) for i, s in enumerate(entry)
         }
@@ -222,8 +227,41 @@ class Codec:
 
     # --------------------------------------------------------------------------- decoding
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.model.decode(ids) if ids else []
+    @cached_property
+    def texts(self) -> pa.Array:
+        """What each id adds to a text, and behind these, what it adds where the text begins.
+
+        Null for ids that are neither pieces nor bytes, and at last for all unknown numbers."""
+        out: list[bytes | None] = [None] * self.model.vocab_size()
+        for piece, i in self.ids.items():
+            out[i] = piece.replace(SPACE, " ").encode()
+        begin = [x[1:] if x and x[:1] == b" " else x for x in out]
+        for i, x in self.bytes.items():
+            out[i] = begin[i] = x
+        return pa.array([*out, *begin, None], pa.large_binary())
+
+    def decode(self, lists: pa.ListArray) -> list[str]:
+        """Texts of lists of ids (null: empty), as the library gives them.
+
+        They are what the ids add, side by side; the library itself decodes those that hold
+        other ids or bytes that are no UTF-8."""
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+        n, ids = self.model.vocab_size(), lists.flatten().fill_null(-1).to_numpy()
+        at = np.where((ids >= 0) & (ids < n), ids, 2 * n).astype(np.int64)
+        begin = ends[:-1][ends[:-1] < ends[1:]]
+        at[begin] = np.minimum(at[begin] + n, 2 * n)
+        parts = self.texts.take(pa.array(at))
+        other = np.concatenate([[0], np.cumsum(parts.is_null().to_numpy(zero_copy_only=False))])[ends]
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[ends].tolist()
+        data, out = memoryview(parts.buffers()[2] or b""), []
+        for i, (first, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+            try:
+                if other[i] < other[i + 1]:
+                    raise ValueError("not made of pieces and bytes alone")
+                out.append(str(data[first:end], "utf-8"))
+            except ValueError:  # broken UTF-8 too
+                out += self.model.decode([lists[i].as_py()])
+        return out
 
 
 def prepared(text: str) -> str:
@@ -329,8 +367,9 @@ def _span(row: dict, chunk: int) -> tuple[int, int]:
 
 def _matrices(proto, chunk: int):
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(proto.value)
+        codec = None
         for batch in batches:
+            codec = codec or Codec(proto.value)
             out = [
                 [format(bits, "x") for bits in codec.transfer(row["piece"], *_span(row, chunk))]
                 for row in batch.to_pylist()
@@ -364,8 +403,9 @@ def _chooser():
 
 def _tracer(proto, chunk: int):
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(proto.value)
+        codec = None
         for batch in batches:
+            codec = codec or Codec(proto.value)
             out = []
             for row in batch.to_pylist():
                 text, (begin, end) = row["piece"], _span(row, chunk)
@@ -385,7 +425,7 @@ def _decoder(proto):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(proto.value)
         for batch in batches:
-            texts = codec.decode([x or [] for x in batch.column("ids").to_pylist()])
+            texts = codec.decode(batch.column("ids"))
             kept = [batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"]
@@ -435,11 +475,11 @@ def encode(
     cut = giants.mapInArrow(
         _cutter(chunk, margin), f"{kind}, k bigint, at bigint, size bigint, piece string"
     )
-    chunks = stage(cut.dropDuplicates(["doc_id", "t", "k"]), "chunks")
+    # few bytes take long, so adaptive execution must not put them into one task
+    keys, tasks = ["doc_id", "t", "k"], shuffle_partitions(docs.sparkSession)
+    chunks = stage(cut.repartition(tasks, *keys).dropDuplicates(keys), "chunks")
     matrices = stage(
-        chunks.repartition("doc_id", "t", "k").mapInArrow(
-            _matrices(proto, chunk), f"{kind}, k bigint, m array<string>"
-        ),
+        chunks.mapInArrow(_matrices(proto, chunk), f"{kind}, k bigint, m array<string>"),
         "matrices",
     )
     states = (
