@@ -23,15 +23,16 @@ runs of words, wherever a line ends.  White space alone parts words.
 4.  Aligned blocks of ``min_words`` words or more are deleted from the later document.
 
 An earlier document is one of smaller id (of smaller text hash for equal ids; null ids last).
-Only documents of a pair are read again, and their texts meet as arrays of hashes.  The words
-are cut out by built-in functions.
+Only documents of a pair are read again, and their texts meet as arrays of hashes, which are taken
+from the bytes of many texts at once (``word_hashes``).  The words are cut out by built-in
+functions.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import (
-    WHITE_SPACE,
     arrow_rows,
     broadcast_up_to,
     column,
     free_name,
     join_rows,
     let,
-    positions,
     stage,
-    words,
 )
+from creditloom.llm.word_hashes import hashed_words, murmur3
 
 MIN_WORDS = 50
 RUN = 20
@@ -299,33 +298,80 @@ def rolling(h: np.ndarray, run: int) -> np.ndarray:
 
 def winnowed(hashes: np.ndarray, run: int, min_words: int) -> np.ndarray:
     """Distinct kept hashes of the runs of ``run`` words; none if there are under ``min_words``."""
-    if len(hashes) < min_words:
-        return np.empty(0, dtype=np.int64)
-    mixed = rolling(np.ascontiguousarray(hashes).view(np.uint64), run)
-    smallest, span, wanted = mixed, 1, min_words - run + 1
+    return _kept(hashes, np.array([0, len(hashes)]), run, min_words)[1]
+
+
+def _kept(
+    hashes: np.ndarray, ends: np.ndarray, run: int, min_words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts in one array: the text and the hash of each.  The words of a text begin
+    and end at neighbouring ``ends``."""
+    text, at = _places(ends, min_words)
+    if not len(at):
+        return text, np.empty(0, dtype=np.int64)
+    smallest = rolling(np.ascontiguousarray(hashes).view(np.uint64), run)
+    span, wanted = 1, min_words - run + 1
     while span < wanted:  # minima of windows of growing length
         step = min(span, wanted - span)
         smallest = np.minimum(smallest[: len(smallest) - step], smallest[step:])
         span += step
-    return np.unique(smallest).view(np.int64)
+    text, found = _changes(text, smallest[at].view(np.int64))
+    order = np.lexsort((found, text))
+    return _changes(text[order], found[order])
+
+
+def _changes(text: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without those that are equal to the one before."""
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    return text[new], found[new]
+
+
+def _places(ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the place of every window of ``size`` words that stands in one text."""
+    counts = np.maximum(np.diff(ends) - size + 1, 0)
+    before = np.cumsum(counts) - counts
+    text = np.repeat(np.arange(len(counts)), counts)
+    return text, np.arange(counts.sum()) + np.repeat(ends[:-1] - before, counts)
 
 
 def _winnower(run: int, min_words: int):
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("hashes")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            kept = [winnowed(values[i:j], run, min_words) for i, j in zip(ends[:-1], ends[1:])]
-            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in kept]))
-            runs = pa.array(np.concatenate([np.empty(0, np.int64), *kept]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(of), batch.column("t").take(of), runs],
-                names=["id", "t", "run"],
-            )
+            done = 0
+            for hashes, ends in hashed_words(batch.column("text")):
+                of, runs = _kept(hashes, ends, run, min_words)
+                of += done
+                done += len(ends) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(of), batch.column("t").take(of), pa.array(runs)],
+                    names=["id", "t", "run"],
+                )
 
     return winnow
 
 
+def _windower(window: int):
+    """Hashes (32 bits) of the windows of ``window`` words at every place."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for hashes, ends in hashed_words(batch.column("text")):
+                text, at = _places(ends, window)
+                values = pa.array(murmur3(hashes, window)[at])
+                n = len(ends) - 1
+                edges = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+                ids, ts = (batch.column(x).slice(done, n) for x in ("id", "t"))
+                done += n
+                yield pa.RecordBatch.from_arrays(
+                    [ids, ts, pa.ListArray.from_arrays(edges, values)],
+                    names=["id", "t", "windows"],
+                )
+
+    return hashed
+
+
 def _aligner(window: int, run: int, min_words: int, lacking: bool = True):
     """Per pair the blocks of the later document that go, and, if ``lacking``, hashes of the
     blocks that it has around shared runs and the earlier one does not have."""
@@ -355,9 +401,10 @@ def _aligner(window: int, run: int, min_words: int, lacking: bool = True):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(texts(batch.column("earlier")), texts(batch.column("later")))
+            docs = zip(map(repr, batch.column("id").to_pylist()), batch.column("t").to_pylist())
             rows = [compared(x, y) for x, y in pairs]
             found = pa.array([x for x, _ in rows], kind)
-            rest = pa.array([x for _, x in rows], pa.list_(pa.int64()))
+            rest = pa.array(_new_ones(docs, [x for _, x in rows]), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("t"), found, rest],
                 names=["id", "t", "blocks", "missed"],
@@ -366,15 +413,23 @@ def _aligner(window: int, run: int, min_words: int, lacking: bool = True):
     return align
 
 
-def _windows(w: Column, size: int) -> Column:
-    """Hashes (32 bits) of the windows of ``size`` words at every place."""
-    return let(
-        F.transform(w, lambda x: F.xxhash64(x)),
-        lambda h: F.transform(
-            positions(F.size(h) - size + 1),
-            lambda i: F.hash(*[F.get(h, i + j) for j in range(size)]),
-        ),
-    )
+def _plain(text: Column) -> Column:
+    """``text`` as the built-in functions on strings see it; null is empty."""
+    return F.make_valid_utf8(F.coalesce(text, F.lit("")))
+
+
+def _new_ones(docs: Iterable[tuple], hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """``hashes`` without those of the same document that an earlier pair of it has."""
+    out: list[np.ndarray] = []
+    sent: dict[tuple, np.ndarray] = {}
+    for doc, mine in zip(docs, hashes):
+        if doc in sent and len(mine):
+            mine = mine[~_among(mine, sent[doc])]
+            sent[doc] = np.concatenate([sent[doc], mine])
+        elif len(mine):
+            sent[doc] = mine
+        out.append(mine)
+    return out
 
 
 def document_pairs(
@@ -382,13 +437,9 @@ def document_pairs(
 ) -> DataFrame:
     """``doc`` and ``first`` (structs nameless, id, t) of documents that share a kept hash."""
     arrow_rows(rows.sparkSession)
-    hashed = rows.select(
-        "id",
-        "t",
-        F.transform(words(F.col("text"), WHITE_SPACE), lambda x: F.xxhash64(x)).alias("hashes"),
-    )
-    kind = hashed.schema["id"].dataType.simpleString()
-    kept = hashed.mapInArrow(_winnower(run, min_words), f"id {kind}, t bigint, run bigint")
+    kind = rows.schema["id"].dataType.simpleString()
+    texts = rows.select("id", "t", _plain(F.col("text")).alias("text"))
+    kept = texts.mapInArrow(_winnower(run, min_words), f"id {kind}, t bigint, run bigint")
     return _pairs_by_hash(stage(kept, "runs"))
 
 
@@ -408,7 +459,7 @@ def _pairs_by_hash(runs: DataFrame) -> DataFrame:
         "runs-of-several",
     )
     first = stage(again.groupBy("run").agg(F.min("doc").alias("first")), "first-documents")
-    pairs = again.join(first, "run").where(F.col("doc") != F.col("first"))
+    pairs = again.join(first.hint("shuffle_hash"), "run").where(F.col("doc") != F.col("first"))
     return stage(pairs.select("doc", "first").distinct(), "pairs")
 
 
@@ -431,12 +482,14 @@ def repeated_blocks(
     )
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))
     texts = rows.join(broadcast_up_to(members, BROADCAST_ROWS), same, "left_semi")
-    once = texts.groupBy("id", "t").agg(F.first("text").alias("text")).select(
-        F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("doc"),
-        _windows(words(F.col("text"), WHITE_SPACE), window).alias("windows"),
+    kind = rows.schema["id"].dataType.simpleString()
+    once = (
+        texts.groupBy("id", "t")
+        .agg(_plain(F.first("text")).alias("text"))
+        .mapInArrow(_windower(window), f"id {kind}, t bigint, windows array<int>")
+        .select(F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("doc"), "windows")
     )
     once = stage(once, "windows-of-pairs")
-    kind = rows.schema["id"].dataType.simpleString()
 
     def align(pairs: DataFrame, lacking: bool) -> DataFrame:
         earlier = once.select(F.col("doc").alias("first"), F.col("windows").alias("earlier"))
