@@ -313,3 +313,29 @@ def test_tasks_of_a_fit_do_not_grow_with_the_rows(spark, sf, monkeypatch):
     laid = laid_out(rows)
     assert laid.rdd.getNumPartitions() == 7
     assert laid.count() == training.count()
+
+
+def test_folds_leave_nothing_behind_and_go_one_by_one_if_large(spark, sf, monkeypatch):
+    """Each fold's rows are deleted when it is done, and large folds are not fitted side by side."""
+    frame = lake(spark, sf).training
+    together = model.cross_validate(frame, SMALL, k=3, parallel=3)
+    written, open_folds, most, write = {}, set(), [], model.write_stage
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "fold_rows":
+            path = out.inputFiles()[0]
+            open_folds.difference_update({p for p in open_folds if not Path(p.removeprefix("file:" + "//")).exists()})
+            open_folds.add(path)
+            most.append(len(open_folds))
+        written[name] = out.inputFiles()
+        return out
+
+    monkeypatch.setattr(model, "write_stage", watched)
+    monkeypatch.setattr(model, "_ROWS_AT_ONCE", 1)
+    assert model.cross_validate(frame, SMALL, k=3, parallel=3) == together
+    assert max(most) == 1
+    assert not any(Path(p.removeprefix("file:" + "//")).exists() for p in written["fold_rows"])
+    assert set(spark.read.parquet(written["folds"][0]).columns) == {
+        "application_id", "default_flag", "fold", *SMALL.numeric, *SMALL.categorical
+    }
