@@ -118,3 +118,43 @@ def test_what_is_written_does_not_grow_with_the_blocks(spark, monkeypatch):
     blocks, groups = 50, 6
     assert work.groupBy().sum("blocks").first()[0] > 20 * blocks / 2
     assert written["bounds"].count() <= 20 * groups and written["visits"].count() <= 20 * groups
+
+
+def test_terms_that_are_not_at_hand_count_too(spark, monkeypatch):
+    """Numbers of passages of rare terms are joined; a few frequent ones are sent to the tasks."""
+    rng = random.Random(6)
+    passages = [(i, zipf_text(rng, rng.randint(3, 40))) for i in range(200)]
+    questions = [(f"q{i}", zipf_text(rng, rng.randint(1, 20))) for i in range(10)]
+    for frequent in (0, 7):
+        monkeypatch.setattr(ti, "FREQUENT", frequent)
+        assert run(spark, passages, questions, 5)[0] == brute(passages, questions, 5)
+
+
+def test_frequent_terms_bring_no_passages(spark, monkeypatch):
+    """A group is one row, is not shuffled for questions, and only what may reach the floor is looked at."""
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(12)]
+    passages = [(i, " ".join([*rng.sample(common, 9), f"r{i % 400}", f"s{i % 300}"])) for i in range(1200)]
+    docs = spark.createDataFrame(passages, "id bigint, text string")
+    asked = spark.createDataFrame([("q", "c1 c2 c3 c4 c5 r17 s17")], "id string, text string")
+    index = ti.build_index(ti.counted(docs))
+    assert index.packs.count() == 2
+    questions = ti._weighted(ti.counted(asked), index.freq, index.passages)
+    floored = ti._question_packs(questions.selectExpr("*", "0.4D as floor"), "floored")
+    crossed = index.packs.crossJoin(floored)
+    assert "hashpartitioning" not in crossed._jdf.queryExecution().executedPlan().toString()
+    summed, sums = [], ti._Pack.sums
+
+    def counted(pack, row, term, w, visits):
+        summed.append(int(pack.sizes[term].sum()))
+        return sums(pack, row, term, w, visits)
+
+    monkeypatch.setattr(ti._Pack, "sums", counted)
+    kinds = "query_id string, id bigint, score double, visited bigint"
+    schema = ti.to_arrow_schema(spark.createDataFrame([], kinds).schema)
+    batches = crossed.toArrow().to_batches(max_chunksize=1)
+    found = [x for b in ti._group_product(5, schema)(iter(batches)) for x in b.to_pylist()]
+    want = brute(passages, [("q", "c1 c2 c3 c4 c5 r17 s17")], 5)["q"]
+    got = sorted((round(1 - x["score"], 6), x["id"]) for x in found if x["id"] is not None)[:5]
+    assert got == [(d, i) for i, d in want if 1 - d >= 0.4]
+    assert sum(summed) < 20
